@@ -1,0 +1,24 @@
+"""Size checks that decide between a broadcast and a shuffle plan.
+
+A side is broadcast only after a row-count check proves it small; beyond the
+bound the caller takes a shuffle plan. The check reads at most
+``max_rows + 1`` rows of the (already projected) side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# About 64 bytes per key-only message row: 2M rows stay well under the
+# default 8 GB broadcast hard limit and far under executor memory.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has no more than ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def has_repeats(df: DataFrame, key: str) -> bool:
+    """True when some value of ``key`` occurs more than once."""
+    return len(df.groupBy(key).count().where("count > 1").limit(1).collect()) > 0
