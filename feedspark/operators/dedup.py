@@ -5,13 +5,14 @@ once; the next attempt opens a new set. So the epochs of one user are
 anchored: anchor_0 = first attempt, anchor_k+1 = first attempt at or after
 anchor_k + ttl. Inside an epoch only the first delivery of a document is kept.
 
-The anchor recurrence is sequential, so it runs as a sorted stream: rows are
-hash-partitioned by ``uid`` (one shuffle) and sorted by ``(uid, ts)`` with
-Spark's external sort; ``mapInPandas`` walks each partition in order and
-carries only ``(uid, anchor)`` across Arrow batches. Memory stays at one
-batch however many attempts a user has, and the walk jumps epoch to epoch
-with a binary search instead of looping over rows. The de-duplication and
-the later top-N are Spark windows on the same ``uid`` partitioning.
+The anchor recurrence is sequential, so it runs as a sorted stream: only
+``(uid, ts)`` is hash-partitioned by ``uid`` and sorted with Spark's external
+sort; ``mapInPandas`` walks each partition in order, carries ``(uid, anchor)``
+across Arrow batches and emits one row per anchor. Memory stays at one batch
+however many attempts a user has, and the walk jumps epoch to epoch with a
+binary search instead of looping over rows. Epochs go back to the attempts
+with an equi-join on ``(uid, ttl bucket)``; the de-duplication and the later
+top-N are Spark windows on the same ``uid`` partitioning.
 """
 
 from __future__ import annotations
@@ -20,76 +21,100 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import MICROS_PER_SECOND, SEEN_TTL_SECONDS
 
 
 def _anchor_walker(ttl_us: int):
+    """mapInPandas body: rows sorted by (uid, ts) in, one row per epoch anchor out."""
+
     def walk(batches):
         cur_uid = None
         cur_anchor = None
         for pdf in batches:
             n = len(pdf)
             if n == 0:
-                yield pdf.assign(_epoch_us=pd.Series([], dtype="int64"))
                 continue
             uid = pdf["_uid"].to_numpy()
             ts = pdf["_ts_us"].to_numpy()
-            out = np.empty(n, dtype=np.int64)
             starts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
             ends = np.r_[starts[1:], n]
             first = ts[starts].copy()
-            if cur_uid is not None and uid[0] == cur_uid:
+            carried = cur_uid is not None and uid[0] == cur_uid
+            if carried:
                 first[0] = cur_anchor
-            last = ts[ends - 1]
-            simple = (last - first) < ttl_us  # whole segment inside one epoch
-            out[:] = np.repeat(first, ends - starts)
+            simple = (ts[ends - 1] - first) < ttl_us  # whole segment in one epoch
+            emit = simple.copy()
+            if carried:
+                emit[0] = False  # its anchor was emitted with an earlier batch
+            out_u = [uid[starts[emit]]]
+            out_a = [first[emit]]
+            last_anchor = first.copy()
             for k in np.flatnonzero(~simple):
                 s, e = starts[k], ends[k]
-                a, i = first[k], s
                 seg = ts[s:e]
-                while True:
-                    j = max(s + int(np.searchsorted(seg, a + ttl_us, "left")), i)
-                    out[i:j] = a
-                    if j >= e:
-                        break
-                    a, i = ts[j], j
-                first[k] = a  # anchor in force at the end of the segment
-            cur_uid, cur_anchor = uid[-1], first[-1]
-            yield pdf.assign(_epoch_us=out)
+                a = first[k]
+                found = [] if (k == 0 and carried) else [a]
+                j = int(np.searchsorted(seg, a + ttl_us, "left"))
+                while j < len(seg):
+                    a = seg[j]
+                    found.append(a)
+                    j = int(np.searchsorted(seg, a + ttl_us, "left"))
+                last_anchor[k] = a
+                out_u.append(np.full(len(found), uid[s], dtype=np.int64))
+                out_a.append(np.asarray(found, dtype=np.int64))
+            cur_uid, cur_anchor = uid[-1], last_anchor[-1]
+            yield pd.DataFrame({"uid": np.concatenate(out_u).astype(np.int64),
+                                "anchor_us": np.concatenate(out_a).astype(np.int64)})
 
     return walk
 
 
-def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
-                  ttl_seconds: int = SEEN_TTL_SECONDS, epoch_col: str = "epoch") -> DataFrame:
-    """Add ``epoch`` = anchor time of the seen-set life each row falls in."""
-    ts_cols = [f.name for f in df.schema.fields
-               if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-    enc = df.select(
-        *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c in ts_cols else F.col(c)
-          for c in df.columns],
-        F.col(uid_col).alias("_uid"),
+def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
+                  ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
+    """(uid, anchor_us): one row per seen-set life, from a sorted walk per uid partition."""
+    enc = attempts.select(
+        F.col(uid_col).cast("long").alias("_uid"),
         F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_ts_us"),
     )
-    out_schema = T.StructType(enc.schema.fields + [T.StructField("_epoch_us", T.LongType())])
-    walked = (
-        enc.repartition(uid_col)
+    return (
+        enc.repartition("_uid")  # dropped by the planner when already partitioned by uid
         .sortWithinPartitions("_uid", "_ts_us")
-        .mapInPandas(_anchor_walker(int(ttl_seconds) * MICROS_PER_SECOND), out_schema)
+        .mapInPandas(_anchor_walker(int(ttl_seconds) * MICROS_PER_SECOND),
+                     "uid long, anchor_us long")
+        .withColumnRenamed("uid", uid_col)
     )
-    return walked.select(
-        *[F.timestamp_micros(c).alias(c) if c in ts_cols else F.col(c) for c in df.columns],
-        F.timestamp_micros("_epoch_us").alias(epoch_col),
+
+
+def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
+                  ttl_seconds: int = SEEN_TTL_SECONDS, epoch_col: str = "epoch") -> DataFrame:
+    """Add ``epoch`` = anchor time of the seen-set life each row falls in.
+
+    Every attempt lies in exactly one [anchor, anchor + ttl). A life spans at
+    most two ttl-wide buckets, so the anchors (a small table: one row per
+    user-epoch) are exploded to their buckets and equi-joined on
+    ``(uid, bucket)``; the attempts keep their ``uid`` partitioning and are
+    not shuffled again.
+    """
+    ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
+    anchors = epoch_anchors(df, uid_col, ts_col, ttl_seconds)
+    a = anchors.select(
+        F.col(uid_col).alias("_a_uid"), "anchor_us",
+        F.explode(F.sequence(F.floor(F.col("anchor_us") / ttl_us),
+                             F.floor((F.col("anchor_us") + (ttl_us - 1)) / ttl_us))).alias("_bucket"),
     )
+    ts_us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    d = df.select("*", ts_us.alias("_ts_us"), F.floor(ts_us / ttl_us).alias("_bucket"))
+    j = d.join(a, (d[uid_col] == a["_a_uid"]) & (d["_bucket"] == a["_bucket"])
+               & (d["_ts_us"] >= a["anchor_us"]) & (d["_ts_us"] < a["anchor_us"] + ttl_us))
+    return j.select(*[d[c] for c in df.columns], F.timestamp_micros("anchor_us").alias(epoch_col))
 
 
 def anchored_ttl_epochs(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
                         ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
     """one row per (uid, anchor) seen-set life."""
-    e = assign_epochs(attempts.select(uid_col, ts_col), uid_col, ts_col, ttl_seconds)
-    return e.select(uid_col, F.col("epoch").alias("anchor")).distinct()
+    e = epoch_anchors(attempts, uid_col, ts_col, ttl_seconds)
+    return e.select(uid_col, F.timestamp_micros("anchor_us").alias("anchor"))
 
 
 def first_seen_dedup(attempts: DataFrame, doc_col: str = "doc", uid_col: str = "uid",

@@ -17,6 +17,9 @@ from pyspark.sql import SparkSession
 # good plan (AQE re-plans joins and coalesces small partitions at runtime).
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Let a join on (uid, bucket) reuse an existing partitioning on uid, so
+    # attempts are not shuffled again after the fan-out.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
