@@ -45,6 +45,6 @@ def register(key: str, oracle: str | None = None):
 
 
 def load_all() -> dict[str, Entry]:
-    from . import aggregates, core, metrics, ordered, projections, sources  # noqa: F401
+    from . import aggregates, core, metrics, ordered, projections, sources, streams  # noqa: F401
 
     return REGISTRY
