@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import counters as C
 from ..operators import users as U
 from ..operators.dedup import dedup_marks
-from ..operators.fanout import fanout_visible
-from ..operators.retention import feed_top_n
+from ..operators.fanout import message_keys, visible_push_counts
+from ..plans.feed import visible_top_n
 from ..oracle import TOP, with_views
 from ..sources import fixtures as fx
 from . import register
@@ -24,9 +24,9 @@ CANDIDATES_SQL = f"""cand AS (SELECT DISTINCT o_custkey * 2 AS uid,
 
 
 def _feed1(t):
-    """Visible deliveries, newest 100 per user (the feed the read path works on)."""
-    d = fanout_visible(fx.articles(t), fx.subscriptions(t)).withColumnRenamed("entry_ts", "ts")
-    return feed_top_n(d, 100, ("ts", "entry_id"))
+    """Visible deliveries, newest 100 per user (the feed the read path works on);
+    planned with the per-topic bound, which is exact when nothing is de-duplicated."""
+    return visible_top_n(message_keys(fx.articles(t)), fx.subscriptions(t), 100)
 
 
 def _candidates(t):
@@ -97,7 +97,7 @@ LEFT JOIN (SELECT topic, count(*) AS pushes FROM vis GROUP BY topic) d ON m.topi
                                       "articles", "subscriptions", extra=VISIBLE_SQL))
 def q_fanout_counts(t):
     """Messages consumed and pushes per topic."""
-    return C.fanout_counts(fx.articles(t), fanout_visible(fx.articles(t), fx.subscriptions(t)))
+    return C.fanout_counts(visible_push_counts(fx.articles(t), fx.subscriptions(t)))
 
 
 @register("topic_log_length", with_views("""
@@ -169,7 +169,7 @@ FROM (SELECT count(*) AS messages FROM articles) m, (SELECT count(*) AS deliveri
                                              "articles", "subscriptions", extra=VISIBLE_SQL))
 def q_fanout_amplification(t):
     """Deliveries per input message."""
-    return C.fanout_amplification(fx.articles(t), fanout_visible(fx.articles(t), fx.subscriptions(t)))
+    return C.fanout_amplification(visible_push_counts(fx.articles(t), fx.subscriptions(t)))
 
 
 @register("users_seeded", with_views("""

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from ..oracle import with_views
 from ..operators.dedup import anchored_ttl_epochs, first_seen_dedup
-from ..operators.fanout import dedupe_unseen, fanout_join, fanout_visible, unsubscribed_topics
-from ..operators.retention import feed_top_n
-from ..plans.feed import user_feed
+from ..operators.fanout import dedupe_unseen, fanout_join, fanout_visible, message_keys, unsubscribed_topics
+from ..plans.feed import user_feed, visible_top_n
 from ..sources import fixtures as fx
 from . import register
 
@@ -113,7 +112,7 @@ SELECT uid, entry_id, doc, pos FROM (
   FROM articles m JOIN subscriptions s ON m.topic = s.topic AND s.created_ts <= m.entry_ts) q
 WHERE pos <= 100""", "articles", "subscriptions"))
 def q_feed_top_n(t):
-    """newest 100 visible deliveries per user (before de-duplication)."""
-    d = fanout_visible(fx.articles(t), fx.subscriptions(t)).withColumnRenamed("entry_ts", "ts")
-    return feed_top_n(d, 100, ("ts", "entry_id")).select("uid", "entry_id", "doc", "pos")
+    """newest 100 visible deliveries per user (before de-duplication), with the per-topic bound."""
+    return visible_top_n(message_keys(fx.articles(t)), fx.subscriptions(t), 100).select(
+        "uid", "entry_id", "doc", "pos")
 

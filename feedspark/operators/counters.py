@@ -17,12 +17,10 @@ def per_topic_counts(log: DataFrame, name: str = "n") -> DataFrame:
     return log.rollup("topic").agg(F.count(F.lit(1)).alias(name))
 
 
-def fanout_counts(messages: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Messages consumed and pushes per topic."""
-    m = messages.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"))
-    d = deliveries.groupBy("topic").agg(F.count(F.lit(1)).alias("pushes"))
-    return m.join(d, "topic", "left").select(
-        "topic", "messages", F.coalesce("pushes", F.lit(0)).cast("bigint").alias("pushes"))
+def fanout_counts(push_counts: DataFrame) -> DataFrame:
+    """Messages consumed and pushes per topic (from ``visible_push_counts``)."""
+    return push_counts.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"),
+                                            F.sum("pushes").cast("bigint").alias("pushes"))
 
 
 def topic_log_length(log: DataFrame, cap: int = TOPIC_LOG_CAP) -> DataFrame:
@@ -72,10 +70,9 @@ def producer_by_topic(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def fanout_amplification(messages: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Deliveries per input message (one aggregate over the union of both)."""
-    both = messages.select(F.lit(True).alias("_m")).unionByName(deliveries.select(F.lit(False).alias("_m")))
-    agg = both.agg(F.count_if("_m").alias("messages"), F.count_if(~F.col("_m")).alias("deliveries"))
+def fanout_amplification(push_counts: DataFrame) -> DataFrame:
+    """Deliveries per input message (from ``visible_push_counts``)."""
+    agg = push_counts.agg(F.count(F.lit(1)).alias("messages"), F.sum("pushes").cast("bigint").alias("deliveries"))
     return agg.select("messages", "deliveries",
                       F.round(F.col("deliveries") / F.col("messages"), 6).alias("amplification"))
 

@@ -86,18 +86,85 @@ def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
     )
 
 
+def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
+                     max_rows: int | None = None) -> DataFrame | None:
+    """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
+
+    A user's attempt times are the message times of each subscribed topic from
+    that subscription's creation on. So the walk runs once per user against
+    per-topic sorted timelines: vectorised over a batch of users, one
+    ``searchsorted`` per topic per epoch. The timelines (timestamps only) are
+    broadcast, so this applies only when the messages pass the same row check
+    as a broadcast join; otherwise None is returned and the caller walks the
+    attempts instead.
+    """
+    from ..plans.strategy import BROADCAST_MAX_ROWS
+
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    times = message_times.select("topic", F.unix_micros("entry_ts").alias("us"))
+    rows = times.limit(max_rows + 1).collect()  # size check and fetch in one job
+    if len(rows) > max_rows:
+        return None
+    by_topic: dict[str, list[int]] = {}
+    for r in rows:
+        by_topic.setdefault(r.topic, []).append(r.us)
+    topics = sorted(by_topic)
+    arrays = [np.unique(np.asarray(by_topic[tp], dtype=np.int64)) for tp in topics]
+    bc = subs.sparkSession.sparkContext.broadcast(arrays)
+    cols = [f"_t{i}" for i in range(len(topics))]
+    users = (subs.select("uid", "topic", F.unix_micros(F.col("created_ts").cast("timestamp")).alias("_c"))
+             .groupBy("uid").pivot("topic", topics).agg(F.min("_c")))
+    users = users.select(F.col("uid").cast("long").alias("uid"),
+                         *[F.col(f"`{tp}`").alias(c) for tp, c in zip(topics, cols)])
+    ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
+    never = np.iinfo(np.int64).max // 4
+
+    def walk(batches):
+        tl = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            uid = pdf["uid"].to_numpy(dtype=np.int64)
+            start = np.stack([pdf[c].fillna(never).to_numpy(dtype=np.int64) for c in cols], axis=1)
+            x = np.full(len(uid), np.iinfo(np.int64).min // 4, dtype=np.int64)
+            live = np.arange(len(uid))
+            out_u, out_a = [], []
+            while live.size:
+                best = np.full(live.size, never, dtype=np.int64)
+                for k, arr in enumerate(tl):
+                    if arr.size == 0:
+                        continue
+                    lo = np.maximum(x[live], start[live, k])
+                    idx = np.searchsorted(arr, lo, "left")
+                    ok = (idx < arr.size) & (start[live, k] < never)
+                    cand = np.where(ok, arr[np.minimum(idx, arr.size - 1)], never)
+                    best = np.minimum(best, cand)
+                found = best < never
+                live, best = live[found], best[found]
+                out_u.append(uid[live])
+                out_a.append(best)
+                x[live] = best + ttl_us
+            yield pd.DataFrame({"uid": np.concatenate(out_u) if out_u else np.empty(0, np.int64),
+                                "anchor_us": np.concatenate(out_a) if out_a else np.empty(0, np.int64)})
+
+    return users.mapInPandas(walk, "uid long, anchor_us long")
+
+
 def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
-                  ttl_seconds: int = SEEN_TTL_SECONDS, epoch_col: str = "epoch") -> DataFrame:
+                  ttl_seconds: int = SEEN_TTL_SECONDS, epoch_col: str = "epoch",
+                  anchors: DataFrame | None = None) -> DataFrame:
     """Add ``epoch`` = anchor time of the seen-set life each row falls in.
 
     Every attempt lies in exactly one [anchor, anchor + ttl). A life spans at
     most two ttl-wide buckets, so the anchors (a small table: one row per
     user-epoch) are exploded to their buckets and equi-joined on
     ``(uid, bucket)``; the attempts keep their ``uid`` partitioning and are
-    not shuffled again.
+    not shuffled again. ``anchors`` (uid, anchor_us) may be given when they
+    were computed from a superset of ``df`` (see ``timeline_anchors``).
     """
     ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
-    anchors = epoch_anchors(df, uid_col, ts_col, ttl_seconds)
+    if anchors is None:
+        anchors = epoch_anchors(df, uid_col, ts_col, ttl_seconds)
     a = anchors.select(
         F.col(uid_col).alias("_a_uid"), "anchor_us",
         F.explode(F.sequence(F.floor(F.col("anchor_us") / ttl_us),
@@ -119,9 +186,9 @@ def anchored_ttl_epochs(attempts: DataFrame, uid_col: str = "uid", ts_col: str =
 
 def first_seen_dedup(attempts: DataFrame, doc_col: str = "doc", uid_col: str = "uid",
                      ts_col: str = "ts", tiebreak: tuple[str, ...] = ("entry_id",),
-                     ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
+                     ttl_seconds: int = SEEN_TTL_SECONDS, anchors: DataFrame | None = None) -> DataFrame:
     """per user, the first delivery of each document inside one seen-set life."""
-    e = assign_epochs(attempts, uid_col, ts_col, ttl_seconds)
+    e = assign_epochs(attempts, uid_col, ts_col, ttl_seconds, anchors=anchors)
     w = Window.partitionBy(uid_col, "epoch", doc_col).orderBy(ts_col, *tiebreak)
     return e.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

@@ -1,15 +1,19 @@
 """The flagship plan: newest N articles in each user's feed.
 
-Exact path: visible fan-out (D2) -> anchored TTL epochs (F4) -> first-seen
+Semantics: visible fan-out (D2) -> anchored TTL epochs (F4) -> first-seen
 de-duplication (F3) -> newest N per user (F1). Only key columns travel; the
 payload is joined back at output time.
 
-Bounded path (used when no document repeats in the input, checked): keep
-the newest N messages of each topic before the join. A user's newest N of a
-union of topics lies in the union of each topic's newest N, and what a user
-sees of a topic is a time suffix, so the result is the same while the join
-input shrinks to topics x N rows. With repeats, de-duplication and epochs
-depend on older attempts, so the exact path runs.
+Plan (exact for any input):
+* a document that occurs in one message only can never be a duplicate, so
+  those deliveries need no epochs: each topic is cut to its newest N messages
+  before the join (a user's newest N of a union of topics lies in the union
+  of each topic's newest N, and what a user sees of a topic is a time
+  suffix), shrinking the join to topics x N rows;
+* deliveries of repeated documents take the full chain; their epoch anchors
+  are walked per user against broadcast topic timelines instead of over all
+  attempts;
+* the two partial feeds are merged by a last top-N per user.
 """
 
 from __future__ import annotations
@@ -18,24 +22,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FEED_CAP, SEEN_TTL_SECONDS
-from ..operators.dedup import first_seen_dedup
+from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
 from ..operators.fanout import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
-from .strategy import has_repeats
+
+
+def visible_top_n(keys: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
+                  strategy: str = "auto") -> DataFrame:
+    """Newest ``n`` visible deliveries per user, without de-duplication.
+
+    Exact for any input: each topic is cut to its newest ``n`` messages before
+    the join (a user's newest ``n`` lie in the union of the topics' newest
+    ``n``, and visibility keeps a time suffix of each topic).
+    """
+    top = keep_last(keys, n, ["topic"], ("entry_ts", "entry_id")).drop("pos")
+    att = fanout_visible_keys(top, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+    return feed_top_n(att.select("uid", "entry_id", "doc", "ts", "topic"), n, ("ts", "entry_id"))
 
 
 def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
               ttl_seconds: int = SEEN_TTL_SECONDS, bounded: str | bool = "auto",
               strategy: str = "auto") -> DataFrame:
-    """-> uid, pos, entry_id, doc, ts (pos 1 = newest)."""
+    """-> uid, pos, entry_id, doc, ts (pos 1 = newest).
+
+    ``bounded="auto"`` (default, exact for any input): messages whose document
+    occurs once can never be duplicates, so their deliveries take the bounded
+    top-N path; only deliveries of repeated documents get epochs and
+    de-duplication. Epoch anchors come from the topic timelines
+    (``timeline_anchors``) when the messages pass the broadcast check, else
+    from a walk over all attempts.
+    ``bounded=True`` forces the bounded plan (valid only without repeats);
+    ``bounded=False`` forces the plain exact chain D2 -> F4 -> F3 -> F1.
+    """
     keys = message_keys(messages)
-    if bounded == "auto":
-        bounded = not has_repeats(keys, "doc")
-    if bounded:
-        keys = keep_last(keys, n, ["topic"], ("entry_ts", "entry_id")).drop("pos")
-    att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
-    kept = att if bounded else first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds)
-    return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
+    if bounded is True:
+        return visible_top_n(keys, subscriptions, n, strategy).drop("topic")
+    if bounded is False:
+        att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+        kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds)
+        return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
+    counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("_copies"))
+    k = keys.join(counts, "doc")
+    unique = k.where(F.col("_copies") == 1).drop("_copies")
+    repeated = k.where(F.col("_copies") > 1).drop("_copies")
+    u_feed = visible_top_n(unique, subscriptions, n, strategy).drop("pos", "topic")
+    if repeated.limit(1).count() == 0:  # no document repeats: nothing to de-duplicate
+        return feed_top_n(u_feed, n, ("ts", "entry_id"))
+    r_att = fanout_visible_keys(repeated, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+    anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds)
+    if anchors is None:  # timelines too big to broadcast: walk all attempts
+        all_att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+        anchors = epoch_anchors(all_att, "uid", "ts", ttl_seconds)
+    r_kept = first_seen_dedup(r_att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
+    r_feed = feed_top_n(r_kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id")).drop("pos")
+    return feed_top_n(u_feed.unionByName(r_feed), n, ("ts", "entry_id"))
 
 
 def feed_with_payload(feed: DataFrame, messages: DataFrame) -> DataFrame:

@@ -295,3 +295,42 @@ def test_latency_buckets_cumulative(spark):
     s = spark.createDataFrame([("a", 0.00004), ("a", 0.003), ("a", 2.0)], "series string, seconds double")
     h = {r.le: r.cum_count for r in C.latency_histogram(s).collect()}
     assert h[0.00005] == 1 and h[0.005] == 2 and h[1.0] == 2 and h[float("inf")] == 3
+
+
+# --- timeline anchors = anchors walked over the attempts --------------------------------------
+def test_timeline_anchors_equal_attempt_walk(spark):
+    from feedspark.operators.dedup import epoch_anchors, timeline_anchors
+    from feedspark.operators.fanout import fanout_visible_keys
+
+    rnd = random.Random(21)
+    topics = ["politics", "business", "sports", "health"]
+    msgs = [(f"{i}-0", T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 8)), str(i % 50),
+             rnd.choice(topics[:3])) for i in range(400)]   # 'health' has no messages
+    subs = [(u, T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 6)), t) for u in range(30) for t in topics
+            if rnd.random() < 0.5]                           # created time differs per topic
+    m = spark.createDataFrame(msgs, "entry_id string, entry_ts timestamp, doc string, topic string")
+    s = spark.createDataFrame(subs, "uid long, created_ts timestamp, topic string")
+    att = fanout_visible_keys(m, s).withColumnRenamed("entry_ts", "ts")
+    walked = {tuple(r) for r in epoch_anchors(att).collect()}
+    timeline = {tuple(r) for r in timeline_anchors(m.select("topic", "entry_ts"), s).collect()}
+    assert timeline == walked and len(walked) > 0
+
+
+def test_hybrid_feed_equals_plain_chain_with_repeats(spark):
+    rnd = random.Random(4)
+    topics = ["politics", "business", "sports"]
+    msgs = []
+    for i in range(250):
+        ts = T0 + dt.timedelta(minutes=9 * i)
+        tp = topics[rnd.randint(0, 2)]
+        msgs.append((f"{i}-0", ts, str(i), tp))
+        if i % 4 == 0:   # re-ingested copies: same doc 6 h and 30 h later
+            msgs.append((f"{i}-1", ts + 6 * H, str(i), tp))
+            msgs.append((f"{i}-2", ts + 30 * H, str(i), tp))
+    subs = [(u, T0 + dt.timedelta(minutes=rnd.randint(0, 1500)), t) for u in range(40) for t in topics
+            if rnd.random() < 0.6]
+    m = spark.createDataFrame(msgs, "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame(subs, "uid long, created_ts timestamp, topic string")
+    a = {tuple(r) for r in user_feed(m, s, n=15).select("uid", "entry_id", "pos").collect()}
+    b = {tuple(r) for r in user_feed(m, s, n=15, bounded=False).select("uid", "entry_id", "pos").collect()}
+    assert a == b and len(a) > 0
