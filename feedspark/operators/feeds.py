@@ -49,8 +49,10 @@ def tail_after_cursor(log: DataFrame, cursors: DataFrame, keys: list[str]) -> Da
     ms, seq = parse_entry_id("entry_id"), entry_seq("entry_id")
     d = log.select("*", ms.alias("_ms"), seq.alias("_seq")).join(c, keys)
     after = d.where((F.col("_ms") > F.col("_cms")) | ((F.col("_ms") == F.col("_cms")) & (F.col("_seq") > F.col("_cseq"))))
-    w = Window.partitionBy(*keys).orderBy("_ms", "_seq")
-    return after.withColumn("tail_pos", F.row_number().over(w)).drop("_ms", "_seq", "_cms", "_cseq")
+    # numbered per (key, day) chunk plus offsets: a long tail of one topic is not one task
+    chunk = F.floor(F.col("_ms") / 86_400_000)
+    r = chunked_row_number(after, keys, chunk, ["_ms", "_seq"], out="tail_pos")
+    return r.drop("_ms", "_seq", "_cms", "_cseq")
 
 
 def fifo_consume(feed: DataFrame, pops: DataFrame) -> DataFrame:

@@ -334,3 +334,20 @@ def test_hybrid_feed_equals_plain_chain_with_repeats(spark):
     a = {tuple(r) for r in user_feed(m, s, n=15).select("uid", "entry_id", "pos").collect()}
     b = {tuple(r) for r in user_feed(m, s, n=15, bounded=False).select("uid", "entry_id", "pos").collect()}
     assert a == b and len(a) > 0
+
+
+@pytest.mark.parametrize("strategy", ["salted", "shuffle"])
+def test_fanout_strategies_agree(spark, strategy):
+    from feedspark.operators.fanout import fanout_join, fanout_visible
+
+    rnd = random.Random(9)
+    topics = ["politics", "business", "sports"]
+    msgs = [(f"{i}-0", T0 + dt.timedelta(minutes=5 * i), str(i), rnd.choice(topics)) for i in range(120)]
+    subs = [(u, T0 + dt.timedelta(minutes=rnd.randint(0, 600)), t) for u in range(25) for t in topics
+            if rnd.random() < 0.5]
+    m = spark.createDataFrame(msgs, "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame(subs, "uid long, created_ts timestamp, topic string")
+    for op in (fanout_join, fanout_visible):
+        base = {tuple(r) for r in op(m, s, strategy="broadcast").collect()}
+        other = {tuple(r) for r in op(m, s, strategy=strategy, salts=7).collect()}
+        assert base == other and len(base) > 0
