@@ -22,7 +22,8 @@ def keep_last(log: DataFrame, n: int, keys, order=("entry_ts", "entry_id"),
               pos_col: str = "pos") -> DataFrame:
     """Newest ``n`` rows per key; ``pos`` 1 = newest."""
     w = Window.partitionBy(*keys).orderBy(*_desc(order))
-    return log.withColumn(pos_col, F.row_number().over(w)).where(F.col(pos_col) <= n)
+    kept = log.withColumn(pos_col, F.row_number().over(w)).where(F.col(pos_col) <= n)
+    return kept.withColumn(pos_col, F.col(pos_col).cast("bigint"))  # after the filter: keeps WindowGroupLimit
 
 
 def feed_top_n(deliveries: DataFrame, n: int = FEED_CAP, order=("ts", "entry_id")) -> DataFrame:

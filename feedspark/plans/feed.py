@@ -25,6 +25,7 @@ from ..constants import FEED_CAP, SEEN_TTL_SECONDS
 from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
 from ..operators.fanout import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
+from ..session import checkpoint_dir
 
 
 def visible_top_n(keys: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
@@ -62,7 +63,11 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
         kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds)
         return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
     counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("_copies"))
-    k = keys.join(counts, "doc")
+    # the key-only messages feed five branches below: write them once to the
+    # shared checkpoint folder (spark.checkpoint.dir) and cut the lineage
+    checkpoint_dir(messages.sparkSession)
+    k = keys.join(counts, "doc").checkpoint()
+    keys = k.drop("_copies")
     unique = k.where(F.col("_copies") == 1).drop("_copies")
     repeated = k.where(F.col("_copies") > 1).drop("_copies")
     u_feed = visible_top_n(unique, subscriptions, n, strategy).drop("pos", "topic")
