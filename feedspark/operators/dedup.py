@@ -157,9 +157,9 @@ def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
 
     Every attempt lies in exactly one [anchor, anchor + ttl). A life spans at
     most two ttl-wide buckets, so the anchors (a small table: one row per
-    user-epoch) are exploded to their buckets and equi-joined on
+    user-epoch) are exploded to their buckets and hash-joined on
     ``(uid, bucket)``; the attempts keep their ``uid`` partitioning and are
-    not shuffled again. ``anchors`` (uid, anchor_us) may be given when they
+    neither shuffled nor sorted for it. ``anchors`` (uid, anchor_us) may be given when they
     were computed from a superset of ``df`` (see ``timeline_anchors``).
     """
     ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
@@ -169,7 +169,7 @@ def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
         F.col(uid_col).alias("_a_uid"), "anchor_us",
         F.explode(F.sequence(F.floor(F.col("anchor_us") / ttl_us),
                              F.floor((F.col("anchor_us") + (ttl_us - 1)) / ttl_us))).alias("_bucket"),
-    )
+    ).hint("shuffle_hash")  # hash the anchors (one row per user-life and bucket); no sort of the attempts
     ts_us = F.unix_micros(F.col(ts_col).cast("timestamp"))
     d = df.select("*", ts_us.alias("_ts_us"), F.floor(ts_us / ttl_us).alias("_bucket"))
     j = d.join(a, (d[uid_col] == a["_a_uid"]) & (d["_bucket"] == a["_bucket"])
