@@ -40,12 +40,21 @@ def range_steps(samples: DataFrame, ts: str = "ts", range_: str = "6 hours", ste
     return e.select(*samples.columns, F.timestamp_micros(F.col("_k") * s_us).alias("t"))
 
 
-def counter_delta(samples: DataFrame, key: str = "series", ts: str = "ts", value: str = "value") -> DataFrame:
+def counter_delta(samples: DataFrame, key: str = "series", ts: str = "ts", value: str = "value",
+                  on_reset: str = "drop") -> DataFrame:
     """increase since the previous sample of the series; the first sample counts
-    in full; a negative difference is ignored (0) and the baseline moves."""
+    in full. On a reset (negative difference) ``on_reset='drop'`` ignores the
+    sample (0, the baseline moves, as the exporter does); ``'count'`` counts the
+    new value (the range-increase rule of H1)."""
     w = Window.partitionBy(key).orderBy(ts)
-    prev = F.lag(value).over(w)
-    return samples.withColumn("delta", F.greatest(F.col(value) - F.coalesce(prev, F.lit(0)), F.lit(0)))
+    diff = F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))
+    if on_reset == "drop":
+        delta = F.greatest(diff, F.lit(0))
+    elif on_reset == "count":
+        delta = F.when(diff >= 0, diff).otherwise(F.col(value))
+    else:
+        raise ValueError(f"on_reset must be 'drop' or 'count', not {on_reset!r}")
+    return samples.withColumn("delta", delta)
 
 
 def _increments(samples: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:

@@ -185,6 +185,7 @@ def test_counter_reset_delta_vs_increase(spark):
     s = spark.createDataFrame([("c", T0 + 19 * H, 5), ("c", T0 + 20 * H, 8), ("c", T0 + 21 * H, 2)],
                               "series string, ts timestamp, value long")
     assert [r.delta for r in MX.counter_delta(s).orderBy("ts").collect()] == [5, 3, 0]
+    assert [r.delta for r in MX.counter_delta(s, on_reset="count").orderBy("ts").collect()] == [5, 3, 2]
     r = MX.rate(s, "6 hours", "1 day").first()
     assert r.rate == pytest.approx((3 + 2) / 21600)
 
