@@ -69,8 +69,11 @@ def fanout_visible_keys(keys: DataFrame, subs: DataFrame, strategy: str = "auto"
 
 
 def dedupe_unseen(deliveries: DataFrame, seen: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """D3: drop deliveries whose document is already in the user's seen set."""
-    s = seen.select("uid", F.col("doc_id").alias(doc_col)).distinct()
+    """D3: drop deliveries whose document is already in the user's seen set.
+
+    The seen set is partitioned by ``uid`` like the deliveries, so the anti
+    join does not move the (much larger) deliveries."""
+    s = seen.select("uid", F.col("doc_id").alias(doc_col)).repartition("uid").distinct()
     return deliveries.join(s, ["uid", doc_col], "left_anti")
 
 

@@ -45,18 +45,18 @@ def base_articles(t: Tables) -> DataFrame:
 
 
 def articles(t: Tables) -> DataFrame:
-    """Articles plus re-ingested copies 6 h and 30 h later; some ids empty."""
+    """Articles plus re-ingested copies 6 h and 30 h later; some ids empty.
+
+    One pass over the documents: each article explodes into its copies
+    (copy 1 when doc_id % 20 = 0, copy 2 when doc_id % 30 = 0).
+    """
     b = base_articles(t)
-    parts = [
-        b.select("*", F.lit(0).alias("copy"), F.col("ts0").alias("entry_ts")),
-        b.where(F.col("doc_id") % 20 == 0).select(
-            "*", F.lit(1).alias("copy"),
-            (F.col("ts0") + F.expr("INTERVAL 6 HOURS")).alias("entry_ts")),
-        b.where(F.col("doc_id") % 30 == 0).select(
-            "*", F.lit(2).alias("copy"),
-            (F.col("ts0") + F.expr("INTERVAL 30 HOURS")).alias("entry_ts")),
-    ]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    doc = F.col("doc_id")
+    copies = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
+                      lambda c: (c == 0) | ((c == 1) & (doc % 20 == 0)) | ((c == 2) & (doc % 30 == 0)))
+    u = b.select("*", F.explode(copies).alias("copy"))
+    u = u.withColumn("entry_ts", F.col("ts0") + F.when(F.col("copy") == 1, F.expr("INTERVAL 6 HOURS"))
+                     .when(F.col("copy") == 2, F.expr("INTERVAL 30 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")))
     return u.select(
         F.concat(F.unix_millis("entry_ts").cast("string"), F.lit("-"),
                  F.col("copy").cast("string")).alias("entry_id"),
