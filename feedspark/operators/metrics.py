@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LATENCY_BOUNDS
+from ..plans.ordering import chunked_lag
 from .counters import latency_histogram
 
 
@@ -46,15 +47,17 @@ def counter_delta(samples: DataFrame, key: str = "series", ts: str = "ts", value
     in full. On a reset (negative difference) ``on_reset='drop'`` ignores the
     sample (0, the baseline moves, as the exporter does); ``'count'`` counts the
     new value (the range-increase rule of H1)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    diff = F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))
+    # lag per (series, day) chunk plus the previous chunk's last value: a long,
+    # dense series is not one task
+    d = chunked_lag(samples, [key], F.to_date(F.col(ts)), [ts], value, out="_prev")
+    diff = F.col(value) - F.coalesce(F.col("_prev"), F.lit(0))
     if on_reset == "drop":
         delta = F.greatest(diff, F.lit(0))
     elif on_reset == "count":
         delta = F.when(diff >= 0, diff).otherwise(F.col(value))
     else:
         raise ValueError(f"on_reset must be 'drop' or 'count', not {on_reset!r}")
-    return samples.withColumn("delta", delta)
+    return d.withColumn("delta", delta).drop("_prev")
 
 
 def _increments(samples: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:

@@ -63,3 +63,22 @@ def chunked_running_sum(df: DataFrame, keys: list[str], chunk: Column, order: li
     offs = _chunk_offsets(d, keys, F.col("_v"))
     j = local.join(offs, [*keys, "_chunk"])
     return j.withColumn(out, F.col("_off") + F.col("_local")).drop("_chunk", "_v", "_local", "_off", "_total")
+
+
+def chunked_lag(df: DataFrame, keys: list[str], chunk: Column, order: list, value: str,
+                out: str = "prev") -> DataFrame:
+    """``lag(value) OVER (PARTITION BY keys ORDER BY order)``, computed per chunk.
+
+    Inside a chunk it is a plain ``lag``; the first row of a chunk takes the
+    last value of the closest earlier chunk, looked up in a small table with
+    one row per (keys, chunk).
+    """
+    d = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order))
+    local = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = d.groupBy(*keys, "_chunk").agg(F.max_by(value, F.struct(*_cols(order))).alias("_last"))
+    prev_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = last.select(*keys, "_chunk", F.lag("_last").over(prev_chunk).alias("_carry"))
+    j = local.join(carry, [*keys, "_chunk"])
+    return j.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
+        "_chunk", "_lag", "_carry", "_first")

@@ -352,3 +352,16 @@ def test_fanout_strategies_agree(spark, strategy):
         base = {tuple(r) for r in op(m, s, strategy="broadcast").collect()}
         other = {tuple(r) for r in op(m, s, strategy=strategy, salts=7).collect()}
         assert base == other and len(base) > 0
+
+
+def test_chunked_lag_equals_lag(spark):
+    from feedspark.plans.ordering import chunked_lag
+
+    rnd = random.Random(13)
+    rows = [(rnd.randint(0, 2), T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 20)), i, rnd.randint(0, 99))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, id long, v int")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    plain = {(r.id, r.p) for r in df.select("id", F.lag("v").over(w).alias("p")).collect()}
+    got = {(r.id, r.p) for r in chunked_lag(df, ["k"], F.to_date("ts"), ["ts", "id"], "v", out="p").collect()}
+    assert got == plain
