@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..oracle import with_views
 from ..operators.dedup import anchored_ttl_epochs, first_seen_dedup
-from ..operators.fanout import dedupe_unseen, fanout_join, fanout_visible, message_keys, unsubscribed_topics
+from ..operators.fan_out import dedupe_unseen, fanout_join, fanout_visible, message_keys, unsubscribed_topics
 from ..plans.feed import user_feed, visible_top_n
 from ..sources import fixtures as fx
 from . import register

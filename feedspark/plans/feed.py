@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FEED_CAP, SEEN_TTL_SECONDS
 from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
-from ..operators.fanout import fanout_visible_keys, message_keys
+from ..operators.fan_out import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
 from ..session import checkpoint_dir
 

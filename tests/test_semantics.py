@@ -301,7 +301,7 @@ def test_latency_buckets_cumulative(spark):
 # --- timeline anchors = anchors walked over the attempts --------------------------------------
 def test_timeline_anchors_equal_attempt_walk(spark):
     from feedspark.operators.dedup import epoch_anchors, timeline_anchors
-    from feedspark.operators.fanout import fanout_visible_keys
+    from feedspark.operators.fan_out import fanout_visible_keys
 
     rnd = random.Random(21)
     topics = ["politics", "business", "sports", "health"]
@@ -339,7 +339,7 @@ def test_hybrid_feed_equals_plain_chain_with_repeats(spark):
 
 @pytest.mark.parametrize("strategy", ["salted", "shuffle"])
 def test_fanout_strategies_agree(spark, strategy):
-    from feedspark.operators.fanout import fanout_join, fanout_visible
+    from feedspark.operators.fan_out import fanout_join, fanout_visible
 
     rnd = random.Random(9)
     topics = ["politics", "business", "sports"]
