@@ -87,7 +87,7 @@ def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
 
 
 def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
-                     max_rows: int | None = None) -> DataFrame | None:
+                     max_rows: int | None = None, emit_from_us: int | None = None) -> DataFrame | None:
     """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
 
     A user's attempt times are the message times of each subscribed topic from
@@ -96,7 +96,8 @@ def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int
     ``searchsorted`` per topic per epoch. The timelines (timestamps only) are
     broadcast, so this applies only when the messages pass the same row check
     as a broadcast join; otherwise None is returned and the caller walks the
-    attempts instead.
+    attempts instead. ``emit_from_us`` drops anchors older than it from the
+    output (the walk itself always starts at each user's first attempt).
     """
     from ..plans.strategy import BROADCAST_MAX_ROWS
 
@@ -118,6 +119,7 @@ def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int
                          *[F.col(f"`{tp}`").alias(c) for tp, c in zip(topics, cols)])
     ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
     never = np.iinfo(np.int64).max // 4
+    floor_us = np.iinfo(np.int64).min // 4 if emit_from_us is None else int(emit_from_us)
 
     def walk(batches):
         tl = bc.value
@@ -141,8 +143,9 @@ def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int
                     best = np.minimum(best, cand)
                 found = best < never
                 live, best = live[found], best[found]
-                out_u.append(uid[live])
-                out_a.append(best)
+                emit = best >= floor_us
+                out_u.append(uid[live][emit])
+                out_a.append(best[emit])
                 x[live] = best + ttl_us
             yield pd.DataFrame({"uid": np.concatenate(out_u) if out_u else np.empty(0, np.int64),
                                 "anchor_us": np.concatenate(out_a) if out_a else np.empty(0, np.int64)})

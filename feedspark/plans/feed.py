@@ -4,16 +4,14 @@ Semantics: visible fan-out (D2) -> anchored TTL epochs (F4) -> first-seen
 de-duplication (F3) -> newest N per user (F1). Only key columns travel; the
 payload is joined back at output time.
 
-Plan (exact for any input):
-* a document that occurs in one message only can never be a duplicate, so
-  those deliveries need no epochs: each topic is cut to its newest N messages
-  before the join (a user's newest N of a union of topics lies in the union
-  of each topic's newest N, and what a user sees of a topic is a time
-  suffix), shrinking the join to topics x N rows;
-* deliveries of repeated documents take the full chain; their epoch anchors
-  are walked per user against broadcast topic timelines instead of over all
-  attempts;
-* the two partial feeds are merged by a last top-N per user.
+Plan (exact for any input, see ``feed_candidates``): only the messages that
+can reach some user's newest N are fanned out: per topic the window down to
+the N-th newest message that cannot be a duplicate, plus the earlier copies
+that decide the possible duplicates in it. Their deliveries get epochs, whose
+anchors are walked per user against broadcast topic timelines of all
+messages, then first-seen de-duplication and the newest N per user. The
+join input is about topics x (N + possible duplicates) messages whatever the
+length of the logs.
 """
 
 from __future__ import annotations
@@ -21,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FEED_CAP, SEEN_TTL_SECONDS
+from ..constants import FEED_CAP, MICROS_PER_SECOND, SEEN_TTL_SECONDS
 from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
 from ..operators.fan_out import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
 from ..session import checkpoint_dir
+from .ordering import chunked_lag
 
 
 def visible_top_n(keys: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
@@ -41,18 +40,46 @@ def visible_top_n(keys: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     return feed_top_n(att.select("uid", "entry_id", "doc", "ts", "topic"), n, ("ts", "entry_id"))
 
 
+def feed_candidates(keys: DataFrame, n: int = FEED_CAP, ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
+    """The messages that can matter for any user's newest ``n`` kept deliveries.
+
+    A message is *possibly a duplicate* only if its document has an earlier
+    copy less than ``ttl`` before it: a seen-set life is shorter than ``ttl``,
+    so any other message is kept for every user who sees it. Per topic, a
+    user's newest ``n`` kept lie at or after the ``n``-th newest message that is
+    not possibly a duplicate (those are all kept, and visibility keeps a time
+    suffix). Candidates = that window of every topic, plus the earlier copies
+    (less than ``ttl`` before) of the possible duplicates in it, which decide
+    whether those are duplicates. Exact for any input.
+    """
+    ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
+    us = F.unix_micros("entry_ts")
+    prev = chunked_lag(keys.withColumn("_us", us), ["doc"], F.floor(F.col("_us") / ttl_us),
+                       ["_us", "entry_id"], "_us", out="_prev_us")
+    m = prev.withColumn("_maybe_dup", F.col("_prev_us").isNotNull() & (F.col("_us") - F.col("_prev_us") < ttl_us))
+    sure = keep_last(m.where(~F.col("_maybe_dup")), n, ["topic"], ("entry_ts", "entry_id"))
+    cut = sure.groupBy("topic").agg(F.min(F.struct("_us", "entry_id")).alias("_cut"),
+                                    F.count(F.lit(1)).alias("_n_sure"))
+    w = m.join(cut, "topic", "left").where(
+        F.col("_cut").isNull() | (F.col("_n_sure") < n) | (F.struct("_us", "entry_id") >= F.col("_cut")))
+    dup_docs = w.where("_maybe_dup").groupBy("doc").agg(F.min("_us").alias("_first_dup_us"))
+    earlier = m.join(dup_docs, "doc").where(F.col("_us") >= F.col("_first_dup_us") - ttl_us)
+    cols = ["entry_id", "entry_ts", "doc", "topic"]
+    return w.select(*cols).unionByName(earlier.select(*cols)).distinct()
+
+
 def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
               ttl_seconds: int = SEEN_TTL_SECONDS, bounded: str | bool = "auto",
               strategy: str = "auto") -> DataFrame:
     """-> uid, pos, entry_id, doc, ts (pos 1 = newest).
 
-    ``bounded="auto"`` (default, exact for any input): messages whose document
-    occurs once can never be duplicates, so their deliveries take the bounded
-    top-N path; only deliveries of repeated documents get epochs and
-    de-duplication. Epoch anchors come from the topic timelines
-    (``timeline_anchors``) when the messages pass the broadcast check, else
-    from a walk over all attempts.
-    ``bounded=True`` forces the bounded plan (valid only without repeats);
+    ``bounded="auto"`` (default, exact for any input): only ``feed_candidates``
+    are fanned out (about topics x (n + possible duplicates) messages); their
+    deliveries get epochs and first-seen de-duplication, then the newest ``n``
+    per user. Epoch anchors come from the topic timelines of *all* messages
+    (``timeline_anchors``) when they pass the broadcast check, else from a
+    walk over all attempts.
+    ``bounded=True`` forces the no-dedup bounded plan (valid only without repeats);
     ``bounded=False`` forces the plain exact chain D2 -> F4 -> F3 -> F1.
     """
     keys = message_keys(messages)
@@ -62,25 +89,20 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
         att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
         kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds)
         return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
-    counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("_copies"))
-    # the key-only messages feed five branches below: write them once to the
+    # the key-only messages feed several branches below: write them once to the
     # shared checkpoint folder (spark.checkpoint.dir) and cut the lineage
     checkpoint_dir(messages.sparkSession)
-    k = keys.join(counts, "doc").checkpoint()
-    keys = k.drop("_copies")
-    unique = k.where(F.col("_copies") == 1).drop("_copies")
-    repeated = k.where(F.col("_copies") > 1).drop("_copies")
-    u_feed = visible_top_n(unique, subscriptions, n, strategy).drop("pos", "topic")
-    if repeated.limit(1).count() == 0:  # no document repeats: nothing to de-duplicate
-        return feed_top_n(u_feed, n, ("ts", "entry_id"))
-    r_att = fanout_visible_keys(repeated, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
-    anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds)
+    keys = keys.checkpoint()
+    cand = feed_candidates(keys, n, ttl_seconds).checkpoint()
+    att = fanout_visible_keys(cand, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+    lo = cand.agg(F.min("entry_ts")).first()[0]  # one row: older lives cannot hold a candidate
+    from_us = None if lo is None else int(lo.timestamp() * 1_000_000) - int(ttl_seconds) * MICROS_PER_SECOND
+    anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds, emit_from_us=from_us)
     if anchors is None:  # timelines too big to broadcast: walk all attempts
         all_att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
         anchors = epoch_anchors(all_att, "uid", "ts", ttl_seconds)
-    r_kept = first_seen_dedup(r_att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
-    r_feed = feed_top_n(r_kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id")).drop("pos")
-    return feed_top_n(u_feed.unionByName(r_feed), n, ("ts", "entry_id"))
+    kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
+    return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
 
 
 def feed_with_payload(feed: DataFrame, messages: DataFrame) -> DataFrame:

@@ -365,3 +365,25 @@ def test_chunked_lag_equals_lag(spark):
     plain = {(r.id, r.p) for r in df.select("id", F.lag("v").over(w).alias("p")).collect()}
     got = {(r.id, r.p) for r in chunked_lag(df, ["k"], F.to_date("ts"), ["ts", "id"], "v", out="p").collect()}
     assert got == plain
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_candidate_window_feed_equals_plain_chain(spark, seed):
+    """Many copies at random gaps (minutes to days), copies across topics, small N."""
+    rnd = random.Random(seed)
+    topics = ["politics", "business", "sports", "health"]
+    msgs, i = [], 0
+    for d in range(120):
+        base = T0 + dt.timedelta(minutes=23 * d)
+        for c in range(rnd.choice([1, 1, 1, 2, 3, 5])):
+            gap = dt.timedelta(minutes=rnd.choice([0, 7, 90, 60 * 23, 60 * 24, 60 * 25, 60 * 50]) * c)
+            msgs.append((f"{i}-{c}", base + gap, str(d), rnd.choice(topics)))
+            i += 1
+    subs = [(u, T0 + dt.timedelta(minutes=rnd.randint(0, 3000)), t) for u in range(30) for t in topics
+            if rnd.random() < 0.5]
+    m = spark.createDataFrame(msgs, "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame(subs, "uid long, created_ts timestamp, topic string")
+    for n in (3, 10):
+        a = {tuple(r) for r in user_feed(m, s, n=n).select("uid", "entry_id", "pos").collect()}
+        b = {tuple(r) for r in user_feed(m, s, n=n, bounded=False).select("uid", "entry_id", "pos").collect()}
+        assert a == b and len(a) > 0
