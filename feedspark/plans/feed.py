@@ -109,7 +109,3 @@ def feed_with_payload(feed: DataFrame, messages: DataFrame) -> DataFrame:
     """Late payload join: title and body only for the rows that survived."""
     payload = messages.select("entry_id", "title", "text", "topic")
     return feed.join(payload, "entry_id")
-
-
-def feed_counts(feed: DataFrame) -> DataFrame:
-    return feed.groupBy("uid").agg(F.count("*").alias("feed_len"))

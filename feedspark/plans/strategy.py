@@ -17,8 +17,3 @@ BROADCAST_MAX_ROWS = 2_000_000
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has no more than ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
-
-
-def has_repeats(df: DataFrame, key: str) -> bool:
-    """True when some value of ``key`` occurs more than once."""
-    return len(df.groupBy(key).count().where("count > 1").limit(1).collect()) > 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FIXTURE_EPOCH_US, MICROS_PER_HOUR, MICROS_PER_MINUTE, TOPICS
+from ..constants import FIXTURE_EPOCH_US, MICROS_PER_MINUTE, TOPICS
 from .tables import Tables
 
 
