@@ -103,14 +103,12 @@ def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int
 
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     times = message_times.select("topic", F.unix_micros("entry_ts").alias("us"))
-    rows = times.limit(max_rows + 1).collect()  # size check and fetch in one job
-    if len(rows) > max_rows:
+    pdf = times.limit(max_rows + 1).toPandas()  # size check and fetch in one job (Arrow)
+    if len(pdf) > max_rows:
         return None
-    by_topic: dict[str, list[int]] = {}
-    for r in rows:
-        by_topic.setdefault(r.topic, []).append(r.us)
-    topics = sorted(by_topic)
-    arrays = [np.unique(np.asarray(by_topic[tp], dtype=np.int64)) for tp in topics]
+    groups = {tp: g["us"].to_numpy(dtype=np.int64) for tp, g in pdf.groupby("topic", sort=True)}
+    topics = sorted(groups)
+    arrays = [np.unique(groups[tp]) for tp in topics]
     bc = subs.sparkSession.sparkContext.broadcast(arrays)
     cols = [f"_t{i}" for i in range(len(topics))]
     users = (subs.select("uid", "topic", F.unix_micros(F.col("created_ts").cast("timestamp")).alias("_c"))
