@@ -102,7 +102,9 @@ def _islands(clicks: DataFrame, uid: str, tag: str, order=("ts", "event_id")) ->
     n = chunked_row_number(clicks, [uid], day, list(order), out="_n")
     m = chunked_row_number(n, [uid, tag], day, list(order), out="_m")
     g = m.withColumn("_grp", F.col("_n") - F.col("_m"))
-    return chunked_row_number(g, [uid, tag, "_grp"], day, list(order), out="_p")
+    # position inside the run = n - (first n of the run) + 1 (a partial aggregate, not a window)
+    first = g.groupBy(uid, tag, "_grp").agg(F.min("_n").alias("_n0"))
+    return g.join(first, [uid, tag, "_grp"]).withColumn("_p", F.col("_n") - F.col("_n0") + 1).drop("_n0")
 
 
 def toggle_topic(clicks: DataFrame, uid: str = "uid", tag: str = "tag",
