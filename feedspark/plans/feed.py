@@ -65,7 +65,10 @@ def feed_candidates(keys: DataFrame, n: int = FEED_CAP, ttl_seconds: int = SEEN_
     dup_docs = w.where("_maybe_dup").groupBy("doc").agg(F.min("_us").alias("_first_dup_us"))
     earlier = m.join(dup_docs, "doc").where(F.col("_us") >= F.col("_first_dup_us") - ttl_us)
     cols = ["entry_id", "entry_ts", "doc", "topic"]
-    return w.select(*cols).unionByName(earlier.select(*cols)).distinct()
+    both = w.select(*cols).unionByName(earlier.select(*cols)).distinct()
+    # documents whose deliveries need epochs and de-duplication; all others are kept
+    return both.join(dup_docs.select("doc", F.lit(True).alias("_dedup")), "doc", "left").select(
+        *cols, F.coalesce("_dedup", F.lit(False)).alias("needs_dedup"))
 
 
 def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
@@ -74,9 +77,10 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     """-> uid, pos, entry_id, doc, ts (pos 1 = newest).
 
     ``bounded="auto"`` (default, exact for any input): only ``feed_candidates``
-    are fanned out (about topics x (n + possible duplicates) messages); their
-    deliveries get epochs and first-seen de-duplication, then the newest ``n``
-    per user. Epoch anchors come from the topic timelines of *all* messages
+    are fanned out (about topics x (n + possible duplicates) messages); the
+    deliveries of documents with a possible duplicate get epochs and first-seen
+    de-duplication, all others are kept as they are; then the newest ``n`` per
+    user. Epoch anchors come from the topic timelines of *all* messages
     (``timeline_anchors``) when they pass the broadcast check, else from a
     walk over all attempts.
     ``bounded=True`` forces the no-dedup bounded plan (valid only without repeats);
@@ -94,15 +98,21 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     checkpoint_dir(messages.sparkSession)
     keys = keys.checkpoint()
     cand = feed_candidates(keys, n, ttl_seconds).checkpoint()
-    att = fanout_visible_keys(cand, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
-    lo = cand.agg(F.min("entry_ts")).first()[0]  # one row: older lives cannot hold a candidate
-    from_us = None if lo is None else int(lo.timestamp() * 1_000_000) - int(ttl_seconds) * MICROS_PER_SECOND
+    cols = ["uid", "entry_id", "doc", "ts"]
+    sure = fanout_visible_keys(cand.where(~F.col("needs_dedup")).drop("needs_dedup"), subscriptions, strategy)
+    sure = sure.withColumnRenamed("entry_ts", "ts").select(*cols)
+    dedup_msgs = cand.where(F.col("needs_dedup")).drop("needs_dedup")
+    lo = dedup_msgs.agg(F.min("entry_ts")).first()[0]  # one row; None: nothing to de-duplicate
+    if lo is None:
+        return feed_top_n(sure, n, ("ts", "entry_id"))
+    att = fanout_visible_keys(dedup_msgs, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
+    from_us = int(lo.timestamp() * 1_000_000) - int(ttl_seconds) * MICROS_PER_SECOND  # older lives hold none
     anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds, emit_from_us=from_us)
     if anchors is None:  # timelines too big to broadcast: walk all attempts
         all_att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
         anchors = epoch_anchors(all_att, "uid", "ts", ttl_seconds)
     kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
-    return feed_top_n(kept.select("uid", "entry_id", "doc", "ts"), n, ("ts", "entry_id"))
+    return feed_top_n(sure.unionByName(kept.select(*cols)), n, ("ts", "entry_id"))
 
 
 def feed_with_payload(feed: DataFrame, messages: DataFrame) -> DataFrame:
