@@ -387,3 +387,20 @@ def test_candidate_window_feed_equals_plain_chain(spark, seed):
         a = {tuple(r) for r in user_feed(m, s, n=n).select("uid", "entry_id", "pos").collect()}
         b = {tuple(r) for r in user_feed(m, s, n=n, bounded=False).select("uid", "entry_id", "pos").collect()}
         assert a == b and len(a) > 0
+
+
+def test_push_counts_equal_join_counts(spark):
+    from feedspark.operators.fan_out import fanout_visible, visible_push_counts
+
+    rnd = random.Random(17)
+    topics = ["politics", "business", "sports"]
+    msgs = [(f"{i}-0", T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 4)), str(i), rnd.choice(topics))
+            for i in range(150)]
+    subs = [(u, T0 + dt.timedelta(minutes=rnd.choice([0, 60 * 24, 60 * 30, rnd.randint(0, 60 * 24 * 4)])), t)
+            for u in range(40) for t in topics if rnd.random() < 0.5]
+    m = spark.createDataFrame(msgs, "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame(subs, "uid long, created_ts timestamp, topic string")
+    joined = {r.entry_id: r["count"] for r in fanout_visible(m, s).groupBy("entry_id").count().collect()}
+    counted = {r.entry_id: r.pushes for r in visible_push_counts(m, s).collect()}
+    assert {k: v for k, v in counted.items() if v} == joined
+    assert set(counted) == {r[0] for r in msgs}
