@@ -45,3 +45,42 @@ def test_fanout_sees_subscribers_added_between_batches(spark):
     J.stream_fanout(spark, src, schema, subs, sink, ckpt)
     got = {(r.uid, r.entry_id) for r in spark.read.parquet(sink).collect()}
     assert got == {(1, "1-0"), (1, "2-0"), (2, "2-0")}
+
+
+class _FakeState:
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_state_function_arrival_order_and_lives():
+    import pandas as pd
+
+    H = 3600 * 1_000_000
+    fn = J._dedup_feed_fn(24 * H, cap=3)
+    st = _FakeState()
+
+    def batch(rows):
+        pdf = pd.DataFrame(rows, columns=["uid", "ts_us", "event_id", "doc_id"])
+        out = next(fn((7,), iter([pdf]), st))
+        return out[out.kind == "kept"], out[out.kind == "feed"]
+
+    kept, _ = batch([(7, 0, 1, "A"), (7, 1 * H, 2, "B")])
+    assert list(kept.event_id) == [1, 2]
+    # A again in the same life: duplicate; C arrives late (before the anchor): current life, kept;
+    # A at 25 h: a new life, kept again
+    kept, feed = batch([(7, 2 * H, 3, "A"), (7, -1 * H, 4, "C"), (7, 25 * H, 5, "A")])
+    assert sorted(kept.event_id) == [4, 5]
+    assert set(kept.epoch_us) == {0, 25 * H}
+    assert list(feed.sort_values("pos").event_id) == [5, 2, 1]   # newest 3 kept, pos 1 = newest
+    assert st.get[0] == 25 * H and st.get[1] == ["A"]              # anchor and seen set of the new life
