@@ -63,14 +63,15 @@ def parse_entry_id(entry_id="entry_id") -> Column:
     return head.try_cast("bigint")
 
 
-def relative_age(entry_id="entry_id", now: str = "2024-01-20 00:00:00") -> Column:
+def relative_age(entry_id="entry_id", now: str | Column = "2024-01-20 00:00:00") -> Column:
     """B12: '<n> s ago' / '<n> m ago' / '<n> h ago' / 'dd Mon', '' for a bad id.
 
-    ``now`` is a parameter (UTC wall clock) so results repeat; integer parts
-    are truncated toward zero.
+    ``now`` is a parameter (a UTC wall-clock literal or a timestamp column) so
+    results repeat; integer parts are truncated toward zero.
     """
     ms = parse_entry_id(entry_id)
-    delta = (F.unix_micros(F.to_timestamp(F.lit(now))) - ms * 1000) / 1e6
+    now_ts = now.cast("timestamp") if isinstance(now, Column) else F.to_timestamp(F.lit(now))
+    delta = (F.unix_micros(now_ts) - ms * 1000) / 1e6
     trunc = lambda x: x.cast("bigint").cast("string")  # noqa: E731 - cast truncates toward zero
     return (
         F.when(ms.isNull(), F.lit(""))

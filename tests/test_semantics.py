@@ -404,3 +404,8 @@ def test_push_counts_equal_join_counts(spark):
     counted = {r.entry_id: r.pushes for r in visible_push_counts(m, s).collect()}
     assert {k: v for k, v in counted.items() if v} == joined
     assert set(counted) == {r[0] for r in msgs}
+
+
+def test_relative_age_now_column(spark):
+    df = spark.createDataFrame([("1705708800000-0", dt.datetime(2024, 1, 20, 0, 2))], "entry_id string, now timestamp")
+    assert df.select(M.relative_age("entry_id", F.col("now")).alias("a")).first().a == "2 m ago"
