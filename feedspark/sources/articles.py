@@ -47,6 +47,14 @@ def scan_rows_dynamic(df: DataFrame) -> DataFrame:
     return df.select(F.map_from_arrays(names, values).alias("fields"))
 
 
+def scan_rows_dynamic_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A2 over a CSV file: whatever columns the header names become the fields."""
+    r = spark.read
+    for k, v in CSV_OPTIONS.items():
+        r = r.option(k, v)
+    return scan_rows_dynamic(r.csv(path))
+
+
 def strip_text(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{STRIP_CLASS}+|{STRIP_CLASS}+$", "")
 

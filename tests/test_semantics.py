@@ -409,3 +409,13 @@ def test_push_counts_equal_join_counts(spark):
 def test_relative_age_now_column(spark):
     df = spark.createDataFrame([("1705708800000-0", dt.datetime(2024, 1, 20, 0, 2))], "entry_id string, now timestamp")
     assert df.select(M.relative_age("entry_id", F.col("now")).alias("a")).first().a == "2 m ago"
+
+
+def test_rows_dynamic_from_csv(spark):
+    from feedspark.session import scratch_path
+    from feedspark.sources.articles import scan_rows_dynamic_csv, write_articles_csv
+
+    path = scratch_path(spark, "dyn-csv")
+    write_articles_csv(spark.createDataFrame([("1", "a", "b", "x")], "id string, title string, text string, extra string"), path)
+    r = scan_rows_dynamic_csv(spark, path).first().fields
+    assert r == {"id": "1", "title": "a", "text": "b", "extra": "x"}
