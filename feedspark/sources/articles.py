@@ -36,8 +36,21 @@ def scan_articles_csv(spark: SparkSession, path: str) -> DataFrame:
     for k, v in CSV_OPTIONS.items():
         r = r.option(k, v)
     df = r.csv(path)  # no inference: every column is a string
-    topic = F.col("topic") if "topic" in df.columns else F.lit(DEFAULT_TOPIC)
-    return df.select("id", "title", "text", topic.alias("topic"))
+    # a CSV cell is always a string: an empty cell is '' (Spark would give NULL)
+    cell = lambda c: F.coalesce(F.col(c), F.lit(""))
+    topic = cell("topic") if "topic" in df.columns else F.lit(DEFAULT_TOPIC)
+    return df.select(cell("id").alias("id"), cell("title").alias("title"), cell("text").alias("text"),
+                     topic.alias("topic"))
+
+
+def articles_csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str,
+                            partitions: int | None = None) -> DataFrame:
+    """Convert an article CSV once: multi-line CSV files cannot be split, Parquet
+    can (and prunes columns). Returns the Parquet table."""
+    df = scan_articles_csv(spark, csv_path)
+    n = partitions or spark.sparkContext.defaultParallelism
+    df.repartition(n).write.mode("overwrite").parquet(parquet_path)
+    return spark.read.parquet(parquet_path)
 
 
 def scan_rows_dynamic(df: DataFrame) -> DataFrame:

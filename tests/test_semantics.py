@@ -419,3 +419,14 @@ def test_rows_dynamic_from_csv(spark):
     write_articles_csv(spark.createDataFrame([("1", "a", "b", "x")], "id string, title string, text string, extra string"), path)
     r = scan_rows_dynamic_csv(spark, path).first().fields
     assert r == {"id": "1", "title": "a", "text": "b", "extra": "x"}
+
+
+def test_csv_to_parquet_round_trip(spark):
+    from feedspark.session import scratch_path
+    from feedspark.sources.articles import articles_csv_to_parquet, write_articles_csv
+
+    rows = [("1", "t", 'a "quoted"\\nline '), ("2", " x", "")]
+    src, out = scratch_path(spark, "csv"), scratch_path(spark, "pq")
+    write_articles_csv(spark.createDataFrame(rows, "id string, title string, text string"), src)
+    got = {tuple(r) for r in articles_csv_to_parquet(spark, src, out, 2).collect()}
+    assert got == {(i, t, x, "unknown") for i, t, x in rows}
