@@ -65,7 +65,8 @@ def scan_rows_dynamic_csv(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read
     for k, v in CSV_OPTIONS.items():
         r = r.option(k, v)
-    return scan_rows_dynamic(r.csv(path))
+    df = r.csv(path)
+    return scan_rows_dynamic(df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns]))
 
 
 def strip_text(c: Column) -> Column:
