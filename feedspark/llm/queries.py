@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import line_dedup, quality_rules
+from . import line_dedup, minhash_dedup, quality_rules
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ FROM marked GROUP BY doc_id, rid
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that repeat across documents, dropped by bitmap; digest of what stays."""
     return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 4-word shingles."""
+    return minhash_dedup.near_duplicate_components(read(spark, sf_dir, "documents"))
