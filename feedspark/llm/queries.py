@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
+from . import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, suffix_dedup
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat a 50-byte string of an earlier document, removed."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
