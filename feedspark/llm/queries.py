@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, suffix_dedup
+from . import decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that repeat a 50-byte string of an earlier document, removed."""
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op1_maxent_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the base counts and under the maximum-entropy model."""
+    return maxent_lm.score_documents(read(spark, sf_dir, "documents"))
