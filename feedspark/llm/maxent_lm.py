@@ -32,7 +32,7 @@ HEAD, CLUSTERED, ANCHORS, CLUSTERS, BINS, SINGLE = 1 << 19, 1 << 15, 64, 8, 3, 2
 #: Feature templates: rows of the weights of each.
 TEMPLATES = (4096, 2048, 8192, 2048)
 ROWS = sum(TEMPLATES)
-ROUNDS, RATE, SMOOTH = 4, 0.45, 2.0
+ROUNDS, RATE, SMOOTH = 4, 0.3, 10.0
 BATCH_TOKENS, TASK_TOKENS, BLOCKS = 60_000, 2_000_000, 16
 HELD_OUT_MOD, HELD_OUT = 7, 2
 END = xxhash.xxh64_intdigest(b"\x00end of text")  # no word holds this byte sequence by itself
