@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup
+from . import decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under the base counts and under the maximum-entropy model."""
     return maxent_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT payload_bytes, sha256(b) payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN first <> page_id THEN first END refers_to
+FROM f
+"""
+
+
+@query("op2_warc", _WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    records = warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
