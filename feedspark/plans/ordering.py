@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -35,6 +37,39 @@ def _chunk_offsets(df: DataFrame, keys: list[str], value: Column | None) -> Data
     )
 
 
+def range_chunks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` cut by ``(keys, order)`` into ranges of about equal size, numbered in ``_chunk``.
+
+    The number of ranges follows the data and the shuffle partitions, not the calendar: a key that
+    holds a third of the rows lies in many ranges. The table is written, as ranges come from a sample
+    and every reader must see the same ones. ``order`` must be total up to equal rows.
+    """
+    cut = df.repartitionByRange(*_cols(keys), *_cols(order)).withColumn("_chunk", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ranges")
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums per key along ``order``: one output column per entry of ``values``.
+
+    A window runs per (keys, range); the ranges of a key add the totals of the earlier ones.
+    """
+    d = range_chunks(df.withColumns({f"_v_{k}": v for k, v in values.items()}), keys, order)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumns({f"_s_{k}": F.coalesce(F.sum(f"_v_{k}").over(w), F.lit(0)) for k in values})
+    totals = d.groupBy(*keys, "_chunk").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_chunk").alias("_k_chunk"),
+        *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values))
+    same = F.col("_chunk") == F.col("_k_chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return local.join(offsets, same).select(
+        *df.columns, *((F.col(f"_s_{k}") + F.col(f"_o_{k}")).alias(k) for k in values))
+
+
 def chunked_row_number(df: DataFrame, keys: list[str], chunk: Column, order: list,
                        out: str = "rn", total_col: str | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)``, computed per chunk.
