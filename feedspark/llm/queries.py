@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
+from . import chat_views, decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     records = warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages")), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_CHAT_SQL = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') speaker, replace(coalesce(text, ''), '<|', '<\\|') content FROM conversations),
+people AS (SELECT DISTINCT conv_id c, speaker perspective FROM said WHERE speaker <> '{chat_views.SYSTEM}'),
+views AS (SELECT *, CASE WHEN speaker = '{chat_views.SYSTEM}' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END r
+  FROM said JOIN people ON conv_id IS NOT DISTINCT FROM c),
+tagged AS (SELECT *, '<|' || r || CASE WHEN r = 'user' THEN ':' || speaker ELSE '' END || '|>' || chr(10) o FROM views),
+placed AS (SELECT *, length(o) + length(content) + {len(chat_views.END) + 1} n,
+    row_number() OVER w - 1 pos, sum(length(o) + length(content) + {len(chat_views.END) + 1}) OVER w e FROM tagged
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, pos AS position, r AS role, CASE WHEN r = 'user' THEN speaker END AS name,
+  o || content || '{chat_views.END}' || chr(10) AS segment, (e - n)::BIGINT seg_start, e::BIGINT seg_end,
+  CASE WHEN r = 'assistant' THEN e - n + length(o) END::BIGINT mask_start,
+  CASE WHEN r = 'assistant' THEN e - 1 END::BIGINT mask_end
+FROM placed
+"""
+
+
+@query("op9_chat_views", _CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's point of view, with learning masks."""
+    return chat_views.chat_views(read(spark, sf_dir, "conversations"))
