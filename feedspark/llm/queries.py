@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import chat_views, decontaminate, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
+from . import chat_views, decontaminate, html_crf, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,9 @@ FROM placed
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's point of view, with learning masks."""
     return chat_views.chat_views(read(spark, sf_dir, "conversations"))
+
+
+@query("op6_html_crf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract_pages(read(spark, sf_dir, "pages"))
