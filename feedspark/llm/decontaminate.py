@@ -220,7 +220,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, all columns as they are."""
     hits = stored(benchmark_matches(docs, benchmark, **options), "benchmark-hits")
-    hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("row_key").alias("_hit_key")).distinct()
+    hits = hits.select("doc_id", "row_key").distinct()
     return docs.join(hits.hint("shuffle_hash"),
-                     F.xxhash64(docs["doc_id"], docs["text"]).eqNullSafe(F.col("_hit_key"))
-                     & docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")
+                     F.xxhash64(docs["doc_id"], docs["text"]).eqNullSafe(hits["row_key"])
+                     & docs["doc_id"].cast("long").eqNullSafe(hits["doc_id"]), "left_anti")

@@ -86,31 +86,31 @@ def kept_text(text: Column, drops: Column) -> Column:
     return F.when(drops.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
-def with_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with a column ``drops`` (NULL where all lines stay)."""
-    bitmaps = line_bitmaps(docs.select("doc_id", "text"), **options).select(
-        F.col("doc_id").alias("_bitmap_id"), F.col("row_key").alias("_bitmap_key"), F.col("drops").alias("_drops"))
-    joined = docs.join(bitmaps.hint("shuffle_hash"),
-                       _row_key(docs).eqNullSafe(F.col("_bitmap_key"))
-                       & docs["doc_id"].eqNullSafe(F.col("_bitmap_id")), "left")
-    return joined.drop("_bitmap_id", "_bitmap_key")
+def _with_bitmaps(docs: DataFrame, **options) -> tuple[DataFrame, Column]:
+    """``docs`` joined with the bitmaps, and the bitmap column (NULL where all lines stay)."""
+    bitmaps = line_bitmaps(docs.select("doc_id", "text"), **options)
+    joined = docs.join(bitmaps.hint("shuffle_hash"), _row_key(docs).eqNullSafe(bitmaps["row_key"])
+                       & docs["doc_id"].eqNullSafe(bitmaps["doc_id"]), "left")
+    return joined, bitmaps["drops"]
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text`` and ``n_chars`` counted anew (NULL text: NULL stays)."""
-    out = with_bitmaps(docs, **options)
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("_drops")))
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = out.select(*columns, text.alias("text"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return cut.select(*docs.columns)
+    """``docs`` with the repeated lines taken out of ``text`` and ``n_chars`` counted anew; other columns as they are.
+
+    A NULL text stays NULL, a text that loses all its lines is empty.
+    """
+    joined, drops = _with_bitmaps(docs, **options)
+    text = kept_text(docs["text"], drops)
+    changed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return joined.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 and the bitmap per row of ``docs``; NULL text is one empty line."""
-    out = with_bitmaps(docs.select("doc_id", "text"), **options)
-    return out.select(
-        "doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("n_lines"),
-        n_dropped(F.col("_drops")).alias("n_dropped"),
-        F.sha2(kept_text(_text(), F.col("_drops")).cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, kept_sha256 per row of ``docs``; NULL text is one empty line."""
+    rows = docs.select("doc_id", "text")
+    joined, drops = _with_bitmaps(rows, **options)
+    text = F.coalesce(rows["text"], F.lit(""))
+    return joined.select(
+        rows["doc_id"], F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
+        n_dropped(drops).alias("n_dropped"),
+        F.sha2(kept_text(text, drops).cast("binary"), 256).alias("kept_sha256"))

@@ -154,9 +154,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
     verdicts = quality_verdicts(docs, labels, **options)
-    rejected = verdicts.filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    rejected = verdicts.filter(~F.col("kept")).select("doc_id", "row_key").distinct()
     stratum = options.get("stratum", "lang")
     return docs.join(rejected.hint("shuffle_hash"),
-                     F.xxhash64(docs["doc_id"], docs["text"], docs[stratum]).eqNullSafe(F.col("_key"))
-                     & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+                     F.xxhash64(docs["doc_id"], docs["text"], docs[stratum]).eqNullSafe(rejected["row_key"])
+                     & docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
