@@ -56,9 +56,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     document smaller than all others. Rows that repeat an id with another text keep bitmaps of their own.
     """
     occurrences = stored(line_occurrences(docs, min_chars), "line-occurrences")
-    frequent = (first_occurrences(occurrences).groupBy("h1", "h2")
+    frequent = stored(first_occurrences(occurrences).groupBy("h1", "h2")
                 .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
-                .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"))
+                .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "frequent-lines")
     dropped = (occurrences.join(frequent, ["h1", "h2"])
                .filter(~F.col("doc_id").eqNullSafe(F.col("owner"))))
     words = (dropped.groupBy("doc_id", "row_key", F.floor(F.col("pos") / 64).cast("int").alias("word"))
