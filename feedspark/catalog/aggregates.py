@@ -13,10 +13,10 @@ from ..oracle import TOP, with_views
 from ..sources import fixtures as fx
 from . import register
 
-VISIBLE_SQL = """vis AS (SELECT s.uid, m.entry_id, m.entry_ts, coalesce(nullif(m.id,''), m.entry_id) AS doc, m.topic
+VISIBLE_SQL = """vis AS (SELECT s.uid, m.entry_id, m.seq, m.entry_ts, coalesce(nullif(m.id,''), m.entry_id) AS doc, m.topic
   FROM articles m JOIN subscriptions s ON m.topic = s.topic AND s.created_ts <= m.entry_ts)"""
 FEED1_SQL = VISIBLE_SQL + """,
- feed1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY entry_ts DESC, entry_id DESC) AS pos
+ feed1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY entry_ts DESC, seq DESC, entry_id DESC) AS pos
    FROM vis) q WHERE pos <= 100)"""
 CANDIDATES_SQL = f"""cand AS (SELECT DISTINCT o_custkey * 2 AS uid,
   list_sort([({TOP})[CAST((o_custkey * 6) % 10 AS INT) + 1], ({TOP})[CAST((o_custkey * 6 + 5) % 10 AS INT) + 1]])
@@ -66,10 +66,10 @@ def q_build_subscription_index(t):
 
 @register("feed_user_context", with_views("""
 SELECT f.uid, f.entry_id, f.pos, array_to_string(u.interests, '|') AS interests
-FROM feed1 f JOIN users u ON f.uid = u.uid""", "articles", "subscriptions", "users", extra=FEED1_SQL))
+FROM feed1 f LEFT JOIN known_users u ON f.uid = u.uid""", "articles", "subscriptions", "known_users", extra=FEED1_SQL))
 def q_feed_user_context(t):
     """Feed rows with their user's interests."""
-    j = U.feed_user_context(_feed1(t), fx.users(t))
+    j = U.feed_user_context(_feed1(t), fx.known_users(t))
     return j.select("uid", "entry_id", "pos", F.array_join("interests", "|").alias("interests"))
 
 

@@ -10,7 +10,7 @@ from ..sources import fixtures as fx
 from . import register
 
 # --- DuckDB pieces shared by several oracles --------------------------------
-ATT_SQL = """att AS (SELECT s.uid, m.entry_ts ts, m.entry_id, coalesce(nullif(m.id,''), m.entry_id) doc, m.topic
+ATT_SQL = """att AS (SELECT s.uid, m.entry_ts ts, m.entry_id, m.seq, coalesce(nullif(m.id,''), m.entry_id) doc, m.topic
    FROM articles m JOIN subscriptions s ON m.topic=s.topic AND s.created_ts<=m.entry_ts)"""
 
 EPOCHS_SQL = """r(uid, anchor) AS (SELECT uid, min(ts) FROM {src} GROUP BY uid UNION ALL
@@ -20,8 +20,8 @@ EPOCHS_SQL = """r(uid, anchor) AS (SELECT uid, min(ts) FROM {src} GROUP BY uid U
 FEED_SQL = ATT_SQL + """,
  """ + EPOCHS_SQL.format(src="att") + """,
  x AS (SELECT a.*, r.anchor ep FROM att a ASOF JOIN r ON a.uid=r.uid AND a.ts>=r.anchor),
- k AS (SELECT *, row_number() OVER (PARTITION BY uid,ep,doc ORDER BY ts,entry_id) rn FROM x),
- f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, entry_id DESC) pos FROM k WHERE rn=1)"""
+ k AS (SELECT *, row_number() OVER (PARTITION BY uid,ep,doc ORDER BY ts,seq,entry_id) rn FROM x),
+ f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, seq DESC, entry_id DESC) pos FROM k WHERE rn=1)"""
 
 
 def feed_oracle(select: str) -> str:
@@ -40,7 +40,7 @@ def q_user_feed(t):
 @register("user_feed_bounded", with_views("""
 SELECT uid, doc, pos FROM (
   SELECT s.uid, coalesce(nullif(m.id,''), m.entry_id) doc,
-    row_number() OVER (PARTITION BY s.uid ORDER BY m.entry_ts DESC, m.entry_id DESC) pos
+    row_number() OVER (PARTITION BY s.uid ORDER BY m.entry_ts DESC, m.seq DESC, m.entry_id DESC) pos
   FROM originals m JOIN subscriptions s ON m.topic=s.topic AND s.created_ts<=m.entry_ts) q
 WHERE pos <= 100""", "originals", "subscriptions"))
 def q_user_feed_bounded(t):
@@ -108,7 +108,7 @@ def q_first_seen_dedup(t):
 @register("feed_top_n", with_views("""
 SELECT uid, entry_id, doc, pos FROM (
   SELECT s.uid, m.entry_id, coalesce(nullif(m.id,''), m.entry_id) AS doc,
-    row_number() OVER (PARTITION BY s.uid ORDER BY m.entry_ts DESC, m.entry_id DESC) AS pos
+    row_number() OVER (PARTITION BY s.uid ORDER BY m.entry_ts DESC, m.seq DESC, m.entry_id DESC) AS pos
   FROM articles m JOIN subscriptions s ON m.topic = s.topic AND s.created_ts <= m.entry_ts) q
 WHERE pos <= 100""", "articles", "subscriptions"))
 def q_feed_top_n(t):

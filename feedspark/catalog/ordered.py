@@ -17,7 +17,7 @@ SEQ_SQL = "coalesce(TRY_CAST(split_part({c}, '-', 2) AS BIGINT), 0)"
 
 @register("retain_last_per_topic", with_views("""
 SELECT topic, entry_id, pos FROM (SELECT topic, entry_id,
-  row_number() OVER (PARTITION BY topic ORDER BY entry_ts DESC, entry_id DESC) AS pos FROM articles) q
+  row_number() OVER (PARTITION BY topic ORDER BY entry_ts DESC, seq DESC, entry_id DESC) AS pos FROM articles) q
 WHERE pos <= 100""", "articles"))
 def q_retain_last_per_topic(t):
     """exact keep-last-100 of every topic log."""
@@ -25,7 +25,7 @@ def q_retain_last_per_topic(t):
 
 
 @register("retain_last_global", with_views("""
-SELECT entry_id, topic FROM articles ORDER BY entry_ts DESC, entry_id DESC LIMIT 5000""", "articles"))
+SELECT entry_id, topic FROM articles ORDER BY entry_ts DESC, seq DESC, entry_id DESC LIMIT 5000""", "articles"))
 def q_retain_last_global(t):
     """Newest 5,000 raw entries overall (read or not)."""
     return retain_last_global(fx.articles(t), 5000).select("entry_id", "topic")
@@ -33,7 +33,7 @@ def q_retain_last_global(t):
 
 @register("backlog_latest", with_views("""
 SELECT topic, entry_id, CAST(least(cnt, 50) - rn + 1 AS INTEGER) AS pos FROM (
-  SELECT topic, entry_id, row_number() OVER (PARTITION BY topic ORDER BY entry_ts DESC, entry_id DESC) AS rn,
+  SELECT topic, entry_id, row_number() OVER (PARTITION BY topic ORDER BY entry_ts DESC, seq DESC, entry_id DESC) AS rn,
     count(*) OVER (PARTITION BY topic) AS cnt FROM articles) q WHERE rn <= 50""", "articles"))
 def q_backlog_latest(t):
     """last 50 entries of each topic log, oldest first."""
@@ -90,7 +90,7 @@ def q_running_backlog(t):
 
 
 BATCH_SQL = """SELECT entry_id, CAST((rn - 1) // 32 AS BIGINT) AS batch_no, (rn - 1) // 32 < n // 32 AS is_full FROM (
-  SELECT entry_id, row_number() OVER (ORDER BY entry_ts, entry_id) AS rn, count(*) OVER () AS n FROM articles) q"""
+  SELECT entry_id, row_number() OVER (ORDER BY entry_ts, seq, entry_id) AS rn, count(*) OVER () AS n FROM articles) q"""
 
 
 @register("micro_batches", with_views(BATCH_SQL, "articles"))
@@ -118,7 +118,7 @@ def q_toggle_topic(t):
 
 
 TOPIC_CLICKS_SQL = f"""clicks AS (SELECT a.uid, a.ts, a.event_id,
-  ({TOP})[CAST(a.doc_id AS INT) % 10 + 1] AS topic, u.interests FROM attempts a JOIN users u ON a.uid = u.uid)"""
+  ({TOP})[CAST(a.doc_id AS INT) % 10 + 1] AS topic, u.interests FROM attempts a LEFT JOIN known_users u ON a.uid = u.uid)"""
 
 
 def _topic_clicks(t):
@@ -127,11 +127,11 @@ def _topic_clicks(t):
 
 
 @register("reset_topic_on_switch", with_views(
-    ISLAND_SQL.format(cond="AND list_contains(interests, topic)", tag="topic", src="clicks"),
-    "attempts", "users", extra=TOPIC_CLICKS_SQL))
+    ISLAND_SQL.format(cond="AND coalesce(list_contains(interests, topic), true)", tag="topic", src="clicks"),
+    "attempts", "known_users", extra=TOPIC_CLICKS_SQL))
 def q_reset_topic_on_switch(t):
     """topic chip clicks per viewed user; a topic outside the user's interests clears the filter."""
-    r = FD.reset_topic_on_switch(_topic_clicks(t), fx.users(t), "uid", "topic")
+    r = FD.reset_topic_on_switch(_topic_clicks(t), fx.known_users(t), "uid", "topic")
     return r.select("uid", "event_id", "active")
 
 
@@ -164,16 +164,16 @@ def q_merge_feed_refresh(t):
 
 @register("feed_topic_filter", with_views(f"""
 SELECT uid, entry_id, topic, pos FROM (
-  SELECT f.uid, f.entry_id, f.topic, f.pos, u.interests, ({TOP})[CAST((f.uid * 3) % 10 AS INT) + 1] AS active,
-    max(CASE WHEN f.topic = ({TOP})[CAST((f.uid * 3) % 10 AS INT) + 1] THEN 1 ELSE 0 END)
-      OVER (PARTITION BY f.uid) AS has
-  FROM feed1 f JOIN users u ON f.uid = u.uid) q
-WHERE NOT (list_contains(interests, active) AND has = 1) OR topic = active""",
-                                          "articles", "subscriptions", "users", extra=FEED1_SQL))
+  SELECT f.*, u.interests,
+    max(CASE WHEN f.topic = f.active THEN 1 ELSE 0 END) OVER (PARTITION BY f.uid) AS has
+  FROM (SELECT *, CASE WHEN uid % 5 <> 0 THEN ({TOP})[CAST((uid * 7) % 9 AS INT) + 1] END AS active FROM feed1) f
+  LEFT JOIN known_users u ON f.uid = u.uid) q
+WHERE NOT coalesce(list_contains(interests, active) AND has = 1, false) OR topic = active""",
+                                          "articles", "subscriptions", "known_users", extra=FEED1_SQL))
 def q_feed_topic_filter(t):
-    """Filter each feed by the user's active topic (rule: TOPICS[3*uid mod 10]) when it applies."""
-    active = fx.topic_at((F.col("uid") * 3) % 10)
-    return FD.feed_topic_filter(_feed1(t), fx.users(t), active).select("uid", "entry_id", "topic", "pos")
+    """Filter each feed by the user's active topic (TOPICS[7*uid mod 9]; every fifth user has none) when it applies."""
+    active = F.when(F.col("uid") % 5 != 0, fx.topic_at((F.col("uid") * 7) % 9))
+    return FD.feed_topic_filter(_feed1(t), fx.known_users(t), active).select("uid", "entry_id", "topic", "pos")
 
 
 @register("union_topics", with_views(f"""

@@ -63,6 +63,23 @@ def parse_entry_id(entry_id="entry_id") -> Column:
     return head.try_cast("bigint")
 
 
+def entry_seq(entry_id="entry_id") -> Column:
+    """Sequence part of a ``<ms>-<seq>`` id (0 when absent)."""
+    c = F.col(entry_id) if isinstance(entry_id, str) else entry_id
+    return F.coalesce(F.split(c, "-").getItem(1).try_cast("bigint"), F.lit(0))
+
+
+def log_order(cols) -> list[Column]:
+    """Ordering columns of a log: an ``entry_id`` counts by its sequence number, then as text
+    (``...-9`` before ``...-10``); the time column before it holds the millisecond part."""
+    out: list[Column] = []
+    for c in cols:
+        if isinstance(c, str) and c.endswith("entry_id"):
+            out.append(entry_seq(c))
+        out.append(F.col(c) if isinstance(c, str) else c)
+    return out
+
+
 def relative_age(entry_id="entry_id", now: str | Column = "2024-01-20 00:00:00") -> Column:
     """B12: '<n> s ago' / '<n> m ago' / '<n> h ago' / 'dd Mon', '' for a bad id.
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MICROS_PER_SECOND, SEEN_TTL_SECONDS
+from ..functions.messages import log_order
 
 
 def _anchor_walker(ttl_us: int):
@@ -190,7 +191,7 @@ def first_seen_dedup(attempts: DataFrame, doc_col: str = "doc", uid_col: str = "
                      ttl_seconds: int = SEEN_TTL_SECONDS, anchors: DataFrame | None = None) -> DataFrame:
     """per user, the first delivery of each document inside one seen-set life."""
     e = assign_epochs(attempts, uid_col, ts_col, ttl_seconds, anchors=anchors)
-    w = Window.partitionBy(uid_col, "epoch", doc_col).orderBy(ts_col, *tiebreak)
+    w = Window.partitionBy(uid_col, "epoch", doc_col).orderBy(*log_order((ts_col, *tiebreak)))
     return e.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -199,5 +200,5 @@ def dedup_marks(attempts: DataFrame, doc_col: str = "doc", uid_col: str = "uid",
                 ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
     """Every attempt with ``duplicate`` = it repeats a document inside its epoch."""
     e = assign_epochs(attempts, uid_col, ts_col, ttl_seconds)
-    w = Window.partitionBy(uid_col, "epoch", doc_col).orderBy(ts_col, *tiebreak)
+    w = Window.partitionBy(uid_col, "epoch", doc_col).orderBy(*log_order((ts_col, *tiebreak)))
     return e.withColumn("duplicate", F.row_number().over(w) > 1)

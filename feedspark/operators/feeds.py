@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_BATCH, TOPIC_BACKLOG
-from ..functions.messages import parse_entry_id
+from ..functions.messages import entry_seq, log_order, parse_entry_id
 from ..plans.ordering import chunked_row_number, chunked_running_sum
 from ..sources.fixtures import topics_array
 
@@ -20,16 +20,10 @@ def _day(ts: str) -> Column:
     return F.to_date(F.col(ts))
 
 
-def entry_seq(entry_id="entry_id") -> Column:
-    """Sequence part of a ``<ms>-<seq>`` id (0 when absent)."""
-    c = F.col(entry_id) if isinstance(entry_id, str) else entry_id
-    return F.coalesce(F.split(c, "-").getItem(1).try_cast("bigint"), F.lit(0))
-
-
 def backlog_latest(log: DataFrame, keys: list[str], n: int = TOPIC_BACKLOG,
                    order=("entry_ts", "entry_id")) -> DataFrame:
     """the newest ``n`` entries of each log, returned oldest -> newest (``pos`` 1 = oldest)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in log_order(order)])
     kept = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     cnt = F.count(F.lit(1)).over(Window.partitionBy(*keys))  # bounded: <= n rows per key
     return kept.withColumn("pos", (cnt - F.col("_rn") + 1).cast("int")).drop("_rn")
@@ -83,7 +77,7 @@ def micro_batches(log: DataFrame, size: int = CLASSIFY_BATCH, keys: list[str] |
                   order=("entry_ts", "entry_id")) -> DataFrame:
     """number entries into batches of ``size`` (0-based); ``is_full`` false for the held tail."""
     keys = keys or []
-    r = chunked_row_number(log, keys, _day(order[0]), list(order), out="_rn", total_col="_n")
+    r = chunked_row_number(log, keys, _day(order[0]), log_order(order), out="_rn", total_col="_n")
     return r.select(
         *log.columns,
         F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch_no"),
@@ -116,9 +110,11 @@ def toggle_topic(clicks: DataFrame, uid: str = "uid", tag: str = "tag",
 
 def reset_topic_on_switch(clicks: DataFrame, users: DataFrame, uid: str = "uid", tag: str = "tag",
                           order=("ts", "event_id")) -> DataFrame:
-    """F10 per viewed user; a topic that is not one of the user's interests clears the filter."""
-    p = _islands(clicks, uid, tag, order).join(users.select(F.col("uid").alias(uid), "interests"), uid)
-    on = (F.col("_p") % 2 == 1) & F.array_contains("interests", F.col(tag))
+    """F10 per viewed user; a topic that is not one of the user's interests clears the filter.
+
+    The interests of a user without a record are not known, so nothing is cleared for them."""
+    p = _islands(clicks, uid, tag, order).join(users.select(F.col("uid").alias(uid), "interests"), uid, "left")
+    on = (F.col("_p") % 2 == 1) & F.coalesce(F.array_contains("interests", F.col(tag)), F.lit(True))
     return p.select(*clicks.columns, F.when(on, F.col(tag)).alias("active"))
 
 
@@ -160,12 +156,13 @@ def merge_feed_refresh(messages: DataFrame, refreshes: DataFrame, uid: str = "ui
 
 def feed_topic_filter(feed: DataFrame, users: DataFrame, active: Column) -> DataFrame:
     """Filter a feed by the active topic only when the user has that interest
-    and the feed holds at least one message of it; otherwise no filter."""
-    j = feed.join(users.select("uid", "interests"), "uid").withColumn("_active", active)
+    and the feed holds at least one message of it; otherwise no filter (so neither for a
+    user without a record nor while no topic is active, NULL)."""
+    j = feed.join(users.select("uid", "interests"), "uid", "left").withColumn("_active", active)
     # window over one user's feed: bounded by the feed cap
     has = F.max((F.col("topic") == F.col("_active")).cast("int")).over(Window.partitionBy("uid"))
     j = j.withColumn("_has", has)
-    applies = F.array_contains("interests", F.col("_active")) & (F.col("_has") == 1)
+    applies = F.coalesce(F.array_contains("interests", F.col("_active")) & (F.col("_has") == 1), F.lit(False))
     return j.where(~applies | (F.col("topic") == F.col("_active"))).drop("_active", "_has", "interests")
 
 

@@ -1,4 +1,4 @@
-"""Keep-last-N retention (F1, F2, F2b) and first-N.
+"""Keep-last-N retention.
 
 Per-key top-N is ``row_number() <= n``; Catalyst turns it into a
 ``WindowGroupLimit`` that also runs before the shuffle, so each map task
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FEED_CAP, RAW_LOG_CAP
+from ..functions.messages import log_order
 
 
 def _desc(cols) -> list[Column]:
-    return [F.col(c).desc() if isinstance(c, str) else c for c in cols]
+    return [c.desc() for c in log_order(cols)]
 
 
 def keep_last(log: DataFrame, n: int, keys, order=("entry_ts", "entry_id"),
@@ -40,8 +41,3 @@ def retain_last_global(log: DataFrame, n: int = RAW_LOG_CAP,
                        order=("entry_ts", "entry_id")) -> DataFrame:
     """Newest ``n`` entries overall, read or not."""
     return log.orderBy(*_desc(order)).limit(n)
-
-
-def first_n(df: DataFrame, n: int | None, order=("id",)) -> DataFrame:
-    """The first ``n`` rows of a source in its order (all rows when n is None)."""
-    return df if n is None else df.orderBy(*order).limit(n)

@@ -38,8 +38,8 @@ def users_seeded(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def feed_user_context(feed: DataFrame, users: DataFrame) -> DataFrame:
-    """Feed rows with their user's interests (both sides keyed by uid)."""
-    return feed.join(users.select("uid", "interests"), "uid")
+    """Feed rows with their user's interests; none for users without a record (NULL)."""
+    return feed.join(users.select("uid", "interests"), "uid", "left")
 
 
 def topic_subscribers(spark_df_for_topics: DataFrame, subs: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ TOP = "[" + ", ".join(f"'{t}'" for t in TOPICS) + "]"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "base_articles": ((), f"""
-SELECT d.doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id*37 AS INT)) AS ts0,
-  substring(d.text,1,60) AS title, d.text, ({TOP})[e.label+1] AS topic
-FROM documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id"""),
+SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id // 15 * 555 AS INT)) AS ts0,
+  substring(text,1,60) AS title, text, ({TOP})[CAST((doc_id * 7 + doc_id // 10) % 10 AS INT) + 1] AS topic
+FROM documents"""),
     "articles": (("base_articles",), """
-SELECT CAST(epoch_ms(entry_ts) AS VARCHAR) || '-' || CAST(copy AS VARCHAR) AS entry_id, entry_ts, copy, doc_id,
+SELECT CAST(epoch_ms(entry_ts) AS VARCHAR) || '-' || CAST(doc_id % 15 * 3 + copy AS VARCHAR) AS entry_id,
+  CAST(doc_id % 15 * 3 + copy AS BIGINT) AS seq, entry_ts, copy, doc_id,
   CASE WHEN doc_id % 97 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS id, title, text, topic
 FROM (SELECT doc_id, ts0, title, text, topic, 0 AS copy, ts0 AS entry_ts FROM base_articles
  UNION ALL SELECT doc_id, ts0, title, text, topic, 1, ts0 + INTERVAL 6 HOUR FROM base_articles WHERE doc_id % 20 = 0
@@ -25,11 +26,12 @@ FROM (SELECT doc_id, ts0, title, text, topic, 0 AS copy, ts0 AS entry_ts FROM ba
     "originals": (("articles",), "SELECT * FROM articles WHERE copy = 0"),
     "subscriptions": ((), f"""
 SELECT c_custkey AS uid, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(c_custkey*13 AS INT)) AS created_ts,
-  ({TOP})[CAST((c_custkey*7 + j*3) % 10 AS INT)+1] AS topic
+  ({TOP})[CAST((c_custkey*7 + j*2) % 9 AS INT)+1] AS topic
 FROM (SELECT c_custkey, unnest(range(0, 2 + c_custkey % 3)) AS j FROM customer)"""),
     "users": (("subscriptions",), """
 SELECT uid, list_sort(list(topic)) AS interests, min(created_ts) AS created_ts
 FROM subscriptions GROUP BY uid"""),
+    "known_users": (("users",), "SELECT * FROM users WHERE uid % 11 <> 0"),
     "attempts": ((), """
 SELECT user_id AS uid, ts, event_id, json_extract_string(props,'$.k') AS doc_id, event_type AS tag FROM events"""),
     "counter_samples": ((), """

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FEED_CAP, MICROS_PER_SECOND, SEEN_TTL_SECONDS
+from ..functions.messages import entry_seq
 from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
 from ..operators.fan_out import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
@@ -54,14 +55,14 @@ def feed_candidates(keys: DataFrame, n: int = FEED_CAP, ttl_seconds: int = SEEN_
     """
     ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
     us = F.unix_micros("entry_ts")
-    prev = chunked_lag(keys.withColumn("_us", us), ["doc"], F.floor(F.col("_us") / ttl_us),
-                       ["_us", "entry_id"], "_us", out="_prev_us")
+    prev = chunked_lag(keys.withColumn("_us", us).withColumn("_seq", entry_seq()), ["doc"], F.floor(F.col("_us") / ttl_us),
+                       ["_us", "_seq", "entry_id"], "_us", out="_prev_us")
     m = prev.withColumn("_maybe_dup", F.col("_prev_us").isNotNull() & (F.col("_us") - F.col("_prev_us") < ttl_us))
     sure = keep_last(m.where(~F.col("_maybe_dup")), n, ["topic"], ("entry_ts", "entry_id"))
-    cut = sure.groupBy("topic").agg(F.min(F.struct("_us", "entry_id")).alias("_cut"),
+    cut = sure.groupBy("topic").agg(F.min(F.struct("_us", "_seq", "entry_id")).alias("_cut"),
                                     F.count(F.lit(1)).alias("_n_sure"))
     w = m.join(cut, "topic", "left").where(
-        F.col("_cut").isNull() | (F.col("_n_sure") < n) | (F.struct("_us", "entry_id") >= F.col("_cut")))
+        F.col("_cut").isNull() | (F.col("_n_sure") < n) | (F.struct("_us", "_seq", "entry_id") >= F.col("_cut")))
     dup_docs = w.where("_maybe_dup").groupBy("doc").agg(F.min("_us").alias("_first_dup_us"))
     earlier = m.join(dup_docs, "doc").where(F.col("_us") >= F.col("_first_dup_us") - ttl_us)
     cols = ["entry_id", "entry_ts", "doc", "topic"]

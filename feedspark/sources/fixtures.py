@@ -29,18 +29,14 @@ def _epoch_plus(micros: Column) -> Column:
 
 
 def base_articles(t: Tables) -> DataFrame:
-    """One article per document; topic from the vector label (doc_id % 500)."""
-    d = t.documents.select("doc_id", "text")
-    e = t.embeddings.select("vec_id", "label")
-    return (
-        d.join(e, (d.doc_id % 500) == e.vec_id)
-        .select(
-            "doc_id",
-            _epoch_plus(F.col("doc_id") * 37 * MICROS_PER_MINUTE).alias("ts0"),
-            F.substring("text", 1, 60).alias("title"),
-            "text",
-            topic_at(F.col("label")).alias("topic"),
-        )
+    """One article per document; fifteen articles share a millisecond."""
+    doc = F.col("doc_id")
+    return t.documents.select(
+        "doc_id",
+        _epoch_plus(F.floor(doc / 15) * 555 * MICROS_PER_MINUTE).alias("ts0"),
+        F.substring("text", 1, 60).alias("title"),
+        "text",
+        topic_at((doc * 7 + F.floor(doc / 10)) % 10).alias("topic"),
     )
 
 
@@ -59,7 +55,7 @@ def articles(t: Tables) -> DataFrame:
                      .when(F.col("copy") == 2, F.expr("INTERVAL 30 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")))
     return u.select(
         F.concat(F.unix_millis("entry_ts").cast("string"), F.lit("-"),
-                 F.col("copy").cast("string")).alias("entry_id"),
+                 (F.col("doc_id") % 15 * 3 + F.col("copy")).cast("string")).alias("entry_id"),
         "entry_ts", "copy", "doc_id",
         F.when(F.col("doc_id") % 97 == 0, F.lit(""))
         .otherwise(F.col("doc_id").cast("string")).alias("id"),
@@ -73,7 +69,7 @@ def originals(t: Tables) -> DataFrame:
 
 
 def subscriptions(t: Tables) -> DataFrame:
-    """(uid, created_ts, topic): 2 to 4 topics per customer."""
+    """(uid, created_ts, topic): 2 to 4 of the first nine topics per customer; nobody has the last."""
     c = t.customer.select("c_custkey")
     return c.select(
         F.col("c_custkey").alias("uid"),
@@ -81,7 +77,7 @@ def subscriptions(t: Tables) -> DataFrame:
         F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("j"),
     ).select(
         "uid", "created_ts",
-        topic_at((F.col("uid") * 7 + F.col("j") * 3) % 10).alias("topic"),
+        topic_at((F.col("uid") * 7 + F.col("j") * 2) % 9).alias("topic"),
     )
 
 
@@ -92,12 +88,17 @@ def users(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("uid"),
         F.array_sort(F.transform(
             F.sequence(F.lit(0), (F.col("c_custkey") % 3 + 1).cast("int")),
-            lambda j: topic_at((F.col("c_custkey") * 7 + j * 3) % 10),
+            lambda j: topic_at((F.col("c_custkey") * 7 + j * 2) % 9),
         )).alias("interests"),
         _epoch_plus(F.col("c_custkey") * 13 * MICROS_PER_MINUTE).alias("created_ts"),
     )
 
 
+def known_users(t: Tables) -> DataFrame:
+    """User records without every eleventh user: those have feeds and clicks, but no record."""
+    return users(t).where(F.col("uid") % 11 != 0)
+
+
 def attempts(t: Tables) -> DataFrame:
     """Delivery attempts / clicks with natural repeats, from ``events``."""
     return t.events.select(
