@@ -10,18 +10,22 @@ step groups of equal token counts. Every task packs the documents of its own par
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens held before they are packed, tokens of a step group, remembered words of a worker.
-CHUNK_TOKENS, STEP_TOKENS, CACHED_UNITS = 1_500_000, 65_536, 500_000
+CHUNK_TOKENS, STEP_TOKENS, CACHED_UNITS = 1_500_000, 65_536, 1_500_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "`offset` long, tier long, step_group long")
@@ -33,29 +37,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids of units; units not in it are noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__({b"": b""})
+        self.fresh: dict[bytes, bytes] = {}
+
+    def __missing__(self, unit: bytes) -> bytes:
+        return self.fresh.setdefault(unit, b"")
+
+
 class Encoder:
-    """Ids of a text as little-endian uint32 bytes.
+    """Ids of texts (UTF-8) as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never looks across it, so texts are cut at spaces and newlines
-    and every distinct unit is encoded once; ``limit`` bounds the remembered units.
+    The tokenizer lower-cases, drops white space and never looks across it, so texts are lower-cased (A-Z, unless they
+    may hold a special token), cut at spaces and newlines, and every distinct unit is encoded once. ``limit`` bounds the
+    remembered units; later ones are encoded again for every slice of texts that holds them.
     """
 
     def __init__(self, path: str, limit: int = CACHED_UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            units = (text or "").replace("\n", " ").split(" ")
-            new = list(set(units).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > self.limit:
-                    self.known = {"": b""}
-                    new = list(set(units).difference(self.known))
-                for unit, enc in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[unit] = np.array(enc.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, units))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, _Known()
+
+    def _learn(self, units: dict[bytes, bytes]) -> None:
+        """Encodes new units, many in one call; the tokenizer says which unit a token is of."""
+        new = []
+        for u in units:  # a full stop or comma after a letter is a token of its own
+            word = self.known.get(u[:-1]) if u[-1:] in b".," and u[-2:-1].isalpha() else None
+            mark = self.known.get(u[-1:])
+            if word and mark:
+                units[u] = word + mark
+            else:
+                new.append(u)
+        for at in range(0, len(new), 500):
+            part = new[at:at + 500]
+            encoded = self.tokenizer.encode([u.decode("utf-8", "surrogatepass") for u in part], is_pretokenized=True,
+                                            add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(1, len(part) + 1))).tolist()
+            for unit, lo, hi in zip(part, [0, *cuts[:-1]], cuts, strict=True):
+                units[unit] = ids[lo:hi]
+        if len(self.known) < self.limit:
+            self.known.update(units)
+
+    def __call__(self, texts: list[bytes | None], slice_bytes: int = 100_000) -> Iterator[bytes]:
+        known, lo = self.known, 0
+        while lo < len(texts):
+            cut, size = [], 0
+            while lo < len(texts) and size < slice_bytes:
+                text, lo = texts[lo] or b"", lo + 1
+                size += len(text)
+                cut.append((text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" "))
+            known.fresh = {}
+            for units in cut:
+                deque(map(known.__getitem__, units), 0)
+            if known.fresh:
+                self._learn(known.fresh)
+            for units in cut:
+                yield b"".join(map(known.__getitem__, units))
+
+
+@lru_cache(1)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; later tasks find the units of earlier ones."""
+    return Encoder(path)
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -110,7 +158,7 @@ def _packer(path: str, tiers: tuple[int, ...], chunk_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(path)
+        encode = shared_encoder(path)
         first = TaskContext.get().partitionId() << 40
         made, steps, open_steps = 0, 0, {}
 
@@ -157,7 +205,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers):
         raise ValueError("tiers must be ascending powers of two")
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
         _packer(tokenizer or default_tokenizer(), tiers, chunk_tokens), SCHEMA)
