@@ -19,12 +19,14 @@ NORMALIZED_SQL = f"""nm AS (SELECT entry_id, coalesce(id, md5(entry_id)) AS id,
 
 def _topic_log(t):
     """Topic-log entries: copy 0 has a JSON ``data`` field, copy 1 only bare
-    fields, copy 2 a ``data`` value that is not JSON."""
+    fields, copy 2 a ``data`` value that is not JSON or no JSON object."""
     a = fx.articles(t)
     return a.select(
         "entry_id", "copy", "id", "title", "text", "topic",
         F.when(F.col("copy") == 0, P.encode_payload("id", "title", "text", "topic"))
-        .when(F.col("copy") == 2, F.concat(F.lit("not-json "), F.col("entry_id"))).alias("data"),
+        .when(F.col("copy") == 2, F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("not-json "), F.col("entry_id")))
+              .when(F.col("doc_id") % 4 == 1, F.lit("123")).when(F.col("doc_id") % 4 == 2, F.lit('"hello"'))
+              .otherwise(F.lit("[1,2]"))).alias("data"),
     )
 
 
@@ -80,7 +82,8 @@ def q_decode_payload_feed(t):
 @register("decode_payload_topic", with_views("""
 SELECT entry_id, CASE copy WHEN 1 THEN 'bare' WHEN 2 THEN 'raw' ELSE 'json' END AS kind,
   CASE WHEN copy = 2 THEN NULL ELSE id END AS id, CASE WHEN copy = 2 THEN NULL ELSE title END AS title,
-  CASE WHEN copy = 2 THEN 'not-json ' || entry_id END AS raw FROM articles""", "articles"))
+  CASE WHEN copy = 2 THEN CASE doc_id % 4 WHEN 0 THEN 'not-json ' || entry_id WHEN 1 THEN '123' WHEN 2 THEN '"hello"'
+    ELSE '[1,2]' END END AS raw FROM articles""", "articles"))
 def q_decode_payload_topic(t):
     """Missing ``data`` -> bare fields; unparseable -> the raw string is kept."""
     log = _topic_log(t)

@@ -66,7 +66,7 @@ def parse_entry_id(entry_id="entry_id") -> Column:
 def entry_seq(entry_id="entry_id") -> Column:
     """Sequence part of a ``<ms>-<seq>`` id (0 when absent)."""
     c = F.col(entry_id) if isinstance(entry_id, str) else entry_id
-    return F.coalesce(F.split(c, "-").getItem(1).try_cast("bigint"), F.lit(0))
+    return F.coalesce(F.get(F.split(c, "-"), F.lit(1)).try_cast("bigint"), F.lit(0))
 
 
 def log_order(cols) -> list[Column]:

@@ -6,7 +6,7 @@ built-in functions only, so it stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_PREFIX_CHARS
@@ -67,11 +67,18 @@ def decode_payload_feed(data="data", bare: Column | None = None) -> Column:
 
 
 def decode_payload_topic(data="data") -> tuple[Column, Column, Column]:
-    """(is_bare, parsed, raw): missing ``data`` = bare fields; not JSON = raw string."""
+    """(is_bare, parsed, raw): missing ``data`` = bare fields; anything that is no JSON object
+    (not JSON, or a number, string or array) = raw string."""
     d = _c(data)
-    parsed = F.when(d.isNotNull(), F.try_parse_json(d))
-    is_json = d.isNotNull() & parsed.isNotNull()
-    return d.isNull(), F.when(is_json, F.from_json(d, PAYLOAD_SCHEMA)), F.when(d.isNotNull() & ~is_json, d)
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(d)).startswith("OBJECT"), F.lit(False))
+    return d.isNull(), F.when(is_object, F.from_json(d, PAYLOAD_SCHEMA)), F.when(d.isNotNull() & ~is_object, d)
+
+
+def payload_fields(data="data") -> Column:
+    """All keys of a JSON object as text, those outside the six fields included; NULL for anything else."""
+    d = _c(data)
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(d)).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object, F.from_json(d, "map<string,string>"))
 
 
 def doc_identity(id_="id", entry_id="entry_id") -> Column:
@@ -82,10 +89,3 @@ def doc_identity(id_="id", entry_id="entry_id") -> Column:
 def route_topic(topic="topic") -> Column:
     """Name of the topic log an enriched document goes to."""
     return F.concat(F.lit("topic:"), _c(topic))
-
-
-def enrich_columns(df: DataFrame) -> DataFrame:
-    """B1+B2 over a raw log: body fallback and the classifier text."""
-    body = body_fallback()
-    return df.select("*", body.alias("body_value")).select(
-        "*", classifier_input("title", "body_value").alias("classifier_text"))

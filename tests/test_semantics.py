@@ -430,3 +430,49 @@ def test_csv_to_parquet_round_trip(spark):
     write_articles_csv(spark.createDataFrame(rows, "id string, title string, text string"), src)
     got = {tuple(r) for r in articles_csv_to_parquet(spark, src, out, 2).collect()}
     assert got == {(i, t, x, "unknown") for i, t, x in rows}
+
+
+def test_topic_payload_that_is_no_object_stays_raw(spark):
+    values = ["123", '"hello"', "[1,2]", "null", '{"id":"7","extra":"kept","n":5}', "{}"]
+    df = spark.createDataFrame([(v,) for v in values], "data string")
+    _, parsed, raw = P.decode_payload_topic("data")
+    got = {r.data: (r.raw, r.id, r.f) for r in df.select(
+        "data", raw.alias("raw"), parsed["id"].alias("id"), P.payload_fields().alias("f")).collect()}
+    assert got == {v: (v, None, None) for v in values[:4]} | {
+        values[4]: (None, "7", {"id": "7", "extra": "kept", "n": "5"}), "{}": (None, None, {})}
+
+
+# --- log order, users without a record, NULL active topic ---------------------------------
+def test_log_order_is_numeric(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(t0, f"1-{k}", "politics") for k in range(12)], "entry_ts timestamp, entry_id string, topic string")
+    newest = ["1-11", "1-10"]
+    assert [r.entry_id for r in retain_last_per_topic(log, 2).orderBy("pos").collect()] == newest
+    assert [r.entry_id for r in retain_last_global(log, 2).collect()] == newest
+    assert [r.entry_id for r in FD.backlog_latest(log, ["topic"], 2).orderBy("pos").collect()] == newest[::-1]
+    batches = {r.entry_id: r.batch_no for r in FD.micro_batches(log, 10).collect()}
+    assert batches["1-9"] == 0 and batches["1-10"] == batches["1-11"] == 1
+
+
+def test_feeds_of_users_without_a_record(spark):
+    feed = spark.createDataFrame([(1, "1-0", "sports"), (1, "2-0", "health"), (2, "1-0", "sports")], "uid long, entry_id string, topic string")
+    users = spark.createDataFrame([(1, ["sports"])], "uid long, interests array<string>")
+    count = lambda active: FD.feed_topic_filter(feed, users, active).count()
+    assert count(F.lit("sports")) == 2 and count(F.lit(None).cast("string")) == 3
+    assert {(r.uid, r.interests is None) for r in U.feed_user_context(feed, users).collect()} == {(1, False), (2, True)}
+    clicks = spark.createDataFrame([(u, dt.datetime(2024, 1, 1, h), h, tag) for u in (1, 2) for h, tag in enumerate(["sports", "health", "health"])],
+                                   "uid long, ts timestamp, event_id long, tag string")
+    reset = {(r.uid, r.event_id): r.active for r in FD.reset_topic_on_switch(clicks, users).collect()}
+    assert reset == {(1, 0): "sports", (1, 1): None, (1, 2): None, (2, 0): "sports", (2, 1): "health", (2, 2): None}
+    # what the toggles give, NULL included, filters the feeds
+    on = FD.toggle_topic(clicks).where("event_id = 2").select("uid", F.col("active").alias("chosen"))
+    assert FD.feed_topic_filter(feed.join(on, "uid"), users, F.col("chosen")).count() == 3
+
+
+def test_every_label_of_the_prototypes_competes(spark):
+    from feedspark.operators import classify as CL
+
+    protos = spark.createDataFrame([(k, [float(k == i) for i in range(12)]) for k in range(12)], "label long, proto array<double>")
+    items = spark.createDataFrame([(k, [1000.0 * (k == i) for i in range(12)]) for k in range(12)], "key long, embedding array<double>")
+    got = {r.key: (r.predicted, r.score) for r in CL.classify_by_prototype(items, protos, "key").collect()}
+    assert {k: p for k, (p, _) in got.items()} == {k: k for k in range(12)} and all(0 < s <= 1 for _, s in got.values())

@@ -18,11 +18,9 @@ def test_dedup_state_survives_restart(spark):
     first_half = a.where(F.unix_micros("ts") < cut)
     second_half = a.where(F.unix_micros("ts") >= cut)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
-    J.write_time_chunks(first_half, "ts", src, 2)
-    schema = spark.read.parquet(src).schema
-    J.stream_dedup_feed(spark, src, schema, sink, ckpt)
-    J.write_time_chunks(second_half, "ts", src, 2)   # more data arrives; the job restarts
-    J.stream_dedup_feed(spark, src, schema, sink, ckpt)
+    run = lambda: J.stream_dedup_feed(spark, src, a.schema, sink, ckpt)
+    J.in_time_order(first_half, "ts", src, 2, run)
+    J.in_time_order(second_half, "ts", src, 2, run)   # more data arrives; the job restarts
     got = {(r.uid, r.event_id, r.epoch) for r in J.dedup_kept(spark, sink).collect()}
     batch = first_seen_dedup(fx.attempts(t), "doc_id", "uid", "ts", ("event_id",))
     expect = {(r.uid, r.event_id, r.epoch) for r in batch.collect()}
@@ -84,3 +82,57 @@ def test_state_function_arrival_order_and_lives():
     assert set(kept.epoch_us) == {0, 25 * H}
     assert list(feed.sort_values("pos").event_id) == [5, 2, 1]   # newest 3 kept, pos 1 = newest
     assert st.get[0] == 25 * H and st.get[1] == ["A"]              # anchor and seen set of the new life
+
+
+def test_source_keeps_rows_without_a_time_in_any_zone(spark, monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        df = spark.range(20).select("id", F.when(F.col("id") > 0, F.timestamp_micros(F.col("id") * 3_600_000_000).cast("timestamp_ntz")).alias("ts"))
+        src, seen = scratch_path(spark, "zones"), []
+        J.in_time_order(df, "ts", src, 4, lambda: seen.append(spark.read.schema(df.schema).parquet(src).count()))
+        assert seen[-1] == 20 and seen == sorted(set(seen))
+        assert sorted(r.id for r in spark.read.parquet(src).collect()) == list(range(20))
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_backlog_counts_every_batch(spark):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("bsrc", "bsink", "bck"))
+    rows = spark.range(12)
+    rows.repartition(12).write.parquet(src)
+    J.stream_articles(spark, src, rows.schema, sink, ckpt, files_per_trigger=1)
+    got = J.stream_backlog(spark.read.parquet(sink), spark.read.parquet(src)).orderBy("batch_id").collect()
+    assert sum(r.input_rows for r in got) == 12 and got[-1].backlog == 0 and len(got) > 3
+    long = J.stream_backlog(spark.range(150).withColumnRenamed("id", "batch_id"), spark.range(150))
+    assert [r.backlog for r in long.orderBy("batch_id").collect()] == list(range(149, -1, -1))
+
+
+def test_topic_counts_take_late_files(spark):
+    import datetime as dt
+
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("late", "latesink", "lateck"))
+    for day in (20, 25, 3):
+        df = spark.createDataFrame([(dt.datetime(2024, 1, day, 5), "politics")] * 5, "entry_ts timestamp, topic string")
+        df.write.mode("append").parquet(src)
+        J.stream_topic_counts(spark, src, df.schema, sink, ckpt)
+    assert sorted((r.window_start.day, r.n) for r in J.latest_counts(spark, sink).collect()) == [(3, 5), (20, 5), (25, 5)]
+
+
+def test_retention_keeps_unread_entries(spark):
+    import datetime as dt
+
+    import pytest
+
+    log, out = scratch_path(spark, "rlog"), scratch_path(spark, "rout")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"{k}-0", t0 + dt.timedelta(hours=k), tp) for tp in ("sports", "health") for k in range(10)]
+    spark.createDataFrame(rows, "entry_id string, entry_ts timestamp, topic string").write.partitionBy("topic").parquet(log)
+    cursors = spark.createDataFrame([("sports", t0 + dt.timedelta(hours=5))], "topic string, cursor_ts timestamp")
+    kept = J.retention_job(spark, log, out, 2, cursors=cursors).groupBy("topic").count().collect()
+    assert {r["topic"]: r["count"] for r in kept} == {"sports": 4, "health": 10}  # 6..9 unread; nobody read health
+    with pytest.raises(ValueError):
+        J.retention_job(spark, log, out, 2)
