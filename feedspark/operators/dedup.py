@@ -87,69 +87,70 @@ def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
     )
 
 
-def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
-                     max_rows: int | None = None, emit_from_us: int | None = None) -> DataFrame | None:
-    """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
+#: Users of a block of the timeline walk: 8 bytes per user and topic are held by its task.
+BLOCK_USERS = 200_000
 
-    A user's attempt times are the message times of each subscribed topic from
-    that subscription's creation on. So the walk runs once per user against
-    per-topic sorted timelines: vectorised over a batch of users, one
-    ``searchsorted`` per topic per epoch. The timelines (timestamps only) are
-    broadcast, so this applies only when the messages pass the same row check
-    as a broadcast join; otherwise None is returned and the caller walks the
-    attempts instead. ``emit_from_us`` drops anchors older than it from the
-    output (the walk itself always starts at each user's first attempt).
-    """
-    from ..plans.strategy import BROADCAST_MAX_ROWS
-
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    times = message_times.select("topic", F.unix_micros("entry_ts").alias("us"))
-    pdf = times.limit(max_rows + 1).toPandas()  # size check and fetch in one job (Arrow)
-    if len(pdf) > max_rows:
-        return None
-    groups = {tp: g["us"].to_numpy(dtype=np.int64) for tp, g in pdf.groupby("topic", sort=True)}
-    topics = sorted(groups)
-    arrays = [np.unique(groups[tp]) for tp in topics]
-    bc = subs.sparkSession.sparkContext.broadcast(arrays)
-    cols = [f"_t{i}" for i in range(len(topics))]
-    users = (subs.select("uid", "topic", F.unix_micros(F.col("created_ts").cast("timestamp")).alias("_c"))
-             .groupBy("uid").pivot("topic", topics).agg(F.min("_c")))
-    users = users.select(F.col("uid").cast("long").alias("uid"),
-                         *[F.col(f"`{tp}`").alias(c) for tp, c in zip(topics, cols)])
-    ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
+
+def _block_walker(ttl_us: int, floor_us: int):
+    """mapInPandas body. Rows come sorted by block: first its subscriptions (kind 0), then the message times
+    (kind 1) in order. Of a user only the time from which the next life can start is carried along."""
     never = np.iinfo(np.int64).max // 4
-    floor_us = np.iinfo(np.int64).min // 4 if emit_from_us is None else int(emit_from_us)
 
     def walk(batches):
-        tl = bc.value
+        block, held, state = None, [], None
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            uid = pdf["uid"].to_numpy(dtype=np.int64)
-            start = np.stack([pdf[c].fillna(never).to_numpy(dtype=np.int64) for c in cols], axis=1)
-            x = np.full(len(uid), np.iinfo(np.int64).min // 4, dtype=np.int64)
-            live = np.arange(len(uid))
-            out_u, out_a = [], []
-            while live.size:
-                best = np.full(live.size, never, dtype=np.int64)
-                for k, arr in enumerate(tl):
-                    if arr.size == 0:
-                        continue
-                    lo = np.maximum(x[live], start[live, k])
-                    idx = np.searchsorted(arr, lo, "left")
-                    ok = (idx < arr.size) & (start[live, k] < never)
-                    cand = np.where(ok, arr[np.minimum(idx, arr.size - 1)], never)
-                    best = np.minimum(best, cand)
-                found = best < never
-                live, best = live[found], best[found]
-                emit = best >= floor_us
-                out_u.append(uid[live][emit])
-                out_a.append(best[emit])
-                x[live] = best + ttl_us
-            yield pd.DataFrame({"uid": np.concatenate(out_u) if out_u else np.empty(0, np.int64),
-                                "anchor_us": np.concatenate(out_a) if out_a else np.empty(0, np.int64)})
-
-    return users.mapInPandas(walk, "uid long, anchor_us long")
+            for _, part in pdf.groupby("block", sort=False):
+                if part["block"].iloc[0] != block:
+                    block, held, state = part["block"].iloc[0], [], None
+                subs, times = part[part["kind"] == 0], part[part["kind"] == 1]
+                if len(subs):
+                    held.append(subs)
+                if not len(times) or not held:
+                    continue
+                if state is None:
+                    users = pd.concat(held).groupby(["uid", "topic"])["us"].min().unstack()
+                    start = users.fillna(never).to_numpy(dtype=np.int64)
+                    state = (users.index.to_numpy(dtype=np.int64), {t: k for k, t in enumerate(users.columns)}, start,
+                             np.full(len(users), -never, dtype=np.int64))
+                uid, column, start, due = state
+                lines = [(column[t], g["us"].to_numpy(dtype=np.int64)) for t, g in times.groupby("topic") if t in column]
+                live = np.arange(len(uid))
+                while live.size and lines:
+                    best = np.full(live.size, never, dtype=np.int64)
+                    for k, line in lines:
+                        at = np.searchsorted(line, np.maximum(due[live], start[live, k]), "left")
+                        best = np.minimum(best, np.where(at < line.size, line[np.minimum(at, line.size - 1)], never))
+                    live, best = live[best < never], best[best < never]
+                    due[live] = best + ttl_us
+                    emit = best >= floor_us
+                    yield pd.DataFrame({"uid": uid[live][emit], "anchor_us": best[emit]})
+
+    return walk
+
+
+def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
+                     emit_from_us: int | None = None, block_users: int = BLOCK_USERS) -> DataFrame:
+    """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
+
+    A user's attempt times are the message times of each subscribed topic from that subscription's creation on.
+    Users are dealt into blocks; every block gets all distinct (topic, time) rows once, sorted, and walks its users
+    along them, batch by batch, with one ``searchsorted`` per topic and life. Rows moved: times x blocks, not
+    messages x users; memory: one block of users and one batch of times. ``emit_from_us`` drops older anchors
+    from the output (the walk itself always starts at each user's first attempt).
+    """
+    n_users = subs.agg(F.approx_count_distinct("uid")).first()[0]
+    parallel = subs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(n_users // block_users + 1, min(parallel, n_users // 1000 + 1))
+    none = F.lit(None).cast("long")
+    users = subs.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
+                        F.col("uid").cast("long").alias("uid"), "topic",
+                        F.unix_micros(F.col("created_ts").cast("timestamp")).alias("us"))
+    times = message_times.select("topic", F.unix_micros(F.col("entry_ts").cast("timestamp")).alias("us")).distinct()
+    times = times.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+                         none.alias("uid"), "topic", "us")
+    floor_us = -(1 << 62) if emit_from_us is None else int(emit_from_us)
+    return (users.unionByName(times).repartition("block").sortWithinPartitions("block", "kind", "us")
+            .mapInPandas(_block_walker(int(ttl_seconds) * MICROS_PER_SECOND, floor_us), "uid long, anchor_us long"))
 
 
 def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",

@@ -8,7 +8,7 @@ Plan (exact for any input, see ``feed_candidates``): only the messages that
 can reach some user's newest N are fanned out: per topic the window down to
 the N-th newest message that cannot be a duplicate, plus the earlier copies
 that decide the possible duplicates in it. Their deliveries get epochs, whose
-anchors are walked per user against broadcast topic timelines of all
+anchors are walked per block of users along the topic timelines of all
 messages, then first-seen de-duplication and the newest N per user. The
 join input is about topics x (N + possible duplicates) messages whatever the
 length of the logs.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FEED_CAP, MICROS_PER_SECOND, SEEN_TTL_SECONDS
 from ..functions.messages import entry_seq
-from ..operators.dedup import epoch_anchors, first_seen_dedup, timeline_anchors
+from ..operators.dedup import first_seen_dedup, timeline_anchors
 from ..operators.fan_out import fanout_visible_keys, message_keys
 from ..operators.retention import feed_top_n, keep_last
 from ..session import checkpoint_dir
@@ -81,14 +81,12 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     are fanned out (about topics x (n + possible duplicates) messages); the
     deliveries of documents with a possible duplicate get epochs and first-seen
     de-duplication, all others are kept as they are; then the newest ``n`` per
-    user. Epoch anchors come from the topic timelines of *all* messages
-    (``timeline_anchors``) when they pass the broadcast check, else from a
-    walk over all attempts.
-    ``bounded=True`` forces the no-dedup bounded plan (valid only without repeats);
+    user. Epoch anchors come from the topic timelines of *all* messages (``timeline_anchors``).
+    ``bounded=True`` takes the no-dedup bounded plan if no document repeats (checked), else the default;
     ``bounded=False`` forces the plain exact chain D2 -> F4 -> F3 -> F1.
     """
     keys = message_keys(messages)
-    if bounded is True:
+    if bounded is True and keys.groupBy("doc").count().where("count > 1").isEmpty():
         return visible_top_n(keys, subscriptions, n, strategy).drop("topic")
     if bounded is False:
         att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
@@ -109,9 +107,6 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     att = fanout_visible_keys(dedup_msgs, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
     from_us = int(lo.timestamp() * 1_000_000) - int(ttl_seconds) * MICROS_PER_SECOND  # older lives hold none
     anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds, emit_from_us=from_us)
-    if anchors is None:  # timelines too big to broadcast: walk all attempts
-        all_att = fanout_visible_keys(keys, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
-        anchors = epoch_anchors(all_att, "uid", "ts", ttl_seconds)
     kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
     return feed_top_n(sure.unionByName(kept.select(*cols)), n, ("ts", "entry_id"))
 

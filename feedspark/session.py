@@ -60,8 +60,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Read from the session; only when it is unset (local tests) a fresh
-    folder is made and registered.
+    Read from the session; only when it is unset on a local master (tests) a fresh
+    folder is made and registered. On a cluster a folder of one machine would not do.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="feedspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -79,3 +81,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for job output."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/feedspark-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Removes the job output below the shared checkpoint folder. DataFrames that read it cannot be run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/feedspark-scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

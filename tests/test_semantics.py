@@ -476,3 +476,22 @@ def test_every_label_of_the_prototypes_competes(spark):
     items = spark.createDataFrame([(k, [1000.0 * (k == i) for i in range(12)]) for k in range(12)], "key long, embedding array<double>")
     got = {r.key: (r.predicted, r.score) for r in CL.classify_by_prototype(items, protos, "key").collect()}
     assert {k: p for k, (p, _) in got.items()} == {k: k for k in range(12)} and all(0 < s <= 1 for _, s in got.values())
+
+
+def test_block_walk_equals_attempt_walk_over_many_blocks_and_batches(spark):
+    from feedspark.operators.dedup import epoch_anchors, timeline_anchors
+    from feedspark.operators.fan_out import fanout_visible
+
+    draw = random.Random(11)
+    m = spark.createDataFrame([(f"{k}-0", T0 + H * draw.randrange(900), str(k), draw.choice(["sports", "health", "politics"])) for k in range(700)],
+                              "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame([(u, T0 + H * draw.randrange(800), tp) for u in range(60) for tp in draw.sample(["sports", "health", "politics", "science"], 2)],
+                              "uid long, created_ts timestamp, topic string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {tuple(r) for r in timeline_anchors(m, s, block_users=7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    att = fanout_visible(m, s).withColumnRenamed("entry_ts", "ts")
+    assert got == {tuple(r) for r in epoch_anchors(att).collect()} and len(got) > 100
