@@ -17,7 +17,7 @@ SERIES = ["click", "error", "purchase", "signup", "view"]
 STEPS_SQL = """st AS (SELECT DISTINCT date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY AS t FROM {src})"""
 
 RATE_SQL = STEPS_SQL.format(src="counter_samples") + """,
- j AS (SELECT s.series, st.t, s.ts, s.value, lag(s.value) OVER (PARTITION BY s.series, st.t ORDER BY s.ts) AS pv
+ j AS (SELECT s.series, st.t, s.ts, s.value, lag(s.value) OVER (PARTITION BY s.series, st.t ORDER BY s.ts, s.value) AS pv
    FROM counter_samples s JOIN st ON s.ts > st.t - INTERVAL 6 HOUR AND s.ts <= st.t),
  rt AS (SELECT series, t, sum(CASE WHEN pv IS NULL THEN 0 WHEN value >= pv THEN value - pv ELSE value END) / 21600.0e0
    AS rate FROM j GROUP BY series, t HAVING count(*) >= 2)"""
@@ -28,7 +28,7 @@ def _rates(t):
 
 
 @register("counter_delta", with_views("""
-SELECT series, ts, greatest(value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY ts), 0), 0) AS delta
+SELECT series, ts, greatest(value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY ts, value), 0), 0) AS delta
 FROM counter_samples""", "counter_samples"))
 def q_counter_delta(t):
     """per-sample increase; first sample in full, negative differences ignored."""
@@ -53,8 +53,8 @@ def q_sum_rate(t):
 @register("irate_5m", with_views("""
 SELECT series, CAST(t AS DATE) AS t, round(CASE WHEN v1 >= v0 THEN v1 - v0 ELSE v1 END
   / ((epoch_us(t1) - epoch_us(t0)) / 1e6), 9) AS irate FROM (
-  SELECT series, t, arg_max(value, ts) AS v1, arg_min(value, ts) AS v0, max(ts) AS t1, min(ts) AS t0, count(*) AS n
-  FROM (SELECT s.series, st.t, s.ts, s.value, row_number() OVER (PARTITION BY s.series, st.t ORDER BY s.ts DESC) AS rn
+  SELECT series, t, arg_max(value, (ts, value)) AS v1, arg_min(value, (ts, value)) AS v0, max(ts) AS t1, min(ts) AS t0, count(*) AS n
+  FROM (SELECT s.series, st.t, s.ts, s.value, row_number() OVER (PARTITION BY s.series, st.t ORDER BY s.ts DESC, s.value DESC) AS rn
         FROM counter_samples s JOIN st ON s.ts > st.t - INTERVAL 6 HOUR AND s.ts <= st.t) x
   WHERE rn <= 2 GROUP BY series, t) g WHERE n = 2""", "counter_samples", extra=STEPS_SQL.format(src="counter_samples")))
 def q_irate(t):

@@ -87,14 +87,13 @@ def visible_push_counts(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Per message: how many subscribers get it (subscribed at or before it),
     without building the join: a running count of subscriptions over the union
     of subscriptions and messages per topic in time order (subscriptions first
-    at equal times), numbered per day chunk so no topic runs in one task.
+    at equal times), summed by ranges so no topic runs in one task.
     -> entry_id, topic, pushes."""
-    from ..plans.ordering import chunked_running_sum
+    from ..plans.ordering import running_sum
 
     s = subs.select("topic", F.col("created_ts").cast("timestamp").alias("_t"), F.lit(0).alias("_kind"),
                     F.lit(None).cast("string").alias("entry_id"), F.lit(1).alias("_one"))
     m = messages.select("topic", F.col("entry_ts").cast("timestamp").alias("_t"), F.lit(1).alias("_kind"),
                         "entry_id", F.lit(0).alias("_one"))
-    r = chunked_running_sum(s.unionByName(m), ["topic"], F.to_date("_t"), ["_t", "_kind", "entry_id"],
-                            F.col("_one"), out="pushes")
+    r = running_sum(s.unionByName(m), ["topic"], ["_t", "_kind", "entry_id"], F.col("_one"), out="pushes")
     return r.where(F.col("_kind") == 1).select("entry_id", "topic", F.col("pushes").cast("bigint").alias("pushes"))

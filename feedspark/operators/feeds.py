@@ -1,7 +1,7 @@
 """Read-path and ordered operators.
 
 Orderings that would otherwise run as one window per hot key use the
-chunked numbering of ``plans.ordering`` (chunk = day); windows over a feed
+range numbering of ``plans.ordering``; windows over a feed
 are bounded by the feed cap and stay plain windows.
 """
 
@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_BATCH, TOPIC_BACKLOG
 from ..functions.messages import entry_seq, log_order, parse_entry_id
-from ..plans.ordering import chunked_row_number, chunked_running_sum
+from ..plans.ordering import numbered, running_sum
 from ..sources.fixtures import topics_array
 
 
-def _day(ts: str) -> Column:
-    return F.to_date(F.col(ts))
-
-
 def backlog_latest(log: DataFrame, keys: list[str], n: int = TOPIC_BACKLOG,
                    order=("entry_ts", "entry_id")) -> DataFrame:
     """the newest ``n`` entries of each log, returned oldest -> newest (``pos`` 1 = oldest)."""
@@ -43,9 +39,7 @@ def tail_after_cursor(log: DataFrame, cursors: DataFrame, keys: list[str]) -> Da
     ms, seq = parse_entry_id("entry_id"), entry_seq("entry_id")
     d = log.select("*", ms.alias("_ms"), seq.alias("_seq")).join(c, keys)
     after = d.where((F.col("_ms") > F.col("_cms")) | ((F.col("_ms") == F.col("_cms")) & (F.col("_seq") > F.col("_cseq"))))
-    # numbered per (key, day) chunk plus offsets: a long tail of one topic is not one task
-    chunk = F.floor(F.col("_ms") / 86_400_000)
-    r = chunked_row_number(after, keys, chunk, ["_ms", "_seq"], out="tail_pos")
+    r = numbered(after, keys, ["_ms", "_seq", "entry_id"], out="tail_pos")
     return r.drop("_ms", "_seq", "_cms", "_cseq")
 
 
@@ -68,8 +62,7 @@ def running_backlog(steps: DataFrame, reader: str = "reader", order=("ts", "even
 
     steps: reader, ts, event_id, popped (0/1), len_after.
     """
-    r = chunked_running_sum(steps, [reader], _day(order[0]), list(order),
-                            F.col("len_after") - F.col("popped"), out="backlog")
+    r = running_sum(steps, [reader], list(order), F.col("len_after") - F.col("popped"), out="backlog")
     return r.withColumn("published", F.greatest(F.lit(0), F.col("backlog")).cast("bigint"))
 
 
@@ -77,7 +70,7 @@ def micro_batches(log: DataFrame, size: int = CLASSIFY_BATCH, keys: list[str] |
                   order=("entry_ts", "entry_id")) -> DataFrame:
     """number entries into batches of ``size`` (0-based); ``is_full`` false for the held tail."""
     keys = keys or []
-    r = chunked_row_number(log, keys, _day(order[0]), log_order(order), out="_rn", total_col="_n")
+    r = numbered(log, keys, log_order(order), out="_rn", total_col="_n")
     return r.select(
         *log.columns,
         F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch_no"),
@@ -92,9 +85,8 @@ def batch_full(batches: DataFrame) -> DataFrame:
 
 def _islands(clicks: DataFrame, uid: str, tag: str, order=("ts", "event_id")) -> DataFrame:
     """Position of each click inside its run of equal consecutive tags (1-based)."""
-    day = _day(order[0])
-    n = chunked_row_number(clicks, [uid], day, list(order), out="_n")
-    m = chunked_row_number(n, [uid, tag], day, list(order), out="_m")
+    n = numbered(clicks, [uid], list(order), out="_n")
+    m = numbered(n, [uid, tag], list(order), out="_m")
     g = m.withColumn("_grp", F.col("_n") - F.col("_m"))
     # position inside the run = n - (first n of the run) + 1 (a partial aggregate, not a window)
     first = g.groupBy(uid, tag, "_grp").agg(F.min("_n").alias("_n0"))
@@ -122,7 +114,7 @@ def _with_refresh_batches(messages: DataFrame, refreshes: DataFrame, uid: str =
     """Messages with: batch = refreshes before them, total refreshes, first-message flag."""
     u = (messages.select(uid, "ts", "event_id", F.lit(0).alias("_r"))
          .unionByName(refreshes.select(uid, "ts", "event_id", F.lit(1).alias("_r"))))
-    run = chunked_running_sum(u, [uid], _day("ts"), ["ts", "event_id"], F.col("_r"), out="_seen_r")
+    run = running_sum(u, [uid], ["ts", "event_id", "_r"], F.col("_r"), out="_seen_r")
     tot = refreshes.groupBy(uid).agg(F.count(F.lit(1)).alias("_nref"))
     first = messages.groupBy(uid).agg(F.min(F.struct("ts", "event_id")).alias("_first"))
     m = run.where(F.col("_r") == 0).join(tot, uid, "left").join(first, uid)
@@ -150,7 +142,7 @@ def merge_feed_refresh(messages: DataFrame, refreshes: DataFrame, uid: str = "ui
     shown = m.where(F.col("is_first") | (F.col("batch") < F.col("refreshes")))
     grp = F.when(F.col("is_first"), F.lit(-1)).otherwise(F.col("batch"))
     s = shown.withColumn("_g", grp)
-    r = chunked_row_number(s, [uid], -F.col("_g"), [F.col("_g").desc(), "ts", "event_id"], out="display_pos")
+    r = numbered(s, [uid], [F.col("_g").desc(), "ts", "event_id"], out="display_pos")
     return r.select(uid, "event_id", "display_pos")
 
 
@@ -172,5 +164,5 @@ def union_topics(log: DataFrame) -> DataFrame:
     ordn = (F.array_position(topics_array(), F.col("topic")) - 1).cast("int")
     d = log.select("*", parse_entry_id("entry_id").alias("_ms"), entry_seq("entry_id").alias("_seq"),
                    ordn.alias("topic_ord"))
-    r = chunked_row_number(d, [], _day("entry_ts"), ["_ms", "_seq", "topic_ord", "entry_id"], out="read_pos")
+    r = numbered(d, [], ["_ms", "_seq", "topic_ord", "entry_id"], out="read_pos")
     return r.drop("_ms", "_seq")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LATENCY_BOUNDS
-from ..plans.ordering import chunked_lag
+from ..plans.ordering import range_lag
 from .counters import latency_histogram
 
 
@@ -47,9 +47,8 @@ def counter_delta(samples: DataFrame, key: str = "series", ts: str = "ts", value
     in full. On a reset (negative difference) ``on_reset='drop'`` ignores the
     sample (0, the baseline moves, as the exporter does); ``'count'`` counts the
     new value (the range-increase rule of H1)."""
-    # lag per (series, day) chunk plus the previous chunk's last value: a long,
-    # dense series is not one task
-    d = chunked_lag(samples, [key], F.to_date(F.col(ts)), [ts], value, out="_prev")
+    # by ranges: a long, dense series is not one task; of samples at one instant the lower came first
+    d = range_lag(samples, [key], [ts, value], value, out="_prev")
     diff = F.col(value) - F.coalesce(F.col("_prev"), F.lit(0))
     if on_reset == "drop":
         delta = F.greatest(diff, F.lit(0))
@@ -61,10 +60,9 @@ def counter_delta(samples: DataFrame, key: str = "series", ts: str = "ts", value
 
 
 def _increments(samples: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(ts)
-    pv = F.lag(value).over(w)
+    pv = F.col("_pv")
     inc = F.when(pv.isNull(), F.lit(0)).when(F.col(value) >= pv, F.col(value) - pv).otherwise(F.col(value))
-    return samples.withColumn("_inc", inc)
+    return range_lag(samples, keys, [ts, value], value, out="_pv").withColumn("_inc", inc).drop("_pv")
 
 
 def rate(samples: DataFrame, range_: str = "6 hours", step: str = "1 day", key: str = "series",
@@ -88,14 +86,14 @@ def irate(samples: DataFrame, range_: str = "6 hours", step: str = "1 day", key:
           ts: str = "ts", value: str = "value") -> DataFrame:
     """H3: instant rate from the last two samples inside the range."""
     s = range_steps(samples.select(key, ts, value), ts, range_, step)
-    w = Window.partitionBy(key, "t").orderBy(F.col(ts).desc())
+    w = Window.partitionBy(key, "t").orderBy(F.col(ts).desc(), F.col(value).desc())
     last2 = s.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
     g = last2.groupBy(key, "t").agg(
-        F.max_by(value, ts).alias("_v1"), F.min_by(value, ts).alias("_v0"),
+        F.max_by(value, F.struct(ts, value)).alias("_v1"), F.min_by(value, F.struct(ts, value)).alias("_v0"),
         F.max(ts).alias("_t1"), F.min(ts).alias("_t0"), F.count(F.lit(1)).alias("_n"))
     inc = F.when(F.col("_v1") >= F.col("_v0"), F.col("_v1") - F.col("_v0")).otherwise(F.col("_v1"))
     dt = (F.unix_micros("_t1") - F.unix_micros("_t0")) / 1e6
-    return g.where("_n = 2").select(key, "t", (inc / dt).alias("irate"))
+    return g.where("_n = 2").select(key, "t", F.when(dt > 0, inc / dt).alias("irate"))  # NULL at one instant
 
 
 def hist_quantile(buckets: DataFrame, qs: list[float], keys: list[str], le: str = "le",

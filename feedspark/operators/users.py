@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import chunked_row_number
+from ..plans.ordering import numbered
 from ..sources.fixtures import topics_array
 
 
@@ -58,11 +58,10 @@ def latest_uid(users: DataFrame) -> DataFrame:
 def subscribers_lexical(subs: DataFrame) -> DataFrame:
     """G1: subscribers of each topic ordered by uid *as a string* -> lex_pos (1-based).
 
-    Numbered per (topic, 2-character prefix) chunk plus chunk offsets, so a big
-    topic is not ranked in one task.
+    Numbered by ranges, so a big topic is not ranked in one task.
     """
     s = subs.select("topic", "uid", F.col("uid").cast("string").alias("_u"))
-    r = chunked_row_number(s, ["topic"], F.substring("_u", 1, 2), ["_u"], out="lex_pos")
+    r = numbered(s, ["topic"], ["_u"], out="lex_pos")
     return r.select("topic", "uid", "lex_pos")
 
 

@@ -1,13 +1,13 @@
-"""Exact ordered numbering and running sums without one-task windows.
+"""Exact ordered numbering, running sums and lags without one-task windows.
 
 ``row_number()`` or a running ``sum`` over a whole table (or over a key that
-may hold a third of the rows) runs in a single task. Here the order is cut
-into chunks whose order agrees with the row order (a day, a key prefix):
+may hold a third of the rows) runs in a single task. Here the rows are cut
+into ranges of (key, order) of about equal size:
 
-1. the window runs per ``(keys, chunk)`` - many tasks;
-2. a small table of per-chunk totals gets its prefix sums (one row per
-   chunk, so its size is bounded by the number of chunks, not by rows);
-3. each row adds the offset of its chunk.
+1. the window runs per ``(keys, range)`` - as many tasks as the data needs;
+2. a small table of per-range totals gets its prefix sums (one row per key
+   and range);
+3. each row adds the offset of its range.
 
 The result equals the plain window exactly.
 """
@@ -24,19 +24,6 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _chunk_offsets(df: DataFrame, keys: list[str], value: Column | None) -> DataFrame:
-    """Per (keys, _chunk): _off = sum of the totals of earlier chunks, _total = grand total."""
-    agg = F.count(F.lit(1)) if value is None else F.sum(value)
-    totals = df.groupBy(*keys, "_chunk").agg(agg.alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    return totals.select(
-        *keys, "_chunk",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-
-
 def range_chunks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """``df`` cut by ``(keys, order)`` into ranges of about equal size, numbered in ``_chunk``.
 
@@ -50,10 +37,12 @@ def range_chunks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.sparkSession.read.schema(cut.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column],
+                 total_col: str | None = None) -> DataFrame:
     """Exclusive running sums per key along ``order``: one output column per entry of ``values``.
 
-    A window runs per (keys, range); the ranges of a key add the totals of the earlier ones.
+    A window runs per (keys, range); the ranges of a key add the totals of the earlier ones. ``total_col``
+    optionally adds the sum of the first value over the whole key.
     """
     d = range_chunks(df.withColumns({f"_v_{k}": v for k, v in values.items()}), keys, order)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,42 +51,43 @@ def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str,
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_chunk").alias("_k_chunk"),
-        *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values))
+        *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values),
+        F.sum(f"_t_{next(iter(values))}").over(Window.partitionBy(*keys)).alias("_o_total"))
     same = F.col("_chunk") == F.col("_k_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return local.join(offsets, same).select(
-        *df.columns, *((F.col(f"_s_{k}") + F.col(f"_o_{k}")).alias(k) for k in values))
+        *df.columns, *((F.col(f"_s_{k}") + F.col(f"_o_{k}")).alias(k) for k in values),
+        *([F.col("_o_total").alias(total_col)] if total_col else []))
 
 
-def chunked_row_number(df: DataFrame, keys: list[str], chunk: Column, order: list,
-                       out: str = "rn", total_col: str | None = None) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)``, computed per chunk.
+def numbered(df: DataFrame, keys: list[str], order: list, out: str = "rn", total_col: str | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)``; ``total_col`` optionally adds the row count of the key."""
+    r = running_sums(df, keys, order, {"_before": F.lit(1).cast("bigint")}, total_col)
+    columns = [*df.columns, *([total_col] if total_col else [])]
+    return r.select(*columns, (F.col("_before") + 1).cast("bigint").alias(out))
 
-    ``chunk`` must be non-decreasing along ``order`` within each key.
-    ``total_col`` optionally adds the row count of the key.
-    """
-    d = df.withColumn("_chunk", chunk)
+
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str = "running") -> DataFrame:
+    """``sum(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``."""
+    r = running_sums(df.withColumn("_own", value), keys, order, {"_before": F.col("_own")})
+    return r.select(*df.columns, (F.col("_before") + F.col("_own")).alias(out))
+
+
+def range_lag(df: DataFrame, keys: list[str], order: list, value: str, out: str = "prev") -> DataFrame:
+    """``lag(value) OVER (PARTITION BY keys ORDER BY order)``: a plain lag inside a range, its first row takes the
+    last value of the closest earlier range of the key."""
+    d = range_chunks(df, keys, order)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order))
-    local = d.withColumn("_local", F.row_number().over(w))
-    offs = _chunk_offsets(d, keys, None)
-    j = local.join(offs, [*keys, "_chunk"])
-    j = j.withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-    if total_col:
-        j = j.withColumn(total_col, F.col("_total").cast("bigint"))
-    return j.drop("_chunk", "_local", "_off", "_total")
-
-
-def chunked_running_sum(df: DataFrame, keys: list[str], chunk: Column, order: list,
-                        value: Column, out: str = "running") -> DataFrame:
-    """``sum(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)`` per chunk."""
-    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    w = (Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.withColumn("_local", F.sum("_v").over(w))
-    offs = _chunk_offsets(d, keys, F.col("_v"))
-    j = local.join(offs, [*keys, "_chunk"])
-    return j.withColumn(out, F.col("_off") + F.col("_local")).drop("_chunk", "_v", "_local", "_off", "_total")
+    local = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = d.groupBy(*keys, "_chunk").agg(F.max_by(value, F.struct(*_cols(order))).alias("_last"))
+    carry = last.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_chunk").alias("_k_chunk"),
+                        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
+    same = F.col("_chunk") == F.col("_k_chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return local.join(carry, same).select(
+        *df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")).alias(out))
 
 
 def chunked_lag(df: DataFrame, keys: list[str], chunk: Column, order: list, value: str,

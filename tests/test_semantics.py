@@ -16,7 +16,7 @@ from feedspark.operators import users as U
 from feedspark.operators.dedup import anchored_ttl_epochs, first_seen_dedup
 from feedspark.operators.retention import feed_top_n, retain_last_global, retain_last_per_topic
 from feedspark.plans.feed import user_feed
-from feedspark.plans.ordering import chunked_row_number, chunked_running_sum
+from feedspark.plans.ordering import numbered, range_lag, running_sum
 
 T0 = dt.datetime(2024, 1, 1)
 H = dt.timedelta(hours=1)
@@ -112,7 +112,7 @@ def test_bounded_fanout_equals_naive(spark):
 
 
 # --- chunked numbering = plain window -------------------------------------------------
-def test_chunked_row_number_and_running_sum(spark):
+def test_numbering_and_running_sum_equal_windows(spark):
     rnd = random.Random(5)
     rows = [(rnd.randint(0, 3), T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 6)), i, rnd.randint(-5, 9))
             for i in range(500)]
@@ -121,8 +121,8 @@ def test_chunked_row_number_and_running_sum(spark):
     plain = {(r.id, r.rn, r.s) for r in df.select(
         "id", F.row_number().over(w).alias("rn"),
         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect()}
-    a = chunked_row_number(df, ["k"], F.to_date("ts"), ["ts", "id"], out="rn")
-    b = chunked_running_sum(a, ["k"], F.to_date("ts"), ["ts", "id"], F.col("v"), out="s")
+    a = numbered(df, ["k"], ["ts", "id"], out="rn")
+    b = running_sum(a, ["k"], ["ts", "id"], F.col("v"), out="s")
     assert {(r.id, r.rn, r.s) for r in b.collect()} == plain
 
 
@@ -364,6 +364,7 @@ def test_chunked_lag_equals_lag(spark):
     w = Window.partitionBy("k").orderBy("ts", "id")
     plain = {(r.id, r.p) for r in df.select("id", F.lag("v").over(w).alias("p")).collect()}
     got = {(r.id, r.p) for r in chunked_lag(df, ["k"], F.to_date("ts"), ["ts", "id"], "v", out="p").collect()}
+    assert got == {(r.id, r.p) for r in range_lag(df, ["k"], ["ts", "id"], "v", out="p").collect()}
     assert got == plain
 
 
@@ -495,3 +496,23 @@ def test_block_walk_equals_attempt_walk_over_many_blocks_and_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     att = fanout_visible(m, s).withColumnRenamed("entry_ts", "ts")
     assert got == {tuple(r) for r in epoch_anchors(att).collect()} and len(got) > 100
+
+
+def test_one_hot_key_in_one_day_is_numbered_by_many_tasks(spark):
+    from feedspark.plans.ordering import range_chunks
+
+    df = spark.range(0, 20_000, 1, 8).select((F.col("id") % 10 == 0).cast("int").alias("k"), (F.col("id") % 80_000).alias("ts"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or this little data is one range
+    try:
+        _check_hot_key(df, range_chunks)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def _check_hot_key(df, range_chunks):
+    cut = range_chunks(df, ["k"], ["ts", "id"])
+    assert cut.where("k = 0").select("_chunk").distinct().count() > 1
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    plain = {tuple(r) for r in df.select("id", F.row_number().over(w), F.sum("id").over(w), F.lag("id").over(w)).collect()}
+    got = range_lag(running_sum(numbered(df, ["k"], ["ts", "id"]), ["k"], ["ts", "id"], F.col("id"), out="s"), ["k"], ["ts", "id"], "id", out="p")
+    assert {tuple(r) for r in got.select("id", "rn", "s", "p").collect()} == plain
