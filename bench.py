@@ -31,6 +31,7 @@ HEADLINE = [
     "classify_by_prototype",  # I9
     "micro_batches",         # F9
     "toggle_topic",          # F10
+    "stream_dedup_ttl",      # I3, four micro-batches with state
 ]
 
 
@@ -53,14 +54,16 @@ def main():
         reg[k].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[k] = round(time.time() - t0, 3)
     # throughput of the flagship in the units of the published figures
-    # (articles in, feed deliveries considered); counted outside the timed part
+    # (articles in, feed rows out); counted outside the timed part
     amp = reg["fanout_amplification"].build(spark, sf_dir).first()
+    feed_rows = reg["user_feed"].build(spark, sf_dir).count()
     sec = times.get("user_feed") or float("nan")
     throughput = {
         "articles": amp["messages"],
         "visible_deliveries": amp["deliveries"],
         "user_feed_articles_per_sec": round(amp["messages"] / sec, 1),
-        "user_feed_deliveries_per_sec": round(amp["deliveries"] / sec, 1),
+        "feed_rows": feed_rows,
+        "user_feed_rows_per_sec": round(feed_rows / sec, 1),
     }
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
