@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..oracle import with_views
 from ..operators.dedup import anchored_ttl_epochs, first_seen_dedup
 from ..operators.fan_out import dedupe_unseen, fanout_join, fanout_visible, message_keys, unsubscribed_topics
-from ..plans.feed import user_feed, visible_top_n
+from ..plans.feed import feed_with_payload, user_feed, visible_top_n
 from ..sources import fixtures as fx
 from . import register
 
@@ -49,6 +51,17 @@ def q_user_feed_bounded(t):
     return f.select("uid", "doc", "pos")
 
 
+@register("feed_with_payload", feed_oracle("""
+SELECT f.uid, f.pos, f.entry_id, f.doc, a.title, a.topic, length(a.text) AS body_chars, md5(a.text) AS body_md5
+FROM f JOIN articles a ON f.entry_id = a.entry_id WHERE f.pos <= 100"""))
+def q_feed_with_payload(t):
+    """The flagship feed with its content: title and topic, and the body's length and digest."""
+    a = fx.articles(t)
+    f = feed_with_payload(user_feed(a, fx.subscriptions(t), n=100), a)
+    return f.select("uid", "pos", "entry_id", "doc", "title", "topic", F.length("text").cast("bigint").alias("body_chars"),
+                    F.md5("text").alias("body_md5"))
+
+
 # --- joins ---------------------------------------------------------------------
 @register("fanout_join", with_views("""
 SELECT s.uid, m.entry_id, m.entry_ts, coalesce(nullif(m.id,''), m.entry_id) AS doc, m.topic

@@ -57,6 +57,29 @@ def q_tail_after_cursor(t):
     return FD.tail_after_cursor(a, cur, ["topic"]).select("topic", "entry_id", "tail_pos")
 
 
+@register("user_backlog_latest", with_views("""
+SELECT uid, entry_id, CAST(least(cnt, 40) - pos + 1 AS INTEGER) AS pos FROM (
+  SELECT *, count(*) OVER (PARTITION BY uid) AS cnt FROM feed1) q WHERE pos <= 40""",
+                                            "articles", "subscriptions", extra=FEED1_SQL))
+def q_user_backlog_latest(t):
+    """F5 per user: the last 40 entries of each user's feed, oldest first."""
+    feed = _feed1(t).withColumnRenamed("ts", "entry_ts").drop("pos")
+    return FD.backlog_latest(feed, ["uid"], 40).select("uid", "entry_id", "pos")
+
+
+@register("user_tail_after_cursor", with_views("""
+SELECT f.uid, f.entry_id, row_number() OVER (PARTITION BY f.uid ORDER BY f.entry_ts, f.seq) AS tail_pos
+FROM feed1 f JOIN (SELECT uid, max((entry_ts, seq)) AS c FROM feed1
+  WHERE entry_ts <= TIMESTAMP '2024-01-03 00:00:00' + to_hours(CAST(uid % 200 AS INT)) GROUP BY uid) k
+  ON f.uid = k.uid AND (f.entry_ts, f.seq) > k.c""", "articles", "subscriptions", extra=FEED1_SQL))
+def q_user_tail_after_cursor(t):
+    """F6 per user: feed entries after each user's own cursor (users read up to different times)."""
+    feed = _feed1(t).withColumnRenamed("ts", "entry_ts").drop("pos")
+    until = F.lit("2024-01-03 00:00:00").cast("timestamp") + F.make_interval(hours=(F.col("uid") % 200).cast("int"))
+    cur = FD.cursors_at(feed.where(F.col("entry_ts") <= until), ["uid"], "9999-01-01 00:00:00")
+    return FD.tail_after_cursor(feed, cur, ["uid"]).select("uid", "entry_id", "tail_pos")
+
+
 @register("fifo_consume", with_views("""
 SELECT f.uid, count(*) FILTER (WHERE f.n - f.pos + 1 <= coalesce(p.k, 0)) AS popped,
   count(*) FILTER (WHERE f.n - f.pos + 1 > coalesce(p.k, 0)) AS remaining
