@@ -113,15 +113,15 @@ def certified_cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = D
     steps = [F.struct(F.lit(i).alias("step"), F.lit(c).alias("cut")) for i, c in enumerate(grid)]
     counts = [F.sum((F.col(s) > c).cast("long")).alias(f"{s}_{i}")
               for s in signal_names for i, c in enumerate(grid)]
-    by_stratum = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    strata = by_stratum.agg(F.count("*").alias("strata"))
-    tests = by_stratum.join(F.broadcast(strata)).select(  # one row on the right
-        "stratum", "n", "strata", F.explode(F.array(*(
+    by_stratum = stored(holdout.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "quality-counts")
+    strata = max(1, by_stratum.count())
+    tests = by_stratum.select(
+        "stratum", "n", F.explode(F.array(*(
             F.struct(F.lit(s).alias("signal"), F.lit(i).alias("step"), F.lit(c).alias("cut"),
                      F.coalesce(F.col(f"{s}_{i}"), F.lit(0).cast("long")).alias("k"))
-            for s in signal_names for i, c in enumerate(grid)))).alias("t")).select("stratum", "n", "strata", "t.*")
+            for s in signal_names for i, c in enumerate(grid)))).alias("t")).select("stratum", "n", "t.*")
     proof = tests.withColumn("p", binomial_cdf(F.col("n"), F.col("k"), alpha / len(signal_names)))
-    passed = proof.withColumn("ok", F.col("p") <= delta / (F.col("strata") * len(signal_names)))
+    passed = proof.withColumn("ok", F.col("p") <= delta / (strata * len(signal_names)))
     walks = passed.groupBy("stratum", "signal").agg(
         F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(len(steps))).alias("stop"))
     ladder = F.array(*(F.lit(c) for c in grid))
