@@ -11,13 +11,16 @@ windows always meet. Four steps, each streaming over partitions:
 4. A bucket is cut into shards of bounded size. Each gets a suffix array by Larsson-Sadakane refinement
    (only groups that are still tied are sorted again) and common prefixes by Kasai's bound; suffixes that share
    50 bytes form a class with its smallest document. Classes of different shards are merged by binary search.
+   Equal strings are taken together before, and a string whose minimizer no other string has needs no array.
 
 A passage in a third of all documents costs a record per shard and string, not per document.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,9 @@ from .tables import mix, stored
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text per shard of the first steps, of a suffix-array shard, and of text behind a bucket.
-SHARD_BYTES, SUFFIX_BYTES, BUCKET_BYTES = 6_000_000, 2_000_000, 4_000_000
+SHARD_BYTES, SUFFIX_BYTES, BUCKET_BYTES = 3_000_000, 500_000, 1_500_000
 _LAST = (1 << 63) - 1  # order of a NULL id: after all others
+_BASE = {1 << k: np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(16)}
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -40,26 +44,28 @@ def _gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` bytes from every position on (meaningless within ``gram`` of the end)."""
     h, width = _TABLE[a], 1
 
-    def joined(left: np.ndarray, right: np.ndarray, shift: int, odd: int) -> np.ndarray:
-        out = left * np.uint64(odd)
+    def joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
+        out = left * _BASE[shift]  # a polynomial in the bytes' random numbers
         out[:-shift] += right[shift:]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
         return out
 
     parts = {1: h}
     while width * 2 <= gram:
         if len(a) <= width:
-            return h
-        h = joined(h, h, width, 0x9E3779B97F4A7C15)
+            break
+        h = joined(h, h, width)
         width *= 2
         parts[width] = h
     done, left = width, gram - width
     while left and len(a) > done:
         width = 1 << (left.bit_length() - 1)
-        h = joined(h, parts[width], done, 0xD6E8FEB86659FD93)
+        out = h * _BASE[width]
+        out[:-done] += parts[width][done:]
+        h = out
         done, left = done + width, left - width
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return h
 
 
@@ -76,50 +82,68 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def runs_of(data: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: (minimizer, document number, start in the document, windows)."""
-    none = (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
-    if len(data) < length:
-        return none
+def _runs(data: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     begins = np.cumsum(lengths) - lengths
-    valid = np.ones(len(data), bool)
-    for back in range(1, length):  # windows must not cross the end of a document
-        at = begins + lengths - back
-        valid[at[at >= begins]] = False
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return none
-    m = _minima(_gram_hashes(data, gram), length - gram + 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1)
-    doc = np.searchsorted(begins, at, "right") - 1 if len(begins) else at
-    new[1:] |= doc[1:] != doc[:-1]
+    windows = np.maximum(lengths - length + 1, 0)
+    n = int(windows.sum())
+    if not n:
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+    m = _minima(_gram_hashes(data, gram), length - gram + 1)
+    firsts = np.cumsum(windows) - windows
+    m = m[np.repeat(begins - firsts, windows) + np.arange(n)]  # no window crosses the end of a document
+    new = np.ones(n, bool)
+    new[1:] = m[1:] != m[:-1]
+    new[firsts[windows > 0]] = True
     first = np.flatnonzero(new)
-    return m[first], doc[first], at[first] - begins[doc[first]], np.diff(np.append(first, len(at)))
+    doc = np.searchsorted(firsts, first, "right") - 1
+    return m[first], doc, first - firsts[doc], np.diff(np.append(first, n))
+
+
+def runs_of(texts: list[bytes], length: int, gram: int, block: int = 150_000) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: (minimizer, text number, start in the text, windows), in blocks that fit a cache."""
+    out, lo = [], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and size < block:
+            size += len(texts[hi])
+            hi += 1
+        lengths = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
+        m, doc, start, n = _runs(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), lengths, length, gram)
+        out.append((m, doc + lo, start, n))
+        lo = hi
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else _runs(np.empty(0, np.uint8), np.zeros(0, np.int64), length, gram)
 
 
 # --- suffix arrays ---
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` bytes or more: eight bytes at once, then Larsson-Sadakane doubling."""
+def _words(text: np.ndarray, extra: int = 0) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros behind the end; ``extra`` more positions."""
+    wide = np.append(text, np.zeros(extra + 8, np.uint8))
+    n = len(text) + extra
+    pair = wide[:-1].astype(np.uint16) << 8 | wide[1:]
+    four = pair[:-2].astype(np.uint32) << 16 | pair[2:]
+    return (four[:n].astype(np.uint64) << np.uint64(32)) | four[4:n + 4]
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Sorted suffixes: by eight bytes at once, then Larsson-Sadakane doubling of what is still tied.
+
+    The sort is complete, as Kasai's bound does not hold for suffixes that are tied at some depth.
+    """
     n = len(text)
-    wide = np.zeros(n + 8, np.uint8)
-    wide[:n] = text
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k:n + k]
-    sa = np.argsort(key, kind="stable")
-    rank = np.full(n + depth, -1, np.int64)
+    key = _words(text)
+    sa = n - 1 - np.argsort(key[::-1], kind="stable")  # of equal numbers the shorter suffix first
+    rank = np.full(n + 1, -1, np.int64)
     same = key[sa]
     head = np.ones(n, bool)
-    head[1:] = same[1:] != same[:-1]
+    head[1:] = (same[1:] != same[:-1]) | (sa[:-1] > n - 8)  # the end of the text differs from zeros
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     h = 8
-    while h < depth:
+    while True:
         single = head & np.append(head[1:], True)
         at = np.flatnonzero(~single)
         if not len(at):
-            break
+            return sa
         suffix = sa[at]
         group, nxt = rank[suffix], rank[np.minimum(suffix + h, n)]
         order = np.lexsort((nxt, group))
@@ -130,40 +154,41 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         head[at] = new
         rank[sa[at]] = np.maximum.accumulate(np.where(new, at, 0))
         h *= 2
-    return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix, up to ``cap``, of every suffix with the one before it in ``sa``.
 
-    Kasai's bound (a suffix shares at least one byte less than the suffix one position earlier did) is used from a
-    coarse grid of positions down to single ones, so each level compares what the bound leaves open.
+    Every eighth position is compared from the start; the others begin at Kasai's bound (a suffix shares at most one
+    byte less than the suffix one position earlier) and go on from there, eight bytes at a time.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    lcp = np.zeros(n, np.int32)
-    wide = np.append(text.astype(np.int16), np.full(cap + 1, -1, np.int16))
-    step = 32
-    done_step = 0
-    while step:
-        at = np.arange(0 if not done_step else step, n, step if not done_step else 2 * step)
-        known = np.maximum(lcp[at - step] - step, 0) if done_step else np.zeros(len(at), np.int32)
+    word = _words(text, cap + 8)
+    lcp = np.zeros(n, np.int64)
+    every = np.arange(n)
+    for at in (every[::8], every[every % 8 > 0]):
+        back = at % 8
+        known = np.maximum(lcp[at - back] - back, 0)
+        go = before[at] >= 0
+        at, known = at[go], known[go]
         other = before[at]
-        go = other >= 0
-        at, known, other = at[go], known[go], other[go]
-        live = np.arange(len(at))
+        live = np.flatnonzero(known < cap)
         while len(live):
-            p, q, k = at[live], other[live], known[live]
-            ok = (k < cap) & (p + k < n) & (q + k < n) & (wide[p + k] == wide[np.minimum(q + k, n)])
-            live = live[ok]
-            known[live] += 1
-        lcp[at] = known
-        done_step, step = step, step // 2
+            k = known[live]
+            differ = word[at[live] + k] ^ word[other[live] + k]
+            same = differ == 0
+            known[live[same]] += 8
+            differ = differ[~same]
+            known[live[~same]] += sum((differ < np.uint64(1 << 64 - 8 * j)).astype(np.int64) for j in range(1, 8))
+            live = live[same]
+            live = live[known[live] < cap]
+        lcp[at] = np.minimum(np.minimum(known, cap), n - np.maximum(at, other))
     return lcp[sa]
 
 
-def _classes(strings: list[bytes], orders: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _classes(strings: list[bytes], orders: np.ndarray, length: int, with_keys: bool) -> tuple[np.ndarray, ...]:
     """Windows of the strings (one shard): (50-byte keys of the classes, smallest order of each, and for the windows
     in text order: class, string)."""
     text = np.frombuffer(b"\0".join(strings), np.uint8)
@@ -172,7 +197,7 @@ def _classes(strings: list[bytes], orders: np.ndarray, length: int) -> tuple[np.
     counts = sizes - length + 1
     window = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     of = np.repeat(np.arange(len(strings)), counts)
-    sa = suffix_array(text, length)
+    sa = suffix_array(text)
     lcp = common_prefixes(text, sa, length)
     string_at = np.full(len(text), -1, np.int64)
     string_at[window] = of
@@ -183,16 +208,29 @@ def _classes(strings: list[bytes], orders: np.ndarray, length: int) -> tuple[np.
     _, cls = np.unique(sorted_class, return_inverse=True)
     heads = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
     smallest = np.minimum.reduceat(orders[string_at[sorted_at]], heads)
-    places = sorted_at[heads][:, None] + np.arange(length)
-    keys = np.ascontiguousarray(text[places]).view(f"S{length}").ravel()
+    keys = np.empty(0, f"S{length}")
+    if with_keys:
+        keys = np.lib.stride_tricks.sliding_window_view(text, length)[sorted_at[heads]].copy().view(f"S{length}").ravel()
     class_at = np.empty(len(text), np.int64)
     class_at[sorted_at] = cls
     return keys, smallest, class_at[window], of
 
 
+def _stretches(hit: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of hits that stay in one string."""
+    at = np.flatnonzero(hit)
+    if len(at):
+        new = np.append(True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]]))
+        first = at[new]
+        yield from zip(first.tolist(), np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + 1, strict=True)
+
+
 def earlier_windows(strings: list[bytes], orders: np.ndarray, length: int = LENGTH,
-                    shard_bytes: int = SUFFIX_BYTES) -> list[np.ndarray]:
-    """For distinct strings with their documents' order: which windows also occur in a string of smaller order."""
+                    shard_bytes: int = SUFFIX_BYTES) -> list[list[tuple[int, int]] | None]:
+    """For distinct strings with their documents' order: (first, end) of the windows that also occur in a string of
+    smaller order, None where there are none."""
+    if not strings:
+        return []
     shards, held = [[]], 0
     for k, s in enumerate(strings):
         if held + len(s) > shard_bytes and shards[-1]:
@@ -200,7 +238,7 @@ def earlier_windows(strings: list[bytes], orders: np.ndarray, length: int = LENG
             held = 0
         shards[-1].append(k)
         held += len(s) + 1
-    parts = [_classes([strings[k] for k in ks], orders[ks], length) for ks in shards if ks]
+    parts = [_classes([strings[k] for k in ks], orders[ks], length, len(shards) > 1) for ks in shards]
     out: list[np.ndarray] = []
     for i, (ks, (keys, smallest, cls, of)) in enumerate(zip(shards, parts, strict=True)):
         best = smallest.copy()
@@ -209,7 +247,12 @@ def earlier_windows(strings: list[bytes], orders: np.ndarray, length: int = LENG
                 at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
                 best = np.where(others[at] == keys, np.minimum(best, theirs[at]), best)
         hit = best[cls] < orders[ks][of]
-        out += np.split(hit, np.cumsum(np.bincount(of, minlength=len(ks)))[:-1])
+        spans: list[list[tuple[int, int]] | None] = [None] * len(ks)
+        firsts = np.searchsorted(of, np.arange(len(ks)))
+        for a, b in _stretches(hit, of):
+            k = int(of[a])
+            spans[k] = [*(spans[k] or ()), (int(a - firsts[k]), int(b - firsts[k]))]
+        out += spans
     return out
 
 
@@ -238,23 +281,38 @@ def _ids(values: list[int | None]) -> np.ndarray:
     return np.array([_LAST if v is None else v for v in values], np.int64)
 
 
-def _joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.frombuffer(b"".join(t or b"" for t in texts), np.uint8),
-            np.array([len(t or b"") for t in texts], np.int64))
+def _span(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 32 | n
 
 
-def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    arrays = tuple(a[order] for a in arrays)
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    for lo, hi in zip(heads, [*heads[1:], len(bucket)], strict=True):
-        yield int(bucket[lo]), tuple(a[lo:hi] for a in arrays)
+def _merged(spans: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the windows in ``spans``, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for span in sorted(spans):
+        start, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _bucket(m: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of minimizers."""
+    return ((m >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    heads = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else []
+    for lo, hi in zip(heads, [*heads[1:], len(sorted_values)], strict=True):
+        yield int(sorted_values[lo]), slice(lo, hi)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, the first byte of all numbers before the second and so on, compressed."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
@@ -262,112 +320,126 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", n, 8), 8 * (n + 1), []
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
+def _shard_number(made: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 16) + made
+
+
 def _lister(buckets: int, length: int, gram: int):
-    """Step 1, in the shards: runs by bucket of their minimizer; runs shared inside the shard pass on their own."""
+    """Step 1, in the shards: runs by bucket of their minimizer; what the shard itself shares passes in a bucket of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        made = 0
-        for ids, keys, texts in _shards(batches, SHARD_BYTES):
-            order_of, keys = _ids(ids), np.array(keys, np.int64)
-            m, doc, start, n = runs_of(*_joined(texts), length, gram)
+        for made, (ids, keys, texts) in enumerate(_shards(batches, SHARD_BYTES)):
+            shard = _shard_number(made)
+            order_of = _ids(ids)
+            m, doc, start, n = runs_of(texts, length, gram)
             if not len(m):
                 continue
+            # stable, so the runs of a minimizer stay in the order of the text
             by = np.argsort(m, kind="stable")
-            heads = np.flatnonzero(np.append(True, m[by][1:] != m[by][:-1]))
+            m, doc, start, n = m[by], doc[by], start[by], n[by]
+            heads = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
             size = np.diff(np.append(heads, len(m)))
-            low, high = (f.reduceat(order_of[doc[by]], heads) for f in (np.minimum, np.maximum))
-            shared = np.zeros(len(m), bool)
-            shared[by] = np.repeat(low != high, size)
-            # of a minimizer of several documents only its smallest order goes to the buckets, as a mark (start -1)
-            marks = low != high
-            alone = np.flatnonzero(~shared)
-            at = alone[np.argsort(m[alone], kind="stable")]
-            mm = np.concatenate([m[at], m[by][heads][marks]])
-            rows = (mm, np.concatenate([order_of[doc[at]], low[marks]]),
-                    np.concatenate([keys[doc[at]], np.zeros(marks.sum(), np.int64)]),
-                    np.concatenate([start[at], np.full(marks.sum(), -1)]).astype(np.int32),
-                    np.concatenate([n[at], np.zeros(marks.sum(), np.int64)]).astype(np.int32))
-            # neighbouring shared runs of a document are one stretch
+            order = order_of[doc]
+            many = np.minimum.reduceat(order, heads) != np.maximum.reduceat(order, heads)
+            shared = np.repeat(many, size)
+            # neighbouring shared runs of a document are one stretch; with them go the documents themselves
             at = np.flatnonzero(shared)
-            if len(at):
-                new = np.append(True, (doc[at][1:] != doc[at][:-1]) | (start[at][1:] != start[at][:-1] + n[at][:-1]))
-                first = at[new]
-                total = np.add.reduceat(n[at], np.flatnonzero(new))
-                made += 1
-                yield _columns("bucket payload", [buckets + (TaskContext.get().partitionId() << 24) + made],
-                               [_pack(np.empty(0, np.uint64), order_of[doc[first]], keys[doc[first]],
-                                      start[first].astype(np.int32), total.astype(np.int32))])
-            out = [(b, _pack(*part)) for b, part in _by_bucket((mm % np.uint64(buckets)).astype(np.int64), *rows)]
+            at = at[np.lexsort((start[at], doc[at]))]
+            new = np.append(True, (doc[at][1:] != doc[at][:-1]) | (start[at][1:] != start[at][:-1] + n[at][:-1]))[:len(at)]
+            total = np.add.reduceat(n[at], np.flatnonzero(new)) if len(at) else n[at]
+            first = at[new]
+            used = np.unique(doc)
+            yield _columns("bucket shard payload", [buckets + shard], [shard],
+                           [_pack(doc[first].astype("u4"), _span(start[first], total), used.astype("u4"), order_of[used],
+                                  np.array(keys, np.int64)[used])])
+            # of a minimizer of several documents the buckets get a mark only (document 2^32 - 1)
+            keep = ~shared
+            keep[heads[many]] = True
+            mark = shared[keep]
+            m, doc, start, n = m[keep], doc[keep].astype("u4"), start[keep].astype("u4"), n[keep].astype("u4")
+            doc[mark] = 0xFFFFFFFF
+            start[mark] = n[mark] = 0
+            short = m >> np.uint64(16)
+            out = [(b, shard, _pack(np.diff(short[part], prepend=np.uint64(0)), doc[part], start[part], n[part]))
+                   for b, part in _slices(_bucket(m, buckets))]
             for lo in range(0, len(out), 200):
-                yield _columns("bucket payload", *map(list, zip(*out[lo:lo + 200], strict=True)))
+                yield _columns("bucket shard payload", *map(list, zip(*out[lo:lo + 200], strict=True)))
     return run
 
 
 def _sharer(buckets: int):
-    """Step 1, in a bucket: the runs whose minimizer two documents hold."""
+    """Step 1, in a bucket: the runs whose minimizer two documents hold; the documents of a shard as they are."""
+    def table_of(doc, span, order=None, key=None) -> pa.Table:
+        none = pa.nulls(len(doc), pa.int64())
+        return pa.table({"doc": doc, "span": none if span is None else span, "ord": none if order is None else order,
+                         "row_key": none if key is None else key})
+
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py(), "u8", "i8", "i8", "i4", "i4") for p in table.column("payload")]
-        m, order, key, start, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        if table.column("bucket")[0].as_py() < buckets:
-            by = np.argsort(m, kind="stable")
-            m, order, key, start, n = m[by], order[by], key[by], start[by], n[by]
-            heads = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-            size = np.diff(np.append(heads, len(m)))
-            many = np.minimum.reduceat(order, heads) != np.maximum.reduceat(order, heads)
-            marked = np.minimum.reduceat(start, heads) < 0
-            use = np.repeat(many | marked, size) & (start >= 0)
-            order, key, start, n = order[use], key[use], start[use], n[use]
-        return pa.table({"ord": order, "row_key": key, "start": start, "n": n})
+        shards = table.column("shard").to_pylist()
+        payloads = table.column("payload").to_pylist()
+        if table.column("bucket")[0].as_py() >= buckets:
+            doc, span, used, order, key = _unpack(payloads[0], "u4", "i8", "u4", "i8", "i8")
+            base = np.int64(shards[0]) << 24
+            return pa.concat_tables([table_of(base + doc, span), table_of(base + used, None, order, key)])
+        parts = []
+        for shard, payload in zip(shards, payloads, strict=True):
+            m, doc, start, n = _unpack(payload, "u8", "u4", "u4", "u4")
+            uid = (np.int64(shard) << 24) + doc.astype(np.int64)
+            uid[doc == 0xFFFFFFFF] = -1
+            parts.append((np.cumsum(m, dtype=np.uint64), uid, _span(start, n)))
+        m, uid, span = map(np.concatenate, zip(*parts, strict=True))
+        by = np.argsort(m, kind="stable")
+        m, uid, span = m[by], uid[by], span[by]
+        heads = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+        low, high = np.minimum.reduceat(uid, heads), np.maximum.reduceat(uid, heads)
+        use = np.repeat((low != high) | (low < 0), np.diff(np.append(heads, len(m)))) & (uid >= 0)
+        return table_of(uid[use], span[use])
     return run
 
 
 def _sender(buckets: int, length: int, gram: int):
     """Step 3, in the shards: candidate runs as strings to their buckets; copies inside the shard are verdicts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         made = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                piece = batch.slice(lo, 2000)
-                texts = piece.column(2).to_pylist()
-                order_of = piece.column(0).to_numpy(zero_copy_only=False)
-                keys = piece.column(1).to_numpy(zero_copy_only=False)
-                data, lengths = _joined(texts)
-                m, doc, start, n = runs_of(data, lengths, length, gram)
-                inside = np.zeros(len(data) + 1, np.int32)
-                begins = np.cumsum(lengths) - lengths
-                for k, stretches in enumerate(piece.column(3)):
-                    for s in stretches.as_py():
-                        inside[begins[k] + s["start"]] += 1
-                        inside[begins[k] + s["start"] + s["n"]] -= 1
-                use = np.cumsum(inside)[begins[doc] + start] > 0
-                m, doc, start, n = m[use], doc[use], start[use], n[use]
-                order = order_of[doc]
-                strings = [texts[d][s:s + c + length - 1] for d, s, c in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
+            for lo in range(0, batch.num_rows, 1000):
+                piece = batch.slice(lo, 1000)
+                pieces, owner, place = [], [], []
+                for k, (text, spans) in enumerate(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)):
+                    for a, b in _merged(spans):
+                        pieces.append(text[a:b + length - 1])
+                        owner.append(k)
+                        place.append(a)
+                m, part, start, n = runs_of(pieces, length, gram)
+                owner = np.array(owner, np.int64)[part]
+                strings = np.empty(len(m), object)
+                strings[:] = [pieces[p][a:a + c + length - 1] for p, a, c in zip(part.tolist(), start.tolist(), n.tolist(), strict=True)]
+                order = piece.column(0).to_numpy(zero_copy_only=False)[owner]
+                key = piece.column(1).to_numpy(zero_copy_only=False)[owner]
+                span = _span(start + np.array(place, np.int64)[part], n)
                 least: dict[bytes, int] = {}
-                for s, o in zip(strings, order.tolist(), strict=True):
-                    if o < least.get(s, _LAST + 1):
-                        least[s] = o
-                first = np.fromiter((least[s] == o for s, o in zip(strings, order.tolist(), strict=True)), bool, len(strings))
-                copy = np.flatnonzero(~first)
-                if len(copy):
+                for x, o in zip(strings, order.tolist(), strict=True):
+                    if o < least.get(x, _LAST + 1):
+                        least[x] = o
+                first = np.fromiter(map(least.__getitem__, strings), np.int64, len(strings)) == order
+                if not first.all():
+                    copy = ~first
+                    yield _columns("bucket payload", [buckets + (_shard_number(0) << 20) + made],
+                                   [_pack(order[copy], key[copy], span[copy], np.empty(0, np.uint64), np.empty(0, np.uint8))])
                     made += 1
-                    yield _columns("bucket payload", [buckets + (TaskContext.get().partitionId() << 24) + made],
-                                   [_pack(order[copy], keys[doc[copy]], start[copy].astype(np.int32),
-                                          n[copy].astype(np.int32), np.empty(0, np.uint8))])
                 at = np.flatnonzero(first)
-                where = np.array(strings, object)
-                out = [(b, _pack(o, k, s, c, np.frombuffer(b"".join(t), np.uint8)))
-                       for b, (o, k, s, c, t) in _by_bucket(
-                           (m[at] % np.uint64(buckets)).astype(np.int64), order[at], keys[doc[at]],
-                           start[at].astype(np.int32), n[at].astype(np.int32), where[at])]
+                at = at[np.argsort(m[at], kind="stable")]
+                short = m[at] >> np.uint64(16)
+                out = [(b, _pack(order[at[q]], key[at[q]], span[at[q]], np.diff(short[q], prepend=np.uint64(0)),
+                                 np.frombuffer(b"".join(strings[at[q]]), np.uint8)))
+                       for b, q in _slices(_bucket(m[at], buckets))]
                 for i in range(0, len(out), 200):
                     yield _columns("bucket payload", *map(list, zip(*out[i:i + 200], strict=True)))
     return run
@@ -376,76 +448,65 @@ def _sender(buckets: int, length: int, gram: int):
 def _judge(buckets: int, length: int):
     """Step 4, in a bucket: stretches of windows that an earlier document holds."""
     def run(table: pa.Table) -> pa.Table:
-        order, key, start, n, strings = [], [], [], [], []
-        for p in table.column("payload"):
-            o, k, s, c, text = _unpack(p.as_py(), "i8", "i8", "i4", "i4", "u1")
-            order.append(o)
-            key.append(k)
-            start.append(s)
-            n.append(c)
+        parts, strings, minimizers = [], [], []
+        for payload in table.column("payload"):
+            *part, short, text = _unpack(payload.as_py(), "i8", "i8", "i8", "u8", "u1")
+            parts.append(part)
+            minimizers += np.cumsum(short, dtype=np.uint64).tolist()
             if len(text):
-                ends, raw = np.cumsum(c.astype(np.int64) + length - 1).tolist(), text.tobytes()
+                ends, raw = np.cumsum((part[2] & 0xFFFFFFFF) + length - 1).tolist(), text.tobytes()
                 strings += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        order, key, start, n = map(np.concatenate, (order, key, start, n))
-        if table.column("bucket")[0].as_py() >= buckets:
-            return pa.table({"ord": order, "row_key": key, "start": start, "n": n})
-        least: dict[bytes, int] = {}
-        for s, o in zip(strings, order.tolist(), strict=True):
-            if o < least.get(s, _LAST + 1):
-                least[s] = o
-        distinct = sorted(least)
-        hits = dict(zip(distinct, earlier_windows(distinct, np.array([least[s] for s in distinct]), length), strict=True))
-        rows: list[tuple] = []
-        for i, (s, o) in enumerate(zip(strings, order.tolist(), strict=True)):
-            if o > least[s]:
-                rows.append((o, key[i], start[i], n[i]))
-            elif (hit := hits[s]).any():
-                edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                rows += [(o, key[i], start[i] + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table({name: pa.array([int(v) for v in c], t) for name, c, t in zip(
-            ("ord", "row_key", "start", "n"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
+        order, key, span = map(np.concatenate, zip(*parts, strict=True))
+        if table.column("bucket")[0].as_py() < buckets:
+            least: dict[bytes, int] = {}
+            for x, o in zip(strings, order.tolist(), strict=True):
+                if o < least.get(x, _LAST + 1):
+                    least[x] = o
+            # strings can share a window only if they share the minimizer; one that no other string has is done
+            of = dict(zip(strings, minimizers, strict=True))
+            often = Counter(of.values())
+            distinct = sorted(x for x, m in of.items() if often[m] > 1)
+            orders = np.fromiter(map(least.__getitem__, distinct), np.int64, len(distinct))
+            hits = dict(zip(distinct, earlier_windows(distinct, orders, length), strict=True))
+            at, cut = [], []
+            for i, (x, o, w) in enumerate(zip(strings, order.tolist(), span.tolist(), strict=True)):
+                if o > least[x]:
+                    at.append(i)
+                    cut.append(w)
+                elif (hit := hits.get(x)) is not None:
+                    at += [i] * len(hit)
+                    cut += [((w >> 32) + a << 32) + b - a for a, b in hit]
+            order, key, span = order[at], key[at], np.array(cut, np.int64)
+        return pa.table({"ord": order, "row_key": key, "span": span})
     return run
 
 
 def _cutter(length: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
         for batch in batches:
-            n_bytes, removed, spans, digest, kept = [], [], [], [], []
-            for text, done, size, stretches in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                gone = runs = 0
-                if done is None:
-                    size = len(text)
-                    if stretches:
-                        edge = np.zeros(size + 1, np.int32)
-                        for s in stretches:
-                            edge[s["start"]] += 1
-                            edge[s["start"] + s["n"] + length - 1] -= 1
-                        out = np.cumsum(edge[:-1]) > 0
-                        gone, runs = int(out.sum()), int((out & ~np.append(False, out[:-1])).sum())
-                        text = np.frombuffer(text, np.uint8)[~out].tobytes()
-                    done = sha256(text).hexdigest()
-                n_bytes.append(size)
-                removed.append(gone)
-                spans.append(runs)
-                digest.append(done)
-                kept.append(text if with_bytes else None)
+            rows = []
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size, cuts, at = len(text), [], 0
+                if gone:
+                    for a, b in _merged(gone):
+                        end = b + length - 1
+                        if cuts and a <= cuts[-1][1]:
+                            cuts[-1] = (cuts[-1][0], end)
+                        else:
+                            cuts.append((a, end))
+                    left = []
+                    for a, b in cuts:
+                        left.append(text[at:a])
+                        at = b
+                    text = b"".join([*left, text[at:]])
+                rows.append((size, size - len(text), len(cuts), sha256(text).hexdigest(), text if with_bytes else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, spans)),
-                 pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
     return run
 
 
-_STRETCH = "ord long, row_key long, start int, n int"
-
-
-def _by_document(stretches: DataFrame, name: str) -> DataFrame:
-    return stretches.groupBy("ord", "row_key").agg(F.collect_list(F.struct("start", "n")).alias(name))
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs``; with ``with_bytes`` the bytes left, too.
 
@@ -453,23 +514,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     empty; texts shorter than ``length`` stay whole. Rows that repeat an id are not smaller than each other; NULL ids
     come after all others. Empty input gives an empty result.
     """
-    corpus = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"),
-                         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    corpus = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"),
+                         F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
-    listed = corpus.mapInArrow(_lister(buckets, length, gram), "bucket long, payload binary")
-    candidates = _by_document(listed.groupBy("bucket").applyInArrow(_sharer(buckets), _STRETCH), "candidates")
-    order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    marked = corpus.withColumn("ord", order).join(candidates.hint("shuffle_hash"), ["ord", "row_key"], "left")
-    plain = F.col("candidates").isNull()
-    held = stored(marked.select(
-        "doc_id", "ord", "row_key", "candidates", F.when(~plain, F.col("text")).alias("text"),
-        F.octet_length("text").cast("long").alias("n_bytes"), F.when(plain, F.sha2("text", 256)).alias("digest")), "repeats")
-    sent = (held.filter(F.col("candidates").isNotNull()).select("ord", "row_key", "text", "candidates")
+    listed = corpus.select("doc_id", "row_key", "text").mapInArrow(_lister(buckets, length, gram), "bucket long, shard long, payload binary")
+    runs = listed.groupBy("bucket").applyInArrow(_sharer(buckets), "doc long, span long, ord long, row_key long")
+    candidates = stored(
+        runs.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.max("ord").alias("ord"), F.max("row_key").alias("row_key"))
+        .filter(F.size("spans") > 0).groupBy("ord", "row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "candidates")
+    # both joins deal the documents in the same way, so they share one shuffle of the texts
+    sent = (corpus.join(candidates.hint("shuffle_hash"), ["ord", "row_key"])
+            .select("ord", "row_key", "text", "spans", "doc_id")
             .mapInArrow(_sender(buckets, length, gram), "bucket long, payload binary"))
-    gone = _by_document(sent.groupBy("bucket").applyInArrow(_judge(buckets, length), _STRETCH), "gone")
-    whole = held.drop("candidates").join(gone.hint("shuffle_hash"), ["ord", "row_key"], "left")
-    out = whole.select("doc_id", "text", "digest", "n_bytes", "gone").mapInArrow(
+    gone = (sent.groupBy("bucket").applyInArrow(_judge(buckets, length), "ord long, row_key long, span long")
+            .groupBy("ord", "row_key").agg(F.collect_list("span").alias("gone")))
+    out = (corpus.join(gone.hint("shuffle_hash"), ["ord", "row_key"], "left").select("doc_id", "text", "gone").mapInArrow(
         _cutter(length, with_bytes),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     return out if with_bytes else out.drop("kept")
