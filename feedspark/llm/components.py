@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import sized, stored
 
 
 def _print(df: DataFrame) -> tuple:
@@ -24,15 +24,16 @@ def components(edges: DataFrame) -> DataFrame:
     current, before = stored(ordered, "edges"), None
     while (now := _print(current)) != before:
         before = now
-        both = current.union(current.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = stored(large, "edges")
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        linked = large.join(lowest, "hi")
+        n = now[0]
+        both = sized(current.union(current.select("lo", "hi")).toDF("u", "v"), 2 * n)
+        least = sized(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), n)
+        large = sized(both.join(least, "u"), 2 * n).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = stored(sized(large.distinct(), n), "edges")
+        lowest = sized(large.groupBy("hi").agg(F.min("lo").alias("m")), n)
+        linked = sized(large.join(lowest, "hi"), n)
         small = (linked.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                 .union(lowest.select("hi", F.col("m").alias("lo"))).distinct())
-        current = stored(small, "edges")
+                 .union(lowest.select("hi", F.col("m").alias("lo"))))
+        current = stored(sized(small.distinct(), n), "edges")
     return current.groupBy("hi").agg(F.min("lo").alias("component")).select(
         F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("component")))).alias("x")).select("x.*").union(
         current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -4,11 +4,20 @@ One hash per shingle fills ``BINS`` bins (the top bits choose the bin, the small
 are filled by optimal densification, each from a bin that a fixed pseudo-random walk finds. ``ROWS`` bins
 make a band, a band value is a bucket. Equal sets are joined first, so buckets hold different sets only.
 
-In a bucket only a centre is paired with the other members, never all pairs. The first centre is the
-member with the most company over all its buckets, as a rule the original of a group of edited copies.
-A centre that has met every member leaves the bucket; the bucket is done when its members are in one
-component. What is left goes on with 2, 4, 8 ... centres a round until nothing is left, so within the
-buckets no link between components is lost and no bucket is capped. Links are confirmed on the full sets.
+In a bucket only a centre is paired with the other members, never all pairs: the member with the most company
+over all its buckets, as a rule the original of a group of edited copies. Links are confirmed on the full sets.
+
+A bucket whose members are not in one component then may hide links that miss the centre. Its members are all
+compared with one centre c and met again by D(x), the shingles in which x and c differ. If x and y are similar,
+|x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| is at most (|x| + |y|) / 9, while |D(x)| > (|x| + |c|) / 9 for an x that is not
+linked to c. So two documents, not both linked to c, are similar only if they share a known part of their
+differences, and so have one of the rarest of them in common (prefix filter). With N(x) the shingles that x has and c
+has not, documents with 4 |N(x)| > |x| must share some of N, too, which leaves out what all copies lack or have:
+  use 0: one of the two has 4 |N| > |x|: meet by the rarest of N, (N + |x| / 4) / 2 + 1 of them, the other by N / 2;
+  use 1: neither, both not linked to c: by the rarest of D, (|D| + (|x| - |c|) / 9) / 2 of them;
+  use 2: neither, one linked to c: as before, the one that is not by (|D| + (|x| + |c|) / 9) / 2 + 1.
+These groups are small, and each is worked off with 1, 4, 16 ... centres until its members are in one component or
+all of them were centres, so within the buckets no link between components is lost and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import _ODD, WordHash, mix, stored, window_hashes
+from .tables import _ODD, WordHash, mix, sized, stored, window_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 4, 5  # words of a shingle; similarity of at least 4/5
 BINS, ROWS = 128, 4
@@ -121,6 +130,120 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scored.filter(DENOMINATOR * F.col("inter") >= NUMERATOR * F.col("union")).select("a", "b").distinct()
 
 
+class _State:
+    """Pairs that were compared, and the component of every document with company."""
+
+    def __init__(self, sets: DataFrame, docs: DataFrame):
+        self.sets, self.nodes = sets, docs.count()
+        self.label = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+        self.checked: DataFrame | None = None
+
+    def star(self, groups: DataFrame, centres: int) -> DataFrame:
+        """Pairs the first ``centres`` members of every group with those of other components; the centres."""
+        n = groups.count()
+        order = Window.partitionBy("bucket").orderBy(F.col("company").desc(), "doc_id")
+        chosen = stored(sized(groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
+                              .select("bucket", F.col("doc_id").alias("centre"), F.col("company").alias("weight")), n), "centres")
+        known = sized(groups.join(self.label.withColumnRenamed("node", "doc_id"), "doc_id"), n)
+        centred = sized(chosen.join(self.label.select(F.col("node").alias("centre"), F.col("component").alias("other")), "centre"), n)
+        pairs = sized((known.join(centred, "bucket").filter("component <> other")
+                       .select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))), n)
+        self.compare(pairs, n)
+        return chosen
+
+    def compare(self, pairs: DataFrame, n: int) -> None:
+        """Compares pairs (a < b), about ``n``, that were not compared yet, and joins the components of similar ones."""
+        if self.checked is not None:
+            pairs = sized(pairs.distinct().join(self.checked, ["a", "b"], "left_anti"), n)
+        pairs = stored(sized(pairs.distinct(), n), "pairs")
+        self.checked = pairs if self.checked is None else self.checked.union(pairs)
+        new = stored(sized(confirmed(pairs, self.sets), n), "links")
+        if not new.isEmpty():
+            # only components that new links join change
+            named = self.label.select(F.col("node").alias("a"), F.col("component").alias("x"))
+            joined = sized(new.join(named, "a"), n).join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            parts = components(joined).withColumnRenamed("component", "least")
+            self.label = stored(sized(
+                self.label.join(parts.withColumnRenamed("node", "component"), "component", "left")
+                .select("node", F.coalesce("least", "component").alias("component")), self.nodes), "labels")
+
+    def unresolved(self, groups: DataFrame) -> DataFrame:
+        """The groups with members in different components."""
+        n = groups.count()
+        known = sized(groups.join(self.label.withColumnRenamed("node", "doc_id"), "doc_id"), n)
+        split = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        return stored(sized(groups.join(sized(split.select("bucket"), n), "bucket", "left_semi"), n), "groups")
+
+    def settle(self, groups: DataFrame) -> None:
+        """Works groups off: a centre that met every member leaves, one component ends a group."""
+        groups, centres = self.unresolved(groups), 1
+        while not groups.isEmpty():
+            chosen = self.star(groups, centres)
+            left = chosen.select("bucket", F.col("centre").alias("doc_id"))
+            groups, centres = self.unresolved(stored(groups.join(left, ["bucket", "doc_id"], "left_anti"), "groups")), centres * 4
+
+
+def _delta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles in which a document differs from its centre, and how many of them a similar document must meet."""
+    for batch in batches:
+        for centre, doc, weight, own, theirs in zip(*(batch.column(k) for k in range(5)), strict=True):
+            x, c = (np.frombuffer(v.as_py(), np.uint64) for v in (own, theirs))
+            new, gone = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+            a, n, d = len(new) + len(gone), len(x), len(x) - len(c)
+            rich = 4 * len(new) > n
+            numbers = {
+                "in_new": (4 * len(new) + n) // 8 + 1 if rich else len(new) - len(new) // 2,
+                "in_all": 0 if rich else a - (9 * a - d) // 18,
+                "in_far": 0 if rich else (9 * a + n + len(c)) // 18 + 1,
+                "kind": 2 if rich else int(9 * a > n + len(c)),
+            }
+            keys = mix(np.concatenate([new, ~gone]) + mix(np.array([centre.as_py()], np.int64).view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(np.arange(a) < len(new)), *(pa.array(np.full(a, v.as_py())) for v in (centre, doc, weight)),
+                 *(pa.array(np.full(a, v, np.int32)) for v in numbers.values())],
+                names=["element", "is_new", "centre", "doc_id", "company", *numbers])
+
+
+_DELTA = ("element long, is_new boolean, centre long, doc_id long, company long, "
+          "in_new int, in_all int, in_far int, kind int")
+
+
+def _differences(state: _State, centres: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups (bucket, doc_id, company) of members that differ from a common centre in the same shingle.
+
+    The members of a bucket are all set against one centre: of the centres that any of them met, the one with the
+    most company. Those that did not meet it are compared with it first.
+    """
+    n = groups.count()
+    met = sized(groups.join(centres, "bucket"), n)
+    primary = met.groupBy("doc_id").agg(F.max(F.struct("weight", (-F.col("centre")).alias("c"))).alias("top"))
+    of = stored(sized(groups.join(primary, "doc_id"), n), "primary")
+    best = of.groupBy("bucket").agg(F.max("top").alias("best"))
+    pairs = (of.join(best, "bucket").select((-F.col("best.c")).alias("centre"), "doc_id", "company", (F.col("best") == F.col("top")).alias("met"))
+             .groupBy("centre", "doc_id").agg(F.max("company").alias("company"), F.max("met").alias("met")).filter("centre <> doc_id"))
+    pairs = stored(sized(pairs, n), "references")
+    state.compare(pairs.filter(~F.col("met")).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")), n)
+    both = (pairs.join(state.sets.select("doc_id", F.col("shingles").alias("own")), "doc_id")
+            .join(state.sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("theirs")), "centre"))
+    rows = stored(both.select("centre", "doc_id", "company", "own", "theirs").mapInArrow(_delta, _DELTA).distinct(), "differences")
+    often = rows.groupBy("element").agg(F.count("*").alias("often"))
+    by = [F.col("often"), F.col("element")]
+    ranked = (rows.join(often, "element")
+              .withColumn("place", F.row_number().over(Window.partitionBy("centre", "doc_id").orderBy(*by)))
+              .withColumn("place_new", F.row_number().over(Window.partitionBy("centre", "doc_id", "is_new").orderBy(*by)))
+              .filter("often > 1"))
+    uses = F.filter(F.array(
+        F.when(F.col("is_new") & (F.col("place_new") <= F.col("in_new")), F.lit(0)),
+        F.when((F.col("kind") == 1) & (F.col("place") <= F.col("in_all")), F.lit(1)),
+        F.when(F.col("place") <= F.when(F.col("kind") == 1, F.col("in_far")).otherwise(F.col("in_all")), F.lit(2))),
+        lambda u: u.isNotNull())
+    dealt = stored(ranked.select(F.explode(uses).alias("use"), "element", "doc_id", "company", "kind")
+                   .select(F.xxhash64("use", "element").alias("bucket"), "use", "doc_id", "company", "kind"), "differences")
+    worth = dealt.groupBy("bucket", "use").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).filter(
+        (F.col("n") > 1) & F.when(F.col("use") == 0, F.col("high") == 2).when(F.col("use") == 2, F.col("low") < F.col("high")).otherwise(True))
+    return stored(dealt.join(worth.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", "company").distinct(), "differences")
+
+
 def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``.
 
@@ -141,43 +264,20 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     full = stored(buckets.join(shared, "bucket"), "buckets")
     company = full.groupBy("doc_id").agg(F.sum("size").alias("company"))
     left = stored(full.select("bucket", "doc_id").join(company, "doc_id"), "buckets")
-    met = company.select("doc_id")
+    met = stored(company.select("doc_id"), "company")
     texts = (docs.select(F.col("doc_id").cast("long"), "text")
              .join(met.hint("shuffle_hash"), "doc_id", "left_semi"))
     sets = stored(texts.mapInArrow(_set_writer(words), "doc_id long, shingles binary").filter("length(shingles) > 0"), "sets")
 
     # ids that stand for several classes or follow another one are linked from the start
     links = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    found, checked = None, None
-    label = met.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    centres = 1
-    while not left.isEmpty():
-        known = left.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
-        order = Window.partitionBy("bucket").orderBy(F.col("company").desc(), "doc_id")
-        chosen = (left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
-                  .select("bucket", F.col("doc_id").alias("centre")))
-        chosen = stored(chosen, "centres")
-        pairs = (known.join(chosen.join(label.select(F.col("node").alias("centre"), F.col("component").alias("cc")),
-                                        "centre"), "bucket")
-                 .filter("component <> cc")
-                 .select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct())
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        new = stored(confirmed(pairs, sets), "links")
-        found = new if found is None else found.union(new)
-        label_new = components(found)
-        label = stored(met.join(label_new, met["doc_id"] == label_new["node"], "left")
-                       .select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component")), "labels")
-        rest = (left.join(chosen.withColumnRenamed("centre", "doc_id"), ["bucket", "doc_id"], "left_anti")
-                .join(label.withColumnRenamed("node", "doc_id"), "doc_id"))
-        split = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        left = stored(rest.join(split.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", "company"), "buckets")
-        centres *= 2
-    if found is not None:
-        links = links.union(found)
-    whole = components(links)
+    state = _State(sets, met)
+    first = state.star(left, 1)
+    mixed = state.unresolved(left)
+    if not mixed.isEmpty():
+        state.settle(_differences(state, first, mixed))
+    # labels are stars already: with the copies of each set they make the whole graph
+    whole = components(links.union(state.label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return (table.select("doc_id", "n_shingles")
             .join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -186,5 +286,5 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, all columns as they are."""
-    gone = near_duplicate_components(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicate_components(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

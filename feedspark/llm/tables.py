@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df``, known to hold about ``rows`` short rows, in as many partitions as they need.
+
+    A shuffle has as many partitions as the session says; small tables of an iterative job would pay for empty tasks.
+    """
+    return df.coalesce(rows // per_task + 1)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is proven to hold at most ``max_rows`` rows, else ``df`` as it is.
 
