@@ -69,14 +69,11 @@ def q_user_backlog_latest(t):
 
 @register("user_tail_after_cursor", with_views("""
 SELECT f.uid, f.entry_id, row_number() OVER (PARTITION BY f.uid ORDER BY f.entry_ts, f.seq) AS tail_pos
-FROM feed1 f JOIN (SELECT uid, max((entry_ts, seq)) AS c FROM feed1
-  WHERE entry_ts <= TIMESTAMP '2024-01-03 00:00:00' + to_hours(CAST(uid % 200 AS INT)) GROUP BY uid) k
-  ON f.uid = k.uid AND (f.entry_ts, f.seq) > k.c""", "articles", "subscriptions", extra=FEED1_SQL))
+FROM feed1 f JOIN feed1 k ON f.uid = k.uid AND k.pos = 1 + k.uid % 50 AND (f.entry_ts, f.seq) > (k.entry_ts, k.seq)""", "articles", "subscriptions", extra=FEED1_SQL))
 def q_user_tail_after_cursor(t):
-    """F6 per user: feed entries after each user's own cursor (users read up to different times)."""
-    feed = _feed1(t).withColumnRenamed("ts", "entry_ts").drop("pos")
-    until = F.lit("2024-01-03 00:00:00").cast("timestamp") + F.make_interval(hours=(F.col("uid") % 200).cast("int"))
-    cur = FD.cursors_at(feed.where(F.col("entry_ts") <= until), ["uid"], "9999-01-01 00:00:00")
+    """F6 per user: feed entries after each user's own cursor (users have 0 to 49 entries left to read)."""
+    feed = _feed1(t)
+    cur = feed.where(F.col("pos") == 1 + F.col("uid") % 50).select("uid", F.col("entry_id").alias("cursor"))
     return FD.tail_after_cursor(feed, cur, ["uid"]).select("uid", "entry_id", "tail_pos")
 
 
