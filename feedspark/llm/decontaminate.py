@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
+"""Benchmark decontamination: guaranteed rare seeds, then Smith-Waterman alignment on words.
 
-Words are lower-cased (A-Z) and stripped of punctuation at their ends. Corpus counts of the words that
-occur in test items tell which n-grams of an item are rare: those expected at most ``RARE`` times in a
-corpus of this size if words were drawn independently. Leaked copies hardly change that expectation, so an
-item that leaked into a third of all documents keeps its seeds. An item with fewer than ``MIN_SEEDS`` rare
-seeds uses all of its n-grams. Passages around seed hits are aligned with the item; the score is the
-alignment score over the score of a perfect copy.
+Words are lower-cased (A-Z) and stripped of punctuation at their ends. Seeds are single words and pairs of
+neighbouring words of an item, the rarest by the corpus counts of its words first, as many as it takes: an
+alignment that matches no seed must leave seed words out and break seed pairs, and the best score it can still
+have (``spared_score``) lies below the score asked for. So every passage that qualifies holds a seed, whatever
+the size of the corpus; the counts only decide how often seeds hit by chance. Passages around seed hits are
+aligned with the item; the score is the alignment score over the score of a perfect copy.
 
 Test items are handled in blocks of at most ``BLOCK_CHARS`` characters, each sent to all tasks; the corpus
 streams past, is never shuffled, and only hits come back.
@@ -13,6 +13,7 @@ streams past, is never shuffled, and only hits come back.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .tables import WordHash, stored, window_hashes
 
-SEED_WORDS, RARE, MIN_SEEDS = 4, 1.0, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 BLOCK_CHARS = 32_000_000
@@ -80,15 +80,57 @@ def _align(pairs: list[tuple], items: list[np.ndarray], cells: int = 2_000_000)
     return out
 
 
+def least_score(words: int, min_score: float) -> int:
+    """Smallest alignment score of a qualifying passage of an item of so many words."""
+    return math.ceil(min_score * MATCH * words - 1e-9)
+
+
+def spared_score(words: list[bool], pairs: list[bool]) -> int:
+    """Best score of an alignment that matches none of the marked words and keeps none of the marked pairs.
+
+    A marked word has to be replaced or left out; two words of a marked pair, if both match, need an insertion between.
+    """
+    best, matched, skipped, lost = 0, -math.inf, -math.inf, max(MISMATCH, GAP)
+    for j, seed in enumerate(words):
+        here = -math.inf if seed else MATCH + max(0, skipped, matched + (GAP if j and pairs[j - 1] else 0))
+        matched, skipped = here, max(matched, skipped) + lost
+        best = max(best, here)
+    return best
+
+
+def chosen_seeds(log_p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words and which pairs of neighbours of an item are its seeds: no alignment of score ``least`` avoids them all.
+
+    ``log_p`` are the logarithms of the words' shares of the corpus. A seed word costs an alignment ``MATCH`` and the
+    replacement, a seed pair the insertion; seeds go by chance hits over that cost.
+    """
+    n = len(log_p)
+    order = np.argsort(np.concatenate([log_p - np.log((MATCH - MISMATCH) / -GAP), log_p[:-1] + log_p[1:]]), kind="stable")
+
+    def first(count: int) -> tuple[np.ndarray, np.ndarray]:
+        use = np.zeros(2 * n - 1, bool)
+        use[order[:count]] = True
+        return use[:n], use[n:]
+
+    lo, hi = 1, len(order)
+    while lo < hi:
+        count = (lo + hi) // 2
+        if spared_score(*(use.tolist() for use in first(count))) < least:
+            hi = count
+        else:
+            lo = count + 1
+    words, pairs = first(lo)
+    return words, pairs & ~(words[:-1] | words[1:])  # a pair with a seed word is broken without that
+
+
 class Seeds:
     """Seeds of a block of test items, for look-up by n-gram hash."""
 
-    def __init__(self, items: list[np.ndarray], rare: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], chosen: list[tuple[np.ndarray, np.ndarray]]):
         self.items = items
         by_length = defaultdict(list)
-        for k, (item, use) in enumerate(zip(items, rare, strict=True)):
-            n = min(SEED_WORDS, len(item))
-            if n:
+        for k, (item, uses) in enumerate(zip(items, chosen, strict=True)):
+            for n, use in enumerate(uses, 1):
                 grams = window_hashes(item, n)
                 by_length[n] += [(int(grams[j]), k, int(j)) for j in np.flatnonzero(use)]
         self.tables = []
@@ -142,8 +184,8 @@ def _word_counter(vocabulary: np.ndarray):
     return run
 
 
-def rare_seeds(items: list[np.ndarray], docs: DataFrame) -> list[np.ndarray]:
-    """For every item, which of its n-grams are rare by the word counts of all documents."""
+def rare_seeds(items: list[np.ndarray], docs: DataFrame, min_score: float = MIN_SCORE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every item, its seed words and seed pairs, the rare ones by the word counts of all documents first."""
     vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *items]))
     rows = (docs.select("text").mapInArrow(_word_counter(vocabulary), "at long, n long")
             .groupBy("at").agg(F.sum("n").alias("n")).collect())  # a row per word of the block at most
@@ -152,14 +194,7 @@ def rare_seeds(items: list[np.ndarray], docs: DataFrame) -> list[np.ndarray]:
     log_p = np.full(len(vocabulary), -np.log(total))
     for at, n in counts.items():
         log_p[at] = np.log(max(n, 1) / total)
-    out = []
-    for item in items:
-        n = min(SEED_WORDS, len(item))
-        logs = log_p[np.searchsorted(vocabulary, item)]
-        expected = np.log(total) + sum((logs[k:len(item) - n + 1 + k] for k in range(n)), np.zeros(max(0, len(item) - n + 1)))
-        use = expected <= np.log(RARE)
-        out.append(use if use.sum() >= MIN_SEEDS else np.ones(len(use), bool))
-    return out
+    return [chosen_seeds(log_p[np.searchsorted(vocabulary, item)], least_score(len(item), min_score)) for item in items]
 
 
 def _searcher(seeds_of, item_ids: list[int], min_score: float):
@@ -195,7 +230,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
                       block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Best passage per row of ``docs`` and test item: doc_id, row_key, item_id, score, doc_start, doc_end (words).
 
-    NULL or wordless texts and items match nothing; items shorter than a seed are sought as a whole. Repeated
+    NULL or wordless texts and items match nothing. Repeated
     items give a row each, repeated documents too; ``row_key`` hashes id and text. Empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -212,7 +247,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
         if not items:
             continue
         hashes = [w for _, w in items]
-        seeds = spark.sparkContext.broadcast(Seeds(hashes, rare_seeds(hashes, corpus)))
+        seeds = spark.sparkContext.broadcast(Seeds(hashes, rare_seeds(hashes, corpus, min_score)))
         out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score), SCHEMA))
     return out
 

@@ -207,6 +207,34 @@ def test_decontamination_edges(spark):
     assert decontaminate.clean_documents(docs, whole).columns == docs.columns
 
 
+def aligned(items, texts):
+    """(doc_id, item_id) of the matches, by alignment of every document with every item."""
+    def ids(t):
+        return decontaminate.BareWordHash().of(t).tolist()
+    return sorted((d, k) for d, t in texts for k, i in items if brute_alignment(ids(i), ids(t)) >= 1.2 * len(ids(i)))
+
+
+def found(spark, items, texts):
+    got = decontaminate.benchmark_matches(documents(spark, texts), spark.createDataFrame(items, ITEMS)).collect()
+    return sorted({(r["doc_id"], r["item_id"]) for r in got})
+
+
+def test_every_edited_copy_is_found_as_by_full_alignment(spark):
+    draw = random.Random(9)
+    items = [(k, prose(500 + k, (1, 2, 5, 6, 15, 22, 30, 45)[k % 8], 400)) for k in range(24)]
+    texts = [(0, "")]
+    for k, item in items:
+        words = item.split()
+        spaced = [w for j, v in enumerate(words) for w in ([v, "zzgap"] if j % 2 else [v])]  # no three words in a row
+        every = [w if j % 4 != 3 else "zzother" for j, w in enumerate(words)]  # the words 4, 8, 12 ... replaced
+        for copy in (spaced, every, [w for w in words if draw.random() > 0.15], [w if draw.random() > 0.2 else "zzx" for w in words]):
+            texts.append((len(texts), f"{prose(len(texts), 60, 400)} {' '.join(copy)} {prose(900 + len(texts), 60, 400)}"))
+    texts += [(len(texts) + k, prose(3000 + k, 150, 60)) for k in range(40)]  # many frequent words
+    want = aligned(items, texts)
+    assert found(spark, items, texts) == want
+    assert {(1 + 4 * k + c, k) for k, _ in items if k % 8 >= 4 for c in (0, 1)} <= set(want)
+
+
 # --- packing ---
 
 @settings(max_examples=150, deadline=None)
