@@ -126,8 +126,10 @@ def chosen_seeds(log_p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 class Seeds:
     """Seeds of a block of test items, for look-up by n-gram hash."""
 
-    def __init__(self, items: list[np.ndarray], chosen: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, items: list[np.ndarray], chosen: list[tuple[np.ndarray, np.ndarray]],
+                 min_score: float = MIN_SCORE):
         self.items = items
+        self.least = [least_score(len(item), min_score) for item in items]
         by_length = defaultdict(list)
         for k, (item, uses) in enumerate(zip(items, chosen, strict=True)):
             for n, use in enumerate(uses, 1):
@@ -160,7 +162,7 @@ class Seeds:
         last = None
         for k, diagonal in hits.tolist():
             n = len(self.items[k])
-            pad = max(4, n // 3)
+            pad = (MATCH * n - self.least[k]) // -GAP  # as many insertions as a qualifying passage can have
             if last and last[0] == k and diagonal - last[1] <= pad:
                 out[-1] = (k, out[-1][1], min(len(words), diagonal + n + pad))
                 continue
@@ -247,7 +249,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
         if not items:
             continue
         hashes = [w for _, w in items]
-        seeds = spark.sparkContext.broadcast(Seeds(hashes, rare_seeds(hashes, corpus, min_score)))
+        seeds = spark.sparkContext.broadcast(Seeds(hashes, rare_seeds(hashes, corpus, min_score), min_score))
         out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score), SCHEMA))
     return out
 

@@ -235,6 +235,15 @@ def test_every_edited_copy_is_found_as_by_full_alignment(spark):
     assert {(1 + 4 * k + c, k) for k, _ in items if k % 8 >= 4 for c in (0, 1)} <= set(want)
 
 
+def test_a_copy_with_long_insertions_is_one_passage(spark):
+    words = prose(77, 30, 3000).split()
+    texts = [(d, " ".join([*prose(d, 40, 3000).split(), *words[:cut], *["zzin"] * 18, *words[cut:], "zzend"]))
+             for d, cut in enumerate((5, 15, 25))]
+    got = decontaminate.benchmark_matches(documents(spark, texts), spark.createDataFrame([(1, " ".join(words))], ITEMS))
+    assert rows(got, "doc_id", "item_id", "score", "doc_start", "doc_end") == [
+        (0, 1, 50 / 60, 63, 88), (1, 1, 0.7, 40, 88), (2, 1, 50 / 60, 40, 65)]
+
+
 # --- packing ---
 
 @settings(max_examples=150, deadline=None)
