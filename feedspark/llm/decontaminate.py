@@ -144,7 +144,7 @@ class Seeds:
             self.tables.append((n, keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), sieve))
 
     def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to) of the passages around seed hits, one per item and group of near diagonals."""
+        """(item, from, to) of the passages around seed hits; those of an item do not overlap."""
         found = []
         for n, keys, item, place, sieve in self.tables:
             grams = window_hashes(words, n)
@@ -159,15 +159,14 @@ class Seeds:
             return []
         hits = np.unique(np.concatenate(found), axis=0)
         out: list[tuple[int, int, int]] = []
-        last = None
         for k, diagonal in hits.tolist():
             n = len(self.items[k])
             pad = (MATCH * n - self.least[k]) // -GAP  # as many insertions as a qualifying passage can have
-            if last and last[0] == k and diagonal - last[1] <= pad:
-                out[-1] = (k, out[-1][1], min(len(words), diagonal + n + pad))
-                continue
-            last = (k, diagonal)
-            out.append((k, max(0, diagonal - pad), min(len(words), diagonal + n + pad)))
+            lo, hi = max(0, diagonal - pad), min(len(words), diagonal + n + pad)
+            if out and out[-1][0] == k and lo < out[-1][2]:
+                out[-1] = (k, out[-1][1], hi)
+            else:
+                out.append((k, lo, hi))
         return out
 
 
@@ -210,17 +209,21 @@ def _searcher(seeds_of, item_ids: list[int], min_score: float):
                 for k, lo, hi in seeds.passages(words):
                     pairs.append((k, words[lo:hi].copy()))
                     where.append((i, lo))
-            best: dict[tuple[int, int], tuple] = {}
-            for (k, passage), (i, lo), (score, end) in zip(pairs, where, _align(pairs, seeds.items), strict=True):
-                share = score / (MATCH * len(seeds.items[k]))
-                if share >= min_score and (share, -lo) > best.get((i, k), (0, 0))[:2]:
-                    best[i, k] = (share, -lo, passage[:end], end)
-            keep = sorted(best)
-            # the alignment from its end backwards gives the start
-            flipped = [(n, best[i, k][2][::-1]) for n, (i, k) in enumerate(keep)]
-            starts = _align(flipped, [seeds.items[k][::-1] for _, k in keep]) if keep else []
-            rows = [(*keys[i], item_ids[k], best[i, k][0], -best[i, k][1] + best[i, k][3] - e, -best[i, k][1] + best[i, k][3])
-                    for (i, k), (_, e) in zip(keep, starts, strict=True)]
+            rows = []
+            while pairs:  # the best of every passage, then of what lies before and after it
+                keep = [(k, passage, i, lo, score, end) for (k, passage), (i, lo), (score, end)
+                        in zip(pairs, where, _align(pairs, seeds.items), strict=True)
+                        if score and score / (MATCH * len(seeds.items[k])) >= min_score]
+                # the alignment from its end backwards gives the start
+                starts = _align([(n, passage[:end][::-1]) for n, (_, passage, _, _, _, end) in enumerate(keep)],
+                                [seeds.items[k][::-1] for k, *_ in keep]) if keep else []
+                pairs, where = [], []
+                for (k, passage, i, lo, score, end), (_, back) in zip(keep, starts, strict=True):
+                    rows.append((*keys[i], item_ids[k], score / (MATCH * len(seeds.items[k])), lo + end - back, lo + end))
+                    for part, at in ((passage[:end - back], lo), (passage[end:], lo + end)):
+                        if len(part) and MATCH * len(part) >= seeds.least[k]:
+                            pairs.append((k, part))
+                            where.append((i, at))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2, strict=True)],
@@ -230,7 +233,9 @@ def _searcher(seeds_of, item_ids: list[int], min_score: float):
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
                       block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Best passage per row of ``docs`` and test item: doc_id, row_key, item_id, score, doc_start, doc_end (words).
+    """Passages of the rows of ``docs`` that align with a test item: doc_id, row_key, item_id, score, doc_start, doc_end (words).
+
+    Passages of one row and item do not overlap; the best goes first.
 
     NULL or wordless texts and items match nothing. Repeated
     items give a row each, repeated documents too; ``row_key`` hashes id and text. Empty tables give no rows.

@@ -244,6 +244,13 @@ def test_a_copy_with_long_insertions_is_one_passage(spark):
         (0, 1, 50 / 60, 63, 88), (1, 1, 0.7, 40, 88), (2, 1, 50 / 60, 40, 65)]
 
 
+def test_every_copy_in_a_document_is_a_passage(spark):
+    item = prose(78, 20, 3000)
+    texts = [(1, " ".join([item, item, prose(5, 8, 3000), item, prose(6, 300, 3000), item]))]
+    got = decontaminate.benchmark_matches(documents(spark, texts), spark.createDataFrame([(1, item)], ITEMS))
+    assert sorted((r["score"], r["doc_start"], r["doc_end"]) for r in got.collect()) == [(1.0, s, s + 20) for s in (0, 20, 48, 368)]
+
+
 # --- packing ---
 
 @settings(max_examples=150, deadline=None)
