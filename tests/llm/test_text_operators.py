@@ -350,3 +350,11 @@ def test_class_distribution_sums_to_one():
     size = np.bincount(classes[:-1], minlength=classes.max() + 1)
     inside = (counts + 1) / (mass + size)[classes[:-1]]
     assert np.bincount(classes[:-1], inside)[: classes.max()] == pytest.approx(1)
+
+
+def test_a_large_vocabulary_has_all_classes():
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.zipf(1.3, maxent_lm.CLUSTERED + 5000).clip(max=10 ** 6))[::-1].astype(float)
+    near = rng.integers(0, 4, maxent_lm.CLUSTERED * maxent_lm.ANCHORS).astype(float)
+    classes = maxent_lm.word_classes(counts, near, 30)
+    assert classes.max() + 1 > 40  # 24 single words, the text end, 3 for each of 8 clusters and the rest, unknown words
