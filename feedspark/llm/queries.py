@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import chat_views, decontaminate, html_crf, line_dedup, maxent_lm, minhash_dedup, packing, quality_rules, suffix_dedup, warc
+from . import (best_fit, chat_views, decontaminate, hard_negatives, html_crf, line_dedup, maxent_lm, minhash_dedup,
+               packing, quality_rules, suffix_dedup, turn_repair, warc)
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +184,89 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_crf.extract_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op11_best_fit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by best fit and local search into sequences of at most 1024 tokens."""
+    return best_fit.pack_best_fit(read(spark, sf_dir, "documents"))
+
+
+_NEGATIVES_SQL = f"""
+WITH fit AS (SELECT vec_id, row_number() OVER () r, CASE WHEN vec_id % {hard_negatives.MOVED_STEP} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)::BIGINT) v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.r a, a.vec_id anchor_id, b.r b, b.vec_id, a.label = b.label same,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT score
+  FROM fit a JOIN fit b ON a.vec_id % {hard_negatives.ANCHOR_STEP} = 0 AND a.r <> b.r),
+pos AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= {hard_negatives.POSITIVES}),
+neg AS (SELECT p.a, p.anchor_id, p.b, p.vec_id positive_id, p.score positive_score, n.vec_id negative_id, n.score negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id, n.b) AS rank
+  FROM pos p JOIN scored n ON n.a = p.a AND NOT n.same
+    AND {hard_negatives.LEAST} * p.score <= 100 * n.score AND 100 * n.score <= {hard_negatives.MOST} * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives, from all embeddings."""
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+#: CRC-32 of an ASCII text: every byte is one exclusive or and eight shifts of the register.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split({0}, ''),
+    lambda c: [ascii(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda r, e: CASE WHEN e < 256 THEN xor(r, e) WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END))"""
+
+_REPAIR_SQL = f"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') key FROM conversations),
+kinds AS (SELECT *, {_CRC32.format("key")} % 20 kind FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) g,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) tail, lead(role) OVER (PARTITION BY g ORDER BY i) next_role,
+    count(*) OVER (PARTITION BY g) n FROM placed),
+rows AS (SELECT g, i, n, conv_id, turn, role, text, next_role, role[1] c, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END fault FROM seen),
+-- cheapest way to the end of a conversation from row i in each state (nothing, after s, after u, after a): cost, audit, lines
+way AS (
+  SELECT g, max(i) + 1 AS i, {{'k': 0, 'a': '', 't': ''}} v0, {{'k': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} v1,
+    {{'k': 3, 'a': 'I', 't': chr(10) || 'assistant:'}} v2, {{'k': 0, 'a': '', 't': ''}} v3 FROM rows GROUP BY g
+  UNION ALL
+  SELECT g, i, list_sort([w0, {{'k': w2.k + 3, 'a': 'I' || w2.a, 't': chr(10) || 'user:' || w2.t}}])[1],
+    list_sort([w1, {{'k': w2.k + 3, 'a': 'I' || w2.a, 't': chr(10) || 'user:' || w2.t}},
+      {{'k': w3.k + 6, 'a': 'II' || w3.a, 't': chr(10) || 'user:' || chr(10) || 'assistant:' || w3.t}}])[1],
+    list_sort([w2, {{'k': w3.k + 3, 'a': 'I' || w3.a, 't': chr(10) || 'assistant:' || w3.t}}])[1],
+    list_sort([w3, {{'k': w2.k + 3, 'a': 'I' || w2.a, 't': chr(10) || 'user:' || w2.t}}])[1]
+  FROM (SELECT g, i,
+      list_sort([{{'k': v0.k + 4, 'a': 'D' || v0.a, 't': v0.t}}, {{'k': v2.k + u, 'a': CASE WHEN c = 'u' THEN 'K' ELSE 'R' END || v2.a, 't': tu || v2.t}},
+        {{'k': v1.k + s, 'a': 'K' || v1.a, 't': own || v1.t}}])[1] w0,
+      list_sort([{{'k': v1.k + 4, 'a': 'D' || v1.a, 't': v1.t}}, {{'k': v2.k + u, 'a': CASE WHEN c = 'u' THEN 'K' ELSE 'R' END || v2.a, 't': tu || v2.t}}])[1] w1,
+      list_sort([{{'k': v2.k + 4, 'a': 'D' || v2.a, 't': v2.t}}, {{'k': v3.k + a, 'a': CASE WHEN c = 'a' THEN 'K' ELSE 'R' END || v3.a, 't': ta || v3.t}}])[1] w2,
+      list_sort([{{'k': v3.k + 4, 'a': 'D' || v3.a, 't': v3.t}}, {{'k': v2.k + u, 'a': CASE WHEN c = 'u' THEN 'K' ELSE 'R' END || v2.a, 't': tu || v2.t}}])[1] w3
+    FROM (SELECT w.g, r.i, v0, v1, v2, v3, c, chr(10) || r.role || ':' || r.text own,
+        chr(10) || CASE WHEN c = 'u' THEN r.role ELSE 'user' END || ':' || r.text tu,
+        chr(10) || CASE WHEN c = 'a' THEN r.role ELSE 'assistant' END || ':' || r.text ta,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN c = 'u' THEN 0 ELSE 3 END u,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN c = 'a' THEN 0 ELSE 3 END a,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN c = 's' THEN 0 ELSE 1000000000 END s
+      FROM way w JOIN rows r ON r.g = w.g AND r.i = w.i - 1))),
+done AS (SELECT g, v0 FROM way WHERE i = 1),
+told AS (SELECT g, any_value(conv_id) conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps,
+    count(*) FILTER (fault = 'blank') blank, count(*) FILTER (fault = 'duplicate') duplicate, count(*) FILTER (fault = 'truncated') truncated,
+    count(*) FILTER (i < n AND c || next_role[1] NOT IN ('su', 'ua', 'au')) illegal FROM rows GROUP BY g)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate,
+  coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal, coalesce(v0.k, 0)::BIGINT AS cost, coalesce(v0.a, '') audit,
+  sha256(coalesce(v0.t[2:], '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN (told JOIN done USING (g)) ON o.conv_id IS NOT DISTINCT FROM told.conv_id
+"""
+
+
+@query("op13_turn_repair", _REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired at the least cost: what was wrong, the audit, the digest of what came out."""
+    return turn_repair.repair_report(read(spark, sf_dir, "conversations"))
