@@ -55,3 +55,23 @@ def test_time_filter_pushed_to_scan(spark):
 def df_explain(spark, df) -> str:
     return df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_term_shares_split_a_text_once(spark):
+    """Nothing above the explode reads the text, so the work grows with its length, not with the square."""
+    from pyspark.sql import functions as F
+
+    from feedspark.operators.classify import term_shares
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("string").alias("k"), "text")
+    lines = _static_plan(spark, term_shares(docs, "k", "text")).splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert not any("text#" in line or "split(" in line for line in lines[:at + 1])
+
+
+def test_term_shares_of_a_long_text(spark):
+    from feedspark.operators.classify import term_shares
+
+    text = " ".join(f"w{k % 977}" for k in range(50_000))
+    rows = term_shares(spark.createDataFrame([("a", text), ("b", None)], "k string, text string"), "k", "text").collect()
+    assert abs(sum(r.share for r in rows) - 1) < 1e-9 and {r.k for r in rows} == {"a"}
