@@ -29,8 +29,9 @@ def _row_key(docs: DataFrame) -> Column:
 
 def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line whose key has ``min_chars`` code points: h1, h2 (96 bits of hash), doc_id, row_key, pos."""
-    lines = docs.select("doc_id", _row_key(docs).alias("row_key"),
-                        F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
+    # two steps: a hash of the text beside posexplode() would be taken again for every line of it
+    split = docs.select("doc_id", _row_key(docs).alias("row_key"), F.split(_text(), "\n").alias("lines"))
+    lines = split.select("doc_id", "row_key", F.posexplode("lines").alias("pos", "line"))
     keyed = (lines.select("doc_id", "row_key", "pos", F.btrim("line", F.lit(SPACES)).alias("key"))
              .filter(F.length("key") >= min_chars)
              .withColumn("key", F.translate("key", UPPER, LOWER)))
