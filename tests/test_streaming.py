@@ -1,35 +1,139 @@
 """Streaming = batch, also across a restart from the checkpoint."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from feedspark.operators.dedup import first_seen_dedup
+from feedspark.operators.retention import feed_top_n
+from feedspark.plans.feed import user_feed
 from feedspark.session import scratch_path
 from feedspark.sources import fixtures as fx
 from feedspark.sources.tables import Tables
 from feedspark.streaming import jobs as J
+from feedspark.streaming import seen_sets as S
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_dedup_state_survives_restart(spark):
+ATTEMPTS = "uid long, ts timestamp, seq long, entry_id string, doc string"
+
+
+def _attempts(t):
+    return fx.attempts(t).select("uid", "ts", F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("entry_id"),
+                                 F.col("doc_id").alias("doc"))
+
+
+@pytest.mark.parametrize("splits", [1, 3, 5])
+def test_dedup_state_is_the_batch_result_over_any_splits_and_restarts(spark, splits):
     t = Tables(spark, SF)
-    a = fx.attempts(t).select("uid", "ts", "event_id", "doc_id")
-    cut = a.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
-    first_half = a.where(F.unix_micros("ts") < cut)
-    second_half = a.where(F.unix_micros("ts") >= cut)
+    a = _attempts(t).withColumn("uid", F.col("uid") % 4)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
-    run = lambda: J.stream_dedup_feed(spark, src, a.schema, sink, ckpt)
-    J.in_time_order(first_half, "ts", src, 2, run)
-    J.in_time_order(second_half, "ts", src, 2, run)   # more data arrives; the job restarts
-    got = {(r.uid, r.event_id, r.epoch) for r in J.dedup_kept(spark, sink).collect()}
-    batch = first_seen_dedup(fx.attempts(t), "doc_id", "uid", "ts", ("event_id",))
-    expect = {(r.uid, r.event_id, r.epoch) for r in batch.collect()}
-    assert got == expect
+    # every range is a run of its own: the state comes back from the checkpoint
+    J.in_time_order(a, "ts", src, splits, lambda: J.stream_dedup_feed(J.file_stream(spark, src, a.schema), sink, ckpt, cap=100, state_partitions=3))
+    changes = spark.read.parquet(sink)
+    got = {(r.uid, r.entry_id, r.epoch) for r in S.kept_deliveries(changes).collect()}
+    batch = first_seen_dedup(a, "doc", "uid", "ts", ("seq",))
+    assert got == {(r.uid, r.entry_id, r.epoch) for r in batch.collect()}
+    top = feed_top_n(batch.select("uid", "entry_id", "doc", "ts", "seq"), 100, ("ts", "seq"))
+    assert {(r.uid, r.entry_id, r.pos) for r in S.feeds(changes).collect()} == {(r.uid, r.entry_id, r.pos) for r in top.collect()}
+    assert max(r["count"] for r in S.feeds(changes).groupBy("uid").count().collect()) == 100  # the cap is reached
+    # what left the feeds is written once, and nothing that stayed is written again
+    assert changes.groupBy("kind", "uid", "entry_id").count().where("count > 1").isEmpty()
+
+
+def _day(hours):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+
+
+def test_lives_late_arrivals_and_the_cap(spark):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("lsrc", "lsink", "lck"))
+
+    def arrive(*rows):
+        spark.createDataFrame([(7, _day(h), k, f"e{k}", doc) for h, k, doc in rows], ATTEMPTS).write.mode("append").parquet(src)
+        stream = J.file_stream(spark, src, ATTEMPTS)
+        J.stream_dedup_feed(stream, sink, ckpt, cap=3, lateness="48 hours", state_partitions=2)
+        changes = spark.read.parquet(sink)
+        return ({(r.entry_id, r.epoch) for r in S.kept_deliveries(changes).collect()},
+                [r.entry_id for r in S.feeds(changes).orderBy("pos").collect()])
+
+    kept, _ = arrive((0, 1, "A"), (1, 2, "B"))
+    assert kept == {("e1", _day(0)), ("e2", _day(0))}
+    # A again in the life: a duplicate; C comes late, before the anchor: kept in the life; at exactly 24 h a new life
+    kept, feed = arrive((2, 3, "A"), (-1, 4, "C"), (24, 5, "A"), (24, 6, "A"))
+    assert kept == {("e1", _day(0)), ("e2", _day(0)), ("e4", _day(0)), ("e5", _day(24))}
+    assert feed == ["e5", "e2", "e1"]
+    # older than all of the full feed: kept, but it falls out at once
+    kept, feed = arrive((-2, 9, "D"))
+    assert ("e9", _day(24)) in kept and feed == ["e5", "e2", "e1"]
+
+
+def test_state_of_silent_users_goes(spark):
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("ssrc", "ssink", "sck"))
+
+    def arrive(*rows):
+        spark.createDataFrame([(u, _day(h), k, f"e{k}", doc) for u, h, k, doc in rows], ATTEMPTS).write.mode("append").parquet(src)
+        J.stream_dedup_feed(J.file_stream(spark, src, ATTEMPTS), sink, ckpt, lateness="1 hour", state_partitions=2)
+        return {r.uid: r.n for r in S.state_rows(spark, ckpt, "seen").groupBy(F.col("key.uid").alias("uid")).agg(
+            F.count("*").alias("n")).collect()}
+
+    assert arrive((1, 0, 1, "A"), (1, 1, 2, "B"), (2, 10, 3, "A")) == {1: 2, 2: 1}
+    # user 1 says nothing more: the life that began at hour 0 is over once the stream has passed hour 24 (and the lateness)
+    assert arrive((3, 24.5, 4, "A")) == {1: 2, 2: 1, 3: 1}
+    assert arrive((3, 26, 5, "B")) == {2: 1, 3: 2}
+    lives = S.state_rows(spark, ckpt, "life").where("value.anchor_us is not null")
+    assert {r.uid for r in lives.select("key.uid").collect()} == {2, 3}
+    # what comes back after its life is kept again; the feed has outlived the seen set
+    assert arrive((1, 30, 6, "A")) == {1: 1, 2: 1, 3: 2}
+    assert [r.entry_id for r in S.feeds(spark.read.parquet(sink)).where("uid = 1").orderBy("pos").collect()] == ["e6", "e2", "e1"]
+
+
+def test_connected_streams_survive_failures_and_equal_the_batch_feed(spark, monkeypatch):
+    t = Tables(spark, SF)
+    raw = fx.articles(t).select("entry_id", "entry_ts", "id", "title", "topic")
+    src, subs, folder = (scratch_path(spark, n) for n in ("praw", "psubs", "pipe"))
+    fx.subscriptions(t).write.parquet(subs)
+    pipe = J.FeedPipeline(spark, folder, src, raw.schema, subs, lambda batch: batch, state_partitions=3)
+    plain, rounds = J.idempotent_batch_writer, []
+
+    def failing(sink, transform, partition_by=()):
+        write = plain(sink, transform, partition_by)
+
+        def run(batch, batch_id):
+            write(batch, batch_id)
+            raise RuntimeError("lost after the write, before the commit")
+
+        return run
+
+    def arrive():
+        if len(rounds) == 1:  # each stage dies once between its write and its commit; the one behind it goes on
+            monkeypatch.setattr(J, "idempotent_batch_writer", failing)
+            for stage in (pipe.enrich, pipe.fan_out):
+                with pytest.raises(Exception, match="lost after the write|foreachBatch"):
+                    stage()
+            pipe.dedup()
+            monkeypatch.setattr(J, "idempotent_batch_writer", plain)
+        rounds.append(1)
+        pipe.run()
+
+    J.in_time_order(raw, "entry_ts", src, 3, arrive)
+    got = {(r.uid, r.entry_id, r.doc, r.pos) for r in pipe.feed().collect()}
+    want = user_feed(fx.articles(t), fx.subscriptions(t), n=100)
+    assert got == {(r.uid, r.entry_id, r.doc, r.pos) for r in want.select("uid", "entry_id", "doc", "pos").collect()}
+
+
+def test_a_batch_that_did_not_finish_is_not_seen(spark):
+    sink = scratch_path(spark, "half")
+    spark.range(3).write.parquet(f"{sink}/_staging/0")  # left by a writer that died
+    write = J.idempotent_batch_writer(sink, lambda b: b)
+    write(spark.range(5), 0)
+    assert spark.read.parquet(sink).count() == 5
+    write(spark.range(7), 0)  # a replay of a committed batch
+    assert spark.read.parquet(sink).count() == 5
 
 
 def test_fanout_sees_subscribers_added_between_batches(spark):
-    import datetime as dt
-
     t0 = dt.datetime(2024, 1, 1)
     src, subs, sink, ckpt = (scratch_path(spark, n) for n in ("tl", "subs", "att", "ck"))
     msgs = spark.createDataFrame([("1-0", t0, "1", "politics")], "entry_id string, entry_ts timestamp, id string, topic string")
@@ -45,45 +149,6 @@ def test_fanout_sees_subscribers_added_between_batches(spark):
     assert got == {(1, "1-0"), (1, "2-0"), (2, "2-0")}
 
 
-class _FakeState:
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = v
-
-
-def test_state_function_arrival_order_and_lives():
-    import pandas as pd
-
-    H = 3600 * 1_000_000
-    fn = J._dedup_feed_fn(24 * H, cap=3)
-    st = _FakeState()
-
-    def batch(rows):
-        pdf = pd.DataFrame(rows, columns=["uid", "ts_us", "event_id", "doc_id"])
-        out = next(fn((7,), iter([pdf]), st))
-        return out[out.kind == "kept"], out[out.kind == "feed"]
-
-    kept, _ = batch([(7, 0, 1, "A"), (7, 1 * H, 2, "B")])
-    assert list(kept.event_id) == [1, 2]
-    # A again in the same life: duplicate; C arrives late (before the anchor): current life, kept;
-    # A at 25 h: a new life, kept again
-    kept, feed = batch([(7, 2 * H, 3, "A"), (7, -1 * H, 4, "C"), (7, 25 * H, 5, "A")])
-    assert sorted(kept.event_id) == [4, 5]
-    assert set(kept.epoch_us) == {0, 25 * H}
-    assert list(feed.sort_values("pos").event_id) == [5, 2, 1]   # newest 3 kept, pos 1 = newest
-    assert st.get[0] == 25 * H and st.get[1] == ["A"]              # anchor and seen set of the new life
-
-
 def test_source_keeps_rows_without_a_time_in_any_zone(spark, monkeypatch):
     import time
 
@@ -112,8 +177,6 @@ def test_backlog_counts_every_batch(spark):
 
 
 def test_topic_counts_take_late_files(spark):
-    import datetime as dt
-
     src, sink, ckpt = (scratch_path(spark, n) for n in ("late", "latesink", "lateck"))
     for day in (20, 25, 3):
         df = spark.createDataFrame([(dt.datetime(2024, 1, day, 5), "politics")] * 5, "entry_ts timestamp, topic string")
@@ -123,10 +186,6 @@ def test_topic_counts_take_late_files(spark):
 
 
 def test_retention_keeps_unread_entries(spark):
-    import datetime as dt
-
-    import pytest
-
     log, out = scratch_path(spark, "rlog"), scratch_path(spark, "rout")
     t0 = dt.datetime(2024, 1, 1)
     rows = [(f"{k}-0", t0 + dt.timedelta(hours=k), tp) for tp in ("sports", "health") for k in range(10)]
