@@ -9,7 +9,7 @@ from ..operators import users as U
 from ..operators.dedup import dedup_marks
 from ..operators.fan_out import message_keys, visible_push_counts
 from ..plans.feed import visible_top_n
-from ..oracle import TOP, with_views
+from ..oracle import BOUNDS_SQL, TOP, with_views
 from ..sources import fixtures as fx
 from . import register
 
@@ -180,9 +180,6 @@ def q_users_seeded(t):
     return U.users_seeded(_candidates(t), fx.users(t))
 
 
-BOUNDS_SQL = "[0.00005, 0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]"
-
-
 @register("latency_histogram", with_views(f"""
 SELECT s.series, b.le, CAST(count(*) FILTER (WHERE s.seconds <= b.le) AS BIGINT) AS cum_count,
   CAST(count(*) AS BIGINT) AS count, round(sum(s.seconds), 6) AS sum

@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as MX
-from ..oracle import with_views
-from ..plans.dashboard import pipeline_overview
+from ..oracle import BUCKETS_SQL, with_views
+from ..plans.dashboard import PANELS, pipeline_overview
 from ..sources import fixtures as fx
 from . import register
-from .aggregates import BOUNDS_SQL
 
 SERIES = ["click", "error", "purchase", "signup", "view"]
 
@@ -63,24 +62,31 @@ def q_irate(t):
     return r.select("series", F.to_date("t").alias("t"), F.round("irate", 9).alias("irate"))
 
 
-HIST_SQL = f"""hist AS (SELECT s.series, b.le, count(*) FILTER (WHERE s.seconds <= b.le) AS cum
-  FROM latency_samples s, (SELECT unnest(list_concat({BOUNDS_SQL}::DOUBLE[], ['inf'::DOUBLE])) AS le) b
-  GROUP BY s.series, b.le),
- hb AS (SELECT series, le, cum, lag(le, 1, 0.0) OVER (PARTITION BY series ORDER BY le) AS lo,
-   lag(cum, 1, 0) OVER (PARTITION BY series ORDER BY le) AS prev,
-   max(cum) OVER (PARTITION BY series) AS total FROM hist),
- hq AS (SELECT series, q, arg_min(struct_pack(le := le, lo := lo, prev := prev, cum := cum, total := total), le) AS b
-   FROM hb, (SELECT unnest([0.5::DOUBLE, 0.99::DOUBLE]) AS q) qs WHERE cum >= q * total GROUP BY series, q)"""
+#: Evaluation steps of the quantiles and the dashboard, where a range holds several steps.
+EVERY_SQL = """st AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 2 DAY,
+   INTERVAL 6 HOUR)) AS t FROM events)"""
 
+#: Quantiles of bucket increases ``up`` (by ``by``, k, le, cum).
+QUANTILE_SQL = """ub AS (SELECT *, lag(le, 1, 0.0) OVER w AS lo, lag(cum, 1, 0.0) OVER w AS prev, max(cum) OVER (PARTITION BY {by}) AS total
+   FROM up WINDOW w AS (PARTITION BY {by} ORDER BY k)),
+ uq AS (SELECT {by}, q, arg_min(struct_pack(le := le, lo := lo, prev := prev, cum := cum, total := total), k) AS b
+   FROM ub, (SELECT unnest([0.5::DOUBLE, 0.99::DOUBLE]) AS q) qs WHERE cum >= q * total AND total > 0 GROUP BY {by}, q),
+ qv AS (SELECT {by}, q, CASE WHEN b.le = 'inf'::DOUBLE THEN b.lo WHEN b.cum > b.prev
+   THEN b.lo + (b.le - b.lo) * (q * b.total - b.prev) / (b.cum - b.prev) ELSE b.lo END AS value FROM uq)"""
 
-@register("hist_quantile", with_views("""
-SELECT series, q, round(CASE WHEN b.le = 'inf'::DOUBLE THEN b.lo
-  ELSE b.lo + (b.le - b.lo) * (q * b.total - b.prev) / (b.cum - b.prev) END, 6) AS value FROM hq""",
-                                      "latency_samples", extra=HIST_SQL))
+HIST_SQL = EVERY_SQL + """,
+ bj AS (SELECT b.series, b.k, b.le, st.t, b.value, lag(b.value) OVER (PARTITION BY b.series, b.k, st.t ORDER BY b.ts, b.event_id) AS pv
+   FROM bucket_samples b JOIN st ON b.ts > st.t - INTERVAL 12 HOUR AND b.ts <= st.t),
+ up AS (SELECT series, k, le, t, sum(CASE WHEN pv IS NULL THEN 0 WHEN value >= pv THEN value - pv ELSE value END)::DOUBLE AS cum
+   FROM bj GROUP BY ALL HAVING count(*) >= 2),
+ """ + QUANTILE_SQL.format(by="series, t")
+
+
+@register("hist_quantile", with_views("SELECT series, t, q, round(value, 6) AS value FROM qv", "bucket_samples", extra=HIST_SQL))
 def q_hist_quantile(t):
-    """H4: p50 / p99 latency per series from the cumulative buckets."""
-    q = MX.latency_quantiles(fx.latency_samples(t), (0.5, 0.99), ["series"])
-    return q.select("series", "q", F.round("value", 6).alias("value"))
+    """H4: p50 / p99 latency per series and step, from the bucket increases over a 12 h range every 6 h."""
+    q = MX.range_quantiles(fx.bucket_samples(t), (0.5, 0.99), "12 hours", "6 hours", order=("event_id",))
+    return q.select("series", "t", "q", F.round("value", 6).alias("value"))
 
 
 GAUGE_SQL = STEPS_SQL.format(src="events") + """,
@@ -99,7 +105,7 @@ FROM events e JOIN st ON e.ts > st.t - INTERVAL 6 HOUR AND e.ts <= st.t GROUP BY
                                    extra=STEPS_SQL.format(src="events")))
 def q_gauge_last(t):
     """H5: last gauge value of each series in a 6 h lookback per day."""
-    g = MX.gauge_last(_gauges(t), "6 hours", "1 day", ("series",), order=["ts", "event_id"])
+    g = MX.gauge_last(_gauges(t), "6 hours", "1 day", ("series",), order=("event_id",))
     return g.select("series", F.to_date("t").alias("t"), F.round("value", 6).alias("value"))
 
 
@@ -107,7 +113,7 @@ def q_gauge_last(t):
 SELECT series, CAST(t AS DATE) AS t, round(sum(value), 6) AS value FROM gl GROUP BY series, t""", extra=GAUGE_SQL))
 def q_gauge_sum_labels(t):
     """H6: last value per (series, user_id) in the lookback, summed over user_id."""
-    g = MX.gauge_sum_labels(_gauges(t), "user_id", "6 hours", "1 day", order=["ts", "event_id"])
+    g = MX.gauge_sum_labels(_gauges(t), "user_id", "6 hours", "1 day", order=("event_id",))
     return g.select("series", F.to_date("t").alias("t"), F.round("value", 6).alias("value"))
 
 
@@ -128,32 +134,41 @@ def q_cpu_percent(t):
     return _rates(t).select("series", F.to_date("t").alias("t"), F.round(MX.scale(F.col("rate"), 100), 7).alias("cpu_pct"))
 
 
-OVERVIEW_SQL = RATE_SQL + """,
- """ + GAUGE_SQL.replace("st AS (", "gst AS (").replace("JOIN st ON", "JOIN gst ON").replace("st.t", "gst.t") + """,
- lst AS (SELECT DISTINCT date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY AS t FROM latency_samples),
- lh AS (SELECT lst.t, b.le, count(*) FILTER (WHERE s.seconds <= b.le) AS cum
-   FROM latency_samples s JOIN lst ON s.ts > lst.t - INTERVAL 6 HOUR AND s.ts <= lst.t,
-   (SELECT unnest(list_concat(""" + BOUNDS_SQL + """::DOUBLE[], ['inf'::DOUBLE])) AS le) b GROUP BY lst.t, b.le),
- lb AS (SELECT t, le, cum, lag(le, 1, 0.0) OVER (PARTITION BY t ORDER BY le) AS lo,
-   lag(cum, 1, 0) OVER (PARTITION BY t ORDER BY le) AS prev, max(cum) OVER (PARTITION BY t) AS total FROM lh),
- lq AS (SELECT t, q, arg_min(struct_pack(le := le, lo := lo, prev := prev, cum := cum, total := total), le) AS b
-   FROM lb, (SELECT unnest([0.5::DOUBLE, 0.99::DOUBLE]) AS q) qs WHERE cum >= q * total GROUP BY t, q),
- lv AS (SELECT t, max(CASE WHEN q = 0.5 THEN v END) AS p50, max(CASE WHEN q = 0.99 THEN v END) AS p99 FROM (
-   SELECT t, q, CASE WHEN b.le = 'inf'::DOUBLE THEN b.lo
-     ELSE b.lo + (b.le - b.lo) * (q * b.total - b.prev) / (b.cum - b.prev) END AS v FROM lq) z GROUP BY t),
- tr AS (SELECT t, sum(rate) AS total_rate FROM rt GROUP BY t),
- gt AS (SELECT t, sum(value) AS gauge_total FROM gl GROUP BY t)"""
-
-
-@register("pipeline_overview", with_views("""
-SELECT CAST(coalesce(tr.t, lv.t, gt.t) AS DATE) AS t, round(tr.total_rate, 9) AS total_rate,
-  round(lv.p50, 6) AS p50, round(lv.p99, 6) AS p99, round(gt.gauge_total, 6) AS gauge_total
-FROM tr FULL JOIN lv ON tr.t = lv.t FULL JOIN gt ON coalesce(tr.t, lv.t) = gt.t""",
-                                          "counter_samples", "latency_samples", extra=OVERVIEW_SQL))
+#: Ranges of the dashboard's panels by kind, over steps of 6 h.
+RANGES = {"rate": "6 hours", "irate": "12 hours", "last": "6 hours", "quantile": "12 hours"}
+
+
+def _panel_sql(x):
+    if x.kind == "quantile":
+        return f"max(CASE WHEN q = {x.q} THEN value END) * {x.factor} AS {x.column}"
+    shown = {"rate": f"sum(up) FILTER (metric = '{x.metric}' AND n >= 2) / {MX.seconds(RANGES['rate'])}.0e0",
+             "irate": f"sum(instant) FILTER (metric = '{x.metric}')", "last": f"sum(last) FILTER (metric = '{x.metric}')"}[x.kind]
+    return f"{shown} * {x.factor!r}::DOUBLE AS {x.column}"
+
+
+_PLAIN = [x for x in PANELS if x.kind != "quantile"]
+_QUANTILES = [x for x in PANELS if x.kind == "quantile"]
+OVERVIEW_SQL = EVERY_SQL + f""",
+ mk AS (SELECT unnest({[x.metric for x in PANELS if x.q != 0.5]}) AS metric, unnest({[x.kind for x in PANELS if x.q != 0.5]}) AS kind,
+   unnest({[MX.seconds(RANGES[x.kind]) // 3600 for x in PANELS if x.q != 0.5]}) AS hours),
+ sj AS (SELECT s.*, st.t, lag(s.value) OVER w AS pv, lag(s.ts) OVER w AS pts,
+   row_number() OVER (PARTITION BY s.metric, s.label, s.le, st.t ORDER BY s.ts DESC, s.event_id DESC) AS rn
+   FROM scrapes s JOIN mk USING (metric) JOIN st ON s.ts > st.t - to_hours(hours) AND s.ts <= st.t
+   WINDOW w AS (PARTITION BY s.metric, s.label, s.le, st.t ORDER BY s.ts, s.event_id)),
+ si AS (SELECT *, CASE WHEN pv IS NULL THEN 0 WHEN value >= pv THEN value - pv ELSE value END AS inc FROM sj),
+ sg AS (SELECT metric, label, le, t, count(*) AS n, sum(inc) AS up, max(CASE WHEN rn = 1 THEN value END) AS last,
+   max(CASE WHEN rn = 1 AND ts > pts THEN inc / ((epoch_us(ts) - epoch_us(pts)) / 1e6) END) AS instant FROM si GROUP BY ALL),
+ up AS (SELECT t, g.le AS k, b.le, sum(g.up)::DOUBLE AS cum FROM sg g JOIN {BUCKETS_SQL} b ON b.k = g.le
+   WHERE metric = 'store_latency' AND n >= 2 GROUP BY ALL),
+ {QUANTILE_SQL.format(by="t")},
+ pw AS (SELECT t, {", ".join(_panel_sql(x) for x in _PLAIN)} FROM sg GROUP BY t),
+ pq AS (SELECT t, {", ".join(_panel_sql(x) for x in _QUANTILES)} FROM qv GROUP BY t)"""
+
+
+@register("pipeline_overview", with_views(
+    "SELECT t, " + ", ".join(f"round({x.column}, 6) AS {x.column}" for x in PANELS) + " FROM pw FULL JOIN pq USING (t) WHERE coalesce("
+    + ", ".join(x.column for x in PANELS) + ") IS NOT NULL", "scrapes", extra=OVERVIEW_SQL))
 def q_pipeline_overview(t):
-    """H9: all dashboard KPIs per day in one wide table."""
-    o = pipeline_overview(fx.counter_samples(t), fx.latency_samples(t), _gauges(t), "user_id",
-                          gauge_order=["ts", "event_id"])
-    return o.select(F.to_date("t").alias("t"), F.round("total_rate", 9).alias("total_rate"),
-                    F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"),
-                    F.round("gauge_total", 6).alias("gauge_total"))
+    """H9: all 22 panels of the dashboard (25 columns) every 6 h in one wide table."""
+    o = pipeline_overview(fx.scrapes(t), RANGES, "6 hours", order=("event_id",))
+    return o.select("t", *(F.round(x.column, 6).alias(x.column) for x in PANELS))

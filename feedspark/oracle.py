@@ -7,10 +7,15 @@ views and the views they depend on, in dependency order.
 
 from __future__ import annotations
 
-from .constants import TOPICS
+from .constants import LATENCY_BOUNDS, TOPICS
+from .sources.fixtures import EVENT_TYPES, SCRAPED, SCRAPED_GAUGES
 
 TOP = "[" + ", ".join(f"'{t}'" for t in TOPICS) + "]"
 
+BOUNDS_SQL = f"{LATENCY_BOUNDS}"
+#: All bounds, the last one infinite, with their numbers.
+BUCKETS_SQL = f"""(SELECT unnest(range({len(LATENCY_BOUNDS) + 1})) AS k, unnest(list_concat({BOUNDS_SQL}::DOUBLE[], ['inf'::DOUBLE])) AS le)"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "base_articles": ((), f"""
 SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id // 15 * 555 AS INT)) AS ts0,
@@ -39,6 +44,20 @@ SELECT event_type AS series, ts,
   count(*) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS value FROM events"""),
     "latency_samples": ((), """
 SELECT event_type AS series, ts, event_id, value / 1000.0 AS seconds FROM events"""),
+    "bucket_samples": (("latency_samples",), f"""
+SELECT series, ts, event_id, k, le, sum(CASE WHEN seconds <= le THEN 1 ELSE 0 END)
+  OVER (PARTITION BY series, k, CAST(ts AS DATE) ORDER BY ts, event_id)::BIGINT AS value
+FROM latency_samples, {BUCKETS_SQL} b"""),
+    "scrapes": ((), f"""
+SELECT metric, label, 0 AS le, ts, event_id, CASE WHEN metric IN {SCRAPED_GAUGES} THEN value
+  ELSE count(*) OVER (PARTITION BY metric, label, CAST(ts AS DATE) ORDER BY ts, event_id) END AS value
+FROM (SELECT *, ({list(SCRAPED)})[(list_position({list(EVENT_TYPES)}, event_type) - 1) * 5 + user_id % 5 + 1] AS metric,
+  CAST(user_id // 5 % 3 AS VARCHAR) AS label FROM events) e WHERE metric <> 'store_latency'
+UNION ALL
+SELECT metric, label, k, ts, event_id, sum(CASE WHEN value / 1000.0 <= b.le THEN 1 ELSE 0 END)
+  OVER (PARTITION BY label, k, CAST(ts AS DATE) ORDER BY ts, event_id)
+FROM (SELECT *, ({list(SCRAPED)})[(list_position({list(EVENT_TYPES)}, event_type) - 1) * 5 + user_id % 5 + 1] AS metric,
+  CAST(user_id // 5 % 3 AS VARCHAR) AS label FROM events) e, {BUCKETS_SQL} b WHERE metric = 'store_latency'"""),
     "raw_log": (("articles",), """
 SELECT entry_id, entry_ts, copy, doc_id, id, title,
   CASE WHEN copy = 0 THEN text END AS body, CASE WHEN copy = 1 THEN text END AS text, topic

@@ -132,6 +132,51 @@ def latency_samples(t: Tables) -> DataFrame:
     )
 
 
+def bucket_samples(t: Tables) -> DataFrame:
+    """Scrapes of a latency histogram: per series the cumulative counts of all buckets (``counts``), restarting at
+    midnight; one scrape per observation."""
+    from pyspark.sql import Window
+
+    from ..constants import LATENCY_BOUNDS
+
+    s = latency_samples(t)
+    w = Window.partitionBy("series", F.to_date("ts")).orderBy("ts", "event_id")
+    counts = [F.sum((F.col("seconds") <= b).cast("bigint")).over(w) for b in (*LATENCY_BOUNDS, float("inf"))]
+    return s.select("series", "ts", "event_id", F.array(*counts).alias("counts"))
+
+
+#: Metrics of the dashboard fixture, one per event type and remainder of the user by five (two for the histogram).
+SCRAPED = ("producer_msgs", "raw_len", "enrich_in", "enrich_out", "topic_len", "fan_out", "reader_pops", "feed_backlog",
+           "store_ops", "store_memory", "store_latency", "store_latency", "enrich_gpu", "reader_target", "avg_feed_backlog",
+           "raw_trims", "topic_trims", "store_clients", "cache_hits", "cache_misses", "net_in", "net_out", "dataset_memory",
+           "cpu_seconds", "fragmentation")
+#: Of these the event's value is a sample; the histogram counts it by buckets, all others count the events of a day.
+SCRAPED_GAUGES = ("raw_len", "topic_len", "feed_backlog", "store_memory", "enrich_gpu", "reader_target", "avg_feed_backlog",
+                  "store_clients", "dataset_memory", "fragmentation")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def scrapes(t: Tables) -> DataFrame:
+    """One tagged stream of all the dashboard's metrics: metric, label, le, ts, event_id, value. An event is a sample of
+    one metric; counters and bucket counts restart at midnight."""
+    from pyspark.sql import Window
+
+    from ..constants import LATENCY_BOUNDS
+
+    kind = F.array_position(F.array(*(F.lit(x) for x in EVENT_TYPES)), F.col("event_type")) - 1
+    metric = F.get(F.array(*(F.lit(x) for x in SCRAPED)), (kind * 5 + F.col("user_id") % 5).cast("int"))
+    e = t.events.select(metric.alias("metric"), F.floor(F.col("user_id") / 5 % 3).cast("string").alias("label"),
+                        F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    w = Window.partitionBy("metric", "label", F.to_date("ts")).orderBy("ts", "event_id")
+    bounds = (*LATENCY_BOUNDS, float("inf"))
+    counts = F.array(*(F.sum((F.col("value") / 1000.0 <= b).cast("bigint")).over(w).cast("double") for b in bounds))
+    n = F.count("*").over(w).cast("double")
+    samples = (F.when(F.col("metric") == "store_latency", counts)
+               .when(F.col("metric").isin(*SCRAPED_GAUGES), F.array("value")).otherwise(F.array(n)))
+    return e.select("metric", "label", "ts", "event_id", samples.alias("_s")).select(
+        "metric", "label", "ts", "event_id", F.posexplode("_s").alias("le", "value"))
+
+
 def raw_log(t: Tables) -> DataFrame:
     """Raw article log entries with field presence varied by copy.
 
