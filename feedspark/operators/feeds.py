@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFY_BATCH, TOPIC_BACKLOG
 from ..functions.messages import entry_seq, log_order, parse_entry_id
-from ..plans.ordering import numbered, running_sum
+from ..plans.ordering import numbered, run_positions, running_sum
 from ..sources.fixtures import topics_array
 
 
@@ -34,13 +34,14 @@ def cursors_at(log: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def tail_after_cursor(log: DataFrame, cursors: DataFrame, keys: list[str]) -> DataFrame:
-    """entries strictly after each consumer's cursor, numbered in log order."""
+    """entries strictly after each consumer's cursor, numbered in log order -> keys, entry_id, tail_pos.
+    Payloads are joined by the entry's id."""
     c = cursors.select(*keys, parse_entry_id("cursor").alias("_cms"), entry_seq("cursor").alias("_cseq"))
     ms, seq = parse_entry_id("entry_id"), entry_seq("entry_id")
-    d = log.select("*", ms.alias("_ms"), seq.alias("_seq")).join(c, keys)
+    d = log.select(*keys, "entry_id", ms.alias("_ms"), seq.alias("_seq")).join(c, keys)
     after = d.where((F.col("_ms") > F.col("_cms")) | ((F.col("_ms") == F.col("_cms")) & (F.col("_seq") > F.col("_cseq"))))
-    r = numbered(after, keys, ["_ms", "_seq", "entry_id"], out="tail_pos")
-    return r.drop("_ms", "_seq", "_cms", "_cseq")
+    r = numbered(after.drop("_cms", "_cseq"), keys, ["_ms", "_seq", "entry_id"], out="tail_pos")
+    return r.drop("_ms", "_seq")
 
 
 def fifo_consume(feed: DataFrame, pops: DataFrame) -> DataFrame:
@@ -68,11 +69,13 @@ def running_backlog(steps: DataFrame, reader: str = "reader", order=("ts", "even
 
 def micro_batches(log: DataFrame, size: int = CLASSIFY_BATCH, keys: list[str] | None = None,
                   order=("entry_ts", "entry_id")) -> DataFrame:
-    """number entries into batches of ``size`` (0-based); ``is_full`` false for the held tail."""
+    """number entries into batches of ``size`` (0-based); ``is_full`` false for the held tail.
+    -> keys, entry_id, the order columns, batch_no, is_full; payloads are joined by the entry's id."""
     keys = keys or []
-    r = numbered(log, keys, log_order(order), out="_rn", total_col="_n")
+    slim = log.select(*dict.fromkeys([*keys, "entry_id", *order]))
+    r = numbered(slim, keys, log_order(order), out="_rn", total_col="_n")
     return r.select(
-        *log.columns,
+        *slim.columns,
         F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch_no"),
         (F.floor((F.col("_rn") - 1) / size) < F.floor(F.col("_n") / size)).alias("is_full"),
     )
@@ -83,31 +86,29 @@ def batch_full(batches: DataFrame) -> DataFrame:
     return batches.where("is_full")
 
 
-def _islands(clicks: DataFrame, uid: str, tag: str, order=("ts", "event_id")) -> DataFrame:
-    """Position of each click inside its run of equal consecutive tags (1-based)."""
-    n = numbered(clicks, [uid], list(order), out="_n")
-    m = numbered(n, [uid, tag], list(order), out="_m")
-    g = m.withColumn("_grp", F.col("_n") - F.col("_m"))
-    # position inside the run = n - (first n of the run) + 1 (a partial aggregate, not a window)
-    first = g.groupBy(uid, tag, "_grp").agg(F.min("_n").alias("_n0"))
-    return g.join(first, [uid, tag, "_grp"]).withColumn("_p", F.col("_n") - F.col("_n0") + 1).drop("_n0")
+def _clicks(clicks: DataFrame, uid: str, tag: str, order) -> DataFrame:
+    """The columns of the clicks that the fold reads, with each click's place in its run of equal consecutive tags."""
+    return run_positions(clicks.select(*dict.fromkeys([uid, tag, *order])), [uid], list(order), tag, out="_p")
 
 
 def toggle_topic(clicks: DataFrame, uid: str = "uid", tag: str = "tag",
                  order=("ts", "event_id")) -> DataFrame:
-    """active topic after each click; clicking the active topic again turns it off."""
-    p = _islands(clicks, uid, tag, order)
-    return p.select(*clicks.columns, F.when(F.col("_p") % 2 == 1, F.col(tag)).alias("active"))
+    """active topic after each click; clicking the active topic again turns it off. -> uid, tag, order, active.
+
+    A run of clicks on one topic turns it on and off in turn, and another topic's click always turns that one on; so the
+    fold over all clicks is the place in the run, in one sort by ranges."""
+    return _clicks(clicks, uid, tag, order).select("*", F.when(F.col("_p") % 2 == 1, F.col(tag)).alias("active")).drop("_p")
 
 
 def reset_topic_on_switch(clicks: DataFrame, users: DataFrame, uid: str = "uid", tag: str = "tag",
                           order=("ts", "event_id")) -> DataFrame:
     """F10 per viewed user; a topic that is not one of the user's interests clears the filter.
+    -> uid, tag, order, active.
 
     The interests of a user without a record are not known, so nothing is cleared for them."""
-    p = _islands(clicks, uid, tag, order).join(users.select(F.col("uid").alias(uid), "interests"), uid, "left")
+    p = _clicks(clicks, uid, tag, order).join(users.select(F.col("uid").alias(uid), "interests"), uid, "left")
     on = (F.col("_p") % 2 == 1) & F.coalesce(F.array_contains("interests", F.col(tag)), F.lit(True))
-    return p.select(*clicks.columns, F.when(on, F.col(tag)).alias("active"))
+    return p.select("*", F.when(on, F.col(tag)).alias("active")).drop("_p", "interests")
 
 
 def _with_refresh_batches(messages: DataFrame, refreshes: DataFrame, uid: str = "uid") -> DataFrame:
@@ -160,9 +161,9 @@ def feed_topic_filter(feed: DataFrame, users: DataFrame, active: Column) -> Data
 
 def union_topics(log: DataFrame) -> DataFrame:
     """All topic logs as one input in a fixed total order:
-    (entry ms, entry seq, topic ordinal, entry id) -> read_pos."""
+    (entry ms, entry seq, topic ordinal, entry id) -> entry_id, topic, topic_ord, read_pos."""
     ordn = (F.array_position(topics_array(), F.col("topic")) - 1).cast("int")
-    d = log.select("*", parse_entry_id("entry_id").alias("_ms"), entry_seq("entry_id").alias("_seq"),
+    d = log.select("entry_id", "topic", parse_entry_id("entry_id").alias("_ms"), entry_seq("entry_id").alias("_seq"),
                    ordn.alias("topic_ord"))
     r = numbered(d, [], ["_ms", "_seq", "topic_ord", "entry_id"], out="read_pos")
     return r.drop("_ms", "_seq")

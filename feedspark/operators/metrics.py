@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LATENCY_BOUNDS
-from ..plans.ordering import range_chunks
+from ..plans.ordering import handed_on, range_chunks
 from .counters import latency_histogram
 
 
@@ -64,19 +64,18 @@ def points(samples: DataFrame, keys: list[str], ts: str = "ts", values: tuple[st
                           *(F.lag(f"_z_{v}").over(by).alias(f"_c_{v}") for v in values), *(f"_a_{v}" for v in values), *(f"_s_{v}" for v in values))
     # what is lost at a chunk's first sample counts for the chunk as a whole
     gap = {v: F.when(F.col(f"_a_{v}") < F.col(f"_c_{v}"), F.col(f"_c_{v}")).otherwise(F.lit(0)) for v in values}
+    # a series that lies in one range takes nothing from others
     offsets = carried.select("*", *(x.alias(f"_g_{v}") for v, x in gap.items())).select(
-        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_chunk").alias("_k_chunk"), "_c", "_cpu", "_cnu", *(f"_c_{v}" for v in values),
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"),
-        *((F.coalesce(F.sum(F.col(f"_s_{v}") + F.col(f"_g_{v}")).over(before), F.lit(0)) + F.col(f"_g_{v}")).alias(f"_o_{v}") for v in values))
-    same = F.col("_chunk") == F.col("_k_chunk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    j = local.join(offsets, same)
+        *keys, "_chunk", "_c", "_cpu", "_cnu", *(f"_c_{v}" for v in values), F.sum("_c").over(before).alias("_n0"),
+        *((F.coalesce(F.sum(F.col(f"_s_{v}") + F.col(f"_g_{v}")).over(before), F.lit(0)) + F.col(f"_g_{v}")).alias(f"_o_{v}") for v in values)
+    ).where("_cpu IS NOT NULL OR _cnu IS NOT NULL")
+    j = handed_on(local, offsets, keys)
+    nothing = F.lit(0)
     return j.select(*columns, "us", F.coalesce("_pu", "_cpu").alias("prev_us"),
                     F.when(F.col("_n") == F.col("_c"), F.col("_cnu")).otherwise(F.col("_nu")).alias("next_us"),
-                    (F.col("_n0") + F.col("_n")).alias("n"),
+                    (F.coalesce("_n0", nothing) + F.col("_n")).alias("n"),
                     *(F.coalesce(f"_p_{v}", f"_c_{v}").alias(f"prev_{v}") for v in values),
-                    *((F.col(v) + F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"total_{v}") for v in values))
+                    *((F.col(v) + F.col(f"_l_{v}") + F.coalesce(f"_o_{v}", nothing)).alias(f"total_{v}") for v in values))
 
 
 def _steps(first: Column, end: Column, step_us: int) -> Column:

@@ -75,3 +75,31 @@ def test_term_shares_of_a_long_text(spark):
     text = " ".join(f"w{k % 977}" for k in range(50_000))
     rows = term_shares(spark.createDataFrame([("a", text), ("b", None)], "k string, text string"), "k", "text").collect()
     assert abs(sum(r.share for r in rows) - 1) < 1e-9 and {r.k for r in rows} == {"a"}
+
+
+def test_numbering_reads_no_bodies(spark):
+    """What is numbered is written; payloads are not."""
+    from pathlib import Path
+
+    from feedspark.session import checkpoint_dir
+
+    scratch = Path(checkpoint_dir(spark).removeprefix("file:")) / "feedspark-scratch"
+    before = set(scratch.glob("ranges-*"))
+    for key in ("micro_batches", "batch_full", "tail_after_cursor", "union_topics"):
+        load_all()[key].build(spark, SF)
+    written = set(scratch.glob("ranges-*")) - before
+    assert len(written) == 4
+    for path in written:
+        assert not {"text", "title", "body"} & set(spark.read.parquet(str(path)).columns)
+
+
+def test_toggle_cuts_once_and_moves_no_row_for_what_is_handed_on(spark):
+    from pathlib import Path
+
+    from feedspark.session import checkpoint_dir
+
+    scratch = Path(checkpoint_dir(spark).removeprefix("file:")) / "feedspark-scratch"
+    before = set(scratch.glob("ranges-*"))
+    plan = _static_plan(spark, load_all()["toggle_topic"].build(spark, SF))
+    assert len(set(scratch.glob("ranges-*")) - before) == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

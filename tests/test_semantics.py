@@ -516,3 +516,42 @@ def _check_hot_key(df, range_chunks):
     plain = {tuple(r) for r in df.select("id", F.row_number().over(w), F.sum("id").over(w), F.lag("id").over(w)).collect()}
     got = range_lag(running_sum(numbered(df, ["k"], ["ts", "id"]), ["k"], ["ts", "id"], F.col("id"), out="s"), ["k"], ["ts", "id"], "id", out="p")
     assert {tuple(r) for r in got.select("id", "rn", "s", "p").collect()} == plain
+
+
+def _fold(clicks):
+    """Active topic after each click, one after the other."""
+    active, out = {}, {}
+    for uid, ts, event_id, tag in sorted(clicks, key=lambda c: (c[0] is not None, c[0] or 0, c[1], c[2])):
+        active[uid] = None if active.get(uid, "-") == tag else tag
+        out[event_id] = active[uid]
+    return out
+
+
+@pytest.mark.parametrize("tags", ["a", "ab", "aaaaaaab", "abc"])
+def test_toggles_equal_the_fold_on_a_key_with_most_rows(spark, tags):
+    import random
+
+    draw = random.Random(len(tags))
+    clicks = [(7 if draw.random() < 0.9 else draw.randint(1, 5), draw.randint(0, 400), k, draw.choice(tags)) for k in range(3000)]
+    df = spark.createDataFrame(clicks, "uid long, ts long, event_id long, tag string").repartition(6)
+    got = {r.event_id: r.active for r in FD.toggle_topic(df).collect()}
+    assert got == _fold(clicks)
+
+
+def test_run_positions_across_many_ranges(spark):
+    """Runs that fill whole ranges, end in the middle of one, and NULLs, which are equal to each other."""
+    from itertools import groupby
+
+    from feedspark.plans.ordering import run_positions
+
+    values = ["a"] * 900 + ["b"] + ["a"] * 3 + [None] * 700 + ["a", None] * 20 + ["c"] * 400
+    rows = [(1, k, v) for k, v in enumerate(values)] + [(None, k, "z") for k in range(40)]
+    want = {(1, k): None for k in range(len(values))}
+    at = 0
+    for _, run in groupby(values):
+        for place, _ in enumerate(run, 1):
+            want[1, at] = place
+            at += 1
+    want |= {(None, k): k + 1 for k in range(40)}
+    got = run_positions(spark.createDataFrame(rows, "key long, at long, v string").repartition(5), ["key"], ["at"], "v")
+    assert {(r.key, r["at"]): r.run_pos for r in got.collect()} == want
