@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import counters as C
 from ..operators import users as U
 from ..operators.dedup import dedup_marks
-from ..operators.fan_out import message_keys, visible_push_counts
+from ..operators.deliveries import visible_push_counts
+from ..operators.fan_out import message_keys
 from ..plans.feed import visible_top_n
 from ..oracle import BOUNDS_SQL, TOP, with_views
 from ..sources import fixtures as fx

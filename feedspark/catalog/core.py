@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..oracle import with_views
 from ..operators.dedup import anchored_ttl_epochs, first_seen_dedup
-from ..operators.fan_out import dedupe_unseen, fanout_join, fanout_visible, message_keys, unsubscribed_topics
+from ..operators.deliveries import Deliveries
+from ..operators.fan_out import fanout_join, fanout_visible, message_keys, unsubscribed_topics
 from ..plans.feed import feed_with_payload, user_feed, visible_top_n
 from ..sources import fixtures as fx
 from . import register
@@ -88,8 +89,40 @@ WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.uid = d.uid AND a.doc_id = d.
                                       "articles", "subscriptions", "attempts"))
 def q_dedupe_unseen(t):
     """D3: visible deliveries minus documents already in the user's seen set (attempts)."""
-    d = fanout_visible(fx.articles(t), fx.subscriptions(t))
-    return dedupe_unseen(d, fx.attempts(t).select("uid", "doc_id"))
+    return _unseen(t).expand()
+
+
+def _unseen(t):
+    return Deliveries.of(fx.articles(t), fx.subscriptions(t)).unseen(fx.attempts(t).select("uid", "doc_id"))
+
+
+UNSEEN_SQL = ATT_SQL + """,
+ un AS (SELECT * FROM att d WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.uid = d.uid AND a.doc_id = d.doc))"""
+
+
+@register("unseen_per_user", with_views("""
+SELECT s.uid, count(un.uid) AS deliveries FROM (SELECT DISTINCT uid FROM subscriptions) s LEFT JOIN un ON un.uid = s.uid GROUP BY s.uid""",
+                                        "articles", "subscriptions", "attempts", extra=UNSEEN_SQL))
+def q_unseen_per_user(t):
+    """D2 + D3 counted per user from the factors, without building a delivery."""
+    return _unseen(t).per_user()
+
+
+@register("unseen_per_message", with_views("""
+SELECT m.entry_id, m.topic, count(un.uid) AS deliveries FROM articles m LEFT JOIN un ON un.entry_id = m.entry_id GROUP BY ALL""",
+                                           "articles", "subscriptions", "attempts", extra=UNSEEN_SQL))
+def q_unseen_per_message(t):
+    """D2 + D3 counted per message from the factors, without building a delivery."""
+    return _unseen(t).per_message()
+
+
+@register("unseen_in_range", with_views("""
+SELECT uid, entry_id, ts AS entry_ts, doc, topic FROM un
+WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-05 00:00:00'""",
+                                        "articles", "subscriptions", "attempts", extra=UNSEEN_SQL))
+def q_unseen_in_range(t):
+    """D2 + D3 expanded for two days of messages."""
+    return _unseen(t).between("2024-01-03 00:00:00", "2024-01-05 00:00:00").expand()
 
 
 @register("unsubscribed_topics", with_views("""

@@ -4,7 +4,7 @@ There are only ~10 topic keys, so a shuffle join on ``topic`` would run in
 at most 10 tasks. The plans instead keep ``subscriptions`` partitioned by
 ``uid`` and either broadcast the key-only messages (after a size check) or,
 beyond the bound, salt the messages and replicate subscriptions ``salts``
-times so the join spreads over ``topics x salts`` tasks.
+times (as many as the messages need) so the join spreads over ``topics x salts`` tasks.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import doc_identity
-from ..plans.strategy import BROADCAST_MAX_ROWS, has_at_most
 
-MESSAGE_KEYS = ("entry_id", "entry_ts", "doc", "topic")
+# About 64 bytes per key-only message row: 2M rows stay well under the
+# default 8 GB broadcast hard limit and far under executor memory.
+BROADCAST_MAX_ROWS = 2_000_000
 
 
 def message_keys(messages: DataFrame) -> DataFrame:
@@ -23,11 +24,17 @@ def message_keys(messages: DataFrame) -> DataFrame:
     return messages.select("entry_id", "entry_ts", doc_identity("id", "entry_id").alias("doc"), "topic")
 
 
-def _join(keys: DataFrame, subs: DataFrame, visible: bool, strategy: str, salts: int,
+#: Messages of one topic and salt that a task joins.
+ROWS_PER_SALT = 100_000
+
+
+def _join(keys: DataFrame, subs: DataFrame, visible: bool, strategy: str, salts: int | None,
           max_rows: int) -> DataFrame:
     subs = subs.select("uid", "topic", "created_ts")
-    if strategy == "auto":
-        strategy = "broadcast" if has_at_most(keys, max_rows) else "salted"
+    if strategy == "auto" or salts is None and strategy == "salted":
+        n = keys.count()
+        strategy = strategy if strategy == "salted" else "broadcast" if n <= max_rows else "salted"
+        salts = salts or n // ROWS_PER_SALT + 1
     if strategy == "broadcast":
         m = F.broadcast(keys.withColumnRenamed("topic", "m_topic"))
         s = subs.repartition("uid")  # join output keeps this partitioning
@@ -50,50 +57,25 @@ def _join(keys: DataFrame, subs: DataFrame, visible: bool, strategy: str, salts:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def fanout_join(messages: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int = 64,
+def fanout_join(messages: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int | None = None,
                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Each message x each subscriber of its topic -> uid, entry_id, entry_ts, doc, topic."""
     return _join(message_keys(messages), subs, False, strategy, salts, max_rows)
 
 
-def fanout_visible(messages: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int = 64,
+def fanout_visible(messages: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int | None = None,
                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """As D1, but only subscribers created at or before the message time get it."""
     return _join(message_keys(messages), subs, True, strategy, salts, max_rows)
 
 
-def fanout_visible_keys(keys: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int = 64,
+def fanout_visible_keys(keys: DataFrame, subs: DataFrame, strategy: str = "auto", salts: int | None = None,
                         max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """D2 over already key-only messages (entry_id, entry_ts, doc, topic)."""
     return _join(keys, subs, True, strategy, salts, max_rows)
 
 
-def dedupe_unseen(deliveries: DataFrame, seen: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """D3: drop deliveries whose document is already in the user's seen set.
-
-    The seen set is partitioned by ``uid`` like the deliveries, so the anti
-    join does not move the (much larger) deliveries."""
-    s = seen.select("uid", F.col("doc_id").alias(doc_col)).repartition("uid").distinct()
-    return deliveries.join(s, ["uid", doc_col], "left_anti")
-
-
 def unsubscribed_topics(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Topics that have messages but no subscriber (read and dropped)."""
     t = messages.select("topic").distinct()
     return t.join(subs.select("topic").distinct(), "topic", "left_anti")
-
-
-def visible_push_counts(messages: DataFrame, subs: DataFrame) -> DataFrame:
-    """Per message: how many subscribers get it (subscribed at or before it),
-    without building the join: a running count of subscriptions over the union
-    of subscriptions and messages per topic in time order (subscriptions first
-    at equal times), summed by ranges so no topic runs in one task.
-    -> entry_id, topic, pushes."""
-    from ..plans.ordering import running_sum
-
-    s = subs.select("topic", F.col("created_ts").cast("timestamp").alias("_t"), F.lit(0).alias("_kind"),
-                    F.lit(None).cast("string").alias("entry_id"), F.lit(1).alias("_one"))
-    m = messages.select("topic", F.col("entry_ts").cast("timestamp").alias("_t"), F.lit(1).alias("_kind"),
-                        "entry_id", F.lit(0).alias("_one"))
-    r = running_sum(s.unionByName(m), ["topic"], ["_t", "_kind", "entry_id"], F.col("_one"), out="pushes")
-    return r.where(F.col("_kind") == 1).select("entry_id", "topic", F.col("pushes").cast("bigint").alias("pushes"))

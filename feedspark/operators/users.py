@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ordering import numbered
 from ..sources.fixtures import topics_array
+from .seen_filter import only_maybe_in
 
 
 def build_subscription_index(users: DataFrame) -> DataFrame:
@@ -66,5 +67,9 @@ def subscribers_lexical(subs: DataFrame) -> DataFrame:
 
 
 def set_add(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Idempotent insert into a set; returns only the members that are new."""
-    return batch.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+    """Idempotent insert into a set; returns only the members that are new.
+
+    Of the existing members only those that may be in the batch (by a Bloom filter of the batch) are shuffled.
+    """
+    new = batch.select(*keys).distinct()
+    return new.join(only_maybe_in(existing.select(*keys), new, keys), keys, "left_anti")

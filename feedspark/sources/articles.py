@@ -102,10 +102,26 @@ def read_topic_log(spark: SparkSession, path: str, topic: str | None = None) ->
     return df if topic is None else df.where(F.col("topic") == topic)
 
 
-def sink_user_feed(feed: DataFrame, path: str) -> None:
-    """One feed table clustered by uid (hash-partitioned, sorted) — consumption
-    is a separate cursor table, so no second copy is written."""
-    feed.repartition("uid").sortWithinPartitions("uid", "pos").write.mode("overwrite").parquet(path)
+#: Buckets of the tables that are read by user. Tables of one number of buckets join without moving a row.
+USER_BUCKETS = 16
+
+
+def write_by_user(df: DataFrame, table: str, order: tuple[str, ...] = (), buckets: int = USER_BUCKETS) -> None:
+    """``df`` as the table ``table``, bucketed by uid and sorted inside the buckets, with Parquet Bloom filters of uid: a
+    read of one user opens one bucket, and in it the files that may hold the user."""
+    w = df.repartition(buckets, "uid").write.mode("overwrite").format("parquet").bucketBy(buckets, "uid").sortBy("uid", *order)
+    w.option("parquet.bloom.filter.enabled#uid", "true").saveAsTable(table)
+
+
+def sink_user_feed(feed: DataFrame, table: str, buckets: int = USER_BUCKETS) -> None:
+    """One feed table bucketed by uid, newest first inside a user; consumption is a separate cursor table, so no
+    second copy is written."""
+    write_by_user(feed, table, ("pos",), buckets)
+
+
+def read_user(spark: SparkSession, table: str, uid: int) -> DataFrame:
+    """The rows of one user, from the one bucket that holds them."""
+    return spark.table(table).where(F.col("uid") == F.lit(uid).cast("bigint"))
 
 
 def write_users(users: DataFrame, path: str) -> None:
@@ -125,6 +141,11 @@ def write_metrics(samples: DataFrame, path: str, kind: str = "counter") -> None:
         .write.mode("append").partitionBy("kind").parquet(path)
 
 
+def index_users(users: DataFrame, table: str, buckets: int = USER_BUCKETS) -> None:
+    """User records as a table for look-ups and joins by uid (the JSON lines are for bulk reads)."""
+    write_by_user(users, table, (), buckets)
+
+
 def scan_metrics(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Metric samples (series, labels, ts, value, kind); ``kind`` prunes partitions."""
     df = spark.read.parquet(path)

@@ -18,6 +18,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="feedspark-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="feedspark-test-warehouse-"))
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          .getOrCreate())

@@ -391,7 +391,8 @@ def test_candidate_window_feed_equals_plain_chain(spark, seed):
 
 
 def test_push_counts_equal_join_counts(spark):
-    from feedspark.operators.fan_out import fanout_visible, visible_push_counts
+    from feedspark.operators.deliveries import visible_push_counts
+    from feedspark.operators.fan_out import fanout_visible
 
     rnd = random.Random(17)
     topics = ["politics", "business", "sports"]

@@ -185,13 +185,38 @@ def test_topic_counts_take_late_files(spark):
     assert sorted((r.window_start.day, r.n) for r in J.latest_counts(spark, sink).collect()) == [(3, 5), (20, 5), (25, 5)]
 
 
+def _log(spark, path, rows):
+    spark.createDataFrame(rows, "entry_id string, entry_ts timestamp, topic string, body string").write.partitionBy("topic").parquet(path)
+
+
+def _held(spark, path):
+    out = {}
+    for r in spark.read.parquet(path).collect():
+        out.setdefault(r["topic"], []).append(r.entry_id)
+    return {k: sorted(v, key=lambda x: int(x.split("-")[0])) for k, v in out.items()}
+
+
 def test_retention_keeps_unread_entries(spark):
-    log, out = scratch_path(spark, "rlog"), scratch_path(spark, "rout")
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(f"{k}-0", t0 + dt.timedelta(hours=k), tp) for tp in ("sports", "health") for k in range(10)]
-    spark.createDataFrame(rows, "entry_id string, entry_ts timestamp, topic string").write.partitionBy("topic").parquet(log)
-    cursors = spark.createDataFrame([("sports", t0 + dt.timedelta(hours=5))], "topic string, cursor_ts timestamp")
-    kept = J.retention_job(spark, log, out, 2, cursors=cursors).groupBy("topic").count().collect()
-    assert {r["topic"]: r["count"] for r in kept} == {"sports": 4, "health": 10}  # 6..9 unread; nobody read health
+    log = scratch_path(spark, "rlog")
+    _log(spark, log, [(f"{k}-0", _day(k), tp, "b") for tp in ("sports", "health", "science") for k in range(10)])
+    cursors = spark.createDataFrame([("sports", _day(5)), ("science", _day(20))], "topic string, cursor_ts timestamp")
+    assert sorted(J.retention_job(spark, log, 2, cursors=cursors)) == ["science", "sports"]
+    got = _held(spark, log)  # 6..9 unread; nobody read health; science is read to its end
+    assert got == {"sports": ["6-0", "7-0", "8-0", "9-0"], "health": [f"{k}-0" for k in range(10)], "science": ["8-0", "9-0"]}
     with pytest.raises(ValueError):
-        J.retention_job(spark, log, out, 2)
+        J.retention_job(spark, log, 2)
+
+
+def test_retention_rewrites_only_topics_that_lose_and_keeps_equal_rows(spark):
+    from pathlib import Path
+
+    log = scratch_path(spark, "eqlog")
+    _log(spark, log, [("1-0", _day(1), "sports", "b")] * 3 + [("2-0", _day(2), "sports", "b")] * 2
+         + [(f"{k}-0", _day(k), "health", "b") for k in range(4)])
+    files = lambda tp: {p.name for p in Path(log.removeprefix("file:")).glob(f"topic={tp}/*.parquet")}
+    before = files("sports")
+    assert J.retention_job(spark, log, 3, keep_unread=False) == ["health"]
+    assert files("sports") == before
+    # of the newest three sports rows one is a 1-0; its equals stay with it
+    assert _held(spark, log) == {"sports": ["1-0"] * 3 + ["2-0"] * 2, "health": ["1-0", "2-0", "3-0"]}
+    assert J.retention_job(spark, log, 3, keep_unread=False) == []  # nothing left to do
