@@ -16,8 +16,12 @@ has not, documents with 4 |N(x)| > |x| must share some of N, too, which leaves o
   use 0: one of the two has 4 |N| > |x|: meet by the rarest of N, (N + |x| / 4) / 2 + 1 of them, the other by N / 2;
   use 1: neither, both not linked to c: by the rarest of D, (|D| + (|x| - |c|) / 9) / 2 of them;
   use 2: neither, one linked to c: as before, the one that is not by (|D| + (|x| + |c|) / 9) / 2 + 1.
-These groups are small, and each is worked off with 1, 4, 16 ... centres until its members are in one component or
-all of them were centres, so within the buckets no link between components is lost and no bucket is capped.
+These groups are small as a rule. Each is worked off with one centre first. What is left of groups of up to ``FEW``
+members is worked off with 4, 16 ... centres until the members are in one component or all of them were centres. What
+is left of larger ones (many copies edited to just about the threshold, whose differences do not tell them apart) is
+cut into tiles, and every two tiles are compared as a whole: the members' differences from their common centre as
+rows of a matrix, one product for all overlaps, of which only a spanning forest of the links leaves the task. So within
+the buckets no link between components is lost, no bucket is capped, and no list of a large group's pairs is made.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from .tables import _ODD, WordHash, mix, sized, stored, window_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 4, 5  # words of a shingle; similarity of at least 4/5
 BINS, ROWS = 128, 4
+#: Members of a group that is worked off by further centres; members of a tile; columns of a product.
+FEW, TILE_ROWS, COLUMNS = 32, 256, 8192
 _WALK = mix(np.arange(BINS * 1024, dtype=np.uint64) + np.uint64(99)).reshape(BINS, 1024) % np.uint64(BINS)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 
@@ -157,7 +163,10 @@ class _State:
             pairs = sized(pairs.distinct().join(self.checked, ["a", "b"], "left_anti"), n)
         pairs = stored(sized(pairs.distinct(), n), "pairs")
         self.checked = pairs if self.checked is None else self.checked.union(pairs)
-        new = stored(sized(confirmed(pairs, self.sets), n), "links")
+        self.join(stored(sized(confirmed(pairs, self.sets), n), "links"), n)
+
+    def join(self, new: DataFrame, n: int) -> None:
+        """Joins the components of the links (a, b), which are stored."""
         if not new.isEmpty():
             # only components that new links join change
             named = self.label.select(F.col("node").alias("a"), F.col("component").alias("x"))
@@ -174,42 +183,127 @@ class _State:
         split = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         return stored(sized(groups.join(sized(split.select("bucket"), n), "bucket", "left_semi"), n), "groups")
 
-    def settle(self, groups: DataFrame) -> None:
+    def settle(self, groups: DataFrame, differences: DataFrame) -> None:
         """Works groups off: a centre that met every member leaves, one component ends a group."""
         groups, centres = self.unresolved(groups), 1
         while not groups.isEmpty():
             chosen = self.star(groups, centres)
             left = chosen.select("bucket", F.col("centre").alias("doc_id"))
             groups, centres = self.unresolved(stored(groups.join(left, ["bucket", "doc_id"], "left_anti"), "groups")), centres * 4
+            if centres == 4 and not groups.isEmpty():
+                sizes = groups.groupBy("bucket").agg(F.count("*").alias("size"))
+                large = sizes.filter(F.col("size") > FEW)
+                self.compare_tiles(groups.join(large, "bucket"), differences)
+                groups = self.unresolved(stored(groups.join(large.select("bucket"), "bucket", "left_anti"), "groups"))
+
+    def compare_tiles(self, groups: DataFrame, differences: DataFrame) -> None:
+        """Compares all members of each group, tile by tile."""
+        n = groups.count()
+        if not n:
+            return
+        # groups with the same members are one
+        alike = groups.groupBy("bucket", "of", "size").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members"))
+        one = alike.groupBy("of", "size", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+        tiles = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+        dealt = (groups.join(one, "bucket", "left_semi").select("bucket", "doc_id", "of", tiles.alias("tiles"))
+                 .withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")))
+        filled = (dealt.join(differences.select(F.col("centre").alias("of"), "doc_id", "n", "diff"), ["of", "doc_id"])
+                  .groupBy("bucket", "tiles", "tile").agg(F.collect_list(F.struct("doc_id", "n", "diff")).alias("rows")))
+        filled = stored(filled, "tiles")
+        met = filled.select("bucket", "tile", "rows", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+        pairs = met.groupBy("bucket", F.least("tile", "with").alias("x"), F.greatest("tile", "with").alias("y")).agg(
+            F.collect_list(F.struct("tile", "rows")).alias("sides"))
+        links = pairs.select("sides").mapInArrow(_tile_links, "a long, b long").distinct()
+        self.join(stored(sized(links, n), "links"), n)
+
+
+def similar(a: list[dict], b: list[dict]) -> np.ndarray:
+    """Which of the documents (n shingles, differences from one centre) are similar: a matrix, a by b.
+
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and 5 |x & y| >= 4 |x | y| is 9 |x ^ y| <= |x| + |y|.
+    """
+    da, db = ([np.frombuffer(r["diff"], np.int64) for r in side] for side in (a, b))
+    shared = np.intersect1d(np.concatenate(da), np.concatenate(db))
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at:at + COLUMNS]
+        sides = []
+        for d in (da, db):
+            m = np.zeros((len(d), len(some)), np.float32)
+            for k, x in enumerate(d):
+                place = np.searchsorted(some, x)
+                place[place == len(some)] = 0
+                m[k, place[some[place] == x]] = 1
+            sides.append(m)
+        overlap += sides[0] @ sides[1].T
+    na, nb = (np.array([r["n"] for r in side], np.int64) for side in (a, b))
+    apart = np.array([len(x) for x in da])[:, None] + np.array([len(x) for x in db])[None, :] - 2 * overlap.astype(np.int64)
+    return (2 * DENOMINATOR - 1) * apart <= na[:, None] + nb[None, :]
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between two tiles, or inside one."""
+    for batch in batches:
+        for sides in batch.column(0).to_pylist():
+            a, b = sides[0]["rows"], sides[-1]["rows"]
+            near, out = similar(a, b), []
+            ids = [r["doc_id"] for r in a] + ([r["doc_id"] for r in b] if len(sides) > 1 else [])
+            label = np.arange(len(ids))
+            for i in range(len(a)):
+                others = np.flatnonzero(near[i]) + (len(a) if len(sides) > 1 else 0)
+                apart, first = np.unique(label[others], return_index=True)
+                apart, first = apart[apart != label[i]], first[apart != label[i]]
+                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others[first].tolist()]
+                label[np.isin(label, apart)] = label[i]
+            cols = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def _delta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles in which a document differs from its centre, and how many of them a similar document must meet."""
+    names = ["centre", "doc_id", "company", "n", "n_new", "in_new", "in_all", "in_far", "kind", "diff"]
     for batch in batches:
+        rows = []
         for centre, doc, weight, own, theirs in zip(*(batch.column(k) for k in range(5)), strict=True):
             x, c = (np.frombuffer(v.as_py(), np.uint64) for v in (own, theirs))
             new, gone = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
             a, n, d = len(new) + len(gone), len(x), len(x) - len(c)
             rich = 4 * len(new) > n
-            numbers = {
-                "in_new": (4 * len(new) + n) // 8 + 1 if rich else len(new) - len(new) // 2,
-                "in_all": 0 if rich else a - (9 * a - d) // 18,
-                "in_far": 0 if rich else (9 * a + n + len(c)) // 18 + 1,
-                "kind": 2 if rich else int(9 * a > n + len(c)),
-            }
-            keys = mix(np.concatenate([new, ~gone]) + mix(np.array([centre.as_py()], np.int64).view(np.uint64))).view(np.int64)
+            numbers = ((4 * len(new) + n) // 8 + 1 if rich else len(new) - len(new) // 2,
+                       0 if rich else a - (9 * a - d) // 18,
+                       0 if rich else (9 * a + n + len(c)) // 18 + 1,
+                       2 if rich else int(9 * a > n + len(c)))
+            keys = mix(np.concatenate([new, ~gone]) + mix(np.array([centre.as_py()], np.int64).view(np.uint64)))
+            rows.append((centre.as_py(), doc.as_py(), weight.as_py(), n, len(new), *numbers, keys.tobytes()))
+        for at in range(0, len(rows), 500):
+            cols = list(zip(*rows[at:at + 500], strict=True))
+            types = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+_DELTA = ("centre long, doc_id long, company long, n long, n_new int, in_new int, in_all int, in_far int, kind int, diff binary")
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of the differences."""
+    names = ["centre", "doc_id", "company", "in_new", "in_all", "in_far", "kind"]
+    for batch in batches:
+        at = {k: batch.column(batch.schema.get_field_index(k)) for k in (*names, "n_new", "diff")}
+        for i in range(batch.num_rows):
+            keys = np.frombuffer(at["diff"][i].as_py(), np.int64)
+            new = np.arange(len(keys)) < at["n_new"][i].as_py()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.arange(a) < len(new)), *(pa.array(np.full(a, v.as_py())) for v in (centre, doc, weight)),
-                 *(pa.array(np.full(a, v, np.int32)) for v in numbers.values())],
-                names=["element", "is_new", "centre", "doc_id", "company", *numbers])
+                [pa.array(keys), pa.array(new), *(pa.array(np.full(len(keys), at[k][i].as_py()), at[k].type) for k in names)],
+                names=["element", "is_new", *names])
 
 
-_DELTA = ("element long, is_new boolean, centre long, doc_id long, company long, "
-          "in_new int, in_all int, in_far int, kind int")
+_ELEMENTS = ("element long, is_new boolean, centre long, doc_id long, company long, "
+             "in_new int, in_all int, in_far int, kind int")
 
 
-def _differences(state: _State, centres: DataFrame, groups: DataFrame) -> DataFrame:
-    """Groups (bucket, doc_id, company) of members that differ from a common centre in the same shingle.
+def _differences(state: _State, centres: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (bucket, doc_id, company, of) of members that differ from a common centre ``of`` in the same shingle, and
+    the differences (centre, doc_id, n, diff).
 
     The members of a bucket are all set against one centre: of the centres that any of them met, the one with the
     most company. Those that did not meet it are compared with it first.
@@ -225,7 +319,9 @@ def _differences(state: _State, centres: DataFrame, groups: DataFrame) -> DataFr
     state.compare(pairs.filter(~F.col("met")).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")), n)
     both = (pairs.join(state.sets.select("doc_id", F.col("shingles").alias("own")), "doc_id")
             .join(state.sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("theirs")), "centre"))
-    rows = stored(both.select("centre", "doc_id", "company", "own", "theirs").mapInArrow(_delta, _DELTA).distinct(), "differences")
+    found = stored(both.select("centre", "doc_id", "company", "own", "theirs").mapInArrow(_delta, _DELTA), "differences")
+    rows = stored(found.select("centre", "doc_id", "company", "n_new", "in_new", "in_all", "in_far", "kind", "diff")
+                  .mapInArrow(_elements, _ELEMENTS).distinct(), "elements")
     often = rows.groupBy("element").agg(F.count("*").alias("often"))
     by = [F.col("often"), F.col("element")]
     ranked = (rows.join(often, "element")
@@ -237,11 +333,11 @@ def _differences(state: _State, centres: DataFrame, groups: DataFrame) -> DataFr
         F.when((F.col("kind") == 1) & (F.col("place") <= F.col("in_all")), F.lit(1)),
         F.when(F.col("place") <= F.when(F.col("kind") == 1, F.col("in_far")).otherwise(F.col("in_all")), F.lit(2))),
         lambda u: u.isNotNull())
-    dealt = stored(ranked.select(F.explode(uses).alias("use"), "element", "doc_id", "company", "kind")
-                   .select(F.xxhash64("use", "element").alias("bucket"), "use", "doc_id", "company", "kind"), "differences")
+    dealt = stored(ranked.select(F.explode(uses).alias("use"), "element", "doc_id", "company", "kind", "centre")
+                   .select(F.xxhash64("use", "element").alias("bucket"), "use", "doc_id", "company", "kind", F.col("centre").alias("of")), "dealt")
     worth = dealt.groupBy("bucket", "use").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).filter(
         (F.col("n") > 1) & F.when(F.col("use") == 0, F.col("high") == 2).when(F.col("use") == 2, F.col("low") < F.col("high")).otherwise(True))
-    return stored(dealt.join(worth.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", "company").distinct(), "differences")
+    return stored(dealt.join(worth.select("bucket"), "bucket", "left_semi").select("bucket", "doc_id", "company", "of").distinct(), "groups"), found
 
 
 def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -275,7 +371,7 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = state.star(left, 1)
     mixed = state.unresolved(left)
     if not mixed.isEmpty():
-        state.settle(_differences(state, first, mixed))
+        state.settle(*_differences(state, first, mixed))
     # labels are stars already: with the copies of each set they make the whole graph
     whole = components(links.union(state.label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return (table.select("doc_id", "n_shingles")
