@@ -41,6 +41,20 @@ def q_rate(t):
     return _rates(t).select("series", F.to_date("t").alias("t"), F.round("rate", 9).alias("rate"))
 
 
+@register("rate_extrapolated", with_views("""
+SELECT series, CAST(t AS DATE) AS t, round(up * (span + least(CASE WHEN a < 1.1 * span / (n - 1) THEN a ELSE span / (n - 1) / 2 END,
+    CASE WHEN up > 0 AND v >= 0 THEN span * v / up END) + CASE WHEN z < 1.1 * span / (n - 1) THEN z ELSE span / (n - 1) / 2 END)
+  / span / 21600.0e0, 9) AS rate
+FROM (SELECT series, t, count(*) AS n, sum(CASE WHEN pv IS NULL THEN 0 WHEN value >= pv THEN value - pv ELSE value END) AS up,
+    (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE AS span, (epoch_us(min(ts)) - epoch_us(t - INTERVAL 6 HOUR))::DOUBLE AS a,
+    (epoch_us(t) - epoch_us(max(ts)))::DOUBLE AS z, arg_min(value, (ts, value)) AS v FROM j GROUP BY series, t) g
+WHERE n >= 2 AND span > 0""", "counter_samples", extra=RATE_SQL))
+def q_rate_extrapolated(t):
+    """H1 with the edges of the range extrapolated."""
+    r = MX.extrapolated_rate(fx.counter_samples(t), "6 hours", "1 day")
+    return r.select("series", F.to_date("t").alias("t"), F.round("rate", 9).alias("rate"))
+
+
 @register("sum_rate_1m", with_views(
     "SELECT CAST(t AS DATE) AS t, round(sum(rate), 9) AS rate FROM rt GROUP BY t", "counter_samples", extra=RATE_SQL))
 def q_sum_rate(t):

@@ -18,10 +18,8 @@ RAW_LOG_CAP = 5000           # raw article log keeps the newest 5000 (exact)
 TOPIC_LOG_CAP = 10000        # per-topic log cap
 FEED_CAP = 100               # per-user feed cap
 SEEN_TTL_SECONDS = 24 * 3600  # life of one user's seen set
-FANOUT_POLL = 64             # messages read per topic per poll
 POP_RATE = 0.05              # reader pops per user per second
 MAX_READER_RPS = 200.0       # reader rate cap
-FEED_BACKLOG = 100           # default backlog of a feed read
 TOPIC_BACKLOG = 50           # default backlog of a topic read
 DEFAULT_TOPIC = "unknown"    # producer label when an article has no topic
 NO_TITLE = "[no-title]"      # title shown when a message has none

@@ -152,3 +152,25 @@ def test_panels_of_few_metrics_and_missing_samples(spark):
     got = {(r.t - T0).seconds: (r.speed, r.now, r.gone) for r in pipeline_overview(
         df, {"rate": "1 minute", "last": "30 seconds", "irate": "1 minute"}, "1 minute", panels).collect()}
     assert got == {60: (6 / 60 - 1 / 60 + 8 / 60, 80.0, None), 120: (4 / 60, None, None)}
+
+
+def stretched(x, t, range_s):
+    """The extrapolated increase of the samples ``x`` (time, value) of a range that ends at ``t``."""
+    span = (x[-1][0] - x[0][0]).total_seconds()
+    if span == 0:
+        return None
+    up, mean = increase([v for _, v in x]), span / (len(x) - 1)
+    to_start, to_end = range_s - (t - x[0][0]).total_seconds(), (t - x[-1][0]).total_seconds()
+    to_start, to_end = (g if g < 1.1 * mean else mean / 2 for g in (to_start, to_end))
+    if up > 0:
+        to_start = min(to_start, span * x[0][1] / up)
+    return up * (span + to_start + to_end) / span
+
+
+@pytest.mark.parametrize(("range_", "step"), RANGES)
+def test_extrapolated_rates(spark, range_, step):
+    rows, r = sampled(11), MX.seconds(range_)
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value long").repartition(4)
+    want = {k: y / r for k, x in inside(rows, r, MX.seconds(step)).items() if len(x) > 1 and (y := stretched(x, k[1], r)) is not None}
+    got = {(x.series, x.t): x.rate for x in MX.extrapolated_rate(df, range_, step).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
