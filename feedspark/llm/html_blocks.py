@@ -12,7 +12,8 @@ BLOCK_TAGS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section "
     "select summary table tbody td textarea tfoot th thead tr ul label".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style title noscript template svg math iframe object canvas".split())
+#: Their content is no text of the page. Without an end tag only what stands before the next tag is left out.
+SKIPPED_TAGS = frozenset("script style title template".split())
 #: A start tag in the first set ends an open element of the second, unless one of the third lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -89,7 +90,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
         if tag in SKIPPED_TAGS:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                at = end.end() if end else (html.find("<", at) if "<" in html[at:] else len(html))
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
