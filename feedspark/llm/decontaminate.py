@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ class BareWordHash(WordHash):
         return h
 
 
+@lru_cache(1)
+def worker_hash() -> BareWordHash:
+    """The hashes of this Python worker: both passes and all its tasks remember the same words."""
+    return BareWordHash(700_000)
+
+
 def best_alignments(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman score of every pair (a[i], b[i]) with a linear gap cost, and where it ends in b[i]."""
     rows, width = max(map(len, a)), max(map(len, b))
@@ -172,7 +179,7 @@ class Seeds:
 
 def _word_counter(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, counts, total = BareWordHash(), np.zeros(len(vocabulary), np.int64), 0
+        word_hash, counts, total = worker_hash(), np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for text in batch.column(0):
                 words = word_hash.of(text.as_py())
@@ -200,7 +207,7 @@ def rare_seeds(items: list[np.ndarray], docs: DataFrame, min_score: float = MIN_
 
 def _searcher(seeds_of, item_ids: list[int], min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, word_hash = seeds_of.value, BareWordHash()
+        seeds, word_hash = seeds_of.value, worker_hash()
         for batch in batches:
             pairs, where = [], []
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
