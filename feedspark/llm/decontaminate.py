@@ -14,7 +14,7 @@ streams past, is never shuffled, and only hits come back.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import WordHash, stored, window_hashes
+from .tables import WordHash, stored
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
@@ -35,26 +35,56 @@ _SIEVE = 22
 SCHEMA = "doc_id long, row_key long, item_id long, score double, doc_start long, doc_end long"
 
 
+def bare(word: bytes) -> bytes:
+    """A word without punctuation at its ends; a word of punctuation only stays as it is."""
+    return word.strip(_PUNCTUATION) or word
+
+
 class BareWordHash(WordHash):
     """Hash of a word without punctuation at its ends; a word of punctuation only stays as it is."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.strip(_PUNCTUATION) or word)
+        h = self[word] = xxhash.xxh64_intdigest(bare(word))
         return h
 
 
+class WordCodes(dict):
+    """Numbers of words (bytes, as they stand in a text): 1, 2, ... for those of the test items, 0 for all others; what was
+    looked up is remembered, up to ``limit`` words."""
+
+    def __init__(self, vocabulary: dict[bytes, int], limit: int = 700_000):
+        super().__init__()
+        self.vocabulary, self.limit = vocabulary, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        code = self[word] = self.vocabulary.get(bare(word), 0)
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Numbers of the words of a text, A-Z lower-cased."""
+        words = words_in(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 @lru_cache(1)
-def worker_hash() -> BareWordHash:
-    """The hashes of this Python worker: both passes and all its tasks remember the same words."""
-    return BareWordHash(700_000)
+def worker_codes(block: str, vocabulary) -> WordCodes:
+    """The numbers of this Python worker for a block of items (a broadcast dictionary): both passes and all tasks of the
+    worker remember the same words."""
+    return WordCodes(vocabulary.value)
 
 
 def best_alignments(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman score of every pair (a[i], b[i]) with a linear gap cost, and where it ends in b[i]."""
     rows, width = max(map(len, a)), max(map(len, b))
-    x, y = np.zeros((len(a), rows), np.uint64), np.zeros((len(b), width), np.uint64)
+    x, y = np.zeros((len(a), rows), np.int64), np.zeros((len(b), width), np.int64)
     inside_x, inside_y = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
     for i, (p, q) in enumerate(zip(a, b, strict=True)):
         x[i, :len(p)], inside_x[i, :len(p)], y[i, :len(q)], inside_y[i, :len(q)] = p, True, q, True
@@ -131,37 +161,44 @@ def chosen_seeds(log_p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Seeds:
-    """Seeds of a block of test items, for look-up by n-gram hash."""
+    """Seeds of a block of test items (arrays of word numbers, from 1 on), for look-up by word and by pair of words."""
 
     def __init__(self, items: list[np.ndarray], chosen: list[tuple[np.ndarray, np.ndarray]],
                  min_score: float = MIN_SCORE):
         self.items = items
         self.least = [least_score(len(item), min_score) for item in items]
-        by_length = defaultdict(list)
-        for k, (item, uses) in enumerate(zip(items, chosen, strict=True)):
-            for n, use in enumerate(uses, 1):
-                grams = window_hashes(item, n)
-                by_length[n] += [(int(grams[j]), k, int(j)) for j in np.flatnonzero(use)]
-        self.tables = []
-        for n, rows in by_length.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            sieve = np.zeros(1 << _SIEVE, bool)
-            sieve[keys >> np.uint64(64 - _SIEVE)] = True
-            self.tables.append((n, keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), sieve))
+        self.size = max((int(item.max()) for item in items if len(item)), default=0) + 1
+        rows: dict[int, list[tuple[int, int, int]]] = {1: [], 2: []}
+        for k, (item, (words, pairs)) in enumerate(zip(items, chosen, strict=True)):
+            rows[1] += [(int(item[j]), k, int(j)) for j in np.flatnonzero(words)]
+            rows[2] += [(int(item[j]) * self.size + int(item[j + 1]), k, int(j)) for j in np.flatnonzero(pairs)]
+        self.tables = {n: [np.array(c, np.int64) for c in zip(*sorted(x), strict=True)] if x else [np.empty(0, np.int64)] * 3
+                       for n, x in rows.items()}
+        self.is_seed = np.zeros(self.size, bool)
+        self.is_seed[self.tables[1][0]] = True
+        self.begins = np.zeros(self.size, bool)  # words that begin a seed pair
+        self.begins[self.tables[2][0] // self.size] = True
+        self.sieve = np.zeros(1 << _SIEVE, bool)
+        self.sieve[self._sifted(self.tables[2][0])] = True
+
+    @staticmethod
+    def _sifted(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)
 
     def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to) of the passages around seed hits; those of an item do not overlap."""
         found = []
-        for n, keys, item, place, sieve in self.tables:
-            grams = window_hashes(words, n)
-            at = np.flatnonzero(sieve[grams >> np.uint64(64 - _SIEVE)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(keys, grams[at]), np.searchsorted(keys, grams[at], "right")
+        single = np.flatnonzero(self.is_seed[words])
+        double = np.flatnonzero(self.begins[words[:-1]])
+        pairs = words[double] * self.size + words[double + 1]
+        some = np.flatnonzero(self.sieve[self._sifted(pairs)])
+        for n, at, grams in ((1, single, words[single]), (2, double[some], pairs[some])):
+            keys, item, place = self.tables[n]
+            lo, hi = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
             count = hi - lo
-            hit = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            found.append(np.column_stack([item[hit], np.repeat(at, count) - place[hit]]))
+            if count.any():
+                hit = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                found.append(np.column_stack([item[hit], np.repeat(at, count) - place[hit]]))
         if not found:
             return []
         hits = np.unique(np.concatenate(found), axis=0)
@@ -177,42 +214,37 @@ class Seeds:
         return out
 
 
-def _word_counter(vocabulary: np.ndarray):
+def _word_counter(block: str, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, counts, total = worker_hash(), np.zeros(len(vocabulary), np.int64), 0
+        codes, counts = worker_codes(block, vocabulary), np.zeros(len(vocabulary.value) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                words = word_hash.of(text.as_py())
-                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-                counts += np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary))
-                total += len(words)
+                counts += np.bincount(codes.of(text.as_py()), minlength=len(counts))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))],
-                                         names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
     return run
 
 
-def rare_seeds(items: list[np.ndarray], docs: DataFrame, min_score: float = MIN_SCORE) -> list[tuple[np.ndarray, np.ndarray]]:
+def rare_seeds(items: list[np.ndarray], docs: DataFrame, block: str, vocabulary, min_score: float = MIN_SCORE
+               ) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every item, its seed words and seed pairs, the rare ones by the word counts of all documents first."""
-    vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *items]))
-    rows = (docs.select("text").mapInArrow(_word_counter(vocabulary), "at long, n long")
+    rows = (docs.select("text").mapInArrow(_word_counter(block, vocabulary), "at long, n long")
             .groupBy("at").agg(F.sum("n").alias("n")).collect())  # a row per word of the block at most
-    counts = {r["at"]: r["n"] for r in rows}
-    total = max(1, counts.pop(-1, 0))
-    log_p = np.full(len(vocabulary), -np.log(total))
-    for at, n in counts.items():
-        log_p[at] = np.log(max(n, 1) / total)
-    return [chosen_seeds(log_p[np.searchsorted(vocabulary, item)], least_score(len(item), min_score)) for item in items]
+    total = max(1, sum(r["n"] for r in rows))
+    log_p = np.full(len(vocabulary.value) + 1, -np.log(total))
+    for r in rows:
+        log_p[r["at"]] = np.log(max(r["n"], 1) / total)
+    return [chosen_seeds(log_p[item], least_score(len(item), min_score)) for item in items]
 
 
-def _searcher(seeds_of, item_ids: list[int], min_score: float):
+def _searcher(seeds_of, item_ids: list[int], min_score: float, block: str, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, word_hash = seeds_of.value, worker_hash()
+        seeds, codes = seeds_of.value, worker_codes(block, vocabulary)
         for batch in batches:
             pairs, where = [], []
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for i, text in enumerate(batch.column(2)):
-                words = word_hash.of(text.as_py())
+                words = codes.of(text.as_py())
                 for k, lo, hi in seeds.passages(words):
                     pairs.append((k, words[lo:hi].copy()))
                     where.append((i, lo))
@@ -255,14 +287,15 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
     for b in range(blocks):
         rows = (benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
                 .select(F.col("item_id").cast("long"), "text").collect())  # about block_chars characters
-        word_hash = BareWordHash()
-        items = [(r["item_id"], word_hash.of(r["text"])) for r in rows]
-        items = [(i, w) for i, w in items if len(w)]
+        items = [(r["item_id"], [bare(w) for w in words_in(r["text"])]) for r in rows]
+        items = [(i, words) for i, words in items if words]
         if not items:
             continue
-        hashes = [w for _, w in items]
-        seeds = spark.sparkContext.broadcast(Seeds(hashes, rare_seeds(hashes, corpus, min_score), min_score))
-        out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score), SCHEMA))
+        numbers = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}), 1)}
+        block, vocabulary = uuid.uuid4().hex, spark.sparkContext.broadcast(numbers)  # as large as the block
+        coded = [np.array([numbers[w] for w in words], np.int64) for _, words in items]
+        seeds = spark.sparkContext.broadcast(Seeds(coded, rare_seeds(coded, corpus, block, vocabulary, min_score), min_score))
+        out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score, block, vocabulary), SCHEMA))
     return out
 
 
