@@ -185,6 +185,11 @@ class Seeds:
     def _sifted(pairs: np.ndarray) -> np.ndarray:
         return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)
 
+    def may_reach(self, k: int, passage: np.ndarray) -> bool:
+        """Whether enough words of the item and of the passage occur in the other one for the score asked for."""
+        item = self.items[k]
+        return MATCH * min(np.isin(passage, item).sum(), np.isin(item, passage).sum()) >= self.least[k]
+
     def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to) of the passages around seed hits; those of an item do not overlap."""
         found = []
@@ -246,8 +251,9 @@ def _searcher(seeds_of, item_ids: list[int], min_score: float, block: str, vocab
             for i, text in enumerate(batch.column(2)):
                 words = codes.of(text.as_py())
                 for k, lo, hi in seeds.passages(words):
-                    pairs.append((k, words[lo:hi].copy()))
-                    where.append((i, lo))
+                    if seeds.may_reach(k, words[lo:hi]):
+                        pairs.append((k, words[lo:hi].copy()))
+                        where.append((i, lo))
             rows = []
             while pairs:  # the best of every passage, then of what lies before and after it
                 keep = [(k, passage, i, lo, score, end) for (k, passage), (i, lo), (score, end)
@@ -260,7 +266,7 @@ def _searcher(seeds_of, item_ids: list[int], min_score: float, block: str, vocab
                 for (k, passage, i, lo, score, end), (_, back) in zip(keep, starts, strict=True):
                     rows.append((*keys[i], item_ids[k], score / (MATCH * len(seeds.items[k])), lo + end - back, lo + end))
                     for part, at in ((passage[:end - back], lo), (passage[end:], lo + end)):
-                        if len(part) and MATCH * len(part) >= seeds.least[k]:
+                        if len(part) and seeds.may_reach(k, part):
                             pairs.append((k, part))
                             where.append((i, at))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
