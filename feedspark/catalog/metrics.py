@@ -81,8 +81,9 @@ EVERY_SQL = """st AS (SELECT unnest(generate_series(date_trunc('day', min(ts)),
    INTERVAL 6 HOUR)) AS t FROM events)"""
 
 #: Quantiles of bucket increases ``up`` (by ``by``, k, le, cum).
-QUANTILE_SQL = """ub AS (SELECT *, lag(le, 1, 0.0) OVER w AS lo, lag(cum, 1, 0.0) OVER w AS prev, max(cum) OVER (PARTITION BY {by}) AS total
-   FROM up WINDOW w AS (PARTITION BY {by} ORDER BY k)),
+QUANTILE_SQL = """um AS (SELECT * REPLACE (max(cum) OVER (PARTITION BY {by} ORDER BY k) AS cum) FROM up),
+ ub AS (SELECT *, lag(le, 1, 0.0) OVER w AS lo, lag(cum, 1, 0.0) OVER w AS prev, max(cum) OVER (PARTITION BY {by}) AS total
+   FROM um WINDOW w AS (PARTITION BY {by} ORDER BY k)),
  uq AS (SELECT {by}, q, arg_min(struct_pack(le := le, lo := lo, prev := prev, cum := cum, total := total), k) AS b
    FROM ub, (SELECT unnest([0.5::DOUBLE, 0.99::DOUBLE]) AS q) qs WHERE cum >= q * total AND total > 0 GROUP BY {by}, q),
  qv AS (SELECT {by}, q, CASE WHEN b.le = 'inf'::DOUBLE THEN b.lo WHEN b.cum > b.prev

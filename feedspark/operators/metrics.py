@@ -183,11 +183,16 @@ def irate(samples: DataFrame, range_: str = "6 hours", step: str = "1 day", key:
 # --- H4 --------------------------------------------------------------------------------
 def quantile_in(cum: Column, q: float, bounds=LATENCY_BOUNDS) -> Column:
     """Quantile from cumulative bucket counts (an array, the last one for +Inf): first bucket that reaches q * total, then
-    linear interpolation inside it (lower bound 0 for the first one); the last finite bound for a rank in +Inf."""
+    linear interpolation inside it (lower bound 0 for the first one); the last finite bound for a rank in +Inf.
+
+    Counts that fall from a bucket to the next are raised to it: a reset that a bucket's own counter does not show,
+    because it has counted as much again, leaves such increases."""
+    given = cum
+    cum = F.transform(given, lambda _, i: F.array_max(F.slice(given, 1, i + 1)))
     edges = F.array(*(F.lit(float(b)) for b in (0.0, *bounds)))
     total = F.element_at(cum, -1)
     rank = F.lit(float(q)) * total
-    k = F.size(F.filter(cum, lambda c: c < rank))  # counts do not fall from bucket to bucket
+    k = F.size(F.filter(cum, lambda c: c < rank))
     low, prev, here = F.get(edges, k), F.coalesce(F.get(cum, k - 1), F.lit(0)), F.get(cum, k)
     inside = F.when(here > prev, low + (F.get(edges, k + 1) - low) * (rank - prev) / (here - prev)).otherwise(low)
     return F.when(total > 0, F.when(k >= len(bounds), F.lit(float(bounds[-1]))).otherwise(inside))

@@ -102,6 +102,7 @@ def bucket_rows(seed, n=150):
 
 
 def quantile(cum, q):
+    cum = [max(cum[:k + 1]) for k in range(len(cum))]
     if cum[-1] == 0:
         return None
     k = next(i for i, c in enumerate(cum) if c >= q * cum[-1])
@@ -174,3 +175,12 @@ def test_extrapolated_rates(spark, range_, step):
     want = {k: y / r for k, x in inside(rows, r, MX.seconds(step)).items() if len(x) > 1 and (y := stretched(x, k[1], r)) is not None}
     got = {(x.series, x.t): x.rate for x in MX.extrapolated_rate(df, range_, step).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_buckets_that_hide_a_reset(spark):
+    """(1, 1, 1) after (0, 2, 2): the first bucket grew by 1, the others show no reset of their own but the last ones do."""
+    n = len(LATENCY_BOUNDS) + 1
+    rows = [("a", T0 + dt.timedelta(seconds=s), [first] + [rest] * (n - 1)) for s, first, rest in ((10, 0, 1), (20, 1, 1), (30, 1, 2))]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, counts array<long>")
+    got = {(r.t - T0).seconds: r.value for r in MX.range_quantiles(df, (1.0,), "15 seconds", "10 seconds").collect()}
+    assert got[20] == LATENCY_BOUNDS[0]  # increases (1, 0, 0, ...): one observation in the first bucket
