@@ -34,6 +34,7 @@ TEMPLATES = (4096, 2048, 8192, 2048)
 ROWS = sum(TEMPLATES)
 ROUNDS, RATE, SMOOTH = 4, 0.3, 10.0
 BATCH_TOKENS, TASK_TOKENS, BLOCKS = 20_000, 2_000_000, 16
+CACHED = 1000  # tokens whose class distributions stay in a core's cache while they are made
 HELD_OUT_MOD, HELD_OUT = 7, 2
 END = xxhash.xxh64_intdigest(b"\x00end of text")  # no word holds this byte sequence by itself
 
@@ -259,17 +260,30 @@ def features(ranks: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Natural log of the class distribution of every token."""
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Sums of the weights of every token's features, the greatest of a token moved to 0."""
     z = weights[rows[0]]
     for f in rows[1:]:
         z += weights[f]
     z += bias
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def class_logs(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Natural log of the class distribution of every token."""
+    z = _logits(weights, bias, rows)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def target_logs(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """``class_logs`` of one class per token only."""
+    z = _logits(weights, bias, rows)
+    of = z[np.arange(len(z)), target]
+    return of - np.log(np.exp(z, out=z).sum(1))
+
+
 def _batches(batches: Iterator[pa.RecordBatch], column: int, limit: int):
     """Texts of about ``limit`` tokens at a time: (arrow rows, ranks end to end, begins); a longer text comes in one."""
     plain = zstandard.ZstdDecompressor()
@@ -284,7 +298,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, limit: int):
                 lo, held, total = k + 1, [], 0
 
 
-def _pieces(n: int, size: int = BATCH_TOKENS) -> Iterator[slice]:
+def _pieces(n: int, size: int) -> Iterator[slice]:
     for lo in range(0, n, size):
         yield slice(lo, min(n, lo + size))
 
@@ -294,18 +308,24 @@ def _gradient(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, class_of = model.value
         c = weights.shape[1]
-        seen, expected = np.zeros(ROWS * c), np.zeros(ROWS * c)
-        classes, ends = np.arange(c), np.cumsum(TEMPLATES).tolist()
+        seen, expected = np.zeros(ROWS * c), np.zeros((c, ROWS))  # expected: a class at a time over the features of a template
+        p, ends = np.empty((c, BATCH_TOKENS)), np.cumsum(TEMPLATES).tolist()
         ranges = list(zip([0, *ends[:-1]], ends, strict=True))
         for _, ranks, begins in _batches(batches, 0, BATCH_TOKENS):
             target, rows = class_of[ranks], features(ranks, begins)
-            for part in _pieces(len(ranks)):
-                p = np.exp(class_logs(weights, bias, [f[part] for f in rows])).ravel()
-                for f, (lo, hi) in zip(rows, ranges, strict=True):
-                    cell = (f[part] - lo) * c
-                    seen[lo * c:hi * c] += np.bincount(cell + target[part], minlength=(hi - lo) * c)
-                    expected[lo * c:hi * c] += np.bincount((cell[:, None] + classes).ravel(), p, (hi - lo) * c)
-        both = np.concatenate([seen, expected]).astype(np.float32)
+            for f in rows:
+                np.add.at(seen, f * c + target, 1.0)
+            for part in _pieces(len(ranks), BATCH_TOKENS):
+                here = [f[part] for f in rows]
+                n = len(here[0])
+                for few in _pieces(n, CACHED):
+                    z = class_logs(weights, bias, [f[few] for f in here])
+                    p[:, few] = np.exp(z, out=z).T
+                for f, (lo, hi) in zip(here, ranges, strict=True):
+                    at = f - lo
+                    for k in range(c):
+                        expected[k, lo:hi] += np.bincount(at, p[k, :n], hi - lo)
+        both = np.concatenate([seen, expected.T.ravel()]).astype(np.float32)
         out = list(_blocks(both, len(both)))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())],
                                          names=["block", "payload"])
@@ -319,9 +339,8 @@ def _scorer(model):
         for batch, ranks, begins in _batches(batches, 4, BATCH_TOKENS):
             target, rows = class_of[ranks], features(ranks, begins)
             logs = np.empty(len(ranks))
-            for part in _pieces(len(ranks)):
-                z = class_logs(weights, bias, [f[part] for f in rows])
-                logs[part] = z[np.arange(len(z)), target[part]] * log10
+            for part in _pieces(len(ranks), CACHED):
+                logs[part] = target_logs(weights, bias, [f[part] for f in rows], target[part]) * log10
             logs += in_class[ranks]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(4)), pa.array(np.add.reduceat(logs, begins)),

@@ -6,9 +6,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -342,7 +345,10 @@ def test_class_distribution_sums_to_one():
     rng = np.random.default_rng(1)
     weights, bias = rng.normal(size=(maxent_lm.ROWS, 7)).astype(np.float32), rng.normal(size=7).astype(np.float32)
     rows_ = maxent_lm.features(rng.integers(0, 9000, 500).astype(np.uint32), np.array([0, 1, 120]))
-    assert np.exp(maxent_lm.class_logs(weights, bias, rows_)).sum(1) == pytest.approx(np.ones(500), rel=1e-4)
+    logs = maxent_lm.class_logs(weights, bias, rows_)
+    assert np.exp(logs).sum(1) == pytest.approx(np.ones(500), rel=1e-4)
+    target = rng.integers(0, 7, 500)
+    assert np.array_equal(maxent_lm.target_logs(weights, bias, rows_, target), logs[np.arange(500), target])
     counts = np.sort(rng.integers(1, 1000, 800))[::-1].astype(float)
     near = rng.integers(0, 4, maxent_lm.CLUSTERED * maxent_lm.ANCHORS).astype(float)
     classes = maxent_lm.word_classes(counts, near, 30)
@@ -352,6 +358,34 @@ def test_class_distribution_sums_to_one():
     assert np.bincount(classes[:-1], inside)[: classes.max()] == pytest.approx(1)
 
 
+def test_gradient_counts_equal_a_plain_sum(monkeypatch):
+    """Observed and expected counts of a task against one token, feature and class at a time."""
+    monkeypatch.setattr(maxent_lm, "BATCH_TOKENS", 40)
+    monkeypatch.setattr(maxent_lm, "CACHED", 16)
+    rng = np.random.default_rng(4)
+    c, texts = 5, [rng.integers(0, 30, n).astype(np.uint32) for n in (1, 90, 25, 3)]
+    weights, bias = rng.normal(size=(maxent_lm.ROWS, c)).astype(np.float32), rng.normal(size=c).astype(np.float32)
+    class_of = rng.integers(0, c, 31)
+    packed = [zstandard.ZstdCompressor().compress(t.tobytes()) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["ranks"])
+    size = 2 * maxent_lm.ROWS * c
+    got = np.zeros(size)
+    for sent in maxent_lm._gradient(SimpleNamespace(value=(weights, bias, class_of)))(iter([batch])):
+        for k, payload in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), "f4")
+            got[k * size // maxent_lm.BLOCKS:(k + 1) * size // maxent_lm.BLOCKS] = part
+    seen, expected = np.zeros((maxent_lm.ROWS, c)), np.zeros((maxent_lm.ROWS, c))
+    for t in texts:
+        found = maxent_lm.features(t, np.array([0]))
+        for i, word in enumerate(t):
+            z = sum(weights[f[i]] for f in found) + bias
+            for f in found:
+                seen[f[i], class_of[word]] += 1
+                expected[f[i]] += np.exp(z) / np.exp(z).sum()
+    assert np.array_equal(got[:size // 2].reshape(-1, c), seen)
+    assert got[size // 2:].reshape(-1, c) == pytest.approx(expected, rel=1e-4, abs=1e-5)
+
+
 def test_a_large_vocabulary_has_all_classes():
     rng = np.random.default_rng(3)
     counts = np.sort(rng.zipf(1.3, maxent_lm.CLUSTERED + 5000).clip(max=10 ** 6))[::-1].astype(float)
