@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..oracle import with_views
-from ..operators.dedup import anchored_ttl_epochs, first_seen_dedup
+from ..operators.dedup import anchored_ttl_epochs, epochs_in_ranges, first_seen_dedup, time_edges, timeline_in_ranges
 from ..operators.deliveries import Deliveries
 from ..operators.fan_out import fanout_join, fanout_visible, message_keys, unsubscribed_topics
 from ..plans.feed import feed_with_payload, user_feed, visible_top_n
@@ -52,6 +52,19 @@ def q_user_feed_bounded(t):
     return f.select("uid", "doc", "pos")
 
 
+@register("user_feed_continued", feed_oracle("SELECT uid, doc, pos FROM f WHERE pos<=100"))
+def q_user_feed_continued(t):
+    """The flagship as a daily job: the lives of three quarters of the time are walked range by range and stored; the
+    feed goes on from them and walks the times of the last quarter only."""
+    articles, subs = fx.articles(t), fx.subscriptions(t)
+    times = message_keys(articles).select("topic", "entry_ts")
+    us = F.unix_micros("entry_ts")
+    edges = time_edges(times, us, 4)
+    until = edges[-2]
+    lives = timeline_in_ranges(times.where(us < until), subs, 3)
+    return user_feed(articles, subs, n=100, lives=lives, lives_until_us=until).select("uid", "doc", "pos")
+
+
 @register("feed_with_payload", feed_oracle("""
 SELECT f.uid, f.pos, f.entry_id, f.doc, a.title, a.topic, length(a.text) AS body_chars, md5(a.text) AS body_md5
 FROM f JOIN articles a ON f.entry_id = a.entry_id WHERE f.pos <= 100"""))
@@ -141,6 +154,13 @@ def q_anchored_ttl_epochs(t):
     return anchored_ttl_epochs(fx.attempts(t))
 
 
+@register("epochs_in_ranges", with_views(
+    "SELECT uid, anchor FROM r", "attempts", recursive=True, extra=EPOCHS_SQL.format(src="attempts")))
+def q_epochs_in_ranges(t):
+    """F4 in four time ranges: each goes on from the last life of every user before it, as a daily job does."""
+    return epochs_in_ranges(fx.attempts(t), 4)
+
+
 @register("first_seen_dedup", with_views("""
 SELECT uid, ts, event_id, doc_id, tag, epoch FROM (
   SELECT x.*, row_number() OVER (PARTITION BY uid, epoch, doc_id ORDER BY ts, event_id) rn

@@ -17,13 +17,21 @@ top-N are Spark windows on the same ``uid`` partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import MICROS_PER_SECOND, SEEN_TTL_SECONDS
 from ..functions.messages import log_order
+from ..session import scratch_path
+
+
+#: Users of a block of the timeline walk: 8 bytes per user and topic are held by its task.
+BLOCK_USERS = 200_000
 
 
 def _anchor_walker(ttl_us: int):
@@ -72,12 +80,26 @@ def _anchor_walker(ttl_us: int):
 
 
 def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
-                  ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
-    """(uid, anchor_us): one row per seen-set life, from a sorted walk per uid partition."""
+                  ttl_seconds: int = SEEN_TTL_SECONDS, carried: DataFrame | None = None) -> DataFrame:
+    """(uid, anchor_us): one row per seen-set life, from a sorted walk per uid partition.
+
+    ``carried`` (uid, anchor_us): lives known from earlier; the walk of a user goes on from the last of them, and only
+    new lives are returned. An anchor is an attempt itself, so that is the walk over the whole history; attempts
+    before a carried anchor cannot open a life any more.
+    """
     enc = attempts.select(
         F.col(uid_col).cast("long").alias("_uid"),
         F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_ts_us"),
     )
+    if carried is not None:
+        known = last_lives(carried.withColumnRenamed(uid_col, "uid")).select("uid", "anchor_us")
+        enc = enc.withColumn("_from", F.lit(None).cast("long")).unionByName(
+            known.select(F.col("uid").cast("long").alias("_uid"), F.col("anchor_us").alias("_ts_us"), F.col("anchor_us").alias("_from")))
+        since = F.max("_from").over(Window.partitionBy("_uid"))
+        enc = enc.withColumn("_since", since).where("_since IS NULL OR _ts_us >= _since").select("_uid", "_ts_us", "_since")
+        walked = (enc.repartition("_uid").sortWithinPartitions("_uid", "_ts_us").select("_uid", "_ts_us")
+                  .mapInPandas(_anchor_walker(int(ttl_seconds) * MICROS_PER_SECOND), "uid long, anchor_us long"))
+        return walked.join(known, ["uid", "anchor_us"], "left_anti").withColumnRenamed("uid", uid_col)
     return (
         enc.repartition("_uid")  # dropped by the planner when already partitioned by uid
         .sortWithinPartitions("_uid", "_ts_us")
@@ -87,13 +109,67 @@ def epoch_anchors(attempts: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
     )
 
 
-#: Users of a block of the timeline walk: 8 bytes per user and topic are held by its task.
-BLOCK_USERS = 200_000
+def last_lives(anchors: DataFrame) -> DataFrame:
+    """(uid, anchor_us) of each user's last life: all that a later walk has to know of the history."""
+    return anchors.groupBy("uid").agg(F.max("anchor_us").alias("anchor_us"))
+
+
+def lives_in_ranges(spark: SparkSession, edges_us: list[int], walk: Callable[[int, int, DataFrame | None], DataFrame]) -> DataFrame:
+    """(uid, anchor_us) of a history taken in time ranges, as a daily job does.
+
+    ``walk(lo, hi, carried)`` returns the new lives of the times in [lo, hi), going on from the last lives ``carried``.
+    Each range is written to the shared folder; the next one reads its own times and a row per user, so no task sees
+    a user's whole history or all times, and a lost executor costs a range at most. ``edges_us``: rising, at
+    least two. Equal to one walk over [first edge, last edge).
+    """
+    carried, parts = None, []
+    for lo, hi in zip(edges_us[:-1], edges_us[1:], strict=True):
+        path = scratch_path(spark, "lives")
+        walk(lo, hi, carried).select("uid", "anchor_us").write.parquet(path)
+        parts.append(spark.read.schema("uid long, anchor_us long").parquet(path))
+        last = parts[-1] if carried is None else carried.unionByName(parts[-1])
+        kept = scratch_path(spark, "last-lives")
+        last_lives(last).write.parquet(kept)
+        carried = spark.read.schema("uid long, anchor_us long").parquet(kept)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def time_edges(times: DataFrame, us: Column, ranges: int) -> list[int]:
+    """Edges of ``ranges`` equally long ranges over all times; [0, 0] if there are none."""
+    lo, hi = times.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        return [0, 0]
+    return sorted({lo + (hi + 1 - lo) * k // ranges for k in range(ranges + 1)})
+
+
+def epochs_in_ranges(attempts: DataFrame, ranges: int, uid_col: str = "uid", ts_col: str = "ts",
+                     ttl_seconds: int = SEEN_TTL_SECONDS) -> DataFrame:
+    """F4 over ``ranges`` time ranges, each going on from the lives before it."""
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+
+    def walk(lo: int, hi: int, carried: DataFrame | None) -> DataFrame:
+        part = attempts.where((us >= lo) & (us < hi)).select(F.col(uid_col).alias("uid"), F.col(ts_col).alias("ts"))
+        return epoch_anchors(part, "uid", "ts", ttl_seconds, carried)
+
+    e = lives_in_ranges(attempts.sparkSession, time_edges(attempts, us, ranges), walk)
+    return e.select(F.col("uid").alias(uid_col), F.timestamp_micros("anchor_us").alias("anchor"))
+
+
+def timeline_in_ranges(message_times: DataFrame, subs: DataFrame, ranges: int, ttl_seconds: int = SEEN_TTL_SECONDS,
+                       block_users: int = BLOCK_USERS) -> DataFrame:
+    """``timeline_anchors`` over ``ranges`` time ranges: a block's task reads the times of one range."""
+    us = F.unix_micros(F.col("entry_ts").cast("timestamp"))
+
+    def walk(lo: int, hi: int, carried: DataFrame | None) -> DataFrame:
+        part = message_times.where((us >= lo) & (us < hi))
+        return timeline_anchors(part, subs, ttl_seconds, block_users=block_users, carried=carried)
+
+    return lives_in_ranges(subs.sparkSession, time_edges(message_times, us, ranges), walk)
 
 
 def _block_walker(ttl_us: int, floor_us: int):
-    """mapInPandas body. Rows come sorted by block: first its subscriptions (kind 0), then the message times
-    (kind 1) in order. Of a user only the time from which the next life can start is carried along."""
+    """mapInPandas body. Rows come sorted by block: first when the next life of a user can start, if known (kind -1),
+    then its subscriptions (kind 0), then the message times (kind 1) in order. Of a user only the time from which the next life can start is carried along."""
     never = np.iinfo(np.int64).max // 4
 
     def walk(batches):
@@ -102,16 +178,19 @@ def _block_walker(ttl_us: int, floor_us: int):
             for _, part in pdf.groupby("block", sort=False):
                 if part["block"].iloc[0] != block:
                     block, held, state = part["block"].iloc[0], [], None
-                subs, times = part[part["kind"] == 0], part[part["kind"] == 1]
+                subs, times = part[part["kind"] < 1], part[part["kind"] == 1]
                 if len(subs):
                     held.append(subs)
                 if not len(times) or not held:
                     continue
                 if state is None:
-                    users = pd.concat(held).groupby(["uid", "topic"])["us"].min().unstack()
+                    all_held = pd.concat(held)
+                    users = all_held[all_held["kind"] == 0].groupby(["uid", "topic"])["us"].min().unstack()
                     start = users.fillna(never).to_numpy(dtype=np.int64)
-                    state = (users.index.to_numpy(dtype=np.int64), {t: k for k, t in enumerate(users.columns)}, start,
-                             np.full(len(users), -never, dtype=np.int64))
+                    due, known = np.full(len(users), -never, dtype=np.int64), all_held[all_held["kind"] == -1]
+                    at = users.index.get_indexer(known["uid"])
+                    due[at[at >= 0]] = known["us"].to_numpy(dtype=np.int64)[at >= 0]
+                    state = (users.index.to_numpy(dtype=np.int64), {t: k for k, t in enumerate(users.columns)}, start, due)
                 uid, column, start, due = state
                 lines = [(column[t], g["us"].to_numpy(dtype=np.int64)) for t, g in times.groupby("topic") if t in column]
                 live = np.arange(len(uid))
@@ -129,28 +208,37 @@ def _block_walker(ttl_us: int, floor_us: int):
 
 
 def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
-                     emit_from_us: int | None = None, block_users: int = BLOCK_USERS) -> DataFrame:
+                     emit_from_us: int | None = None, block_users: int = BLOCK_USERS,
+                     carried: DataFrame | None = None) -> DataFrame:
     """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
 
     A user's attempt times are the message times of each subscribed topic from that subscription's creation on.
     Users are dealt into blocks; every block gets all distinct (topic, time) rows once, sorted, and walks its users
     along them, batch by batch, with one ``searchsorted`` per topic and life. Rows moved: times x blocks, not
     messages x users; memory: one block of users and one batch of times. ``emit_from_us`` drops older anchors
-    from the output (the walk itself always starts at each user's first attempt).
+    from the output (the walk itself always starts at each user's first attempt). ``carried`` (uid, anchor_us): lives
+    known from earlier; ``message_times`` then need to hold only the times after those that they came from, and only
+    new lives are returned.
     """
     n_users = subs.agg(F.approx_count_distinct("uid")).first()[0]
     parallel = subs.sparkSession.sparkContext.defaultParallelism
     blocks = max(n_users // block_users + 1, min(parallel, n_users // 1000 + 1))
     none = F.lit(None).cast("long")
-    users = subs.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
+    users = subs.select(F.pmod(F.xxhash64(F.col("uid").cast("long")), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
                         F.col("uid").cast("long").alias("uid"), "topic",
                         F.unix_micros(F.col("created_ts").cast("timestamp")).alias("us"))
+    ttl_us = int(ttl_seconds) * MICROS_PER_SECOND
+    if carried is not None:
+        uid = F.col("uid").cast("long")
+        users = users.unionByName(last_lives(carried.select(uid.alias("uid"), "anchor_us")).select(
+            F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"), F.lit(-1).alias("kind"), "uid",
+            F.lit(None).cast("string").alias("topic"), (F.col("anchor_us") + ttl_us).alias("us")))
     times = message_times.select("topic", F.unix_micros(F.col("entry_ts").cast("timestamp")).alias("us")).distinct()
     times = times.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
                          none.alias("uid"), "topic", "us")
     floor_us = -(1 << 62) if emit_from_us is None else int(emit_from_us)
     return (users.unionByName(times).repartition("block").sortWithinPartitions("block", "kind", "us")
-            .mapInPandas(_block_walker(int(ttl_seconds) * MICROS_PER_SECOND, floor_us), "uid long, anchor_us long"))
+            .mapInPandas(_block_walker(ttl_us, floor_us), "uid long, anchor_us long"))
 
 
 def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",

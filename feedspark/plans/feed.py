@@ -74,7 +74,7 @@ def feed_candidates(keys: DataFrame, n: int = FEED_CAP, ttl_seconds: int = SEEN_
 
 def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
               ttl_seconds: int = SEEN_TTL_SECONDS, bounded: str | bool = "auto",
-              strategy: str = "auto") -> DataFrame:
+              strategy: str = "auto", lives: DataFrame | None = None, lives_until_us: int | None = None) -> DataFrame:
     """-> uid, pos, entry_id, doc, ts (pos 1 = newest).
 
     ``bounded="auto"`` (default, exact for any input): only ``feed_candidates``
@@ -84,6 +84,8 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     user. Epoch anchors come from the topic timelines of *all* messages (``timeline_anchors``).
     ``bounded=True`` takes the no-dedup bounded plan if no document repeats (checked), else the default;
     ``bounded=False`` forces the plain exact chain D2 -> F4 -> F3 -> F1.
+    ``lives`` (uid, anchor_us): stored lives of all messages before ``lives_until_us`` (``timeline_in_ranges``, or the
+    run before, with the same subscriptions as far as they are older); only later message times are walked then.
     """
     keys = message_keys(messages)
     if bounded is True and keys.groupBy("doc").count().where("count > 1").isEmpty():
@@ -106,7 +108,13 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
         return feed_top_n(sure, n, ("ts", "entry_id"))
     att = fanout_visible_keys(dedup_msgs, subscriptions, strategy).withColumnRenamed("entry_ts", "ts")
     from_us = int(lo.timestamp() * 1_000_000) - int(ttl_seconds) * MICROS_PER_SECOND  # older lives hold none
-    anchors = timeline_anchors(keys.select("topic", "entry_ts"), subscriptions, ttl_seconds, emit_from_us=from_us)
+    times = keys.select("topic", "entry_ts")
+    if lives is None:
+        anchors = timeline_anchors(times, subscriptions, ttl_seconds, emit_from_us=from_us)
+    else:
+        later = times.where(F.unix_micros("entry_ts") >= lives_until_us)
+        new = timeline_anchors(later, subscriptions, ttl_seconds, emit_from_us=from_us, carried=lives)
+        anchors = lives.select("uid", "anchor_us").where(F.col("anchor_us") >= from_us).unionByName(new)
     kept = first_seen_dedup(att, "doc", "uid", "ts", ("entry_id",), ttl_seconds, anchors=anchors)
     return feed_top_n(sure.unionByName(kept.select(*cols)), n, ("ts", "entry_id"))
 

@@ -298,6 +298,51 @@ def test_latency_buckets_cumulative(spark):
     assert h[0.00005] == 1 and h[0.005] == 2 and h[1.0] == 2 and h[float("inf")] == 3
 
 
+# --- lives in time ranges = lives of one walk -------------------------------------------------
+@pytest.mark.parametrize("ranges", [1, 3, 12])
+def test_epochs_in_ranges_equal_one_walk(spark, ranges):
+    """One user with most rows, silent users, equal times, ranges shorter than a life; the edges cut lives."""
+    from feedspark.operators.dedup import epochs_in_ranges
+
+    draw = random.Random(ranges)
+    rows = [(1, T0 + dt.timedelta(seconds=draw.randrange(9 * 86400))) for _ in range(900)]
+    rows += [(draw.randrange(2, 30), T0 + H * draw.randrange(9 * 24)) for _ in range(250)]
+    att = spark.createDataFrame(rows + rows[:20], "uid long, ts timestamp")
+    whole = sorted(tuple(r) for r in anchored_ttl_epochs(att).collect())
+    assert sorted(tuple(r) for r in epochs_in_ranges(att, ranges).collect()) == whole
+    assert epochs_in_ranges(att.limit(0), ranges).count() == 0
+
+
+def test_attempts_before_a_carried_life_open_none(spark):
+    from feedspark.operators.dedup import epoch_anchors
+
+    us = lambda h: int((T0 + H * h).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    att = spark.createDataFrame([(1, T0 + H * h) for h in (2, 30, 33, 34, 60)] + [(2, T0 + H * 5)], "uid long, ts timestamp")
+    known = spark.createDataFrame([(1, us(-40)), (1, us(10)), (3, us(1))], "uid long, anchor_us long")
+    got = {tuple(r) for r in epoch_anchors(att, carried=known).collect()}
+    assert got == {(1, us(34)), (1, us(60)), (2, us(5))}  # 2 is older, 30 and 33 lie in the carried life
+
+
+@pytest.mark.parametrize("ranges", [2, 6])
+def test_timeline_and_feed_in_ranges_equal_one_walk(spark, ranges):
+    from feedspark.operators.dedup import time_edges, timeline_anchors, timeline_in_ranges
+    from feedspark.plans.feed import user_feed
+
+    draw = random.Random(30 + ranges)
+    topics = ["sports", "health", "politics"]
+    m = spark.createDataFrame([(f"{k}-0", T0 + H * draw.randrange(400), str(draw.randrange(60)), draw.choice(topics)) for k in range(300)],
+                              "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame([(u, T0 + H * draw.randrange(380), tp) for u in range(40) for tp in draw.sample([*topics, "science"], 2)],
+                              "uid long, created_ts timestamp, topic string")
+    times, us = m.select("topic", "entry_ts"), F.unix_micros("entry_ts")
+    whole = {tuple(r) for r in timeline_anchors(times, s, block_users=7).collect()}
+    assert {tuple(r) for r in timeline_in_ranges(times, s, ranges, block_users=7).collect()} == whole and len(whole) > 100
+    until = time_edges(times, us, ranges)[-2]
+    lives = timeline_in_ranges(times.where(us < until), s, ranges)
+    feed = lambda **k: sorted(tuple(r) for r in user_feed(m, s, n=20, **k).collect())
+    assert feed(lives=lives, lives_until_us=until) == feed(bounded=False)
+
+
 # --- timeline anchors = anchors walked over the attempts --------------------------------------
 def test_timeline_anchors_equal_attempt_walk(spark):
     from feedspark.operators.dedup import epoch_anchors, timeline_anchors
