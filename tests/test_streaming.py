@@ -220,3 +220,21 @@ def test_retention_rewrites_only_topics_that_lose_and_keeps_equal_rows(spark):
     # of the newest three sports rows one is a 1-0; its equals stay with it
     assert _held(spark, log) == {"sports": ["1-0"] * 3 + ["2-0"] * 2, "health": ["1-0", "2-0", "3-0"]}
     assert J.retention_job(spark, log, 3, keep_unread=False) == []  # nothing left to do
+
+
+def test_feed_state_has_every_user(spark, tmp_path):
+    """stream_feed_state keeps a feed for each user of the events, however many there are."""
+    import duckdb
+
+    from feedspark.catalog import load_all
+
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * k), k % 70, "view", 1.0, f'{{"k": {k % 11}}}') for k in range(350)]
+    path = str(tmp_path / "events.parquet")
+    (spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+     .coalesce(1).write.parquet(path))
+    entry = load_all()["stream_feed_state"]
+    got = sorted(map(tuple, entry.build(spark, str(tmp_path)).select("uid", "event_id", "doc_id", "pos").collect()))
+    assert {r[0] for r in got} == set(range(70))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT uid, event_id, doc_id, pos FROM ({entry.oracle}) q").fetchall())
