@@ -179,3 +179,19 @@ def test_feed_files_hold_bloom_filters_of_the_user(spark):
 def test_range_of_deliveries(spark):
     lo, hi = load_all()["unseen_in_range"].build(spark, SF).agg(F.min("entry_ts"), F.max("entry_ts")).first()
     assert lo is not None and dt.datetime(2024, 1, 3) <= lo <= hi < dt.datetime(2024, 1, 5)
+
+
+def test_few_subscriptions_with_many_deliveries_lie_in_many_tasks(spark, monkeypatch):
+    from feedspark.operators import fan_out
+
+    messages, subs, _ = _world(6)
+    m = spark.createDataFrame(messages, "entry_id string, entry_ts timestamp, id string, topic string")
+    s = spark.createDataFrame(subs, "uid long, topic string, created_ts timestamp")
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(fanout_visible(m, s)) == 1
+    monkeypatch.setattr(fan_out, "ROWS_PER_TASK", 10)
+    out = fanout_visible(m, s)
+    assert sorted(map(tuple, out.collect())) == _brute(messages, subs, [])
+    assert tasks(out) > 3
+    seen = spark.createDataFrame([(subs[0][0], messages[0][2])], "uid long, doc_id string")
+    assert tasks(Deliveries.of(m, s).unseen(seen).expand()) > 3
