@@ -8,7 +8,7 @@ from ..oracle import with_views
 from ..operators.dedup import anchored_ttl_epochs, epochs_in_ranges, first_seen_dedup, time_edges, timeline_in_ranges
 from ..operators.deliveries import Deliveries
 from ..operators.fan_out import fanout_join, fanout_visible, message_keys, unsubscribed_topics
-from ..plans.feed import feed_with_payload, user_feed, visible_top_n
+from ..plans.feed import feed_candidates, feed_with_payload, lives_needed_from, user_feed, visible_top_n
 from ..sources import fixtures as fx
 from . import register
 
@@ -54,14 +54,15 @@ def q_user_feed_bounded(t):
 
 @register("user_feed_continued", feed_oracle("SELECT uid, doc, pos FROM f WHERE pos<=100"))
 def q_user_feed_continued(t):
-    """The flagship as a daily job: the lives of three quarters of the time are walked range by range and stored; the
-    feed goes on from them and walks the times of the last quarter only."""
+    """The flagship as a daily job: the lives of three quarters of the time are walked range by range, and those that a
+    later feed can need are stored; the feed goes on from them and walks the times of the last quarter only."""
     articles, subs = fx.articles(t), fx.subscriptions(t)
     times = message_keys(articles).select("topic", "entry_ts")
     us = F.unix_micros("entry_ts")
     edges = time_edges(times, us, 4)
     until = edges[-2]
-    lives = timeline_in_ranges(times.where(us < until), subs, 3)
+    since = lives_needed_from(articles.where(us < until), until, 100)
+    lives = timeline_in_ranges(times.where(us < until), subs, 3, emit_from_us=since)
     return user_feed(articles, subs, n=100, lives=lives, lives_until_us=until).select("uid", "doc", "pos")
 
 

@@ -156,27 +156,58 @@ def epochs_in_ranges(attempts: DataFrame, ranges: int, uid_col: str = "uid", ts_
 
 
 def timeline_in_ranges(message_times: DataFrame, subs: DataFrame, ranges: int, ttl_seconds: int = SEEN_TTL_SECONDS,
-                       block_users: int = BLOCK_USERS) -> DataFrame:
-    """``timeline_anchors`` over ``ranges`` time ranges: a block's task reads the times of one range."""
+                       block_users: int = BLOCK_USERS, emit_from_us: int | None = None) -> DataFrame:
+    """``timeline_anchors`` over ``ranges`` time ranges: a block's task reads the times of one range. With ``emit_from_us``
+    only lives from then on are stored, and of older ones each user's last of a range, from which the next goes on."""
     us = F.unix_micros(F.col("entry_ts").cast("timestamp"))
 
     def walk(lo: int, hi: int, carried: DataFrame | None) -> DataFrame:
         part = message_times.where((us >= lo) & (us < hi))
-        return timeline_anchors(part, subs, ttl_seconds, block_users=block_users, carried=carried)
+        return timeline_anchors(part, subs, ttl_seconds, emit_from_us, block_users, carried, newest=emit_from_us is not None)
 
     return lives_in_ranges(subs.sparkSession, time_edges(message_times, us, ranges), walk)
 
 
-def _block_walker(ttl_us: int, floor_us: int):
+def _block_walker(ttl_us: int, floor_us: int, newest: bool = False):
     """mapInPandas body. Rows come sorted by block: first when the next life of a user can start, if known (kind -1),
-    then its subscriptions (kind 0), then the message times (kind 1) in order. Of a user only the time from which the next life can start is carried along."""
+    then its subscriptions (kind 0), then the message times (kind 1) in order. Of a user only the time from which the next life can start is carried along.
+
+    Users whose subscriptions have all begun and who have the same topics and the same next start go on alike: one of them
+    walks for all. So the steps are lives x (topic sets x phases), not lives x users. ``newest``: also each user's
+    last new life, if that is before ``floor_us``."""
     never = np.iinfo(np.int64).max // 4
 
+    def merged(walkers: np.ndarray, topic_set: np.ndarray, due: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """``walkers`` without those that have the topics and the next start of another one, which walks for them from now on."""
+        order = np.lexsort((due[walkers], topic_set[walkers]))
+        w = walkers[order]
+        first = np.r_[True, (due[w[1:]] != due[w[:-1]]) | (topic_set[w[1:]] != topic_set[w[:-1]])][:w.size]
+        if first.all():
+            return walkers
+        parent[w] = w[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        return w[first]
+
+    def walkers_of(parent: np.ndarray) -> np.ndarray:
+        """The walker of each user."""
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                return up
+            parent = up
+
+    def last(state):
+        uid, _, _, due, known_due, _, _, parent, _ = state
+        end = due[walkers_of(parent)]
+        left = (end > known_due) & (end - ttl_us < floor_us)
+        return pd.DataFrame({"uid": uid[left], "anchor_us": end[left] - ttl_us})
+
     def walk(batches):
         block, held, state = None, [], None
         for pdf in batches:
             for _, part in pdf.groupby("block", sort=False):
                 if part["block"].iloc[0] != block:
+                    if newest and state is not None:
+                        yield last(state)
                     block, held, state = part["block"].iloc[0], [], None
                 subs, times = part[part["kind"] < 1], part[part["kind"] == 1]
                 if len(subs):
@@ -190,10 +221,16 @@ def _block_walker(ttl_us: int, floor_us: int):
                     due, known = np.full(len(users), -never, dtype=np.int64), all_held[all_held["kind"] == -1]
                     at = users.index.get_indexer(known["uid"])
                     due[at[at >= 0]] = known["us"].to_numpy(dtype=np.int64)[at >= 0]
-                    state = (users.index.to_numpy(dtype=np.int64), {t: k for k, t in enumerate(users.columns)}, start, due)
-                uid, column, start, due = state
+                    has = start < never
+                    _, topic_set = np.unique(np.packbits(has, axis=1), axis=0, return_inverse=True)
+                    settled = np.where(has, start, -never).max(axis=1, initial=-never)
+                    state = (users.index.to_numpy(dtype=np.int64), {t: k for k, t in enumerate(users.columns)}, start, due,
+                             due.copy(), topic_set.reshape(-1), settled, np.arange(len(users)), np.arange(len(users)))
+                uid, column, start, due, known_due, topic_set, settled, parent, walkers = state
+                ready = due[walkers] >= settled[walkers]
+                walkers = np.r_[merged(walkers[ready], topic_set, due, parent), walkers[~ready]]
                 lines = [(column[t], g["us"].to_numpy(dtype=np.int64)) for t, g in times.groupby("topic") if t in column]
-                live = np.arange(len(uid))
+                live, of = walkers, None
                 while live.size and lines:
                     best = np.full(live.size, never, dtype=np.int64)
                     for k, line in lines:
@@ -202,21 +239,34 @@ def _block_walker(ttl_us: int, floor_us: int):
                     live, best = live[best < never], best[best < never]
                     due[live] = best + ttl_us
                     emit = best >= floor_us
-                    yield pd.DataFrame({"uid": uid[live][emit], "anchor_us": best[emit]})
+                    if emit.any():
+                        of = walkers_of(parent) if of is None else of
+                        anchor = np.full(len(uid), never, dtype=np.int64)
+                        anchor[live[emit]] = best[emit]
+                        anchor = anchor[of]
+                        yield pd.DataFrame({"uid": uid[anchor < never], "anchor_us": anchor[anchor < never]})
+                    ready = due[live] >= settled[live]
+                    one = merged(live[ready], topic_set, due, parent)
+                    if one.size < np.count_nonzero(ready):
+                        live, of = np.r_[one, live[~ready]], None
+                state = (*state[:-1], walkers[parent[walkers] == walkers])
+        if newest and state is not None:
+            yield last(state)
 
     return walk
 
 
 def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int = SEEN_TTL_SECONDS,
                      emit_from_us: int | None = None, block_users: int = BLOCK_USERS,
-                     carried: DataFrame | None = None) -> DataFrame:
+                     carried: DataFrame | None = None, newest: bool = False) -> DataFrame:
     """(uid, anchor_us) of the fan-out attempts, computed without the attempts.
 
     A user's attempt times are the message times of each subscribed topic from that subscription's creation on.
     Users are dealt into blocks; every block gets all distinct (topic, time) rows once, sorted, and walks its users
-    along them, batch by batch, with one ``searchsorted`` per topic and life. Rows moved: times x blocks, not
+    along them, batch by batch, with one ``searchsorted`` per topic and life, and one walk for all users that go on alike.
+    Rows moved: times x blocks, not
     messages x users; memory: one block of users and one batch of times. ``emit_from_us`` drops older anchors
-    from the output (the walk itself always starts at each user's first attempt). ``carried`` (uid, anchor_us): lives
+    from the output (the walk itself always starts at each user's first attempt), with ``newest`` all but each user's last. ``carried`` (uid, anchor_us): lives
     known from earlier; ``message_times`` then need to hold only the times after those that they came from, and only
     new lives are returned.
     """
@@ -238,7 +288,7 @@ def timeline_anchors(message_times: DataFrame, subs: DataFrame, ttl_seconds: int
                          none.alias("uid"), "topic", "us")
     floor_us = -(1 << 62) if emit_from_us is None else int(emit_from_us)
     return (users.unionByName(times).repartition("block").sortWithinPartitions("block", "kind", "us")
-            .mapInPandas(_block_walker(ttl_us, floor_us), "uid long, anchor_us long"))
+            .mapInPandas(_block_walker(ttl_us, floor_us, newest), "uid long, anchor_us long"))
 
 
 def assign_epochs(df: DataFrame, uid_col: str = "uid", ts_col: str = "ts",
