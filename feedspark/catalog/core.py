@@ -72,9 +72,11 @@ FROM f JOIN articles a ON f.entry_id = a.entry_id WHERE f.pos <= 100"""))
 def q_feed_with_payload(t):
     """The flagship feed with its content: title and topic, and the body's length and digest."""
     a = fx.articles(t)
-    f = feed_with_payload(user_feed(a, fx.subscriptions(t), n=100), a)
-    return f.select("uid", "pos", "entry_id", "doc", "title", "topic", F.length("text").cast("bigint").alias("body_chars"),
-                    F.md5("text").alias("body_md5"))
+    in_reach = feed_candidates(message_keys(a), 100).checkpoint()
+    bodies = a.select("entry_id", "title", "topic", F.length("text").cast("bigint").alias("body_chars"), F.md5("text").alias("body_md5"))
+    f = feed_with_payload(user_feed(a, fx.subscriptions(t), n=100, candidates=in_reach), bodies,
+                          ("title", "topic", "body_chars", "body_md5"), in_reach)
+    return f.select("uid", "pos", "entry_id", "doc", "title", "topic", "body_chars", "body_md5")
 
 
 # --- joins ---------------------------------------------------------------------

@@ -89,7 +89,8 @@ def lives_needed_from(history: DataFrame, until_us: int, n: int = FEED_CAP, ttl_
 
 def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
               ttl_seconds: int = SEEN_TTL_SECONDS, bounded: str | bool = "auto",
-              strategy: str = "auto", lives: DataFrame | None = None, lives_until_us: int | None = None) -> DataFrame:
+              strategy: str = "auto", lives: DataFrame | None = None, lives_until_us: int | None = None,
+              candidates: DataFrame | None = None) -> DataFrame:
     """-> uid, pos, entry_id, doc, ts (pos 1 = newest).
 
     ``bounded="auto"`` (default, exact for any input): only ``feed_candidates``
@@ -115,7 +116,7 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     # shared checkpoint folder (spark.checkpoint.dir) and cut the lineage
     checkpoint_dir(messages.sparkSession)
     keys = keys.checkpoint()
-    cand = feed_candidates(keys, n, ttl_seconds).checkpoint()
+    cand = feed_candidates(keys, n, ttl_seconds).checkpoint() if candidates is None else candidates
     cols = ["uid", "entry_id", "doc", "ts"]
     sure = fanout_visible_keys(cand.where(~F.col("needs_dedup")).drop("needs_dedup"), subscriptions, strategy)
     sure = sure.withColumnRenamed("entry_ts", "ts").select(*cols)
@@ -136,7 +137,23 @@ def user_feed(messages: DataFrame, subscriptions: DataFrame, n: int = FEED_CAP,
     return feed_top_n(sure.unionByName(kept.select(*cols)), n, ("ts", "entry_id"))
 
 
-def feed_with_payload(feed: DataFrame, messages: DataFrame) -> DataFrame:
-    """Late payload join: title and body only for the rows that survived."""
-    payload = messages.select("entry_id", "title", "text", "topic")
-    return feed.join(payload, "entry_id")
+#: Size up to which the payload of the messages in reach is broadcast.
+PAYLOAD_MAX_BYTES = 64 << 20
+
+
+def feed_with_payload(feed: DataFrame, messages: DataFrame, columns: tuple[str, ...] = ("title", "text", "topic"),
+                      reach: DataFrame | None = None, max_bytes: int = PAYLOAD_MAX_BYTES) -> DataFrame:
+    """Late payload join: ``columns`` (title and body) only for the rows that survived.
+
+    ``reach`` (entry_id): messages that hold all entries of the feed (``feed_candidates``). A user's entry is one of few
+    messages, so their payload is stored and, if it is small, broadcast: the feed does not move, and nothing that is
+    derived from a body is computed once per reader.
+    """
+    payload = messages.select("entry_id", *columns)
+    if reach is None:
+        return feed.join(payload, "entry_id")
+    checkpoint_dir(messages.sparkSession)
+    payload = payload.join(reach.select("entry_id").distinct(), "entry_id", "left_semi").checkpoint()
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in payload.columns), F.lit(32 * len(payload.columns)))
+    size = payload.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return feed.join(F.broadcast(payload) if size <= max_bytes else payload, "entry_id")

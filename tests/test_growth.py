@@ -104,3 +104,23 @@ def test_few_lives_are_stored_of_a_long_history(spark):
     since = lives_needed_from(m.where(us < until), until, 20)
     lives = D.timeline_in_ranges(m.where(us < until).select("topic", "entry_ts"), s, 3, emit_from_us=since)
     assert lives.count() < 50 * 20 < D.timeline_anchors(m.where(us < until).select("topic", "entry_ts"), s).count()
+
+
+# --- payload ---------------------------------------------------------------------------------------
+def test_payload_of_the_messages_in_reach(spark):
+    rows = [(f"{k}-0", T0 + H * k, str(k), "sports", f"t{k}", "x" * k) for k in range(300)] + [("299-0", T0, "299", "sports", "again", None)]
+    m = spark.createDataFrame(rows, "entry_id string, entry_ts timestamp, id string, topic string, title string, text string")
+    s = spark.range(9).select(F.col("id").alias("uid"), F.lit(T0).alias("created_ts"), F.lit("sports").alias("topic"))
+    reach = feed_candidates(message_keys(m), 10).checkpoint()
+    feed = user_feed(m, s, n=10, candidates=reach).checkpoint()
+    want = sorted(map(repr, feed_with_payload(feed, m).collect()))
+    near = feed_with_payload(feed, m, reach=reach)
+    assert sorted(map(repr, near.collect())) == want and len(want) > 90
+    assert sorted(map(repr, feed_with_payload(feed, m, reach=reach, max_bytes=0).collect())) == want
+    assert "ResolvedHint (strategy=broadcast)" in near._jdf.queryExecution().analyzed().toString()
+
+
+def test_bodies_are_digested_once_an_article(spark):
+    """The query's plan reads stored digests; it made one for every row of every feed."""
+    plan = load_all()["feed_with_payload"].build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "text#" not in plan
