@@ -124,3 +124,20 @@ def test_bodies_are_digested_once_an_article(spark):
     """The query's plan reads stored digests; it made one for every row of every feed."""
     plan = load_all()["feed_with_payload"].build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5(" not in plan and "text#" not in plan
+
+
+# --- tails --------------------------------------------------------------------------------------------
+def test_tails_of_bounded_logs(spark):
+    draw = random.Random(3)
+    log = [(draw.choice([1, 2, 3, None]), f"{draw.randrange(50)}-{draw.randrange(12)}") for _ in range(200)] + [(2, "bad"), (2, None)]
+    d = spark.createDataFrame(log, "uid long, entry_id string")
+    c = spark.createDataFrame([(1, "20-3"), (2, "0-0"), (None, "1-1")], "uid long, cursor string")
+    plain = sorted(map(tuple, FD.tail_after_cursor(d, c, ["uid"]).collect()))
+    assert sorted(map(tuple, FD.tail_after_cursor(d, c, ["uid"], bounded=True).collect())) == plain and len(plain) > 60
+
+
+def test_user_tails_write_no_ranges(spark):
+    scratch = Path(checkpoint_dir(spark).removeprefix("file:")) / "feedspark-scratch"
+    before = set(scratch.glob("ranges-*"))
+    load_all()["user_tail_after_cursor"].build(spark, SF).count()
+    assert set(scratch.glob("ranges-*")) == before
