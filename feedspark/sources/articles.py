@@ -78,6 +78,24 @@ def clean_text(c: Column) -> Column:
     return strip_text(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """``df.orderBy(order).limit(n)``, rows that are equal in ``order`` in any choice, without the rows of all tasks in one.
+
+    The last key is found on the keys alone; rows up to it are then read where they lie. Only of rows that are equal to
+    it, and of these only if not all of them belong to the ``n``, a limit takes some.
+    """
+    key = F.col(order)
+    rows, last = df.select(order).orderBy(order).limit(n).agg(F.count("*"), F.max(key)).first()
+    if rows < n:
+        return df.orderBy(order)
+    at = key.isNull() if last is None else key == F.lit(last)  # NULLs come first
+    before = F.lit(False) if last is None else key.isNull() | (key < F.lit(last))
+    n_before, n_at = df.select(order).agg(F.count_if(before), F.count_if(at)).first()
+    if n_before + n_at == n:
+        return df.where(before | at).orderBy(order)
+    return df.where(before).unionByName(df.where(at).limit(n - n_before)).orderBy(order)
+
+
 def clean_articles(df: DataFrame, n: int | None = None, order: str = "id_order") -> DataFrame:
     """A3: clean id/title/text; with ``n`` keep the first ``n`` rows in source order."""
     out = df.select(
@@ -87,7 +105,7 @@ def clean_articles(df: DataFrame, n: int | None = None, order: str = "id_order")
         clean_text(F.col("text")).alias("text"),
     )
     if n is not None:
-        out = out.orderBy(order).limit(n)
+        out = first_rows(out, order, n)
     return out.drop(order) if order in out.columns else out
 
 

@@ -141,3 +141,22 @@ def test_user_tails_write_no_ranges(spark):
     before = set(scratch.glob("ranges-*"))
     load_all()["user_tail_after_cursor"].build(spark, SF).count()
     assert set(scratch.glob("ranges-*")) == before
+
+
+# --- first rows ------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("n", [0, 1, 3, 40, 49, 50, 51, 500])
+def test_first_rows_with_equal_and_null_keys(spark, n):
+    keys = [None] * 3 + [5] * 10 + list(range(6, 43))
+    random.Random(n).shuffle(keys)
+    df = spark.createDataFrame([(k, f"x{i}") for i, k in enumerate(keys)], "k int, text string").repartition(5)
+    got = A.first_rows(df, "k", n).collect()
+    assert [r.k for r in got] == sorted(keys, key=lambda k: (k is not None, k))[:n]
+    assert len({r.text for r in got}) == len(got)
+
+
+def test_first_n_moves_no_bodies_to_one_task(spark):
+    plan = load_all()["first_n"].build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
+    rows = spark.range(100).select(F.col("id").alias("id_order"), F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("b").alias("text"))
+    out = A.clean_articles(rows, n=10)
+    assert "GlobalLimit" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 10
