@@ -89,6 +89,22 @@ def test_state_of_silent_users_goes(spark):
     assert [r.entry_id for r in S.feeds(spark.read.parquet(sink)).where("uid = 1").orderBy("pos").collect()] == ["e6", "e2", "e1"]
 
 
+def test_neighbouring_users_share_a_state_group_and_keep_lives_of_their_own(spark):
+    """A group of the state costs as much as a thousand rows, so a batch of many users must not have one for each."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("bsrc", "bsink", "bck"))
+    far = [2**62 + 64 * k for k in range(3)]  # ids that a double cannot tell apart
+    rows = [(u, _day(7 * k + u % 5), 100 * k + u % 64, f"e{k}-{u}", "ABC"[k * k % 3]) for u in (*range(64), *far) for k in range(9)]
+    a = spark.createDataFrame(rows, ATTEMPTS)
+    J.in_time_order(a, "ts", src, 3, lambda: J.stream_dedup_feed(J.file_stream(spark, src, a.schema), sink, ckpt, cap=4, state_partitions=2))
+    assert spark.read.format("statestore").load(ckpt).count() == 64 // 16 + 3
+    changes = spark.read.parquet(sink)
+    batch = first_seen_dedup(a, "doc", "uid", "ts", ("seq",))
+    assert {(r.uid, r.entry_id, r.epoch) for r in S.kept_deliveries(changes).collect()} == {(r.uid, r.entry_id, r.epoch) for r in batch.collect()}
+    top = feed_top_n(batch.select("uid", "entry_id", "doc", "ts", "seq"), 4, ("ts", "seq"))
+    assert {(r.uid, r.entry_id, r.pos) for r in S.feeds(changes).collect()} == {(r.uid, r.entry_id, r.pos) for r in top.collect()}
+    assert S.state_rows(spark, ckpt, "feed").groupBy("key.uid").count().where("count != 4").isEmpty()
+
+
 def test_connected_streams_survive_failures_and_equal_the_batch_feed(spark, monkeypatch):
     t = Tables(spark, SF)
     raw = fx.articles(t).select("entry_id", "entry_ts", "id", "title", "topic")
