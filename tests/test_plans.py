@@ -69,6 +69,45 @@ def test_term_shares_split_a_text_once(spark):
     assert not any("text#" in line or "split(" in line for line in lines[:at + 1])
 
 
+def test_words_are_counted_before_they_are_rows(spark):
+    """A text is exploded to its buckets, not to its words, and meets the labels as columns, not as rows."""
+    from feedspark.operators.classify import classify_by_terms, term_shares
+
+    docs = spark.createDataFrame([("a", "x y x")], "k string, text string")
+    lines = _static_plan(spark, term_shares(docs, "k", "text")).splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert "_ws" not in lines[at] and any("MapInArrow" in line for line in lines[at:])
+    protos = spark.createDataFrame([("sports", b, 0.5) for b in range(64)] + [("health", b, 0.25) for b in range(64)], "label string, bucket int, weight double")
+    plan = _static_plan(spark, classify_by_terms(docs, protos, "k", "text"))
+    assert not any("HashAggregate" in line and "label#" in line.split("functions=")[0] and "k#" in line.split("functions=")[0] for line in plan.splitlines())
+
+
+def test_classify_by_terms_equals_brute_force(spark):
+    from hashlib import md5
+
+    from feedspark.constants import TOPICS
+    from feedspark.operators.classify import classify_by_terms
+
+    bucket = lambda w: int(md5(w.encode()).hexdigest()[:4], 16) % 64
+    texts = [("a", "Ein zwei\tZWEI drei"), ("b", None), ("c", " \n "), ("d", "vier \u00fcber f\u00fcnf"), ("d", "vier ein"), ("e", "nirgends")]
+    words = {w for _, t in texts for w in (t or "").lower().split()} - {"nirgends"}
+    protos = [(label, b, (7 * b + 13 * k) % 10 / 10) for k, label in enumerate((TOPICS[3], TOPICS[1], "elsewhere"))
+              for b in sorted({bucket(w) for w in words} - {bucket("nirgends")}) if (b + k) % 5]
+    got = classify_by_terms(spark.createDataFrame(texts, "k string, t string"),
+                            spark.createDataFrame(protos, "label string, bucket int, weight double"), "k", "t").collect()
+    want = []
+    for key, _ in texts:
+        mine = [w for k, t in texts if k == key for w in (t or "").lower().split()]
+        n = max(len((t or "").split()) for k, t in texts if k == key)  # of rows with one key the counts add up
+        score = {}
+        for label, b, weight in protos:
+            if any(bucket(w) == b for w in mine):
+                score[label] = score.get(label, 0) + sum(bucket(w) == b for w in mine) / n * weight
+        best = max(score, key=lambda x: (round(score[x], 9), -TOPICS.index(x) if x in TOPICS else -99), default=TOPICS[0])
+        want.append((key, best))
+    assert sorted((r.k, r.topic) for r in got) == sorted(want)
+
+
 def test_term_shares_of_a_long_text(spark):
     from feedspark.operators.classify import term_shares
 
