@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
-#: Tokens held before they are packed, tokens of a step group, remembered words of a worker.
-CHUNK_TOKENS, STEP_TOKENS, CACHED_UNITS = 1_500_000, 65_536, 1_500_000
+#: Tokens held before they are packed, tokens of a step group, remembered words of a worker, rows taken out of a batch at once.
+CHUNK_TOKENS, STEP_TOKENS, CACHED_UNITS, SLICE_ROWS = 1_500_000, 65_536, 500_000, 200
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "`offset` long, tier long, step_group long")
@@ -52,8 +54,9 @@ class Encoder:
     """Ids of texts (UTF-8) as little-endian uint32 bytes.
 
     The tokenizer lower-cases, drops white space and never looks across it, so texts are lower-cased (A-Z, unless they
-    may hold a special token), cut at spaces and newlines, and every distinct unit is encoded once. ``limit`` bounds the
-    remembered units; later ones are encoded again for every slice of texts that holds them.
+    may hold a special token), cut at spaces and newlines, and every distinct unit is encoded once. A run of a-z is a word
+    of the tokenizer as it stands and goes to its model at once. ``limit`` bounds the remembered units and with them the
+    memory of a worker; later ones are encoded again for every slice of texts that holds them.
     """
 
     def __init__(self, path: str, limit: int = CACHED_UNITS):
@@ -61,14 +64,22 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, _Known()
+        self.model = self.tokenizer.model
+
+    def _word(self, letters: bytes) -> bytes:
+        """Ids of a run of a-z."""
+        return array("I", [t.id for t in self.model.tokenize(letters.decode())]).tobytes()
 
     def _learn(self, units: dict[bytes, bytes]) -> None:
         """Encodes new units, many in one call; the tokenizer says which unit a token is of."""
         new = []
         for u in units:  # a full stop or comma after a letter is a token of its own
-            word = self.known.get(u[:-1]) if u[-1:] in b".," and u[-2:-1].isalpha() else None
-            mark = self.known.get(u[-1:])
-            if word and mark:
+            if u.isalpha() and u.islower():
+                units[u] = self._word(u)
+                continue
+            stem, mark = u[:-1], self.known.get(u[-1:]) if u[-1:] in b".," and u[-2:-1].isalpha() else None
+            word = mark and (self.known.get(stem) or (self._word(stem) if stem.isalpha() and stem.islower() else None))
+            if word:
                 units[u] = word + mark
             else:
                 new.append(u)
@@ -80,8 +91,7 @@ class Encoder:
             cuts = (4 * np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(1, len(part) + 1))).tolist()
             for unit, lo, hi in zip(part, [0, *cuts[:-1]], cuts, strict=True):
                 units[unit] = ids[lo:hi]
-        if len(self.known) < self.limit:
-            self.known.update(units)
+        self.known.update(islice(units.items(), max(0, self.limit - len(self.known))))
 
     def __call__(self, texts: list[bytes | None], slice_bytes: int = 100_000) -> Iterator[bytes]:
         known, lo = self.known, 0
@@ -184,8 +194,8 @@ def _packer(path: str, tiers: tuple[int, ...], chunk_tokens: int) -> Callable:
 
         ids, parts, held = [], [], 0
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        for part in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
+            for doc_id, data in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                 ids.append(doc_id)
                 parts.append(data + end)
                 held += len(parts[-1]) // 4

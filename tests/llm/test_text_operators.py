@@ -285,6 +285,35 @@ def test_encoder_equals_the_tokenizer():
             assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_words_of_the_encoder_are_bounded():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert encoder.limit <= 500_000  # about 140 MB; two workers of an executor hold that much each
+    encoder.limit = 50
+    texts = [" ".join(f"{prose(k, 30, 5000)}, é{k}ß. word{k}" for k in range(20 * j, 20 * j + 20)) for j in range(5)]
+    for _ in range(2):
+        got = [np.frombuffer(g, "<u4").tolist() for g in encoder([t.encode() for t in texts], 300)]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) <= 50
+
+
+def test_batches_are_encoded_in_short_parts(monkeypatch):
+    import pyspark
+
+    taken = []
+
+    class Plain:
+        def __call__(self, texts):
+            taken.append(len(texts))
+            return [b"\1\0\0\0" * len(t or b"") for t in texts]
+
+    monkeypatch.setattr(packing, "shared_encoder", lambda path: Plain())
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001), pa.int64()), pa.array([b"abc"] * 1000 + [None], pa.binary())], names=["doc_id", "text"])
+    out = pa.Table.from_batches(packing._packer("", packing.TIERS, 500)(iter([batch, batch.slice(0, 0)])))
+    assert sum(taken) == 1001 and max(taken) <= 200
+    assert sum(out["length"].to_pylist()) == 4001
+
+
 def test_packed_documents(spark):
     docs = with_clashes(awkward(spark)).repartition(3)
     tokenizer = packing.Encoder(packing.default_tokenizer()).tokenizer
