@@ -14,9 +14,7 @@ streams past, is never shuffled, and only hits come back.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import WordHash, stored
+from .tables import _ODD, WordHash, mix, stored
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 BLOCK_CHARS = 32_000_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIEVE = 22
+#: Bytes of text whose words are looked up at once.
+SLICE_BYTES = 500_000
+_PLAIN = bytes(32 if c in b" \t\n\v\f\r" else c for c in bytes(range(256)).lower())
+_IS_PUNCTUATION = np.isin(np.arange(256), list(_PUNCTUATION))
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SCHEMA = "doc_id long, row_key long, item_id long, score double, doc_start long, doc_end long"
 
@@ -50,35 +53,115 @@ class BareWordHash(WordHash):
         return h
 
 
-class WordCodes(dict):
-    """Numbers of words (bytes, as they stand in a text): 1, 2, ... for those of the test items, 0 for all others; what was
-    looked up is remembered, up to ``limit`` words."""
-
-    def __init__(self, vocabulary: dict[bytes, int], limit: int = 700_000):
-        super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = self.vocabulary.get(bare(word), 0)
-        return code
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Numbers of the words of a text, A-Z lower-cased."""
-        words = words_in(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def words_in(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-@lru_cache(1)
-def worker_codes(block: str, vocabulary) -> WordCodes:
-    """The numbers of this Python worker for a block of items (a broadcast dictionary): both passes and all tasks of the
-    worker remember the same words."""
-    return WordCodes(vocabulary.value)
+class Vocabulary:
+    """Numbers of bare words, for many texts at once: 1, 2, ... for those of the test items, 0 for all others.
+
+    A word of up to 16 bytes is told by its length, its first and its last 8 bytes. Longer ones that agree in these with a
+    word of the items are compared as a whole.
+    """
+
+    def __init__(self, words: list[bytes]):
+        self.size = len(words) + 1
+        self.long = {w: k for k, w in enumerate(words, 1) if len(w) > 16}
+        data = b"".join(words) + bytes(8)
+        end = np.cumsum([len(w) for w in words], dtype=np.int64)
+        start = end - np.array([len(w) for w in words], np.int64)
+        first, last, length = marks = _marks(data, start, end)
+        number = np.where(length > 16, -1, np.arange(1, self.size))
+        kept = np.unique(np.stack([*marks, number.astype(np.uint64)]), axis=1, return_index=True)[1]  # long ones may agree
+        self.salt = 0
+        while True:
+            keys = _keys(first[kept], last[kept], length[kept], self.salt)
+            if len(np.unique(keys)) == len(kept):
+                break
+            self.salt += 1
+        kept = kept[np.argsort(keys)]
+        self.keys, self.marks, self.number = np.sort(keys), [m[kept] for m in marks], number[kept]
+        self.shift = np.uint64(64 - min(_SIEVE, max(12, self.size.bit_length() + 4)))
+        self.sieve = np.zeros(1 << 64 - int(self.shift), bool)
+        self.sieve[self.keys >> self.shift] = True
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts (UTF-8) in order, A-Z lower-cased, and where the words of each text begin."""
+        data = b" ".join(texts).translate(_PLAIN) + bytes(8)
+        inside = np.frombuffer(data, np.uint8, len(data) - 7) != 32
+        inside[-1] = False
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate([[0], edges])
+        start, end = edges[::2], edges[1::2]
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        bounds = np.searchsorted(start, begins)
+        start, end = _bare_ends(data, start, end)
+        first, last, length = _marks(data, start, end)
+        out = np.zeros(len(start), np.int64)
+        if not len(self.keys):
+            return out, bounds
+        keys = _keys(first, last, length, self.salt)
+        some = np.flatnonzero(self.sieve[keys >> self.shift])
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        same = np.ones(len(some), bool)
+        for known, mark in zip(self.marks, (first, last, length), strict=True):
+            same &= known[at] == mark[some]
+        some, at = some[same], at[same]
+        out[some] = self.number[at]
+        for i in some[self.number[at] < 0].tolist():
+            out[i] = self.long.get(data[start[i]:end[i]], 0)
+        return out, bounds
+
+
+def _marks(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First 8 bytes, last 8 bytes (0 if there are no others) and length of words in ``data``, which goes on for 8 bytes."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    length = end - start
+    first, last = eight[start] & _FIRST[np.minimum(length, 8)], np.zeros(len(start), np.uint64)
+    more = np.flatnonzero(length > 8)
+    last[more] = eight[end[more] - 8]
+    return first, last, length.astype(np.uint64)
+
+
+def _keys(first: np.ndarray, last: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
+    x = first * _ODD[salt % 60] + mix(last + length) * _ODD[salt % 60 + 1]
+    return (x ^ (x >> np.uint64(32))) * _ODD[salt % 60 + 2]
+
+
+def _bare_ends(data: bytes, start: np.ndarray, end: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``bare`` words begin and end."""
+    letters = np.frombuffer(data, np.uint8)
+    lo, hi = start.copy(), end.copy()
+    at = np.flatnonzero(_IS_PUNCTUATION[letters[lo]])
+    for _ in range(rounds):
+        lo[at] += 1
+        at = at[lo[at] < end[at]]
+        at = at[_IS_PUNCTUATION[letters[lo[at]]]]
+    for i in at.tolist():
+        lo[i] = end[i] - len(data[lo[i]:end[i]].lstrip(_PUNCTUATION))
+    none = lo == end
+    at = np.flatnonzero(_IS_PUNCTUATION[letters[hi - 1]] & ~none)
+    for _ in range(rounds):
+        hi[at] -= 1
+        at = at[_IS_PUNCTUATION[letters[hi[at] - 1]]]
+    for i in at.tolist():
+        hi[i] = lo[i] + len(data[lo[i]:hi[i]].rstrip(_PUNCTUATION))
+    lo[none] = start[none]
+    return lo, hi
+
+
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts of a binary column, about ``size`` bytes or one text at a time; NULL is empty."""
+    part, held = [], 0
+    for text in column:
+        part.append(text.as_py() or b"")
+        held += len(part[-1])
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def best_alignments(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +250,8 @@ class Seeds:
                  min_score: float = MIN_SCORE):
         self.items = items
         self.least = [least_score(len(item), min_score) for item in items]
+        # as many insertions as a qualifying passage can have
+        self.pad = [(MATCH * len(item) - least) // -GAP for item, least in zip(items, self.least, strict=True)]
         self.size = max((int(item.max()) for item in items if len(item)), default=0) + 1
         rows: dict[int, list[tuple[int, int, int]]] = {1: [], 2: []}
         for k, (item, (words, pairs)) in enumerate(zip(items, chosen, strict=True)):
@@ -180,21 +265,34 @@ class Seeds:
         self.begins[self.tables[2][0] // self.size] = True
         self.sieve = np.zeros(1 << _SIEVE, bool)
         self.sieve[self._sifted(self.tables[2][0])] = True
+        self.marked = np.zeros(self.size, bool)
 
     @staticmethod
     def _sifted(pairs: np.ndarray) -> np.ndarray:
         return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SIEVE)
 
+    def _shared(self, words: np.ndarray, others: np.ndarray) -> int:
+        """How many of the words are among the others."""
+        self.marked[others] = True
+        n = np.count_nonzero(self.marked[words])
+        self.marked[others] = False
+        return n
+
     def may_reach(self, k: int, passage: np.ndarray) -> bool:
         """Whether enough words of the item and of the passage occur in the other one for the score asked for."""
-        item = self.items[k]
-        return MATCH * min(np.isin(passage, item).sum(), np.isin(item, passage).sum()) >= self.least[k]
+        item, least = self.items[k], self.least[k]
+        return MATCH * self._shared(passage, item) >= least and MATCH * self._shared(item, passage) >= least
+
+    def passages(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to) of the passages around seed hits; those of a text and an item do not overlap.
 
-    def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to) of the passages around seed hits; those of an item do not overlap."""
+        Text i is ``words[bounds[i]:bounds[i + 1]]``.
+        """
         found = []
         single = np.flatnonzero(self.is_seed[words])
-        double = np.flatnonzero(self.begins[words[:-1]])
+        begins = self.begins[words[:-1]]
+        begins[bounds[(bounds > 0) & (bounds < len(words))] - 1] = False  # the next word is another text's
+        double = np.flatnonzero(begins)
         pairs = words[double] * self.size + words[double + 1]
         some = np.flatnonzero(self.sieve[self._sifted(pairs)])
         for n, at, grams in ((1, single, words[single]), (2, double[some], pairs[some])):
@@ -203,57 +301,59 @@ class Seeds:
             count = hi - lo
             if count.any():
                 hit = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                found.append(np.column_stack([item[hit], np.repeat(at, count) - place[hit]]))
+                text = np.searchsorted(bounds, at, "right") - 1
+                found.append(np.column_stack([np.repeat(text, count), item[hit], np.repeat(at - bounds[text], count) - place[hit]]))
         if not found:
             return []
         hits = np.unique(np.concatenate(found), axis=0)
-        out: list[tuple[int, int, int]] = []
-        for k, diagonal in hits.tolist():
-            n = len(self.items[k])
-            pad = (MATCH * n - self.least[k]) // -GAP  # as many insertions as a qualifying passage can have
-            lo, hi = max(0, diagonal - pad), min(len(words), diagonal + n + pad)
-            if out and out[-1][0] == k and lo < out[-1][2]:
-                out[-1] = (k, out[-1][1], hi)
+        lengths = np.diff(bounds).tolist()
+        out: list[tuple[int, int, int, int]] = []
+        for text, k, diagonal in hits.tolist():
+            lo, hi = max(0, diagonal - self.pad[k]), min(lengths[text], diagonal + len(self.items[k]) + self.pad[k])
+            if out and out[-1][0] == text and out[-1][1] == k and lo < out[-1][3]:
+                out[-1] = (text, k, out[-1][2], hi)
             else:
-                out.append((k, lo, hi))
+                out.append((text, k, lo, hi))
         return out
 
 
-def _word_counter(block: str, vocabulary):
+def _word_counter(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = worker_codes(block, vocabulary), np.zeros(len(vocabulary.value) + 1, np.int64)
+        words, counts = vocabulary.value, np.zeros(vocabulary.value.size, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                counts += np.bincount(codes.of(text.as_py()), minlength=len(counts))
+            for texts in text_slices(batch.column(0)):
+                counts += np.bincount(words.of(texts)[0], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
     return run
 
 
-def rare_seeds(items: list[np.ndarray], docs: DataFrame, block: str, vocabulary, min_score: float = MIN_SCORE
+def rare_seeds(items: list[np.ndarray], docs: DataFrame, vocabulary, min_score: float = MIN_SCORE
                ) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every item, its seed words and seed pairs, the rare ones by the word counts of all documents first."""
-    rows = (docs.select("text").mapInArrow(_word_counter(block, vocabulary), "at long, n long")
+    rows = (docs.select("text").mapInArrow(_word_counter(vocabulary), "at long, n long")
             .groupBy("at").agg(F.sum("n").alias("n")).collect())  # a row per word of the block at most
     total = max(1, sum(r["n"] for r in rows))
-    log_p = np.full(len(vocabulary.value) + 1, -np.log(total))
+    log_p = np.full(vocabulary.value.size, -np.log(total))
     for r in rows:
         log_p[r["at"]] = np.log(max(r["n"], 1) / total)
     return [chosen_seeds(log_p[item], least_score(len(item), min_score)) for item in items]
 
 
-def _searcher(seeds_of, item_ids: list[int], min_score: float, block: str, vocabulary):
+def _searcher(seeds_of, item_ids: list[int], min_score: float, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, codes = seeds_of.value, worker_codes(block, vocabulary)
+        seeds, vocabulary_of_items = seeds_of.value, vocabulary.value
         for batch in batches:
-            pairs, where = [], []
+            pairs, where, first = [], [], 0
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for i, text in enumerate(batch.column(2)):
-                words = codes.of(text.as_py())
-                for k, lo, hi in seeds.passages(words):
-                    if seeds.may_reach(k, words[lo:hi]):
-                        pairs.append((k, words[lo:hi].copy()))
-                        where.append((i, lo))
+            for texts in text_slices(batch.column(2)):
+                words, bounds = vocabulary_of_items.of(texts)
+                for i, k, lo, hi in seeds.passages(words, bounds):
+                    passage = words[bounds[i] + lo:bounds[i] + hi]
+                    if seeds.may_reach(k, passage):
+                        pairs.append((k, passage.copy()))
+                        where.append((first + i, lo))
+                first += len(texts)
             rows = []
             while pairs:  # the best of every passage, then of what lies before and after it
                 keep = [(k, passage, i, lo, score, end) for (k, passage), (i, lo), (score, end)
@@ -286,7 +386,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
     items give a row each, repeated documents too; ``row_key`` hashes id and text. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    corpus = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    corpus = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"),
+                         F.col("text").cast("binary").alias("text"))
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = chars // block_chars + 1
     out = spark.createDataFrame([], SCHEMA)
@@ -298,10 +399,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, min_score: float =
         if not items:
             continue
         numbers = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}), 1)}
-        block, vocabulary = uuid.uuid4().hex, spark.sparkContext.broadcast(numbers)  # as large as the block
+        vocabulary = spark.sparkContext.broadcast(Vocabulary(list(numbers)))  # as large as the block
         coded = [np.array([numbers[w] for w in words], np.int64) for _, words in items]
-        seeds = spark.sparkContext.broadcast(Seeds(coded, rare_seeds(coded, corpus, block, vocabulary, min_score), min_score))
-        out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score, block, vocabulary), SCHEMA))
+        seeds = spark.sparkContext.broadcast(Seeds(coded, rare_seeds(coded, corpus, vocabulary, min_score), min_score))
+        out = out.union(corpus.mapInArrow(_searcher(seeds, [i for i, _ in items], min_score, vocabulary), SCHEMA))
     return out
 
 

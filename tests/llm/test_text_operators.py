@@ -254,6 +254,34 @@ def test_every_copy_in_a_document_is_a_passage(spark):
     assert sorted((r["score"], r["doc_start"], r["doc_end"]) for r in got.collect()) == [(1.0, s, s + 20) for s in (0, 20, 48, 368)]
 
 
+def test_words_of_many_texts_are_numbered_at_once():
+    draw = random.Random(3)
+    letters = ["a", "b", "Z", ".", ",", '"', "-", "é", "漢", "\x00", "\x1c", "\x85", "\xa0", "~", "1"]
+    pool = ["".join(draw.choices(letters, k=draw.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 24, 40]))) for _ in range(600)]
+    pool += ["-" * 30, "." * 9 + "a" + "." * 9, "x" * 20 + "y" + "x" * 20, "x" * 20 + "z" + "x" * 20, "x" * 41]
+    texts = ["".join(draw.choice(pool) + draw.choice([" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r"]) for _ in range(draw.choice([0, 1, 9, 40])))
+             for _ in range(300)] + ["", " ", "a", "\n", None]
+    words = sorted({decontaminate.bare(w) for t in [*draw.sample(pool, 300), "x" * 20 + "y" + "x" * 20] for w in decontaminate.words_in(t)})
+    vocabulary, numbers = decontaminate.Vocabulary(words), {w: k for k, w in enumerate(words, 1)}
+    column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    for size in (1, 500, 10 ** 6):
+        got = []
+        for part in decontaminate.text_slices(column, size):
+            codes, bounds = vocabulary.of(part)
+            assert len(bounds) == len(part) + 1
+            got += [codes[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])]
+        assert got == [[numbers.get(decontaminate.bare(w), 0) for w in decontaminate.words_in(t)] for t in texts]
+    assert decontaminate.Vocabulary([]).of([b"a b", b""])[0].tolist() == [0, 0]
+
+
+def test_passages_stay_within_their_text(spark):
+    item = prose(79, 20, 3000)
+    words = item.split()
+    texts = [(1, " ".join(words[:10])), (2, " ".join(words[10:])), (3, item), (4, ""), (5, " ".join(words[10:])), (6, None), (7, item)]
+    got = decontaminate.benchmark_matches(documents(spark, texts).coalesce(1), spark.createDataFrame([(1, item)], ITEMS))
+    assert rows(got, "doc_id", "score", "doc_start", "doc_end") == [(3, 1.0, 0, 20), (7, 1.0, 0, 20)]
+
+
 # --- packing ---
 
 @settings(max_examples=150, deadline=None)
