@@ -10,15 +10,16 @@ windows always meet. Four steps, each streaming over partitions:
    documents is sent for the first only; the later ones are known to be copies.
 4. A bucket is cut into shards of bounded size. Each gets a suffix array by Larsson-Sadakane refinement
    (only groups that are still tied are sorted again) and common prefixes by Kasai's bound; suffixes that share
-   50 bytes form a class with its smallest document. Classes of different shards are merged by binary search.
+   50 bytes form a class with its smallest document. The strings of a minimizer lie in one shard; only of a minimizer
+   that fills more than one are the classes of its shards merged, by one sort of their keys.
    Equal strings are taken together before, and a string whose minimizer no other string has needs no array.
 
-A passage in a third of all documents costs a record per shard and string, not per document.
+A passage in a third of all documents costs a record per shard and string, not per document. Shards and buckets grow with
+the square root of the text, so a shard has about as much for a bucket at any size and records grow with the text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -32,7 +33,9 @@ from .tables import mix, stored
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text per shard of the first steps, of a suffix-array shard, and of text behind a bucket.
-SHARD_BYTES, SUFFIX_BYTES, BUCKET_BYTES = 3_000_000, 500_000, 1_500_000
+SHARD_BYTES, SUFFIX_BYTES, BUCKET_BYTES = 3_000_000, 500_000, 4_000_000
+#: Bytes of text in all up to which shards and buckets have these sizes, and documents whose strings are sent together.
+FIXED_BYTES, SENT_DOCS = 1_000_000_000, 1000
 _LAST = (1 << 63) - 1  # order of a NULL id: after all others
 _BASE = {1 << k: np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(16)}
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -189,8 +192,8 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
 
 
 def _classes(strings: list[bytes], orders: np.ndarray, length: int, with_keys: bool) -> tuple[np.ndarray, ...]:
-    """Windows of the strings (one shard): (50-byte keys of the classes, smallest order of each, and for the windows
-    in text order: class, string)."""
+    """Windows of the strings (one shard): (text, place and hash of a window of every class, smallest order of each, and
+    for the windows in text order: class, string)."""
     text = np.frombuffer(b"\0".join(strings), np.uint8)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -205,15 +208,40 @@ def _classes(strings: list[bytes], orders: np.ndarray, length: int, with_keys: b
     number = np.cumsum(lcp < length)
     mine = string_at[sa] >= 0
     sorted_at, sorted_class = sa[mine], number[mine]
-    _, cls = np.unique(sorted_class, return_inverse=True)
-    heads = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+    new = np.append(True, sorted_class[1:] != sorted_class[:-1])
+    heads = np.flatnonzero(new)
     smallest = np.minimum.reduceat(orders[string_at[sorted_at]], heads)
-    keys = np.empty(0, f"S{length}")
-    if with_keys:
-        keys = np.lib.stride_tricks.sliding_window_view(text, length)[sorted_at[heads]].copy().view(f"S{length}").ravel()
-    class_at = np.empty(len(text), np.int64)
-    class_at[sorted_at] = cls
-    return keys, smallest, class_at[window], of
+    hashes = _gram_hashes(text, length)[sorted_at[heads]] if with_keys else np.empty(0, np.uint64)
+    class_at = np.empty(len(text), np.int32)
+    class_at[sorted_at] = np.cumsum(new) - 1
+    return text, sorted_at[heads], hashes, smallest, class_at[window], of.astype(np.int32)
+
+
+def _merge(parts: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray]:
+    """Smallest order of each class of the shards ``parts`` over all of them: classes meet by hash, then by their bytes."""
+    counts = [len(p[1]) for p in parts]
+    hashes, smallest = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+    by = np.argsort(hashes, kind="stable")
+    tie = hashes[by][1:] == hashes[by][:-1]
+    by = by[np.append(tie, False) | np.append(False, tie)]  # classes whose hash another one has
+    if len(by):
+        ends = np.cumsum(counts)
+        shard = np.searchsorted(ends, by, "right")
+        keys = np.empty(len(by), f"S{length}")
+        for k in np.unique(shard):
+            text, place = parts[k][:2]
+            mine = np.flatnonzero(shard == k)
+            at = place[by[mine] - ends[k] + counts[k]]
+            keys[mine] = np.lib.stride_tricks.sliding_window_view(text, length)[at].copy().view(f"S{length}").ravel()
+        new = np.append(True, hashes[by][1:] != hashes[by][:-1])
+        if (keys[1:] == keys[:-1])[~new[1:]].all():
+            number = np.cumsum(new) - 1
+        else:  # different windows of one hash
+            number = np.unique(keys, return_inverse=True)[1]
+        least = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, number, smallest[by])
+        smallest[by] = least[number]
+    return np.split(smallest, np.cumsum(counts)[:-1])
 
 
 def _stretches(hit: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -225,34 +253,44 @@ def _stretches(hit: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(first.tolist(), np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + 1, strict=True)
 
 
-def earlier_windows(strings: list[bytes], orders: np.ndarray, length: int = LENGTH,
-                    shard_bytes: int = SUFFIX_BYTES) -> list[list[tuple[int, int]] | None]:
+def _families(sizes: np.ndarray, groups: np.ndarray, limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Shards, as (first, end) of the strings, of up to ``limit`` bytes: each by itself, as it has whole groups, or
+    all shards of a group that is larger."""
+    ends = np.cumsum(sizes + 1)
+    begins = ends - sizes - 1
+    cuts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])).tolist()
+    first = 0
+    for a, b in zip(cuts, [*cuts[1:], len(groups)], strict=True):
+        if a > first and ends[b - 1] - begins[first] > limit:
+            yield [(first, a)]
+            first = a
+        if ends[b - 1] - begins[a] > limit:
+            shard = (begins[a:b] - begins[a]) // limit
+            inner = (a + np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))).tolist()
+            yield list(zip(inner, [*inner[1:], b], strict=True))
+            first = b
+    if first < len(groups):
+        yield [(first, len(groups))]
+
+
+def earlier_windows(strings: list[bytes], orders: np.ndarray, length: int = LENGTH, shard_bytes: int = SUFFIX_BYTES,
+                    groups: np.ndarray | None = None) -> list[list[tuple[int, int]] | None]:
     """For distinct strings with their documents' order: (first, end) of the windows that also occur in a string of
-    smaller order, None where there are none."""
+    smaller order, None where there are none. Only strings of one group, which follow each other, can share a window;
+    without ``groups`` any can."""
     if not strings:
         return []
-    shards, held = [[]], 0
-    for k, s in enumerate(strings):
-        if held + len(s) > shard_bytes and shards[-1]:
-            shards.append([])
-            held = 0
-        shards[-1].append(k)
-        held += len(s) + 1
-    parts = [_classes([strings[k] for k in ks], orders[ks], length, len(shards) > 1) for ks in shards]
-    out: list[np.ndarray] = []
-    for i, (ks, (keys, smallest, cls, of)) in enumerate(zip(shards, parts, strict=True)):
-        best = smallest.copy()
-        for j, (others, theirs, _, _) in enumerate(parts):
-            if j != i:
-                at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
-                best = np.where(others[at] == keys, np.minimum(best, theirs[at]), best)
-        hit = best[cls] < orders[ks][of]
-        spans: list[list[tuple[int, int]] | None] = [None] * len(ks)
-        firsts = np.searchsorted(of, np.arange(len(ks)))
-        for a, b in _stretches(hit, of):
-            k = int(of[a])
-            spans[k] = [*(spans[k] or ()), (int(a - firsts[k]), int(b - firsts[k]))]
-        out += spans
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    out: list[list[tuple[int, int]] | None] = [None] * len(strings)
+    for shards in _families(sizes, np.zeros(len(strings), np.int64) if groups is None else groups, shard_bytes):
+        parts = [_classes(strings[a:b], orders[a:b], length, len(shards) > 1) for a, b in shards]
+        best = _merge(parts, length) if len(shards) > 1 else [parts[0][3]]
+        for (first, end), (*_, cls, of), least in zip(shards, parts, best, strict=True):
+            hit = least[cls] < orders[first:end][of]
+            firsts = np.searchsorted(of, np.arange(end - first))
+            for a, b in _stretches(hit, of):
+                k = int(of[a])
+                out[first + k] = [*(out[first + k] or ()), (int(a - firsts[k]), int(b - firsts[k]))]
     return out
 
 
@@ -297,9 +335,19 @@ def _merged(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket(m: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of minimizers."""
-    return ((m >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def bucket_edges(buckets: int, length: int, gram: int) -> np.ndarray:
+    """First minimizers of all buckets but the first. Buckets are ranges of minimizers with about equally many bytes of
+    strings behind them: the smallest of w = ``length - gram + 1`` random hashes is x (of 1) for w (1 - x)^(w-1) of the windows, and
+    (1 - x)^(w-1) (1 + (w-1) x) of the positions begin a run, which has ``length - 1`` bytes besides its windows."""
+    w, more = length - gram + 1, length - 1
+    x = np.linspace(0, 1, 1 << 18)
+    left = (1 - x) ** w * (1 + more / w + more * (w - 1) * (x / w + (1 - x) / (w * (w + 1))))  # share from x on
+    at = np.interp(np.arange(1, buckets) / buckets, 1 - left / left[0], x)
+    return np.minimum(at * 2.0 ** 64, 2.0 ** 64 - 2048).astype(np.uint64)
+
+
+def _bucket(m: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, m, "right")
 
 
 def _slices(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -332,10 +380,12 @@ def _shard_number(made: int) -> int:
     return (TaskContext.get().partitionId() << 16) + made
 
 
-def _lister(buckets: int, length: int, gram: int):
+def _lister(edges: np.ndarray, length: int, gram: int, shard_bytes: int = SHARD_BYTES):
     """Step 1, in the shards: runs by bucket of their minimizer; what the shard itself shares passes in a bucket of its own."""
+    buckets = len(edges) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made, (ids, keys, texts) in enumerate(_shards(batches, SHARD_BYTES)):
+        for made, (ids, keys, texts) in enumerate(_shards(batches, shard_bytes)):
             shard = _shard_number(made)
             order_of = _ids(ids)
             m, doc, start, n = runs_of(texts, length, gram)
@@ -368,7 +418,7 @@ def _lister(buckets: int, length: int, gram: int):
             start[mark] = n[mark] = 0
             short = m >> np.uint64(16)
             out = [(b, shard, _pack(np.diff(short[part], prepend=np.uint64(0)), doc[part], start[part], n[part]))
-                   for b, part in _slices(_bucket(m, buckets))]
+                   for b, part in _slices(_bucket(m, edges))]
             for lo in range(0, len(out), 200):
                 yield _columns("bucket shard payload", *map(list, zip(*out[lo:lo + 200], strict=True)))
     return run
@@ -404,13 +454,15 @@ def _sharer(buckets: int):
     return run
 
 
-def _sender(buckets: int, length: int, gram: int):
+def _sender(edges: np.ndarray, length: int, gram: int, docs: int = SENT_DOCS):
     """Step 3, in the shards: candidate runs as strings to their buckets; copies inside the shard are verdicts."""
+    buckets = len(edges) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                piece = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, docs):
+                piece = batch.slice(lo, docs)
                 pieces, owner, place = [], [], []
                 for k, (text, spans) in enumerate(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)):
                     for a, b in _merged(spans):
@@ -439,7 +491,7 @@ def _sender(buckets: int, length: int, gram: int):
                 short = m[at] >> np.uint64(16)
                 out = [(b, _pack(order[at[q]], key[at[q]], span[at[q]], np.diff(short[q], prepend=np.uint64(0)),
                                  np.frombuffer(b"".join(strings[at[q]]), np.uint8)))
-                       for b, q in _slices(_bucket(m[at], buckets))]
+                       for b, q in _slices(_bucket(m[at], edges))]
                 for i in range(0, len(out), 200):
                     yield _columns("bucket payload", *map(list, zip(*out[i:i + 200], strict=True)))
     return run
@@ -452,30 +504,34 @@ def _judge(buckets: int, length: int):
         for payload in table.column("payload"):
             *part, short, text = _unpack(payload.as_py(), "i8", "i8", "i8", "u8", "u1")
             parts.append(part)
-            minimizers += np.cumsum(short, dtype=np.uint64).tolist()
+            minimizers.append(np.cumsum(short, dtype=np.uint64))
             if len(text):
                 ends, raw = np.cumsum((part[2] & 0xFFFFFFFF) + length - 1).tolist(), text.tobytes()
                 strings += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         order, key, span = map(np.concatenate, zip(*parts, strict=True))
         if table.column("bucket")[0].as_py() < buckets:
-            least: dict[bytes, int] = {}
-            for x, o in zip(strings, order.tolist(), strict=True):
-                if o < least.get(x, _LAST + 1):
-                    least[x] = o
+            numbers: dict[bytes, int] = {}
+            of = np.fromiter((numbers.setdefault(x, len(numbers)) for x in strings), np.int64, len(strings))
+            distinct = list(numbers)
+            del numbers, strings
+            least = np.full(len(distinct), _LAST)
+            np.minimum.at(least, of, order)
             # strings can share a window only if they share the minimizer; one that no other string has is done
-            of = dict(zip(strings, minimizers, strict=True))
-            often = Counter(of.values())
-            distinct = sorted(x for x, m in of.items() if often[m] > 1)
-            orders = np.fromiter(map(least.__getitem__, distinct), np.int64, len(distinct))
-            hits = dict(zip(distinct, earlier_windows(distinct, orders, length), strict=True))
-            at, cut = [], []
-            for i, (x, o, w) in enumerate(zip(strings, order.tolist(), span.tolist(), strict=True)):
-                if o > least[x]:
-                    at.append(i)
-                    cut.append(w)
-                elif (hit := hits.get(x)) is not None:
-                    at += [i] * len(hit)
-                    cut += [((w >> 32) + a << 32) + b - a for a, b in hit]
+            m = np.empty(len(distinct), np.uint64)
+            m[of] = np.concatenate(minimizers)
+            by = np.argsort(m, kind="stable")
+            same = m[by][1:] == m[by][:-1]
+            by = by[np.append(same, False) | np.append(False, same)] if len(by) > 1 else by[:0]
+            found = earlier_windows([distinct[k] for k in by.tolist()], least[by], length, groups=m[by])
+            hits = {k: hit for k, hit in zip(by.tolist(), found, strict=True) if hit is not None}
+            copy = order > least[of]
+            cut_in = np.zeros(len(distinct), bool)
+            cut_in[list(hits)] = True
+            at, cut = np.flatnonzero(copy).tolist(), span[copy].tolist()
+            for i in np.flatnonzero(cut_in[of] & ~copy).tolist():
+                w = int(span[i])
+                cut += [((w >> 32) + a << 32) + b - a for a, b in hits[int(of[i])]]
+                at += [i] * (len(cut) - len(at))
             order, key, span = order[at], key[at], np.array(cut, np.int64)
         return pa.table({"ord": order, "row_key": key, "span": span})
     return run
@@ -517,8 +573,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     corpus = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"),
                          F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, total // BUCKET_BYTES)
-    listed = corpus.select("doc_id", "row_key", "text").mapInArrow(_lister(buckets, length, gram), "bucket long, shard long, payload binary")
+    wider = max(1.0, (total / FIXED_BYTES) ** 0.5)
+    buckets = max(16, int(total / (wider * BUCKET_BYTES)))
+    edges = bucket_edges(buckets, length, gram)
+    listed = corpus.select("doc_id", "row_key", "text").mapInArrow(
+        _lister(edges, length, gram, int(wider * SHARD_BYTES)), "bucket long, shard long, payload binary")
     runs = listed.groupBy("bucket").applyInArrow(_sharer(buckets), "doc long, span long, ord long, row_key long")
     candidates = stored(
         runs.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.max("ord").alias("ord"), F.max("row_key").alias("row_key"))
@@ -526,7 +585,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     # both joins deal the documents in the same way, so they share one shuffle of the texts
     sent = (corpus.join(candidates.hint("shuffle_hash"), ["ord", "row_key"])
             .select("ord", "row_key", "text", "spans", "doc_id")
-            .mapInArrow(_sender(buckets, length, gram), "bucket long, payload binary"))
+            .mapInArrow(_sender(edges, length, gram, int(wider * SENT_DOCS)), "bucket long, payload binary"))
     gone = (sent.groupBy("bucket").applyInArrow(_judge(buckets, length), "ord long, row_key long, span long")
             .groupBy("ord", "row_key").agg(F.collect_list("span").alias("gone")))
     out = (corpus.join(gone.hint("shuffle_hash"), ["ord", "row_key"], "left").select("doc_id", "text", "gone").mapInArrow(

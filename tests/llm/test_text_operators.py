@@ -158,6 +158,74 @@ def test_removal_edges(spark):
     assert {r["doc_id"]: bytes(r["kept"]) for r in one.collect()} == {1: b"y" * 60, 2: b"abz"}
 
 
+def test_earlier_windows_by_groups_and_shards(monkeypatch):
+    draw = random.Random(6)
+    ends = [bytes(draw.choices(b"abcd", k=40)) for _ in range(4)]
+    # shared passages, each time with other text behind, as the strings of a minimizer are
+    made = sorted({(g, ends[g] + bytes(draw.choices(b"xy", k=draw.randint(0, 20)))) for g in draw.choices(range(4), [8, 1, 1, 1], k=300)})
+    groups, strings = np.array([g for g, _ in made]), [s for _, s in made]
+    orders = np.array([draw.randrange(60) for _ in strings])
+    brute = []
+    for s, o, g in zip(strings, orders, groups):
+        earlier = {t[a:a + 25] for t, p, h in zip(strings, orders, groups) if p < o and h == g for a in range(len(t) - 24)}
+        spans = []
+        for a in range(len(s) - 24):
+            if s[a:a + 25] in earlier:
+                if spans and spans[-1][1] == a:
+                    spans[-1] = (spans[-1][0], a + 1)
+                else:
+                    spans.append((a, a + 1))
+        brute.append(spans or None)
+    for limit in (100, 2000, 10 ** 6):
+        assert suffix_dedup.earlier_windows(strings, orders, 25, limit, groups) == brute
+    # different windows of one hash
+    monkeypatch.setattr(suffix_dedup, "_gram_hashes", lambda a, n: np.zeros(len(a), np.uint64))
+    assert suffix_dedup.earlier_windows(strings, orders, 25, 100, groups) == brute
+
+
+def test_merging_shards_grows_with_their_number(monkeypatch):
+    draw = random.Random(7)
+    end = bytes(draw.choices(b"abcd", k=40))
+    strings = [end + bytes(draw.choices(b"abcdefgh", k=20)) for _ in range(400)]
+    looked_up, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **kw: looked_up.append(np.size(v)) or search(a, v, *rest, **kw))
+    suffix_dedup.earlier_windows(strings, np.arange(400), 25, 200)
+    shards = sum(map(len, strings)) // 200
+    assert shards > 100 and sum(looked_up) < 20 * sum(map(len, strings))
+
+
+def test_buckets_of_minimizers_are_of_about_one_size():
+    draw = random.Random(8)
+    text = bytes(draw.choices(b"abcdefghijklmnopqrstuvwxyz ", k=400_000))
+    m, _, _, n = suffix_dedup.runs_of([text], 50, 20)
+    edges = suffix_dedup.bucket_edges(40, 50, 20)
+    held = np.bincount(suffix_dedup._bucket(m, edges), n + 49, 40)
+    assert len(held) == 40 and held.max() < 1.3 * held.mean() and held.min() > 0.7 * held.mean()
+
+
+def test_records_of_the_lister_grow_with_the_text(spark, monkeypatch):
+    rows_listed = []
+    lister = suffix_dedup._lister
+
+    def counted(edges, length, gram, shard_bytes):
+        rows_listed.append((len(edges) + 1, shard_bytes))
+        return lister(edges, length, gram, shard_bytes)
+
+    monkeypatch.setattr(suffix_dedup, "_lister", counted)
+    monkeypatch.setattr(suffix_dedup, "FIXED_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
+    pool = [prose(k, 25) for k in range(8)]
+    made = []
+    for size in (20, 80):
+        draw = random.Random(9)
+        docs = [(k, " ".join(draw.choices(pool, k=3)) + prose(k + 50, 30)) for k in range(size)]
+        got = suffix_dedup.remove_repeats(documents(spark, docs))
+        assert rows(got, *got.columns) == brute_removal(docs, 50)
+        made.append(sum(len(t) for _, t in docs) / rows_listed[-1][1] * rows_listed[-1][0] / size)
+    assert made[1] < 1.5 * made[0]  # shards x buckets a document
+
+
 # --- decontamination ---
 
 def brute_alignment(a, b):
