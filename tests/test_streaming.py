@@ -1,7 +1,9 @@
 """Streaming = batch, also across a restart from the checkpoint."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,72 @@ def test_neighbouring_users_share_a_state_group_and_keep_lives_of_their_own(spar
     assert S.state_rows(spark, ckpt, "feed").groupBy("key.uid").count().where("count != 4").isEmpty()
 
 
+class _State:
+    """A group's state as the step sees it."""
+
+    def __init__(self, watermark_ms=0):
+        self.value, self.watermark_ms, self.timeout, self.hasTimedOut = None, watermark_ms, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark_ms
+
+    def update(self, value):
+        self.value = tuple(list(x) for x in value)
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def _steps(batches, ttl_us, cap):
+    """Changes and state after every batch, in one order."""
+    step, state, out = S.seen_sets(ttl_us, cap), _State(), []
+    for k, frames in enumerate(batches):
+        state.watermark_ms = k * 20
+        got = [tuple(None if x is pd.NA or x != x else x for x in row) for f in step((1,), iter(frames), state) for row in f.itertuples(index=False)]
+        v = state.value
+        out.append((sorted(got, key=repr), *(sorted(zip(*v[a:b]), key=repr) for a, b in ((0, 2), (2, 4), (4, 9))), state.timeout))
+    return out
+
+
+def test_rows_as_columns_are_worked_off_as_one_by_one(monkeypatch):
+    draw = random.Random(11)
+    names = ["uid", "ts_us", "seq", "entry_id", "doc"]
+    for _ in range(60):
+        batches, now = [], 0
+        for _ in range(4):
+            rows = []
+            for _ in range(draw.choice([1, 40, 200])):
+                now += draw.choice([0, 0, 1, 400])
+                late = draw.choice([0, 0, 0, 3000])
+                rows.append((draw.randrange(4), now - late, draw.randrange(2), f"e{draw.randrange(30)}", f"d{draw.randrange(6)}"))
+            cut = draw.randrange(len(rows) + 1)
+            batches.append([pd.DataFrame(part, columns=names) for part in (rows[:cut], rows[cut:])])
+        ttl, cap = draw.choice([(1500, 3), (10_000, 5), (5000, 1000)])
+        found = []
+        for least in (10 ** 9, 1):
+            monkeypatch.setattr(S, "COLUMN_ROWS", least)
+            found.append(_steps(batches, ttl, cap))
+        assert found[0] == found[1]
+
+
+def test_rows_with_a_null_are_worked_off_one_by_one(monkeypatch):
+    frame = pd.DataFrame([(None, 5 * k, 1, f"e{k}", "d") for k in range(100)], columns=["uid", "ts_us", "seq", "entry_id", "doc"])
+    assert S._columns([frame]) is None and S._columns([frame.assign(uid=1)]) is not None
+    assert S._columns([frame.assign(uid=1, doc=[None] * 50 + ["d"] * 50)]) is None
+    (changes, lives, seen, feed, _), = _steps([[frame.assign(uid=1, doc=[None] * 50 + ["d"] * 50)]], 10 ** 6, 5)
+    assert [c[:6] for c in changes] == [("kept", 1, 0, 1, "e0", None), ("kept", 1, 250, 1, "e50", "d")] and lives == [(1, 0)]
+
+
+def test_many_rows_of_a_block_cost_little_each(monkeypatch):
+    frame = pd.DataFrame([(k % 16, 1000 * k, k, f"e{k}", f"d{k}") for k in range(5000)], columns=["uid", "ts_us", "seq", "entry_id", "doc"])
+    monkeypatch.setattr(S, "_values", lambda column: pytest.fail("row by row"))
+    (changes, *_), = _steps([[frame]], 10 ** 9, 100)
+    assert len(changes) == 5000 + 5000 - 1600
+
+
 def test_connected_streams_survive_failures_and_equal_the_batch_feed(spark, monkeypatch):
     t = Tables(spark, SF)
     raw = fx.articles(t).select("entry_id", "entry_ts", "id", "title", "topic")
